@@ -4,20 +4,25 @@ Every byte of a text that lies in a ``length``-byte string which also starts ear
 same document at an earlier byte) is removed; strings are judged on the input and never cross documents.
 
 Method. Ranks of prefixes are doubled as in suffix-array construction: positions are grouped by the rank of
-their first h bytes, positions that are alone leave, and the survivors are grouped by the pair
-(rank at p, rank at p + h). Only equality of ranks matters here, so a rank is a 64-bit name instead of an
-ordinal. Two things keep the table of positions far below one row per byte:
+their first h bytes, positions that are alone leave, and the survivors are ranked again by longer prefixes, until
+they are unique or reach the threshold of ``length`` bytes. Only equality of ranks matters here, so a rank is a
+64-bit name instead of an ordinal. The table of positions stays far below one row per byte:
 
 * *Round 0* ranks ``seed``-byte prefixes of anchors only. In every window of ``length`` bytes the anchor is the
   rightmost smallest seed name, so equal windows have equal anchors at equal offsets, and a window whose
   anchor's rank is unique is itself unique. About one position in ``(length - seed) / 2`` is an anchor.
-* Consecutive windows with the same anchor form a *span*. Spans of equal content share a rank; all but the
-  first of them are removed whole. Only where one anchor rank has several span ranks (the ends of a repeated
-  passage) are the first spans of each rank expanded to windows, and these take the last doubling round:
-  pairs (rank of 50 bytes at p, rank at p + 50) give the rank of 100 bytes, the threshold.
+* *Round 1* ranks *spans*, the runs of windows with the same anchor. Of spans with equal content all but the first
+  are removed whole. Where one anchor rank has several span ranks (the ends of a repeated passage, an edited
+  word), the first span of each rank goes on.
+* *Round 2* ranks blocks of ``STEP`` windows at equal offsets from the anchor, twice: by all their bytes (equal to
+  an earlier block: all windows go) and by the bytes that all their windows share (unique: none goes).
+* *Round 3* ranks the windows of what is left, by pairs (rank of length/2 at p, rank at p + length/2).
 
-Groups are only pre-aggregated (count, minimum) and joined back, so a passage that a third of all documents
-hold is never gathered in a task. Defined cases: null text is empty; a text under ``length`` bytes keeps all;
+A task ranks the rows it has read before they are shuffled: of equal spans it sends only the first, so a passage
+that a third of all documents hold costs a row per task. An anchor with many span ranks in one task sends them by
+span rank, plus one row that tells the anchor's own group of them.
+
+Defined cases: null text is empty; a text under ``length`` bytes keeps all;
 a repeated row is the same document, not an earlier
 one, so both get the same result; a null doc_id is no earlier document for others; extra columns are ignored.
 """
@@ -29,15 +34,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Names, batch, cut, utf8
+from .common import Names, batch, cut, mix, utf8
 
 SEED = 32
 
-_SPAN = "grp long, span long, doc_id long, start int, n int"
+#: Windows in a block of round 2.
+STEP = 8
+#: Span ranks of one anchor in a task above which they are sent by span rank.
+SPREAD = 64
+#: Rows that a task ranks at a time before it sends them.
+HOLD = 1_500_000
+_NO_ID = -(2**63)
 
+# Rows between rounds. key: where they meet; rank: equal content; core: round 2, content that all windows share;
+# id, start: the position; shape: n * length + (anchor - first window). kind: what is known.
+_ROW = "kind byte, key long, rank long, core long, id long, start int, shape int"
+SEND, GONE, OPEN, MARK = 0, 1, 2, 3
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each window of ``w`` values."""
@@ -50,7 +67,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def spans(data: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...] | None:
-    """(anchor name, span name, first window, number of windows) of each span of one text."""
+    """(anchor name, span name, first window, number of windows, anchor) of each span of one text."""
     if len(data) < length:
         return None
     names = Names(data)
@@ -71,63 +88,226 @@ def spans(data: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...] |
         anchor[part] = begin + w - 1 - hit.argmax(1)
     count = np.diff(first, append=len(low))
     content = names.between(first, first + count - 1 + length)
-    return grams[anchor], content ^ ((anchor - first).astype(np.uint64) << np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), first, count
+    content ^= (anchor - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return grams[anchor], content, first, count, anchor
+
+
+class Rows:
+    """Columns of positions, one numpy array each."""
+
+    names = ("kind", "key", "rank", "core", "id", "start", "shape")
+
+    def __init__(self, **columns):
+        n = len(columns["id"])
+        zero = np.zeros(n, np.int64)
+        self.of = {c: np.asarray(columns.get(c, zero)) for c in self.names}
+        for c in ("key", "rank", "core"):
+            self.of[c] = self.of[c].view(np.int64) if self.of[c].dtype == np.uint64 else self.of[c]
+
+    def __len__(self) -> int:
+        return len(self.of["id"])
+
+    def take(self, index: np.ndarray, **change) -> Rows:
+        return Rows(**({c: v[index] for c, v in self.of.items()} | {c: np.full(len(self.of["id"][index]), v) for c, v in change.items()}))
+
+    @staticmethod
+    def join(parts: list[Rows]) -> Rows:
+        return Rows(**{c: np.concatenate([p.of[c] for p in parts]) for c in Rows.names})
+
+    @staticmethod
+    def read(batches: list[pa.RecordBatch]) -> Rows:
+        return Rows(**{c: np.concatenate([b.column(c).to_numpy() for b in batches]) for c in Rows.names})
+
+    def to_batch(self) -> pa.RecordBatch:
+        kinds = (pa.int8(), *[pa.int64()] * 4, pa.int32(), pa.int32())
+        return batch({c: (self.of[c].astype(t.to_pandas_dtype()), t) for c, t in zip(self.names, kinds, strict=True)})
+
+    def first_of_rank(self) -> tuple[np.ndarray, np.ndarray]:
+        """(index, is the first of its rank) in the order key, core, rank, id, start."""
+        o = np.lexsort([self.of[c] for c in ("start", "id", "rank", "core", "key")])
+        new = np.ones(len(o), bool)
+        new[1:] = False
+        for c in ("key", "core", "rank"):
+            v = self.of[c][o]
+            new[1:] |= v[1:] != v[:-1]
+        return o, new
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    return np.append(True, values[1:] != values[:-1])
+
+
+def gone_runs(rows: Rows, length: int) -> Rows:
+    """Removed windows as maximal runs of windows per document."""
+    if not len(rows):
+        return rows
+    o = np.lexsort([rows.of["start"], rows.of["id"]])
+    ids, start = rows.of["id"][o], rows.of["start"][o].astype(np.int64)
+    end = start + rows.of["shape"][o] // length
+    doc = np.cumsum(_starts(ids)) - 1
+    reach = np.maximum.accumulate(end + doc * (1 << 32)) - doc * (1 << 32)
+    new = _starts(ids)
+    new[1:] |= start[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(ids)) - 1
+    zero = np.zeros(len(first), np.int64)
+    return Rows(kind=zero + GONE, key=mix((ids[first] + zero).view(np.uint64)), id=ids[first], start=start[first], shape=(reach[last] - start[first]) * length)
+
+
+def ranked_in_task(rows: Rows, length: int, spread: bool) -> pa.RecordBatch:
+    """What a task sends of the rows it has read: the first of each rank, and runs that are gone already."""
+    o, first = rows.first_of_rank()
+    sent = rows.take(o[first])
+    out = [gone_runs(rows.take(o[~first]), length)]
+    if spread and len(sent):
+        new = np.flatnonzero(_starts(sent.of["key"]))
+        many = np.diff(new, append=len(sent)) > SPREAD
+        if many.any():
+            wide = np.repeat(many, np.diff(new, append=len(sent)))
+            out.append(sent.take(new[many], kind=MARK))
+            sent.of["kind"] = np.where(wide, OPEN, sent.of["kind"])
+            sent.of["key"] = np.where(wide, mix((sent.of["key"] ^ sent.of["rank"]).view(np.uint64)).view(np.int64), sent.of["key"])
+    return Rows.join([sent, *out]).to_batch()
+
+
+def _held(parts: Iterator[Rows], length: int, spread: bool) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for rows in parts:
+        held.append(rows)
+        size += len(rows)
+        if size >= HOLD:
+            yield ranked_in_task(Rows.join(held), length, spread)
+            held, size = [], 0
+    if held:
+        yield ranked_in_task(Rows.join(held), length, spread)
+
+
+def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for i, x in zip(b.column("id").to_pylist(), b.column("packed").to_pylist(), strict=True):
+        yield i, np.frombuffer(unpack(x), np.uint8)
 
 
 def _emit_spans(length: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
         for b in batches:
-            out: list[tuple] = []
-            size = 0
             for doc, text in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), strict=True):
                 found = spans(np.frombuffer(text, np.uint8), length, seed)
-                if found is None:
-                    continue
-                grp, span, first, count = found
-                kept = np.unique(span, return_index=True)[1]
-                out.append((grp[kept], span[kept], np.full(len(kept), doc, np.int64), first[kept], count[kept], np.zeros(len(kept), bool)))
-                if len(kept) < len(span):  # the document itself has the span earlier
-                    again = np.setdiff1d(np.arange(len(span)), kept, assume_unique=True)
-                    out.append((grp[again], span[again], np.full(len(again), doc, np.int64), first[again], count[again], np.ones(len(again), bool)))
-                size += len(span)
-                if size > 200_000:
-                    yield _span_batch(out)
-                    out, size = [], 0
-            if out:
-                yield _span_batch(out)
+                if found is not None:
+                    grp, span, first, count, anchor = found
+                    yield Rows(key=grp, rank=span, id=np.full(len(grp), _NO_ID if doc is None else doc, np.int64), start=first, shape=count * length + anchor - first)
+
+    return lambda batches: _held(rows(batches), length, True)
+
+
+def _resolve_spans(length: int):
+    """Round 1 on the rows of a partition of anchor ranks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        if not batches:
+            return
+        rows = Rows.read(batches)
+        kind = rows.of["kind"]
+        out = [rows.take(kind == GONE)]
+        marked = rows.take(kind == MARK)
+        rows = rows.take((kind == SEND) | (kind == OPEN))
+        o, first = rows.first_of_rank()
+        out.append(gone_runs(rows.take(o[~first]), length))
+        lead = rows.take(o[first])
+        new = _starts(lead.of["key"]) if len(lead) else np.zeros(0, bool)
+        size = np.diff(np.flatnonzero(new), append=len(lead))
+        several = np.repeat(size, size) > 1
+        several |= np.isin(lead.of["key"], marked.of["key"]) | (lead.of["kind"] == OPEN)
+        out.append(lead.take(several, kind=OPEN))
+        yield Rows.join(out).to_batch()
 
     return run
 
 
-def _span_batch(out: list[tuple]) -> pa.RecordBatch:
-    grp, span, doc, first, count, again = (np.concatenate(x) for x in zip(*out, strict=True))
-    return batch({
-        "grp": (pa.array(grp.view(np.int64), mask=again), pa.int64()), "span": (span.view(np.int64), pa.int64()), "doc_id": (doc, pa.int64()),
-        "start": (first.astype(np.int32), pa.int32()), "n": (count.astype(np.int32), pa.int32()),
-    })
+def _emit_blocks(length: int):
+    """Round 2: the blocks of spans that are still open."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
+        for b in batches:
+            for (doc, data), todo in zip(_texts(b), b.column("todo"), strict=True):
+                start, shape = (todo.values.field(c).to_numpy().astype(np.int64) for c in ("start", "shape"))
+                n, off = shape // length, shape % length
+                names, anchor = Names(data), start + off
+                low, high = (off - n + 1) // STEP, off // STEP
+                which = np.concatenate([np.arange(a, z + 1) for a, z in zip(low, high, strict=True)])
+                anchor = np.repeat(anchor, high - low + 1)
+                p = anchor - STEP * which - STEP + 1
+                inside = (p >= 0) & (p + STEP - 1 + length <= len(data))
+                core = names.between(p + STEP - 1, p + length) ^ mix(which.astype(np.uint64))
+                # a block that sticks out of the text equals no other as a whole, but may share its core
+                own = mix(p.astype(np.uint64) + np.uint64(doc % 2**64))
+                rank = np.where(inside, names.between(np.maximum(p, 0), np.minimum(p + STEP - 1 + length, len(data))), own)
+                yield Rows(key=core, core=core, rank=rank, id=np.full(len(p), doc, np.int64), start=p, shape=np.full(len(p), STEP * length))
+
+    return lambda batches: _held(rows(batches), length, False)
 
 
 def _emit_windows(length: int):
+    """Round 3: windows of open blocks by pairs of ranks."""
     half = length // 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
         for b in batches:
-            for doc, text, todo in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), b.column("todo").to_pylist(), strict=True):
-                names = Names(np.frombuffer(text, np.uint8))
-                at = np.unique(np.concatenate([np.arange(x["start"], x["start"] + x["n"]) for x in todo]))
+            for (doc, data), todo in zip(_texts(b), b.column("todo"), strict=True):
+                start, shape = (todo.values.field(c).to_numpy().astype(np.int64) for c in ("start", "shape"))
+                names = Names(data)
+                at = np.unique(np.concatenate([np.arange(s, s + k) for s, k in zip(start, shape // length, strict=True)]))
+                at = at[(at >= 0) & (at + length <= len(data))]
                 left, right = names.between(at, at + half), names.between(at + half, at + length)
-                # an equal window earlier in the same document decides at once: n = 0 marks those
-                order = np.lexsort((at, right, left))
-                same = np.zeros(len(at), bool)
-                same[order[1:]] = (left[order[1:]] == left[order[:-1]]) & (right[order[1:]] == right[order[:-1]])
-                yield batch({
-                    "left": (left.view(np.int64), pa.int64()), "right": (right.view(np.int64), pa.int64()),
-                    "doc_id": (np.full(len(at), doc, np.int64), pa.int64()), "start": (at.astype(np.int32), pa.int32()), "again": (same, pa.bool_()),
-                })
+                yield Rows(key=left, rank=right, id=np.full(len(at), doc, np.int64), start=at, shape=np.full(len(at), length))
+
+    return lambda batches: _held(rows(batches), length, False)
+
+
+def _resolve_last(length: int):
+    """What is gone in a partition of the last round: all but the first of each pair of ranks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        if batches:
+            rows = Rows.read(batches)
+            sent = rows.take(rows.of["kind"] == SEND)
+            o, first = sent.first_of_rank()
+            yield Rows.join([rows.take(rows.of["kind"] == GONE), gone_runs(sent.take(o[~first]), length)]).to_batch()
 
     return run
 
 
+def _resolve_blocks(length: int):
+    """Equal blocks go but for the first; blocks whose core another content shares stay open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        if not batches:
+            return
+        rows = Rows.read(batches)
+        kind = rows.of["kind"]
+        out = [rows.take((kind == GONE) | (kind == OPEN))]
+        rows = rows.take(kind == SEND)
+        o, first = rows.first_of_rank()
+        out.append(gone_runs(rows.take(o[~first]), length))
+        lead = rows.take(o[first])
+        if len(lead):
+            size = np.diff(np.flatnonzero(_starts(lead.of["key"])), append=len(lead))
+            out.append(lead.take(np.repeat(size, size) > 1, kind=OPEN))
+        yield Rows.join(out).to_batch()
+
+    return run
+
+
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        ids = [_NO_ID if x is None else x for x in b.column("doc_id").to_pylist()]
+        yield batch({"id": (ids, pa.int64()), "packed": ([pack(x) for x in utf8(b.column("text"))], pa.binary())})
+
+
 def covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of intervals as disjoint ascending runs; touching intervals join."""
     order = np.argsort(starts, kind="stable")
@@ -139,49 +319,47 @@ def covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _apply(length: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            n_bytes, removed, runs, digest, texts = [], [], [], [], []
-            for text, todo in zip(utf8(b.column("text")), b.column("todo").to_pylist(), strict=True):
-                kept = text
+            ids, n_bytes, removed, runs, digest, texts = [], [], [], [], [], []
+            for i, packed, todo in zip(b.column("id").to_pylist(), b.column("packed").to_pylist(), b.column("todo").to_pylist(), strict=True):
+                kept = text = unpack(packed)
                 gone = count = 0
                 if todo:
                     start = np.array([x["start"] for x in todo], np.int64)
-                    lo, hi = covered(start, start + np.array([x["n"] for x in todo], np.int64) - 1 + length)
+                    lo, hi = covered(start, start + np.array([x["shape"] for x in todo], np.int64) // length - 1 + length)
                     gone, count = int((hi - lo).sum()), len(lo)
                     edges = [0, *np.stack([lo, hi], 1).ravel().tolist(), len(text)]
                     kept = b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
+                ids.append(None if i == _NO_ID else i)
                 n_bytes.append(len(text))
                 removed.append(gone)
                 runs.append(count)
                 digest.append(hashlib.sha256(kept).hexdigest())
                 if with_text:
                     texts.append(kept.decode("utf-8", "ignore"))
-            out = {"doc_id": (b.column("doc_id"), pa.int64()), "n_bytes": (n_bytes, pa.int64()), "n_removed": (removed, pa.int64()), "n_spans": (runs, pa.int64()), "kept_sha256": (digest, pa.string())}
+            out = {"doc_id": (ids, pa.int64()), "n_bytes": (n_bytes, pa.int64()), "n_removed": (removed, pa.int64()), "n_spans": (runs, pa.int64()), "kept_sha256": (digest, pa.string())}
             yield batch(out | ({"kept_text": (texts, pa.string())} if with_text else {}))
 
     return run
 
 
+def _todo(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("id").agg(F.collect_list(F.struct("start", "shape")).alias("todo"))
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, seed: int = SEED, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]); kept_text drops cut characters."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = docs.mapInArrow(_emit_spans(length, seed), _SPAN)
-    # Round 0: ranks of seed-byte prefixes at anchors; those that are alone leave.
-    shared = found.where("grp is not null").groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp")
-    alive = cut(found.join(shared, "grp").union(found.where("grp is null")))
-    local = alive.where("grp is null").select("doc_id", "start", "n")
-    alive = alive.where("grp is not null")
-    # Round 1: ranks of whole spans. The first of each rank stays, the others go whole.
-    ranked = alive.groupBy("grp", "span").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("c"))
-    mixed = ranked.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp", F.lit(True).alias("mixed"))
-    ranked = ranked.join(mixed, "grp", "left").where("c > 1 or mixed")
-    told = cut(alive.join(ranked, ["grp", "span"]).where("doc_id > first_doc or mixed").select("doc_id", "start", "n", (F.col("doc_id") > F.col("first_doc")).alias("whole")))
-    # Last round: pairs of ranks at offset length / 2, for windows of first spans that differ behind one anchor.
-    todo = told.where("not whole").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("todo"))
-    windows = cut(docs.join(todo, "doc_id").mapInArrow(_emit_windows(length), "left long, right long, doc_id long, start int, again boolean"))
-    first = windows.groupBy("left", "right").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("c")).where("c > 1")
-    late = windows.join(first, ["left", "right"]).where("again or doc_id > first_doc").select("doc_id", "start", F.lit(1).alias("n"))
-    gone = told.where("whole").select("doc_id", "start", "n").union(local).union(late)
-    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("todo"))
+    # The packed texts are shuffled once, by id; the three joins below share that exchange.
+    not_null = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("packed", T.BinaryType(), False)])
+    texts = docs.mapInArrow(_pack_texts, not_null)
+    spans_ = docs.mapInArrow(_emit_spans(length, seed), _ROW).repartition("key").mapInArrow(_resolve_spans(length), _ROW)
+    spans_ = cut(spans_.select("kind", "id", "start", "shape"))
+    blocks = texts.join(_todo(spans_.where(F.col("kind") == OPEN)), "id").mapInArrow(_emit_blocks(length), _ROW)
+    blocks = cut(blocks.repartition("key").mapInArrow(_resolve_blocks(length), _ROW).select("kind", "id", "start", "shape"))
+    windows = texts.join(_todo(blocks.where(F.col("kind") == OPEN)), "id").mapInArrow(_emit_windows(length), _ROW)
+    windows = windows.repartition("key").mapInArrow(_resolve_last(length), _ROW).select("kind", "id", "start", "shape")
+    gone = _todo(spans_.union(blocks).where(F.col("kind") == GONE).union(windows))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return docs.join(gone, "doc_id", "left").mapInArrow(_apply(length, with_text), schema)
+    return texts.join(gone, "id", "left").mapInArrow(_apply(length, with_text), schema)
