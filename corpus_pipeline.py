@@ -6,17 +6,55 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terrace.llm import packing
+from terrace.llm import jaccard, packing, secrets, suffix, toxicity
 from terrace.llm.common import cut, documents
 
+_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+_NO_ID = -(2**63)
+
+
+def _key(column: str = "doc_id"):
+    return F.coalesce(F.col(column), F.lit(_NO_ID))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the nearest labelled examples call toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.toxicity(docs, labels, carry=list(_COLUMNS)).where("predicted = 0").select(*_COLUMNS)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest doc_id of each group of near duplicates; of repeated rows one stays."""
+    kept = jaccard.linked_groups(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(_key().alias("key")).distinct()
+    return docs.withColumn("key", _key()).join(kept, "key", "left_semi").dropDuplicates(["key"]).select(*_COLUMNS)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove every byte of a 100-byte string that an earlier text has; characters cut in two go whole."""
+    kept = suffix.remove_repeats(docs, with_text=True, carry=["lang", "source"]).withColumn("text", F.col("kept_text"))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*_COLUMNS)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put [SECRET] in place of every secret; all documents stay."""
+    clean = secrets.scan(docs, redact="[SECRET]", carry=["lang", "source"]).withColumn("text", F.col("clean_text"))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*_COLUMNS)
+
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents into sequences of 2048 tokens."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("packing", packing_stage)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_stage),
+    ("jaccard", jaccard_stage),
+    ("suffix", suffix_stage),
+    ("secrets", secrets_stage),
+    ("packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Tokenising and packing are beyond SQL; tests/llm compares the stages with brute force.
+#: Automata, tokenising and packing are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None

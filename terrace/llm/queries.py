@@ -7,10 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, packing, suffix
+from . import bpe, fingerprint, jaccard, lm, packing, quality, secrets, suffix, toxicity, warc
 from .common import documents
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir), order=3, alpha=0.4)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(documents(spark, sf_dir), length=100)
 
@@ -23,13 +31,49 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_groups(documents(spark, sf_dir), percent=80)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), least=100)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_dedup, op3_best_fit_packing, op4_ngram_jaccard, op10_byte_bpe)
-}
+    f.__name__: f
+    for f in (
+        op1_stupid_backoff, op2_suffix_dedup, op3_best_fit_packing, op4_ngram_jaccard, op5_warc,
+        op6_quality_rules, op7_fingerprints, op8_secret_scan, op9_toxicity, op10_byte_bpe,
+    )
+}
 
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), f AS (
+            SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+        )
+        SELECT p.page_id, p.payload_bytes, p.payload_digest,
+            CASE WHEN p.page_id > f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN p.page_id > f.first_id THEN f.first_id END AS refers_to
+        FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+    """,
+}

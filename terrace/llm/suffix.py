@@ -305,7 +305,8 @@ def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3).compress
     for b in batches:
         ids = [_NO_ID if x is None else x for x in b.column("doc_id").to_pylist()]
-        yield batch({"id": (ids, pa.int64()), "packed": ([pack(x) for x in utf8(b.column("text"))], pa.binary())})
+        also = {c: (b.column(c), b.column(c).type) for c in b.schema.names if c not in ("doc_id", "text")}
+        yield batch({"id": (ids, pa.int64()), "packed": ([pack(x) for x in utf8(b.column("text"))], pa.binary())} | also)
 
 
 def covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -317,7 +318,7 @@ def covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[new], ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)]
 
 
-def _apply(length: int, with_text: bool):
+def _apply(length: int, with_text: bool, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
@@ -339,6 +340,7 @@ def _apply(length: int, with_text: bool):
                 if with_text:
                     texts.append(kept.decode("utf-8", "ignore"))
             out = {"doc_id": (ids, pa.int64()), "n_bytes": (n_bytes, pa.int64()), "n_removed": (removed, pa.int64()), "n_spans": (runs, pa.int64()), "kept_sha256": (digest, pa.string())}
+            out = {c: (b.column(c), b.column(c).type) for c in carry} | out
             yield batch(out | ({"kept_text": (texts, pa.string())} if with_text else {}))
 
     return run
@@ -348,12 +350,17 @@ def _todo(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.collect_list(F.struct("start", "shape")).alias("todo"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, seed: int = SEED, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]); kept_text drops cut characters."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def remove_repeats(docs: DataFrame, length: int = 100, seed: int = SEED, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]), and the columns of ``carry`` as they are.
+
+    kept_text drops characters that a removed run cuts in two.
+    """
+    also = [c for c in carry or [] if c not in ("doc_id", "text")]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *also)
     # The packed texts are shuffled once, by id; the three joins below share that exchange.
-    not_null = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("packed", T.BinaryType(), False)])
-    texts = docs.mapInArrow(_pack_texts, not_null)
+    fields = [f for f in docs.schema.fields if f.name in also]
+    texts = docs.mapInArrow(_pack_texts, T.StructType([T.StructField("id", T.LongType(), False), T.StructField("packed", T.BinaryType(), False), *fields]))
+    docs = docs.select("doc_id", "text")
     spans_ = docs.mapInArrow(_emit_spans(length, seed), _ROW).repartition("key").mapInArrow(_resolve_spans(length), _ROW)
     spans_ = cut(spans_.select("kind", "id", "start", "shape"))
     blocks = texts.join(_todo(spans_.where(F.col("kind") == OPEN)), "id").mapInArrow(_emit_blocks(length), _ROW)
@@ -362,4 +369,5 @@ def remove_repeats(docs: DataFrame, length: int = 100, seed: int = SEED, with_te
     windows = windows.repartition("key").mapInArrow(_resolve_last(length), _ROW).select("kind", "id", "start", "shape")
     gone = _todo(spans_.union(blocks).where(F.col("kind") == GONE).union(windows))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return texts.join(gone, "id", "left").mapInArrow(_apply(length, with_text), schema)
+    schema = T.StructType([*fields, *T._parse_datatype_string(schema).fields])
+    return texts.join(gone, "id", "left").mapInArrow(_apply(length, with_text, [f.name for f in fields]), schema)
