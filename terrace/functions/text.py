@@ -131,7 +131,8 @@ def _pieces(text: Column, pattern: str, least: int) -> Column:
 
 
 def sentences(text: Column, least: int = 4) -> Column:
-    return _pieces(text, r"(?<=[。！？；;])|(?:\s*\d+[.)、]\s*)", least)
+    # the ordinal first: after an empty match Java would not find one at the same place
+    return _pieces(text, r"(?:\s*\d+[.)、]\s*)|(?<=[。！？；;])", least)
 
 
 def numbered_items(text: Column, least: int = 4) -> Column:
