@@ -121,3 +121,23 @@ RELATION_LABELS = {
     "INTERACTS_WITH": "相互作用", "BELONGS_TO": "属于", "CONTRAINDICATED_FOR": "禁用于", "CONTRAINDICATED_WITH": "禁忌合用",
     "USE_WITH_CAUTION_IN": "慎用于", "CAUTION_FOR": "慎用于", "COMMON_DRUG": "常用药", "MAY_CAUSE": "风险", "MONITOR": "监测指标", "EXAM_CAUTION": "检查注意",
 }
+
+POPULATION_QUERY = (
+    ("老年人", ("老年", "老人", "老年患者", "高龄", "65岁", "65 岁", "特殊人群", "风险增高", "风险更高", "剂量选择", "清除率", "AUC", "小剂量")),
+    ("儿童", ("儿童", "小儿", "婴幼儿", "18岁以下", "18 岁以下", "儿科", "特殊人群", "禁用", "慎用")),
+    ("妊娠/备孕", ("妊娠", "孕妇", "孕期", "备孕", "胎儿", "特殊人群", "禁用", "慎用")),
+    ("哺乳期", ("哺乳", "乳汁", "婴儿", "特殊人群", "禁用", "慎用")),
+    ("肾功能相关", ("肾功能", "肾功能不全", "eGFR", "透析", "剂量调整", "特殊人群")),
+    ("肝功能相关", ("肝功能", "肝功能不全", "转氨酶", "减量", "特殊人群")),
+    ("心力衰竭", ("心力衰竭", "心衰", "水肿", "慎用", "禁用")),
+)
+POPULATION_TITLES = (
+    ("老年人", ("老年用药", "特殊人群", "警告与注意事项")),
+    ("儿童", ("儿童用药", "特殊人群", "警告与注意事项")),
+    ("妊娠/备孕", ("孕妇及哺乳期妇女用药", "妊娠", "特殊人群", "警告与注意事项")),
+    ("哺乳期", ("孕妇及哺乳期妇女用药", "哺乳", "特殊人群", "警告与注意事项")),
+    ("肾功能相关", ("肾功能", "特殊人群", "警告与注意事项", "用法用量")),
+    ("肝功能相关", ("肝功能", "特殊人群", "警告与注意事项", "用法用量")),
+    ("心力衰竭", ("心力衰竭", "心衰", "警告与注意事项", "禁忌")),
+)
+POPULATION_QUERY_TAIL = ("特殊人群", "用药前确认", "禁忌", "注意事项", "用法用量")

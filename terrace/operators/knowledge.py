@@ -101,3 +101,14 @@ def rules_of(records: DataFrame) -> DataFrame:
     """(left, right, ord, risk_level, mechanism, recommendation) of records(ord, drug, interactions)."""
     rows = records.select("ord", "drug", F.posexplode("interactions").alias("i", "r"))
     return rows.select(F.col("drug").alias("left"), F.col("r.with").alias("right"), F.struct("ord", "i").alias("ord"), "r.risk_level", "r.mechanism", "r.recommendation")
+
+
+def names_fingerprint(records: DataFrame) -> DataFrame:
+    """One row: a fingerprint of the names of records(ord, drug, aliases) in order, to see whether an index is stale.
+
+    Digests of buckets of rows are digested again, so no row meets all others.
+    """
+    row = F.sha2(F.to_json(F.struct("drug", F.array_sort(F.coalesce("aliases", F.array().cast("array<string>"))).alias("aliases"))), 256)
+    parts = records.select("ord", row.alias("h")).groupBy(F.floor(F.col("ord") / 4096).alias("b")).agg(F.array_sort(F.collect_list(F.struct("ord", "h"))).alias("r"))
+    parts = parts.select("b", F.sha2(F.array_join(F.transform("r", lambda x: x["h"]), "\n"), 256).alias("h"))
+    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"))

@@ -68,3 +68,17 @@ def without_sessions(sessions: DataFrame, messages: DataFrame, doomed: DataFrame
 def query_drugs(now: Column, memory: Column) -> Column:
     """The drugs a question is about: those it mentions, else those of the session."""
     return F.when(F.size(now) > 0, now).otherwise(memory)
+
+
+def save_turn(message: DataFrame, path: str) -> None:
+    """Append messages to their table, by session group; session rows follow from it (``session_rows``)."""
+    message.withColumn("_group", F.pmod(F.xxhash64("session_id"), F.lit(64))).write.mode("append").partitionBy("_group").parquet(path)
+
+
+def history(rows: DataFrame, limit: int = 30) -> DataFrame:
+    """The newest analyses."""
+    return newest(rows, limit, "created_at", "id")
+
+
+def history_entry(rows: DataFrame, entry: int) -> DataFrame:
+    return rows.where(F.col("id") == entry)

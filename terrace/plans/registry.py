@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, retrieval_queries, state_queries, text_queries
+from . import graph_queries, question_queries, retrieval_queries, state_queries, text_queries
 
-_MODULES = (text_queries, retrieval_queries, graph_queries, state_queries)
+_MODULES = (text_queries, retrieval_queries, graph_queries, question_queries, state_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrace.functions import text
-from terrace.operators import chunking, kg, knowledge, metrics, names, retrieval, risk, sessions
+from terrace.operators import chunking, kg, knowledge, metrics, names, questions, retrieval, risk, sessions
 from terrace.sources import readers
 from terrace.streaming import streams
 
@@ -363,3 +363,51 @@ def test_stream_equals_batch(spark, tmp_path):
     streams.run_available(streams.session_states(stream), str(tmp_path / "out"), str(tmp_path / "state"))
     got = {(r.session_id, r.turn): (r.drugs, r.population, r.conditions) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(r.session_id, r.turn): (r.drugs, r.population, r.conditions) for r in sessions.snapshots(rows).collect()}
+
+
+# --- questions ---------------------------------------------------------------------------------------
+
+
+def test_expansion_keeps_message_words_and_drops_repeats(spark):
+    rows = spark.createDataFrame([(1, "头孢 监测", ["甲"], ["哺乳期", "外星人"], ["糖尿病"], ["出血"])], "q long, m string, d array<string>, p array<string>, c array<string>, r array<string>")
+    c = F.col
+    first = rows.select(questions.evidence_query(c("m"), c("p"), c("c"), c("r")).alias("x")).first().x
+    assert first == "头孢 监测 哺乳 乳汁 婴儿 特殊人群 禁用 慎用 外星人 糖尿病 出血"
+    second = rows.select(questions.population_query(c("m"), c("d"), c("p")).alias("x")).first().x
+    assert second == "头孢 监测 甲 哺乳 乳汁 婴儿 特殊人群 禁用 慎用 外星人 孕妇及哺乳期妇女用药 警告与注意事项 用药前确认 禁忌 注意事项 用法用量"
+
+
+def test_negated_groups(spark):
+    asked = spark.createDataFrame([(1, "我没有吃布洛芬"), (2, "吃布洛芬，不吃别的"), (3, "没吃 药很久了现在想吃布洛芬")], "q long, message string")
+    groups = spark.createDataFrame([(q, "布洛芬") for q in (1, 2, 3)], "q long, mention string")
+    assert {r.q for r in questions.without_negated_groups(groups, asked).collect()} == {2, 3}
+
+
+def test_population_example(spark):
+    sections = spark.createDataFrame([(1, "阿魏酸哌嗪片", "禁忌", "对本品过敏者禁用"), (2, "阿魏酸哌嗪片", "老年用药", "应在专业医师指导下使用"), (3, "别的", "老年用药", "x")], "ord long, drug string, section string, content string")
+    asked = spark.createDataFrame([(1, ["阿魏酸哌嗪片"], ["老年人"])], "q long, drugs array<string>, population array<string>")
+    found = questions.direct_evidence(asked, sections)
+    assert [(r.section, r.score) for r in found.collect()] == [("老年用药", 1.0)]
+    signal = risk.population_signal(asked, found)
+    assert [(r.level, r.groups) for r in signal.collect()] == [("Medium", ["老年人"])]
+
+
+def test_scope_falls_back(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b")], "q long, drug string")
+    assert sorted(map(tuple, questions.scoped_if_any(rows, F.col("drug") == "a").collect())) == [(1, "a"), (2, "b")]
+
+
+def test_consensus(spark):
+    sections = spark.createDataFrame([(d, "药物相互作用", "与抗凝药合用可能增加出血风险。") for d in ("甲药片", "甲药颗粒")] + [("乙药片", "药物相互作用", "禁忌合用")], "drug string, section string, content string")
+    groups = spark.createDataFrame([(1, "甲药", ["甲药片", "甲药颗粒"]), (2, "混", ["甲药片", "乙药片"]), (3, "缺", ["甲药片", "丙"])], "q long, concept string, candidates array<string>")
+    assert {r.q: r.agreed for r in questions.consensus(groups, sections).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_last_group_names_the_concept(spark):
+    groups = spark.createDataFrame([(1, 0, "a", ["x", "y"]), (1, 1, "b", ["y"])], "q long, i int, concept string, candidates array<string>")
+    assert {(r.drug, r.concept) for r in questions.concept_of(groups).collect()} == {("x", "a"), ("y", "b")}
+
+
+def test_names_fingerprint_depends_on_order(spark):
+    prints = [knowledge.names_fingerprint(spark.createDataFrame(rows, "ord long, drug string, aliases array<string>")).first().fingerprint for rows in ([(0, "a", ["y", "x"]), (1, "b", None)], [(0, "a", ["x", "y"]), (1, "b", [])], [(1, "a", ["x", "y"]), (0, "b", [])])]
+    assert prints[0] == prints[1] != prints[2]
