@@ -15,7 +15,8 @@ Documents link when ``100 * |x & y| >= percent * |x | y|`` for their sets of dis
 4. A rare key has at most ``rare`` classes: all its pairs are candidates. The others are grouped by rounds: each
    key's smallest class is compared with all others of the key (a star), links are verified, and linked classes
    merge. Only pairs across different groups remain, so a cluster of thousands of near copies needs one star
-   instead of all pairs. Rounds go on while the pairs that remain are many, then all of those are compared.
+   instead of all pairs. There is one round at least, and rounds go on while the pairs that remain are more than an eighth of the shingles (so their
+   number stays in proportion to the input), then all of those are compared.
 5. Candidates are verified on whole texts; groups are the connected components of the links.
 
 Defined cases: null, empty or blank text has no shingles, links with nothing and is its own group; with under
@@ -177,21 +178,30 @@ def _prefixes(maps, map_bits: int, percent: int, small: int):
 
 
 def _key_batch(out: list[tuple]) -> pa.RecordBatch:
+    """Rare keys go to one partition with all their classes, the others wherever their class falls."""
     keys, hot, cls, n = (np.concatenate(x) for x in zip(*out, strict=True))
-    return batch({"key": (keys.view(np.int64), pa.int64()), "hot": (hot, pa.bool_()), "cls": (cls, pa.int64()), "n": (n, pa.int64())})
+    to = np.where(hot, mix(keys ^ cls.view(np.uint64)), keys)
+    return batch({"to": (to.view(np.int64), pa.int64()), "key": (keys.view(np.int64), pa.int64()), "hot": (hot, pa.bool_()), "cls": (cls, pa.int64()), "n": (n, pa.int64())})
 
 
 def _rare_pairs(percent: int):
-    """All pairs of each key, for keys of few classes: a partition of keys at a time."""
+    """All pairs of each rare key (key null), a partition of keys at a time; rows of other keys as they are (b null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(c).to_numpy() for c in ("key", "cls", "n")] for b in batches]
+        parts = []
+        for b in batches:
+            hot = b.column("hot").to_numpy(zero_copy_only=False)
+            key, cls, n = (b.column(c).to_numpy() for c in ("key", "cls", "n"))
+            if hot.any():
+                yield batch({"key": (key[hot], pa.int64()), "a": (cls[hot], pa.int64()), "b": ([None] * int(hot.sum()), pa.int64()), "n": (n[hot], pa.int64())})
+            parts.append((key[~hot], cls[~hot], n[~hot]))
         if not parts:
             return
         key, cls, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((cls, key))
         key, cls, n = key[order], cls[order], n[order]
-        new = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
         key, cls, n = key[new], cls[new], n[new]
         found, step = [np.zeros((0, 2), np.int64)], 1
         live = np.arange(len(key))
@@ -205,7 +215,8 @@ def _rare_pairs(percent: int):
             found.append(np.unique(np.stack([cls[a[fits]], cls[b[fits]]], 1), axis=0))
             step += 1
         pairs = np.unique(np.concatenate(found), axis=0)
-        yield batch({"a": (pairs[:, 0], pa.int64()), "b": (pairs[:, 1], pa.int64())})
+        nothing = [None] * len(pairs)
+        yield batch({"key": (nothing, pa.int64()), "a": (pairs[:, 0], pa.int64()), "b": (pairs[:, 1], pa.int64()), "n": (nothing, pa.int64())})
 
     return run
 
@@ -244,11 +255,12 @@ def linked_groups(docs: DataFrame, percent: int = 80, rare: int = 8, common: int
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = cut(docs.mapInArrow(_sizes, "doc_id long, n long, cls long"))
-    maps = spark.sparkContext.broadcast(frequency_bitmaps(docs, sets.agg(F.sum("n")).first()[0] or 0, rare, common, map_bits))
-    index = docs.mapInArrow(_prefixes(maps, map_bits, percent, small), "key long, hot boolean, cls long, n long")
-    pairs = index.where("not hot").select("key", "cls", "n").repartition("key").mapInArrow(_rare_pairs(percent), "a long, b long")
-    pairs = cut(pairs.distinct())
-    hot = index.where("hot").groupBy("key", "cls").agg(F.first("n").alias("n"))
+    shingles = sets.agg(F.sum("n")).first()[0] or 0
+    maps = spark.sparkContext.broadcast(frequency_bitmaps(docs, shingles, rare, common, map_bits))
+    index = docs.mapInArrow(_prefixes(maps, map_bits, percent, small), "to long, key long, hot boolean, cls long, n long")
+    index = cut(index.repartition("to").mapInArrow(_rare_pairs(percent), "key long, a long, b long, n long"))
+    pairs = index.where("b is not null").select("a", "b").distinct()
+    hot = index.where("b is null").groupBy("key", F.col("a").alias("cls")).agg(F.first("n").alias("n"))
     many = hot.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     hot = cut(hot.join(many, "key"))
 
@@ -257,6 +269,7 @@ def linked_groups(docs: DataFrame, percent: int = 80, rare: int = 8, common: int
     texts = cut(docs.join(classes.join(wanted, "cls").select("cls", F.col("class_id").alias("doc_id")), "doc_id").select("cls", "text").dropDuplicates(["cls"]))
 
     links = verify(pairs, texts, percent)
+    starred = False
     while True:
         # Classes of a key that are not yet in one group: star from the smallest, or all pairs when few are left.
         groups = cut(components(links))
@@ -266,7 +279,7 @@ def linked_groups(docs: DataFrame, percent: int = 80, rare: int = 8, common: int
         state = split.agg(F.count("*"), F.sum("c"), F.sum(F.col("c").cast("double") * F.col("c"))).first()
         if not state[0]:
             break
-        few = state[2] <= 64 * state[1]
+        few = starred and state[2] <= max(64 * state[1], shingles / 8)  # pairs in proportion to the input
         fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
         if few:
             todo = hot.alias("x").join(hot.alias("y"), F.expr(f"x.key = y.key and x.cls < y.cls and x.grp <> y.grp and {fits}"))
@@ -278,7 +291,7 @@ def linked_groups(docs: DataFrame, percent: int = 80, rare: int = 8, common: int
         links = links.union(verify(todo.distinct(), texts, percent))
         if few:
             break
-        hot = hot.where("cls <> center").select("key", "cls", "n")
+        hot, starred = hot.where("cls <> center").select("key", "cls", "n"), True
     names = classes.join(components(links).withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     lowest = names.groupBy("component").agg(F.min("class_id").alias("component_id"))
     names = names.join(lowest, "component").select("cls", "class_id", "component_id")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import batch, gram_names, utf8, word_names
 
 #: Bytes of text in a block of documents.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 _BITS = 56
 
 

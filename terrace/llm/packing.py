@@ -60,13 +60,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     made = 0
     for i in np.argsort(-lengths, kind="stable").tolist():
         n = int(lengths[i])
-        # change of the sum over two: from gap g to g - n; a full sequence counts as none
-        after = count[: capacity + 1 - n].copy()
-        after[0] = -1
-        change = after - count[n:] + 1
+        # change of the sum when a sequence of gap g becomes one of gap g - n; a full one no longer counts
+        change = 2 * (count[: capacity + 1 - n] - count[n:] + 1)
+        change[0] = 1 - 2 * count[n]
         change[count[n:] == 0] = np.iinfo(np.int64).max
         best = int(change.argmin())
-        fresh = count[capacity - n] if n < capacity else 0
+        fresh = 2 * count[capacity - n] + 1 if n < capacity else 0
         if change[best] <= fresh:
             gap = best + n
             s = open_by_gap[gap].pop()

@@ -122,15 +122,17 @@ class Rows:
         kinds = (pa.int8(), *[pa.int64()] * 4, pa.int32(), pa.int32())
         return batch({c: (self.of[c].astype(t.to_pandas_dtype()), t) for c, t in zip(self.names, kinds, strict=True)})
 
-    def first_of_rank(self) -> tuple[np.ndarray, np.ndarray]:
-        """(index, is the first of its rank) in the order key, core, rank, id, start."""
+    def first_of_rank(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order by key, core, rank, id, start; is the first of its rank; stands after it)."""
         o = np.lexsort([self.of[c] for c in ("start", "id", "rank", "core", "key")])
         new = np.ones(len(o), bool)
         new[1:] = False
         for c in ("key", "core", "rank"):
             v = self.of[c][o]
             new[1:] |= v[1:] != v[:-1]
-        return o, new
+        first = o[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))] if len(o) else o
+        later = (self.of["id"][o] != self.of["id"][first]) | (self.of["start"][o] != self.of["start"][first])
+        return o, new, later  # a repeated row is neither
 
 
 def _starts(values: np.ndarray) -> np.ndarray:
@@ -156,9 +158,9 @@ def gone_runs(rows: Rows, length: int) -> Rows:
 
 def ranked_in_task(rows: Rows, length: int, spread: bool) -> pa.RecordBatch:
     """What a task sends of the rows it has read: the first of each rank, and runs that are gone already."""
-    o, first = rows.first_of_rank()
+    o, first, later = rows.first_of_rank()
     sent = rows.take(o[first])
-    out = [gone_runs(rows.take(o[~first]), length)]
+    out = [gone_runs(rows.take(o[later]), length)]
     if spread and len(sent):
         new = np.flatnonzero(_starts(sent.of["key"]))
         many = np.diff(new, append=len(sent)) > SPREAD
@@ -212,8 +214,8 @@ def _resolve_spans(length: int):
         out = [rows.take(kind == GONE)]
         marked = rows.take(kind == MARK)
         rows = rows.take((kind == SEND) | (kind == OPEN))
-        o, first = rows.first_of_rank()
-        out.append(gone_runs(rows.take(o[~first]), length))
+        o, first, later = rows.first_of_rank()
+        out.append(gone_runs(rows.take(o[later]), length))
         lead = rows.take(o[first])
         new = _starts(lead.of["key"]) if len(lead) else np.zeros(0, bool)
         size = np.diff(np.flatnonzero(new), append=len(lead))
@@ -273,8 +275,8 @@ def _resolve_last(length: int):
         if batches:
             rows = Rows.read(batches)
             sent = rows.take(rows.of["kind"] == SEND)
-            o, first = sent.first_of_rank()
-            yield Rows.join([rows.take(rows.of["kind"] == GONE), gone_runs(sent.take(o[~first]), length)]).to_batch()
+            o, first, later = sent.first_of_rank()
+            yield Rows.join([rows.take(rows.of["kind"] == GONE), gone_runs(sent.take(o[later]), length)]).to_batch()
 
     return run
 
@@ -290,8 +292,8 @@ def _resolve_blocks(length: int):
         kind = rows.of["kind"]
         out = [rows.take((kind == GONE) | (kind == OPEN))]
         rows = rows.take(kind == SEND)
-        o, first = rows.first_of_rank()
-        out.append(gone_runs(rows.take(o[~first]), length))
+        o, first, later = rows.first_of_rank()
+        out.append(gone_runs(rows.take(o[later]), length))
         lead = rows.take(o[first])
         if len(lead):
             size = np.diff(np.flatnonzero(_starts(lead.of["key"])), append=len(lead))
