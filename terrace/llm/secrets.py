@@ -5,10 +5,13 @@ per kind, at most ``max_examples`` distinct values, chosen by a hash, go to the
 Oncina, 1994) builds their prefix tree over character classes and merges states whose outcome frequencies are
 compatible by Hoeffding's bound. The result is one automaton per kind, of bounded size.
 
-Every other run of 16 or more characters ``[A-Za-z0-9+/_=-]`` (dots end it, so host names and sentences are no
+Every run of 12 or more characters ``[A-Za-z0-9+/_=-]`` (dots end it, so host names and sentences are no
 candidates) that mixes letters and digits is a candidate. Its score under an automaton is the mean log-likelihood
-per character against a background of letters and digits as they stand in all candidates' classes; a candidate is a
-secret of format ``f_<kind>`` for the automaton that scores best, if that reaches ``least``.
+per character against a background: the pairs of neighbouring classes in all runs of all texts outside base spans,
+counted by Spark. An automaton's threshold is the score that all but a share ``miss`` of its own examples reach under
+automata learned without them, and at least 0. A candidate is a secret of format ``f_<kind>`` for the automaton that
+scores best of those whose threshold it reaches. A run that base spans cover in part is a secret if it
+or the parts that they leave, joined, are one; if not, each of these parts is scored by itself.
 
 Defined cases: null text is empty and has no spans; without labelled credentials only base spans are found.
 Positions are code points, ends exclusive.
@@ -21,12 +24,13 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch
+from .common import batch, cut
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(?ai:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""")
@@ -34,7 +38,8 @@ _ASSIGN = re.compile(r"""(?ai:(?:password|passwd|secret|token|api_?key)["']?\x20
 _HINTS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_LENGTH = 12
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}")
 _MIXED = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]")
 
 
@@ -160,38 +165,130 @@ def likelihood(logs: tuple, word: str) -> float:
     return (total + ends[state]) / len(word)
 
 
+# --- background --------------------------------------------------------------------------------------
+
+_ORDER = "".join(_CLASSES)
+_EDGE = len(_ORDER)
+#: The class of each byte; all that no candidate has is an edge.
+_CODES = np.full(256, _EDGE, np.uint8)
+for _c, _k in _CLASS_OF.items():
+    if _c != ".":
+        _CODES[ord(_c)] = _ORDER.index(_k)
+
+
+def pair_counts(text: str, base: list[tuple[int, int, int, str]]) -> np.ndarray:
+    """How often each class follows each in the runs outside base spans; runs begin and end with an edge."""
+    parts, at = [], 0
+    for s, _, e, _ in base:
+        parts.append(text[at : max(at, s)])
+        at = max(at, e)
+    codes = _CODES[np.frombuffer(f" {' '.join([*parts, text[at:]])} ".encode("utf-8", "replace"), np.uint8)].astype(np.int64)
+    return np.bincount(codes[:-1] * (_EDGE + 1) + codes[1:], minlength=(_EDGE + 1) ** 2)
+
+
+class Background:
+    """Log-probabilities of a class, or the end, after another, smoothed by ``prior`` evenly dealt characters."""
+
+    def __init__(self, counts: np.ndarray, prior: float = 50.0):
+        sizes = np.array([*(len(v) for v in _CLASSES.values()), 0], np.float64)
+        counts = counts.reshape(_EDGE + 1, _EDGE + 1).astype(np.float64)
+        counts[_EDGE, _EDGE] = 0
+        counts += prior * sizes / sizes.sum()
+        counts[:_EDGE, _EDGE] += prior / 20
+        spread = np.array([*_SPREAD.values(), 0.0])
+        with np.errstate(divide="ignore"):
+            logs = np.log(counts / counts.sum(1, keepdims=True)) - spread
+        names = [*_ORDER, ""]
+        self.logs = {a: dict(zip(names, row, strict=True)) for a, row in zip(names, logs.tolist(), strict=True)}
+
+    def likelihood(self, word: str) -> float:
+        """Mean log-likelihood per character."""
+        total, before = 0.0, ""
+        for c in word.translate(_TABLE):
+            total += self.logs[before][c]
+            before = c
+        return (total + self.logs[before][""]) / len(word)
+
+
+class Model:
+    """Per kind its automaton's log-probabilities and the score that its own examples reach."""
+
+    def __init__(self, values: dict[str, list[str]], counts: np.ndarray, alpha: float, miss: float):
+        self.background = Background(counts)
+        self.logs = {kind: learn(v, alpha).logs() for kind, v in values.items()}
+        self.least = {kind: max(0.0, float(np.quantile(self.own_scores(kind, v, alpha), miss, method="lower"))) for kind, v in values.items()}
+
+    def gain(self, logs: tuple, word: str) -> float:
+        return likelihood(logs, word) - self.background.likelihood(word)
+
+    def own_scores(self, kind: str, values: list[str], alpha: float) -> list[float]:
+        """Scores of examples under the automaton of the other half; of few examples under their own."""
+        if len(values) < 20:
+            return [self.gain(self.logs[kind], v) for v in values]
+        halves = values[::2], values[1::2]
+        return [self.gain(logs, v) for half, other in (halves, halves[::-1]) for logs in [learn(other, alpha).logs()] for v in half]
+
+    def kind(self, word: str) -> str | None:
+        """The format of a candidate that is a secret."""
+        if not _MIXED.search(word):
+            return None
+        found = [(g, kind) for kind, logs in self.logs.items() if (g := self.gain(logs, word)) >= self.least[kind]]
+        return max(found)[1] if found else None
+
+    def spans(self, text: str, base: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, str, int]]:
+        """(start, kind, end) of the secrets that base spans do not cover."""
+        for m in _CANDIDATE.finditer(text):
+            start, end = m.span()
+            left, at = [], start
+            for s, _, e, _ in base:
+                if s < end and at < e:
+                    left += [(at, s)] if s > at else []
+                    at = e
+            left += [(at, end)] if at < end else []
+            if not left:
+                continue
+            rest = "".join(text[s:e] for s, e in left)
+            if kind := self.kind(m[0]) or (len(rest) >= LEAST_LENGTH and self.kind(rest)) or None:
+                yield start, kind, end
+            elif rest != m[0]:
+                for s, e in left:
+                    if e - s >= LEAST_LENGTH and (kind := self.kind(text[s:e])):
+                        yield s, kind, e
+
+
 # --- operator ----------------------------------------------------------------------------------------
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base values, and of each batch the pairs of classes (kind -1, value the pair's number)."""
     for b in batches:
-        kinds, values = [], []
+        kinds, values, counts = [], [], np.zeros((_EDGE + 1) ** 2, np.int64)
         for text in b.column("text").to_pylist():
-            for _, kind, _, value in base_spans(text or ""):
+            base = base_spans(text or "")
+            counts += pair_counts(text or "", base)
+            for _, kind, _, value in base:
                 kinds.append(kind)
                 values.append(value)
-        yield batch({"kind": (kinds, pa.int32()), "value": (values, pa.string())})
-
-
-def fit(docs: DataFrame, max_examples: int = 400, alpha: float = 0.05) -> dict[str, tuple]:
-    """Log-probabilities of the automaton of each kind that has examples."""
-    found = docs.mapInArrow(_examples, "kind int, value string").where("length(value) <= 200").groupBy("kind", "value").agg(F.lit(1).alias("one"))
-    made = {}
+        pairs = np.flatnonzero(counts)
+        n = [1] * len(kinds) + counts[pairs].tolist()
+        yield batch({"kind": (kinds + [-1] * len(pairs), pa.int32()), "value": (values + [str(i) for i in pairs.tolist()], pa.string()), "n": (n, pa.int64())})
+
+
+def fit(docs: DataFrame, max_examples: int = 400, alpha: float = 0.05, miss: float = 0.02) -> Model:
+    """The automata of the kinds that have examples, and the background of all texts."""
+    found = docs.mapInArrow(_examples, "kind int, value string, n long").where("length(value) <= 200")
+    found = cut(found.groupBy("kind", "value").agg(F.sum("n").alias("n")))
+    made, counts = {}, np.zeros((_EDGE + 1) ** 2, np.int64)
+    for r in found.where("kind = -1").collect():  # at most 49 pairs
+        counts[int(r.value)] = r.n
     for k, kind in enumerate(KINDS):
         values = [r.value for r in found.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(max_examples).collect()]
         if values:
-            made[kind] = learn(values, alpha).logs()
-    return made
-
-
-def _scan(models: dict[str, tuple], least: float, redact: str | None, carry: list[str]):
-    background = {c: math.log(1 / len(_CLASS_OF)) for c in _CLASSES}
-    flat = background["d"]
+            made[kind] = values
+    return Model(made, counts, alpha, miss)
 
-    def scored(word: str) -> str | None:
-        best = max(((likelihood(m, word) - flat, kind) for kind, m in models.items()), default=(0.0, ""))
-        return f"f_{best[1]}" if best[0] >= least else None
 
+def _scan(model: Model, redact: str | None, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, texts = [], []
@@ -199,12 +296,8 @@ def _scan(models: dict[str, tuple], least: float, redact: str | None, carry: lis
                 text = text or ""
                 base = base_spans(text)
                 spans = [(s, k, KINDS[k], e) for s, k, e, _ in base]
-                if models:
-                    for m in _CANDIDATE.finditer(text):
-                        s, e = m.span()
-                        if _MIXED.search(m[0]) and not any(x < e and s < y for x, _, y, _ in base):
-                            if kind := scored(m[0]):
-                                spans.append((s, len(KINDS) + KINDS.index(kind[2:]), kind, e))
+                if model.logs:
+                    spans += [(s, len(KINDS) + KINDS.index(kind), f"f_{kind}", e) for s, kind, e in model.spans(text, base)]
                     spans.sort()
                 counts = [sum(k == i for _, k, _, _ in base) for i in range(len(KINDS))]
                 own = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in base)
@@ -224,14 +317,14 @@ def _scan(models: dict[str, tuple], least: float, redact: str | None, carry: lis
     return run
 
 
-def scan(docs: DataFrame, max_examples: int = 400, alpha: float = 0.05, least: float = 0.5, redact: str | None = None, carry: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, max_examples: int = 400, alpha: float = 0.05, miss: float = 0.02, redact: str | None = None, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans[, clean_text]), and the columns of ``carry`` as they are.
 
     ``redact`` is put in place of each span in clean_text; of overlapping spans the union is replaced once.
     """
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).select("doc_id", "text", *(c for c in carry or [] if c not in ("doc_id", "text")))
-    models = fit(docs.select("text"), max_examples, alpha)
+    model = fit(docs.select("text"), max_examples, alpha, miss)
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", clean_text string" * (redact is not None)
     also = [f for f in docs.schema.fields if f.name != "doc_id" and f.name in (carry or [])]
     schema = T.StructType([*also, *T._parse_datatype_string(schema).fields])
-    return docs.mapInArrow(_scan(models, least, redact, [f.name for f in also]), schema)
+    return docs.mapInArrow(_scan(model, redact, [f.name for f in also]), schema)

@@ -393,6 +393,32 @@ def test_automata_learn_formats(spark):
     assert spans[100].startswith("f_access:5:25") and spans[100].count(":") == 2
 
 
+def test_mixed_case_formats(spark):
+    rng = random.Random(5)
+    mixed = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+    docs = [(i, f"the service reads token: ghp_{mixed(36)} at every start") for i in range(200)]
+    plain = ["covid-19-related-deaths", "2024-02-29T10-30", "Version20240229release", "chapter12section3", "iso-8859-1-encoded", "page_1234567890", "windows10update"]
+    docs += [(1000 + i, f"he found ghp_{mixed(36)} in the published log of that day") for i in range(100)]
+    docs += [(2000 + i, f"see {w} for more about it and the other things") for i, w in enumerate(plain)]
+    docs += [(3000, f"it was ghp_{mixed(10)}0123456789abcdef{mixed(10)} once"), (3001, "x=covid-19-0123456789abcdef-page")]
+    rows = {r.doc_id: r for r in secrets.scan(frame(spark, docs), redact="[X]").collect()}
+    found = [r.spans.startswith("f_assign:9:49") for d, r in rows.items() if 1000 <= d < 2000]
+    assert sum(found) >= 90
+    assert [rows[2000 + i].spans for i in range(len(plain))] == [""] * len(plain)
+    assert rows[3000].clean_text == "it was [X] once"  # a base span covers 16 of its characters
+    assert rows[3001].clean_text == "x=covid-19-[X]-page"
+
+
+def test_short_candidates():
+    rng = random.Random(6)
+    mixed = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+    text = "plain words of a text with some numbers like 12 and 2024 stand before it " * 50
+    model = secrets.Model({"assign": [mixed(12) for _ in range(300)]}, secrets.pair_counts(text, []), 0.05, 0.02)
+    found = [list(model.spans(f"a {w} b", [])) for w in (mixed(12) for _ in range(100)) if re.search("[0-9]", w)]
+    assert sum(x == [(2, "assign", 14)] for x in found) >= 0.9 * len(found)
+    assert not list(model.spans("covid-19-related windows10update 2024-02-29T10", []))
+
+
 def test_redaction(spark):
     r = secrets.scan(frame(spark, [(1, "a token=abcdef0123456789abcdef z")]), redact="[S]", carry=["n"]).first()
     assert r.clean_text == "a [S] z" and r.n == 2.0
