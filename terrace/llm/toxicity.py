@@ -1,17 +1,23 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over an inverted index of all their terms.
 
 Fit. Labels are read only for rows whose crc32(doc_id as text) mod ``folds`` is not 0. Of each class at most
 ``max_examples`` labelled documents (chosen by a hash of doc_id) become examples. Terms are words folded to lower
-case, without punctuation at their ends; those whose document frequency differs between the two classes of examples
-by a signed-root log-likelihood ratio of ``least_z`` or more form the vocabulary, at most ``max_terms`` of them. Inverse document
-frequencies of the vocabulary are counted over all documents. So the index is bounded: examples x terms.
-
-Score. A text's vector has (1 + log tf) * idf for vocabulary terms. The index holds, per term, its postings in
-blocks of ``BLOCK`` examples with the largest weight of each block; a query sums those to bounds per block and
-visits blocks by falling bound until none can enter the ``k`` nearest, so the ``k`` nearest are exact (ties to the
-smaller example). They vote with weights 1 / (1 - cosine + 0.05), corrected for the classes' sampling rates. The vote is
-calibrated by an isotonic fit on the examples' own votes with themselves left out. A text without vocabulary
-terms gets the calibrated share of toxic ones among examples without terms.
+case, without punctuation at their ends; every term of an example is in the vocabulary. Inverse document
+frequencies of the vocabulary are counted over all documents. So the index is bounded by the examples' texts.
+
+Score. A text's vector has (1 + log tf) * idf for its terms that some example has, as a vectoriser fitted on the
+examples gives it. Postings of terms in few examples are summed; what an example can still gain by the frequent terms is
+bounded by the product of the norms of these parts, and examples that can still be among the ``k`` nearest are completed
+from a dense table. So the ``k`` nearest are exact (ties to the smaller example). They vote with weights
+1 / (1 - cosine + 0.05), corrected for the classes' sampling rates. A vote is calibrated by an isotonic fit on the own
+votes, with themselves left out, of the examples on which it decides. A text without terms of the examples gets the calibrated share of toxic
+ones among examples without terms.
+
+In long texts the cosine of all terms follows the topic. So there is a second vote, of the nearest in vectors of the
+telling terms alone: those whose document frequency differs between the classes of examples by a signed-root
+log-likelihood ratio of ``least_z``, ``max_terms`` at most. It decides on texts that have such terms, the vote of all
+terms on all others; and no score is below the share of toxic ones among the nearest examples with a cosine of
+``SAME`` or more in all terms, which are copies. Evidence is by all terms.
 
 Defined cases: null text is empty; labels with null toxic are ignored, of repeated labels the highest counts; no
 labels at all give every text the score 0; repeated rows are scored alike; lang, source and doc_id are no inputs.
@@ -21,19 +27,25 @@ from __future__ import annotations
 
 import math
 import pickle
+import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, utf8
+from .common import batch, utf8, worker_state
 
-BLOCK = 64
+#: A term in more than one of so many examples is frequent.
+FREQUENT = 20
+#: The cosine of all terms from which a text counts as a copy of an example.
+SAME = 0.95
 _EDGE = b".,;:!?\"'()[]{}<>"
 
 
@@ -45,43 +57,79 @@ def terms_of(text: bytes) -> list[bytes]:
 
 
 class Index:
-    """Unit vectors of examples as a block-max inverted index."""
+    """Unit vectors of examples: postings of the terms in few examples, a dense table of the frequent ones."""
 
-    def __init__(self, vectors: list[dict[int, float]], toxic: list[int]):
+    def __init__(self, vectors: list, toxic: list[int]):
         self.toxic = np.array(toxic, np.int64)
         self.n = len(vectors)
-        by_term: dict[int, list[tuple[int, float]]] = {}
-        for i, v in enumerate(vectors):
-            norm = math.sqrt(sum(w * w for w in v.values()))
-            for t, w in v.items():
-                by_term.setdefault(t, []).append((i, w / norm))
-        self.postings = {}
-        for t, p in by_term.items():
-            who, weight = np.array([i for i, _ in p]), np.array([w for _, w in p])
-            block = who // BLOCK
-            first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-            self.postings[t] = (who, weight, block[first], np.append(first, len(who)), np.maximum.reduceat(weight, first))
-
-    def nearest(self, vector: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        vectors = [_arrays(v) for v in vectors]
+        terms = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        weight = np.concatenate([w / math.sqrt((w * w).sum()) for _, w in vectors]) if vectors else np.zeros(0)
+        who = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])
+        order = np.argsort(terms, kind="stable")
+        terms, who, weight = terms[order], who[order], weight[order]
+        self.size = int(terms[-1]) + 1 if len(terms) else 0
+        count = np.bincount(terms, minlength=self.size)
+        often = count * FREQUENT > self.n
+        #: the row of a frequent term in the table, -1 for others
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        dense = often[terms]
+        self.frequent = (self.row[terms[dense]].astype(np.int32), who[dense], weight[dense])
+        self.edges = np.append(0, np.cumsum(np.where(often, 0, count)))
+        self.who, self.weight = who[~dense], weight[~dense]
+        self.rest = np.sqrt(np.bincount(who[dense], weight[dense] ** 2, self.n))
+        self._table = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_table": None}
+
+    def table(self) -> np.ndarray:
+        if self._table is None:
+            row, who, weight = self.frequent
+            self._table = np.zeros((int(self.row.max(initial=-1)) + 1, self.n))
+            self._table[row, who] = weight
+        return self._table
+
+    def nearest(self, vector, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest that share a term, best first."""
-        norm = math.sqrt(sum(w * w for w in vector.values()))
-        lists = [(w / norm, self.postings[t]) for t, w in vector.items() if t in self.postings]
-        bound = np.zeros(-(-self.n // BLOCK))
-        for q, (_, _, blocks, _, most) in lists:
-            bound[blocks] += q * most
-        best: list[tuple[float, int]] = []  # (-cosine, example), ascending
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for q, (who, weight, blocks, edges, _) in lists:
-                at = int(np.searchsorted(blocks, b))
-                if at < len(blocks) and blocks[at] == b:
-                    lo, hi = edges[at], edges[at + 1]
-                    score[who[lo:hi] - b * BLOCK] += q * weight[lo:hi]
-            best += [(-float(score[i]), b * BLOCK + i) for i in np.flatnonzero(score).tolist() if b * BLOCK + i != without]
-            best = sorted((round(s, 12), i) for s, i in best)[:k]
-        return np.array([i for _, i in best], np.int64), np.array([-s for s, _ in best])
+        terms, q = _arrays(vector)
+        q = q / math.sqrt((q * q).sum())
+        known = terms < self.size
+        terms, q = terms[known], q[known]
+        row = self.row[terms]
+        often = row >= 0
+        row, heavy, q = row[often], q[often], q[~often]
+        lo, n = self.edges[terms[~often]], np.diff(self.edges)[terms[~often]]
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score = np.bincount(self.who[at], self.weight[at] * np.repeat(q, n), self.n).astype(np.float64)
+        if 0 <= without < self.n:
+            score[without] = 0.0
+        if len(row):
+            most = score + math.sqrt((heavy * heavy).sum()) * self.rest
+            least = np.partition(score, self.n - k)[self.n - k] if self.n > k else 0.0
+            open_ = np.flatnonzero(most >= least - 1e-9)
+            if 4 * len(open_) < self.n:
+                score[open_] += heavy @ self.table()[row[:, None], open_]
+                open_ = open_[score[open_] > 0]
+            else:
+                score += heavy @ self.table()[row]
+                open_ = np.flatnonzero(score > 0)
+        else:
+            open_ = np.flatnonzero(score > 0)
+        open_ = open_[open_ != without]
+        cosine = np.round(score[open_], 12)
+        if len(open_) > k:
+            near = cosine >= np.partition(cosine, len(open_) - k)[len(open_) - k]
+            open_, cosine = open_[near], cosine[near]
+        best = np.lexsort((open_, -cosine))[:k]
+        return open_[best], cosine[best]
+
+
+def _arrays(vector) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, weights) of a vector, which may be a dict."""
+    if isinstance(vector, dict):
+        return np.fromiter(vector, np.int64, len(vector)), np.fromiter(vector.values(), np.float64, len(vector))
+    return vector
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,26 +149,22 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-class Model:
-    """Everything a task needs, bounded by max_examples and max_terms."""
-
-    def __init__(self, vocabulary: dict[bytes, int], idf: list[float], examples: list[tuple[int, int, list[tuple[int, int]]]], rates: tuple[float, float], k: int):
-        self.vocabulary, self.idf, self.k = vocabulary, idf, k
-        held = [(doc, y, self.weigh(dict(tf))) for doc, y, tf in examples]
-        known = [x for x in held if x[2]]
-        self.ids = [doc for doc, _, _ in known]
-        self.index = Index([v for _, _, v in known], [y for _, y, _ in known])
-        # weight of an example of a class: how many labelled rows it stands for
-        self.stands = np.array(rates)
-        votes = np.array([self.vote(*self.index.nearest(v, k, without=i)) for i, (_, _, v) in enumerate(known)])
-        y = np.array([y for _, y, _ in known], np.float64)
-        self.knots = isotonic(votes, y, self.stands[y.astype(int)]) if len(known) else (np.zeros(1), np.zeros(1))
-        rest = np.array([sum(self.stands[y] for _, y, v in held if not v and y == c) for c in (0, 1)])
+class Vote:
+    """The calibrated vote of the nearest examples, in vectors of some terms."""
+
+    def __init__(self, examples: list[tuple[int, tuple[np.ndarray, np.ndarray]]], stands: np.ndarray, k: int, decides: list[bool] | None = None):
+        self.k, self.stands = k, stands  # weight of an example of a class: how many labelled rows it stands for
+        self.place = [i for i, (_, v) in enumerate(examples) if len(v[0])]
+        known = [examples[i] for i in self.place]
+        self.index = Index([v for _, v in known], [y for y, _ in known])
+        # calibrated on the examples that this vote decides on
+        fits = [i for i, j in enumerate(self.place) if decides is None or decides[j]]
+        votes = np.array([self.vote(*self.index.nearest(known[i][1], k, without=i)) for i in fits])
+        y = np.array([known[i][0] for i in fits], np.float64)
+        self.knots = isotonic(votes, y, stands[y.astype(int)]) if len(fits) else (np.zeros(1), np.zeros(1))
+        rest = np.array([sum(stands[y] for y, v in examples if not len(v[0]) and y == c) for c in (0, 1)])
         self.without_terms = float(rest[1] / rest.sum()) if rest.sum() else 0.0
 
-    def weigh(self, tf: dict[int, int]) -> dict[int, float]:
-        return {t: (1 + math.log(n)) * self.idf[t] for t, n in tf.items() if self.idf[t] > 0}
-
     def vote(self, who: np.ndarray, cosine: np.ndarray) -> float:
         if not len(who):
             return 0.0
@@ -128,88 +172,127 @@ class Model:
         weight = self.stands[y] / (1.05 - cosine)
         return float(round((weight * y).sum() / weight.sum(), 9))
 
-    def score(self, text: bytes) -> tuple[float, list[dict]]:
-        tf: dict[int, int] = {}
-        get = self.vocabulary.get
-        for w in terms_of(text):
-            t = get(w)
-            if t is not None:
-                tf[t] = tf.get(t, 0) + 1
-        vector = self.weigh(tf)
-        if not vector:
-            return self.without_terms, []
-        who, cosine = self.index.nearest(vector, self.k)
+    def score(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+        """(probability, nearest examples of the index, their cosines)."""
+        who, cosine = self.index.nearest(vector, self.k) if len(vector[0]) else (np.zeros(0, np.int64), np.zeros(0))
         if not len(who):
-            return self.without_terms, []
+            return self.without_terms, who, cosine
         x, y = self.knots
-        p = float(y[max(0, int(np.searchsorted(x, self.vote(who, cosine), "right")) - 1)])
-        return p, [{"doc_id": self.ids[i], "similarity": float(c), "toxic": int(self.index.toxic[i])} for i, c in zip(who.tolist(), cosine.tolist(), strict=True)]
+        return float(y[max(0, int(np.searchsorted(x, self.vote(who, cosine), "right")) - 1)]), who, cosine
+
+
+class Model:
+    """Everything a task needs, bounded by the texts of 2 * max_examples examples."""
+
+    def __init__(self, vocabulary: dict[bytes, int], idf: np.ndarray, telling: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], rates: tuple[float, float], k: int):
+        self.vocabulary, self.idf, self.telling = vocabulary, idf, telling
+        held = [(y, self.weigh(terms, tf)) for _, y, terms, tf in examples]
+        self.some = Vote([(y, self.told(v)) for y, v in held], np.array(rates), k)
+        self.all = Vote(held, np.array(rates), k, [not len(self.told(v)[0]) for _, v in held])
+        self.ids = [examples[i][0] for i in self.all.place]
+
+    def weigh(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weight = (1 + np.log(tf)) * self.idf[terms]
+        return terms[weight > 0], weight[weight > 0]
+
+    def told(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        terms, weight = vector
+        tells = self.telling[terms]
+        return terms[tells], weight[tells]
+
+    def score(self, text: bytes) -> tuple[float, list[dict]]:
+        get = self.vocabulary.get
+        found = np.array([t for w in terms_of(text) if (t := get(w)) is not None], np.int64)
+        vector = self.weigh(*np.unique(found, return_counts=True))
+        p, who, cosine = self.all.score(vector)
+        told, near, _ = self.some.score(self.told(vector))
+        p = told if len(near) else p
+        toxic = self.all.index.toxic[who]
+        same = cosine >= SAME
+        if same.any():
+            p = max(p, float(toxic[same].mean()))
+        return p, [{"doc_id": self.ids[i], "similarity": float(c), "toxic": int(y)} for i, c, y in zip(who.tolist(), cosine.tolist(), toxic.tolist(), strict=True)]
 
 
 # --- fit ---------------------------------------------------------------------------------------------
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct terms of each example and how often it has them."""
     for b in batches:
-        for doc, toxic, text in zip(b.column("doc_id").to_pylist(), b.column("toxic").to_pylist(), utf8(b.column("text")), strict=True):
-            terms, counts = np.unique(terms_of(text), return_counts=True) if text.strip() else ([], [])
-            yield batch({"doc_id": ([doc] * len(terms), pa.int64()), "toxic": ([toxic] * len(terms), pa.int32()), "term": ([bytes(t) for t in terms], pa.binary()), "tf": (list(counts), pa.int32())})
+        found = [Counter(terms_of(text)) for text in utf8(b.column("text"))]
+        terms, tf = [sorted(c) for c in found], [[c[t] for t in sorted(c)] for c in found]
+        yield batch({"doc_id": (b.column("doc_id"), pa.int64()), "toxic": (b.column("toxic"), pa.int32()), "terms": (terms, pa.list_(pa.binary())), "tf": (tf, pa.list_(pa.int32()))})
 
 
-def _frequencies(vocabulary: dict[bytes, int]):
+def _frequencies(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, n, get = np.zeros(len(vocabulary) + 1, np.int64), 0, vocabulary.get
+        place = vocabulary.value
+        count, n, get = np.zeros(len(place) + 1, np.int64), 0, place.get
         for b in batches:
             for text in utf8(b.column("text")):
                 n += 1
-                found = {get(w) for w in terms_of(text)}
+                found = {get(w) for w in set(terms_of(text))}
                 found.discard(None)
                 count[list(found)] += 1
         count[-1] = n
-        yield batch({"term": (np.arange(len(count)), pa.int32()), "df": (count, pa.int64())})
+        seen = np.flatnonzero(count)
+        yield batch({"term": (seen, pa.int32()), "df": (count[seen], pa.int64())})
 
     return run
 
 
+def telling_terms(terms: np.ndarray, of_toxic: np.ndarray, toxic: list[int], names: list[bytes], max_terms: int, least_z: float) -> np.ndarray:
+    """Whether each term's document frequency differs between the two classes by a signed-root log-likelihood ratio of ``least_z``."""
+    found = [np.bincount(terms[of_toxic == y], minlength=len(names)) for y in (1, 0)]
+    ratio = np.zeros(len(names))
+    for x, part in zip(found, (sum(toxic), len(toxic) - sum(toxic)), strict=True):
+        some = x > 0
+        ratio[some] += x[some] * np.log(x[some] * len(toxic) / ((found[0] + found[1])[some] * part))
+    z = np.sqrt(np.maximum(0, 2 * ratio))
+    tells = np.zeros(len(names), bool)
+    tells[sorted(np.flatnonzero(z >= least_z).tolist(), key=lambda i: (-z[i], names[i]))[:max_terms]] = True
+    return tells
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_examples: int = 3000, max_terms: int = 2000, least_z: float = 5.0, k: int = 9) -> Model:
     labels = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     labels = labels.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0) & F.col("toxic").isin(0, 1))
     sizes = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
+    if not all(sizes.get(y, 0) for y in (0, 1)):
+        return Model({}, np.zeros(0), np.zeros(0, bool), [], (1.0, 1.0), k)
     chosen = [labels.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * max_examples rows
     examples = docs.join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
-    # counts of (example, term) only; nothing of a text's length reaches the driver
-    terms = examples.mapInArrow(_terms, "doc_id long, toxic int, term binary, tf int").persist()
-    n = [min(sizes.get(y, 0), max_examples) for y in (0, 1)]
-    if not all(n):
-        terms.unpersist()
-        return Model({}, [], [], (1.0, 1.0), k)
-    seen = terms.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
-    both, log = F.col("t") + F.col("o"), lambda x, part: F.when(x > 0, x * F.log(x * sum(n) / (both * part))).otherwise(0.0)
-    root = F.sqrt(F.greatest(F.lit(0.0), 2 * (log(F.col("t"), n[1]) + log(F.col("o"), n[0]))))
-    best = seen.withColumn("z", root).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(max_terms).collect()
-    vocabulary = {bytes(r.term): i for i, r in enumerate(best)}
-    counted = docs.select("text").mapInArrow(_frequencies(vocabulary), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
-    df = {r.term: r.df for r in counted}
-    total = df.get(len(vocabulary), 0)
-    idf = [math.log((1 + total) / (1 + df.get(i, 0))) for i in range(len(vocabulary))]
-    wanted = F.broadcast(docs.sparkSession.createDataFrame([(bytes(t), i) for t, i in vocabulary.items()], "term binary, i int")) if vocabulary else None
-    vectors: dict[int, list[tuple[int, int]]] = {}
-    if wanted is not None:
-        for r in terms.join(wanted, "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", "tf"))).alias("v")).collect():
-            vectors[r.doc_id] = [(x.i, x.tf) for x in r.v]
-    rows = sorted((r.doc_id, r.toxic) for r in examples.select("doc_id", "toxic").collect())
-    terms.unpersist()
-    held = [sum(y == c for _, y in rows) or 1 for c in (0, 1)]
-    return Model(vocabulary, idf, [(d, y, vectors.get(d, [])) for d, y in rows], (sizes[0] / held[0], sizes[1] / held[1]), k)
+    # distinct terms of the examples, as Arrow columns; the driver holds them once
+    held = examples.mapInArrow(_terms, "doc_id long, toxic int, terms array<binary>, tf array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    coded = pc.list_flatten(held.column("terms")).combine_chunks()
+    coded = (coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded).dictionary_encode()
+    vocabulary = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
+    terms, tf = coded.indices.to_numpy().astype(np.int64), pc.list_flatten(held.column("tf")).to_numpy()
+    edges = np.cumsum(pc.list_value_length(held.column("terms")).to_numpy())[:-1]
+    counted = docs.select("text").mapInArrow(_frequencies(docs.sparkSession.sparkContext.broadcast(vocabulary)), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(len(vocabulary) + 1, np.int64)
+    df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
+    idf = np.log((1 + df[-1]) / (1 + df[:-1]))
+    toxic = held.column("toxic").to_pylist()
+    telling = telling_terms(terms, np.repeat(toxic, pc.list_value_length(held.column("terms")).to_numpy()), toxic, list(vocabulary), max_terms, least_z)
+    examples = list(zip(held.column("doc_id").to_pylist(), toxic, np.split(terms, edges), np.split(tf, edges), strict=True)) if toxic else []
+    n = [toxic.count(y) or 1 for y in (0, 1)]
+    return Model(vocabulary, idf, telling, examples, (sizes[0] / n[0], sizes[1] / n[1]), k)
 
 
 # --- operator ----------------------------------------------------------------------------------------
 
 
 def _score(model, folds: int, with_evidence: bool, carry: list[str]):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = pickle.loads(model.value)
+        state = worker_state("toxicity")
+        if state.get("name") != name:
+            state.update(name=name, model=pickle.loads(model.value))
+        m = state["model"]
         for b in batches:
             ids = b.column("doc_id").to_pylist()
             found = [m.score(x) for x in utf8(b.column("text"))]

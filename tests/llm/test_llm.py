@@ -449,6 +449,36 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows) and any(r.evidence for r in rows)
 
 
+def test_nearest_over_all_terms(spark):
+    """Cosines are over all terms of the examples, rare ones as well, and the nearest are those of brute force."""
+    rng = random.Random(11)
+    docs = [(i, " ".join([f"w{min(int(rng.paretovariate(0.7)), 3000)}" for _ in range(rng.randint(1, 60))] + [f"only{i}"] * (i % 3))) for i in range(300)]
+    docs += [(1000 + i, " ".join([docs[i][1], "unseen", "w1"])) for i in range(0, 300, 7)] + [(2000, "only7 only8"), (2001, None), (2002, "unseen")]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    used = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    terms = {i: Counter((t or "").split()) for i, t in docs}
+    df = Counter(t for c in terms.values() for t in c)
+    vocabulary = {t for i in used for t in terms[i]}
+    vector = {i: {t: (1 + math.log(n)) * w for t, n in c.items() if t in vocabulary and (w := math.log((1 + len(docs)) / (1 + df[t]))) > 0} for i, c in terms.items()}
+    norm = {i: math.sqrt(sum(w * w for w in v.values())) for i, v in vector.items()}
+    for r in toxicity.toxicity(frame(spark, docs), labels, with_evidence=True).collect():
+        v = vector[r.doc_id]
+        want = sorted(((-sum(w * vector[i].get(t, 0) for t, w in v.items()) / norm[i] / norm[r.doc_id], i) for i in used if v.keys() & vector[i].keys()))[:9]
+        assert np.allclose([-c for c, _ in want], [e.similarity for e in r.evidence], atol=1e-9)
+        assert len(want) == len(r.evidence)
+
+
+def test_near_copy_with_rare_terms(spark):
+    """Each toxic example has words of its own, which tell nothing by their frequency."""
+    rng = random.Random(12)
+    docs = [(i, " ".join(rng.choices([f"w{j}" for j in range(300)], k=20) + [f"own{i}-{j}" for j in range(20)])) for i in range(200)]
+    docs += [(1000 + i, docs[i][1] + " w1") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(frame(spark, docs), labels).collect()}
+    used = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    assert all(got[1000 + i] == (i % 5 == 0) for i in used)
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     assert {(r.score, r.predicted) for r in toxicity.toxicity(frame(spark, odd([(None, "x")])), labels).collect()} == {(0.0, 0)}
