@@ -34,6 +34,11 @@ def sections(texts: DataFrame) -> DataFrame:
     return one.select("drug", "title", variants.alias("texts"), content.alias("content"), "source_rows", F.size("v").alias("variant_count"))
 
 
+def section_counts(texts: DataFrame) -> DataFrame:
+    """(drug, title, variant_count) of sections, whose texts stay rows."""
+    return texts.groupBy("drug", "title").agg(F.count("*").alias("variant_count"))
+
+
 def aliases(rows: DataFrame, name: str, brand: str, title: str) -> DataFrame:
     """(drug, aliases): brands other than the name, and titles that contain it, sorted."""
     drug, own, long = text.normalize_name(F.col(name)), text.normalize_name(F.col(brand)), text.normalize_name(F.col(title))

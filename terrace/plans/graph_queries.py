@@ -146,7 +146,7 @@ def source_lists(spark, sf_dir):
     count(DISTINCT drug) AS records, count(*) AS sections, CAST(sum(variants) AS BIGINT) AS variants FROM s WHERE drug <> 'src3'""")
 def build_report(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    built = knowledge.sections(knowledge.deduped_texts(_cells(spark, sf_dir).where("drug <> 'src3'")))
+    built = knowledge.section_counts(knowledge.deduped_texts(_cells(spark, sf_dir).where("drug <> 'src3'")))
     return knowledge.build_report(docs, built, F.col("source") == "src3")
 
 

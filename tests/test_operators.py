@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions import text
 from terrace.operators import chunking, kg, knowledge, metrics, names, questions, retrieval, risk, sessions
+from terrace.plans import registry
 from terrace.sources import readers
 from terrace.streaming import streams
 
@@ -205,6 +206,15 @@ def test_section_rows(spark):
     assert {(r.drug, r.title, r.text): r.rows for r in texts.collect()} == {("甲片", "禁忌", "禁用于孕妇"): [1, 2], ("乙片", "禁忌", "慎用于老人"): [3]}
 
 
+def test_report_gathers_no_texts(spark):
+    """Counts need no array of a section's texts."""
+    plan = registry.queries()["build_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    rows = spark.createDataFrame([(1, "甲", None, "禁用于孕妇", "无"), (2, "甲", None, "禁用于孕妇", "另有内容"), (3, "甲", None, "慎用于老人", "")], "row long, name string, title_text string, c1 string, c2 string")
+    texts = knowledge.deduped_texts(knowledge.section_rows(rows, {"c1": "禁忌", "c2": "其他"}))
+    assert {(r.title, r.variant_count) for r in knowledge.section_counts(texts).collect()} == {("禁忌", 2), ("其他", 1)}
+
+
 def test_export_appends_sources(spark):
     rows = spark.createDataFrame([(1, "甲", "t", "禁忌", "x", "p1"), (2, "甲", "t", "其他", "y", "p2"), (3, "甲", "t", "其他", "z", "p1"), (4, "", "布洛芬说明书", "禁忌", "x", "p3")], "ord long, drug string, title string, section string, text string, source_path string")
     got = {r.drug: r for r in knowledge.export_records(rows).collect()}
