@@ -12,11 +12,6 @@ from terrace.llm import jaccard, packing, secrets, suffix, toxicity
 from terrace.llm.common import cut, documents
 
 _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-_NO_ID = -(2**63)
-
-
-def _key(column: str = "doc_id"):
-    return F.coalesce(F.col(column), F.lit(_NO_ID))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +21,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near duplicates; of repeated rows one stays."""
-    kept = jaccard.linked_groups(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(_key().alias("key")).distinct()
-    return docs.withColumn("key", _key()).join(kept, "key", "left_semi").dropDuplicates(["key"]).select(*_COLUMNS)
+    """Keep the smallest doc_id of each group of near duplicates, null ids last; of repeated rows one stays."""
+    return jaccard.survivors(docs.select(*_COLUMNS))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

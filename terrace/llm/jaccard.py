@@ -32,6 +32,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batch, components, cut, mix, shingle_set, utf8
 
@@ -51,6 +52,13 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch({"doc_id": (b.column("doc_id"), pa.int64()), "n": ([len(s) for s in sets], pa.int64()), "cls": ([class_name(s) for s in sets], pa.int64())})
 
 
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows as they are, with the name of the class of each."""
+    for b in batches:
+        names = [class_name(shingle_set(x, K_WORDS)) for x in utf8(b.column("text"))]
+        yield batch({c: (b.column(c), b.column(c).type) for c in b.schema.names} | {"cls": (names, pa.int64())})
+
+
 # --- document frequencies ----------------------------------------------------------------------------
 
 
@@ -250,8 +258,8 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 # --- the operator ------------------------------------------------------------------------------------
 
 
-def linked_groups(docs: DataFrame, percent: int = 80, rare: int = 8, common: int = 1000, small: int = 40, map_bits: int = 27) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id): class_id is the smallest doc_id with an equal set."""
+def _groups(docs: DataFrame, percent: int = 80, rare: int = 8, common: int = 1000, small: int = 40, map_bits: int = 27) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, cls) of each row, and (cls, class_id, component) of each class with shingles."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = cut(docs.mapInArrow(_sizes, "doc_id long, n long, cls long"))
@@ -266,7 +274,9 @@ def linked_groups(docs: DataFrame, percent: int = 80, rare: int = 8, common: int
 
     classes = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"))
     wanted = pairs.select("a").union(pairs.select("b")).union(hot.select("cls")).distinct().toDF("cls")
-    texts = cut(docs.join(classes.join(wanted, "cls").select("cls", F.col("class_id").alias("doc_id")), "doc_id").select("cls", "text").dropDuplicates(["cls"]))
+    # a class's text goes by the class's name, for ids may be null or stand for several texts
+    named = docs.select("text").mapInArrow(_classed, "text string, cls long").where("cls <> 0").groupBy("cls").agg(F.first("text").alias("text"))
+    texts = cut(named.join(wanted, "cls", "left_semi"))
 
     links = verify(pairs, texts, percent)
     starred = False
@@ -292,8 +302,31 @@ def linked_groups(docs: DataFrame, percent: int = 80, rare: int = 8, common: int
         if few:
             break
         hot, starred = hot.where("cls <> center").select("key", "cls", "n"), True
-    names = classes.join(components(links).withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    return sets, classes.join(components(links).withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+
+
+def linked_groups(docs: DataFrame, **limits) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id): class_id is the smallest doc_id with an equal set.
+
+    Both are null where all rows of a class, or of a group, have no doc_id.
+    """
+    sets, names = _groups(docs, **limits)
     lowest = names.groupBy("component").agg(F.min("class_id").alias("component_id"))
     names = names.join(lowest, "component").select("cls", "class_id", "component_id")
     out = sets.join(names, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def survivors(docs: DataFrame, **limits) -> DataFrame:
+    """One row of each group of linked classes, and of each (doc_id, text) without shingles.
+
+    It is the row with the smallest doc_id, null ids last; ids decide nothing else, so they may be null or repeated.
+    """
+    _, names = _groups(docs, **limits)
+    chosen = names.groupBy("component").agg(F.min_by("cls", F.struct(F.isnull("class_id"), "class_id", "cls")).alias("cls")).select("cls")
+    schema = T.StructType([*docs.schema.fields, T.StructField("cls", T.LongType())])
+    rows = docs.mapInArrow(_classed, schema)
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.isnull("doc_id"), "doc_id", F.xxhash64("text")))
+    # one row of each class before the join, so that exact copies meet no join
+    some = rows.where("cls <> 0").groupBy("cls").agg(first.alias("r")).join(chosen, "cls", "left_semi").select("r.*")
+    return some.unionByName(rows.where("cls = 0").drop("cls").dropDuplicates(["doc_id", "text"]))

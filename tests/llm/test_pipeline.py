@@ -54,3 +54,12 @@ def test_odd_rows(spark):
     assert pipeline.toxicity_stage(spark, rows, SF).count() == 6
     empty = rows.where(F.lit(False))
     assert all(stage(spark, empty, SF).count() == 0 for _, stage in pipeline.STAGES)
+
+
+def test_rows_without_ids_or_with_one_id_stay(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    texts = [(None, "one two three four five six"), (None, "six five four three two one"), (7, "a b c d e f"), (7, "f e d c b a"), (None, near), (None, near + " x"), (9, near + " y"), (None, "only here " + near[::-1]), (None, "only here " + near[::-1] + " z")]
+    rows = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts], DOCUMENT)
+    kept = sorted((r.doc_id or 0, r.text) for r in pipeline.jaccard_stage(spark, rows, SF).collect())
+    assert len(kept) == 6 and [t for d, t in kept if d] == ["a b c d e f", "f e d c b a", near + " y"]
+    assert {"one two three four five six", "six five four three two one"} < {t for d, t in kept if not d}
