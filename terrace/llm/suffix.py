@@ -1,12 +1,12 @@
-"""Exact removal of repeated long substrings by sparse prefix doubling.
+"""Exact removal of repeated long substrings by names of sparse positions, in place of prefix doubling.
 
 Every byte of a text that lies in a ``length``-byte string which also starts earlier (smaller doc_id, or the
 same document at an earlier byte) is removed; strings are judged on the input and never cross documents.
 
-Method. Ranks of prefixes are doubled as in suffix-array construction: positions are grouped by the rank of
-their first h bytes, positions that are alone leave, and the survivors are ranked again by longer prefixes, until
-they are unique or reach the threshold of ``length`` bytes. Only equality of ranks matters here, so a rank is a
-64-bit name instead of an ordinal. The table of positions stays far below one row per byte:
+Method. Modelled on prefix doubling, but no rank comes from ranks of the round before: positions are grouped by the
+name of a prefix, positions that are alone leave, and the survivors are named again by longer strings, in three fixed
+rounds. Only equality of ranks matters here, so a rank is a 64-bit name, computed from the text by a rolling hash,
+instead of an ordinal. Rounds 2 and 3 do not spread a hot core. The table of positions stays far below one row per byte:
 
 * *Round 0* ranks ``seed``-byte prefixes of anchors only. In every window of ``length`` bytes the anchor is the
   rightmost smallest seed name, so equal windows have equal anchors at equal offsets, and a window whose
