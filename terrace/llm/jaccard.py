@@ -19,6 +19,9 @@ Documents link when ``100 * |x & y| >= percent * |x | y|`` for their sets of dis
    number stays in proportion to the input), then all of those are compared.
 5. Candidates are verified on whole texts; groups are the connected components of the links.
 
+The operator returns groups only: pairs inside a connected group are not all compared, so there is neither a list of
+all links nor their number.
+
 Defined cases: null, empty or blank text has no shingles, links with nothing and is its own group; with under
 five words the whole sequence is the one shingle; repeated rows are copies; extra columns are ignored.
 """
