@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _OWN_DIR:
         _OWN_DIR["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-terrace-")
     return _OWN_DIR["dir"]
@@ -39,6 +43,84 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# --- blocks of documents -----------------------------------------------------------------------------
+
+
+def _pack(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, part = zstandard.ZstdCompressor(level=1).compress, TaskContext.get().partitionId() << 32
+        ids, texts, held, made = [], [], 0, 0
+
+        def block() -> pa.RecordBatch:
+            lengths = [len(x) for x in texts]
+            return batch({"block": ([part + made], pa.int64()), "ids": ([ids], pa.list_(pa.int64())), "sizes": ([lengths], pa.list_(pa.int64())), "packed": ([squeeze(b"".join(texts))], pa.binary())})
+
+        for b in batches:
+            for doc, text in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), strict=True):
+                ids.append(doc)
+                texts.append(text)
+                held += len(text)
+                if held >= size:
+                    yield block()
+                    ids, texts, held, made = [], [], 0, made + 1
+        if ids:
+            yield block()
+
+    return run
+
+
+def document_blocks(docs: DataFrame, size: int) -> DataFrame:
+    """``docs(doc_id, text)`` as a written table of blocks of about ``size`` bytes of text: (block, ids, sizes, packed).
+
+    A block's number is stored with its documents, so every later pass, and every task that is run again after an
+    executor is lost, finds the same documents under it, whatever order the input's rows come in.
+    """
+    return cut(docs.select("doc_id", "text").mapInArrow(_pack(size), "block long, ids array<long>, sizes array<long>, packed binary"))
+
+
+def block_texts(sizes: list[int], packed: bytes) -> list[bytes]:
+    raw, ends = zstandard.ZstdDecompressor().decompress(packed), np.cumsum([0, *sizes]).tolist()
+    return [raw[a:z] for a, z in zip(ends, ends[1:], strict=False)]
+
+
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of each value, byte by byte, so that equal high bytes stand together."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]).tobytes()
+
+
+def unplanes(raw: bytes, n: int, width: int, at: int = 0) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def ask(names: np.ndarray, counts: np.ndarray, width: int, bits: int) -> tuple[np.ndarray, list[bytes]]:
+    """Sorted distinct names below 2**(8 * width) with their counts as one compressed value for each range of names."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    shift = np.uint64(8 * width - bits)
+    buckets, first = np.unique(names >> shift, return_index=True)
+    blobs = []
+    for bucket, lo, hi in zip(buckets, first.tolist(), [*first[1:].tolist(), len(names)], strict=True):
+        gaps = np.diff(names[lo:hi], prepend=bucket << shift)
+        blobs.append(squeeze(np.int64(hi - lo).tobytes() + planes(gaps, width) + planes(counts[lo:hi], 4)))
+    return buckets.astype(np.int64), blobs
+
+
+def answer(blobs: list[bytes], bucket: int, width: int, bits: int, out_width: int) -> list[bytes]:
+    """For each value of ``ask`` of one range the totals over all of them, clipped to ``out_width`` bytes."""
+    unpack, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+    names, counts = [], []
+    for blob in blobs:
+        raw = unpack(blob)
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        names.append(np.cumsum(unplanes(raw, n, width, 8), dtype=np.uint64).astype(np.uint64) + (np.uint64(bucket) << np.uint64(8 * width - bits)))
+        counts.append(unplanes(raw, n, 4, 8 + n * width).astype(np.int64))
+    ends = np.cumsum([len(x) for x in names])[:-1]
+    which = np.unique(np.concatenate(names), return_inverse=True)[1]
+    totals = np.minimum(np.bincount(which, np.concatenate(counts)), 2.0 ** (8 * out_width) - 1).astype(np.int64)
+    return [squeeze(planes(x, out_width)) for x in np.split(totals[which], ends)]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,29 +1,34 @@
-"""Set-similarity join on word shingles with token-combination prefixes, and the groups it links.
+"""Set-similarity join on word shingles by token-combination prefixes, and the groups it links.
 
 Documents link when ``100 * |x & y| >= percent * |x | y|`` for their sets of distinct 5-word shingles.
 
 1. Documents with equal sets form a *class*; the join works on classes, so exact copies never meet in pairs.
-2. Document frequencies of all shingles are counted exactly. A task sorts the shingle names it has read and
-   ships each range of names as one compressed block, so the count moves about 3 bytes a shingle. What is kept
-   of it is two bitmaps of fixed size: names in more than ``rare`` sets, and in more than ``common`` sets. A bit
-   set by accident only moves a shingle to a later class, in all documents alike.
-3. Global order of shingles: rare, frequent, very frequent, then by name. A set of n shingles shares at least
-   o = ceil(percent n / 100) with any partner, so partners share k shingles in their prefixes of n - o + k.
-   Rare shingles of the prefix are indexed one by one. Very frequent ones are indexed as pairs (k = 2, prefix
-   longer by one) in sets of up to ``small`` shingles, and one by one in sets above 4/5 of that, so that either
-   both partners have the pair or both the single. Frequent ones are indexed one by one.
-4. A rare key has at most ``rare`` classes: all its pairs are candidates. The others are grouped by rounds: each
-   key's smallest class is compared with all others of the key (a star), links are verified, and linked classes
-   merge. Only pairs across different groups remain, so a cluster of thousands of near copies needs one star
-   instead of all pairs. There is one round at least, and rounds go on while the pairs that remain are more than an eighth of the shingles (so their
-   number stays in proportion to the input), then all of those are compared.
-5. Candidates are verified on whole texts; groups are the connected components of the links.
-
-The operator returns groups only: pairs inside a connected group are not all compared, so there is neither a list of
-all links nor their number.
+2. Document frequencies. Documents are dealt to blocks; a block sends each range of its shingle names as one
+   compressed value (about 3 bytes a shingle), one task per range adds them up and answers every block. So each
+   shingle's frequency is known where its document is, nothing of it is broadcast, and a frequent shingle is one entry
+   per block. (Copies in one block count once, in different blocks again; that moves a shingle in the order, no more.)
+3. Prefixes. Shingles are ordered by frequency, then name. For sizes a <= b a link needs an overlap of
+   o = ceil(percent (a + b) / (100 + percent)), which is at least ceil(2 percent a / (100 + percent)) for the smaller
+   set and ceil(percent b / 100) for the larger; the first shared shingle stands in the first n - o + 1 of each.
+   *Rare* shingles there are indexed one by one; one of frequency 1 has no partner and is left out.
+   If the first shared shingle is *frequent*, then so are all: the prefixes, extended by m, share m + 1 frequent ones.
+   Frequent shingles are dealt to m parts by a hash, so two shared ones fall into one part, and the pairs
+   within each part are the keys. m is a power of two that grows with the set (its size / 32), which
+   keeps the number of pairs in proportion to the set; the larger set uses the m of all sizes that it can meet.
+4. Stars. Each key's class with the shortest part before the key (so the least of its own) is compared with the others
+   of the key: candidates are fewer than index rows. Links are verified on whole texts and classes they connect form
+   groups. Then all pairs of a key that are still in different groups are candidates: classes outside the key's largest
+   group against all. Size and place in the prefix bound the overlap of each pair and drop most of them.
+5. Groups are the connected components of all verified links. Two fixed steps, whatever the data, so the plan has a
+   fixed size; a pair inside one group is compared only if it is in a star.
+
+The operator returns groups, which is what links are wanted for here; it makes no list of all links.
 
 Defined cases: null, empty or blank text has no shingles, links with nothing and is its own group; with under
-five words the whole sequence is the one shingle; repeated rows are copies; extra columns are ignored.
+five words the whole sequence is the one shingle; repeated rows are copies; ids decide nothing but names of groups, so
+they may be null or repeated (a class or group without any id has null there); an empty table gives an empty one; a long
+text is one row of a block and its keys leave in batches; ties go to the smaller class name; extra columns are ignored.
+Classes go by a 64-bit name of the set.
 """
 
 from __future__ import annotations
@@ -32,14 +37,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import batch, components, cut, mix, shingle_set, utf8
+from .common import answer, ask, batch, block_texts, components, cut, document_blocks, mix, shingle_set, utf8
 
 K_WORDS = 5
+#: Bytes of text in a block, bytes of a name when frequencies are counted, and of a frequency (clipped).
+BLOCK_BYTES = 4 << 20
+_NAME, _COUNT = 5, 2
+_SHIFT = np.uint64(64 - 8 * _NAME)
 
 
 def class_name(shingles: np.ndarray) -> int:
@@ -49,190 +56,130 @@ def class_name(shingles: np.ndarray) -> int:
     return int((mix(shingles + np.uint64(len(shingles))).sum(dtype=np.uint64) | np.uint64(1)).view(np.int64))
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [shingle_set(x, K_WORDS) for x in utf8(b.column("text"))]
-        yield batch({"doc_id": (b.column("doc_id"), pa.int64()), "n": ([len(s) for s in sets], pa.int64()), "cls": ([class_name(s) for s in sets], pa.int64())})
-
-
-def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows as they are, with the name of the class of each."""
-    for b in batches:
-        names = [class_name(shingle_set(x, K_WORDS)) for x in utf8(b.column("text"))]
-        yield batch({c: (b.column(c), b.column(c).type) for c in b.schema.names} | {"cls": (names, pa.int64())})
+def _block_sets(sizes: list[int], packed: bytes) -> tuple[list[np.ndarray], list[int], list[int]]:
+    """(sets, their names, the texts that are the first of their class and have two shingles or more)."""
+    sets = [shingle_set(x, K_WORDS) for x in block_texts(sizes, packed)]
+    names = [class_name(s) for s in sets]
+    first = {c: i for i, c in reversed(list(enumerate(names))) if len(sets[i]) > 1}
+    return sets, names, sorted(first.values())
 
 
 # --- document frequencies ----------------------------------------------------------------------------
 
 
-def _count_blocks(bits: int, flush: int):
-    """Sorted names (upper 40 bits) with local counts, a block for each value of the upper ``bits`` bits."""
-
-    def blocks(held: list[np.ndarray]) -> pa.RecordBatch:
-        names, counts = np.unique(np.concatenate(held) >> np.uint64(24), return_counts=True)
-        edges = np.searchsorted(names, np.arange(1 << bits, dtype=np.uint64) << np.uint64(40 - bits))
-        edges = [*edges.tolist(), len(names)]
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        bucket, blob = [], []
-        for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-            if hi > lo:
-                gaps = np.diff(names[lo:hi], prepend=np.uint64(i << (40 - bits))).astype("<u8")
-                planes = gaps.view(np.uint8).reshape(-1, 8).T[:5]
-                bucket.append(i)
-                blob.append(squeeze(np.int64(hi - lo).tobytes() + np.ascontiguousarray(planes).tobytes() + counts[lo:hi].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
-        return batch({"bucket": (bucket, pa.int32()), "blob": (blob, pa.binary())})
-
+def _ask(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, known = [], 0, set()
         for b in batches:
-            for text in utf8(b.column("text")):
-                s = shingle_set(text, K_WORDS)
-                name = class_name(s)
-                if len(s) < 2 or name in known:
-                    continue
-                known.add(name)
-                held.append(s)
-                size += len(s)
-                if size >= flush:
-                    yield blocks(held)
-                    held, size, known = [], 0, set()
-        if held:
-            yield blocks(held)
+            for block, sizes, packed in zip(*(b.column(c).to_pylist() for c in ("block", "sizes", "packed")), strict=True):
+                sets, _, first = _block_sets(sizes, packed)
+                if first:
+                    names, counts = np.unique(np.concatenate([sets[i] for i in first]) >> _SHIFT, return_counts=True)
+                    buckets, blobs = ask(names, counts, _NAME, bits)
+                    yield batch({"bucket": (buckets, pa.int64()), "block": ([block] * len(blobs), pa.int64()), "blob": (blobs, pa.binary())})
 
     return run
 
 
-def _count_bitmaps(bits: int, map_bits: int, limits: tuple[int, int]):
-    """Of one bucket: its slice of the bitmap of names in more than limits[i] sets, for each i, and how many."""
-
+def _answer(bits: int):
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        names, counts = [], []
-        for blob in table.column("blob"):
-            raw = zstandard.ZstdDecompressor().decompress(blob.as_py())
-            n = int(np.frombuffer(raw, np.int64, 1)[0])
-            planes = np.zeros((n, 8), np.uint8)
-            planes[:, :5] = np.frombuffer(raw, np.uint8, 5 * n, 8).reshape(5, n).T
-            names.append(np.cumsum(planes.view("<u8").ravel()) + np.uint64(bucket << (40 - bits)))
-            counts.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 8 + 5 * n).reshape(4, n).T).view("<u4").ravel())
-        names, counts = np.concatenate(names), np.concatenate(counts)
-        order = np.argsort(names)
-        names, counts = names[order], counts[order]
-        first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
-        total, names = np.add.reduceat(counts.astype(np.int64), first), names[first]
-        slices = []
-        for limit in limits:
-            bitmap = np.zeros(1 << (map_bits - bits), np.uint8)
-            bitmap[(names[total > limit] >> np.uint64(40 - map_bits)) - np.uint64(bucket << (map_bits - bits))] = 1
-            slices.append(np.packbits(bitmap).tobytes())
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "frequent": pa.array([slices[0]], pa.binary()), "very": pa.array([slices[1]], pa.binary())})
+        blobs = answer([x.as_py() for x in table.column("blob")], bucket, _NAME, bits, _COUNT)
+        return pa.table({"block": table.column("block"), "bucket": pa.array([bucket] * len(blobs), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     return run
 
 
-def frequency_bitmaps(docs: DataFrame, shingles: int, rare: int, common: int, map_bits: int) -> tuple[bytes, bytes]:
-    """The two bitmaps, of 2**map_bits bits each, whatever the input."""
-    bits = min(16, max(6, (shingles >> 20).bit_length()))
-    counted = docs.mapInArrow(_count_blocks(bits, 1 << 22), "bucket int, blob binary")
-    slices = counted.groupBy("bucket").applyInArrow(_count_bitmaps(bits, map_bits, (rare, common)), "bucket int, frequent binary, very binary").collect()
-    empty = bytes(1 << (map_bits - bits - 3))
-    by = {r.bucket: r for r in slices}
-    return tuple(b"".join(bytes(by[i][name]) if i in by else empty for i in range(1 << bits)) for name in ("frequent", "very"))
-
-
 # --- prefixes ----------------------------------------------------------------------------------------
 
 
-def least_overlap(n: int, percent: int) -> int:
-    return -(-percent * n // 100)
-
-
-def _prefixes(maps, map_bits: int, percent: int, small: int):
-    large = small * percent // 100
+def parts_of(n: int) -> int:
+    """The number of parts that frequent shingles of a set of n are dealt to."""
+    return 1 << max(0, (n // 32).bit_length() - 1)
+
+
+def combinations(tokens: np.ndarray, places: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first place, second place) of all pairs of tokens in one of m parts; tokens stand in global order."""
+    part = (mix(tokens) % np.uint64(m)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    tokens, places, part = tokens[order], places[order], part[order]
+    left, right, step = [], [], 1
+    live = np.arange(len(part))
+    while len(live := live[live + step < len(part)]) and len(live := live[part[live] == part[live + step]]):
+        left.append(live)
+        right.append(live + step)
+        step += 1
+    if not left:
+        return tokens[:0], places[:0], places[:0]
+    i, j = np.concatenate(left), np.concatenate(right)
+    return mix(tokens[i] * np.uint64(3) + tokens[j] * np.uint64(5) + np.uint64(m)), places[i], places[j]
+
+
+def prefix_keys(shingles: np.ndarray, count: np.ndarray, percent: int, common: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, place, may be the smaller set's, place bounds the overlap) of one set with its frequencies."""
+    n = len(shingles)
+    small = n - -(-2 * percent * n // (100 + percent)) + 1
+    large = n - -(-percent * n // 100) + 1
+    order = np.argsort(count, kind="stable")  # names ascend already
+    alone = int((count <= 1).sum())
+    if alone >= large:
+        return
+    tokens, count = shingles[order], count[order]
+    rare = np.arange(alone, int(np.searchsorted(count[:large], common, "right")))
+    yield tokens[rare], rare, rare < small, np.ones(len(rare), bool)
+    own = parts_of(n)
+    for m in sorted({own, parts_of(n - large + 1)}):
+        frequent = np.flatnonzero(count[: large + m] > common)
+        key, first, second = combinations(tokens[frequent], frequent, m)
+        yield key, first, (second < small + m) & (m == own), np.full(len(key), m == 1)
+
+
+def _postings(percent: int, common: int):
+    def keys(out: list[tuple]) -> pa.RecordBatch:
+        key, cls, n, place, small, bound = (np.concatenate(x) for x in zip(*out, strict=True))
+        return batch({"kind": (np.ones(len(key), np.int8), pa.int8()), "key": (key.view(np.int64), pa.int64()), "cls": (cls, pa.int64()), "n": (n, pa.int64()), "place": (place, pa.int64()), "small": (small, pa.bool_()), "bound": (bound, pa.bool_()), "doc_id": ([None] * len(key), pa.int64()), "block": ([None] * len(key), pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, very = (np.frombuffer(x, np.uint8) for x in maps.value)
-        out: list[tuple] = []
-        held = 0
         for b in batches:
-            for text in utf8(b.column("text")):
-                s = shingle_set(text, K_WORDS)
-                n = len(s)
-                if n < 2:  # its only partners are equal sets
+            for block, ids, sizes, packed, answers in zip(*(b.column(c).to_pylist() for c in ("block", "ids", "sizes", "packed", "answers")), strict=True):
+                sets, names, first = _block_sets(sizes, packed)
+                size = len(ids)
+                yield batch({"kind": (np.zeros(size, np.int8), pa.int8()), "key": ([None] * size, pa.int64()), "cls": (names, pa.int64()), "n": ([len(s) for s in sets], pa.int64()), "place": (np.arange(size), pa.int64()), "small": ([None] * size, pa.bool_()), "bound": ([None] * size, pa.bool_()), "doc_id": (ids, pa.int64()), "block": ([block] * size, pa.int64())})
+                if not first:
                     continue
-                at = (s >> np.uint64(64 - map_bits)).astype(np.int64)
-                kind = ((frequent[at >> 3] >> (7 - (at & 7))) & 1).astype(np.int8) + ((very[at >> 3] >> (7 - (at & 7))) & 1).astype(np.int8)
-                order = np.argsort(kind, kind="stable")
-                prefix = n - least_overlap(n, percent) + 1
-                chosen = order[:prefix]
-                if n <= small:
-                    chosen = chosen[kind[chosen] < 2] if n < large else chosen
-                    extended = order[: prefix + 1]
-                    common = s[extended[kind[extended] == 2]]
-                    i, j = np.triu_indices(len(common), 1)
-                    pairs = mix(common[i] * np.uint64(3) + common[j] * np.uint64(5))
-                else:
-                    pairs = s[:0]
-                keys = np.concatenate([s[chosen], pairs])
-                hot = np.concatenate([kind[chosen] > 0, np.ones(len(pairs), bool)])
-                if n <= small and prefix < n and kind[order[prefix]] < 2:  # the prefix for k = 2 is longer by one
-                    keys, hot = np.append(keys, s[order[prefix]]), np.append(hot, kind[order[prefix]] > 0)
-                out.append((keys, hot, np.full(len(keys), class_name(s), np.int64), np.full(len(keys), n, np.int64)))
-                held += len(keys)
-                if held > 100_000:
-                    yield _key_batch(out)
-                    out, held = [], 0
-        if out:
-            yield _key_batch(out)
+                known = np.unique(np.concatenate([sets[i] for i in first]) >> _SHIFT)
+                total = np.concatenate([np.frombuffer(_unpack(x["blob"]), np.uint8).reshape(_COUNT, -1).T.copy().view("<u2").ravel() for x in sorted(answers, key=lambda x: x["bucket"])])
+                out, held = [], 0
+                for i in first:
+                    count = total[np.searchsorted(known, sets[i] >> _SHIFT)]
+                    for key, place, small, bound in prefix_keys(sets[i], count, percent, common):
+                        out.append((key, np.full(len(key), names[i], np.int64), np.full(len(key), len(count), np.int64), place, small, bound))
+                        held += len(key)
+                        if held > 200_000:
+                            yield keys(out)
+                            out, held = [], 0
+                if out:
+                    yield keys(out)
 
     return run
 
 
-def _key_batch(out: list[tuple]) -> pa.RecordBatch:
-    """Rare keys go to one partition with all their classes, the others wherever their class falls."""
-    keys, hot, cls, n = (np.concatenate(x) for x in zip(*out, strict=True))
-    to = np.where(hot, mix(keys ^ cls.view(np.uint64)), keys)
-    return batch({"to": (to.view(np.int64), pa.int64()), "key": (keys.view(np.int64), pa.int64()), "hot": (hot, pa.bool_()), "cls": (cls, pa.int64()), "n": (n, pa.int64())})
+def _unpack(blob: bytes) -> bytes:
+    import zstandard
 
+    return zstandard.ZstdDecompressor().decompress(blob)
 
-def _rare_pairs(percent: int):
-    """All pairs of each rare key (key null), a partition of keys at a time; rows of other keys as they are (b null)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for b in batches:
-            hot = b.column("hot").to_numpy(zero_copy_only=False)
-            key, cls, n = (b.column(c).to_numpy() for c in ("key", "cls", "n"))
-            if hot.any():
-                yield batch({"key": (key[hot], pa.int64()), "a": (cls[hot], pa.int64()), "b": ([None] * int(hot.sum()), pa.int64()), "n": (n[hot], pa.int64())})
-            parts.append((key[~hot], cls[~hot], n[~hot]))
-        if not parts:
-            return
-        key, cls, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((cls, key))
-        key, cls, n = key[order], cls[order], n[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls, n = key[new], cls[new], n[new]
-        found, step = [np.zeros((0, 2), np.int64)], 1
-        live = np.arange(len(key))
-        while True:
-            live = live[live + step < len(key)]
-            live = live[key[live] == key[live + step]]
-            if not len(live):
-                break
-            a, b = live, live + step
-            fits = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-            found.append(np.unique(np.stack([cls[a[fits]], cls[b[fits]]], 1), axis=0))
-            step += 1
-        pairs = np.unique(np.concatenate(found), axis=0)
-        nothing = [None] * len(pairs)
-        yield batch({"key": (nothing, pa.int64()), "a": (pairs[:, 0], pa.int64()), "b": (pairs[:, 1], pa.int64()), "n": (nothing, pa.int64())})
-
-    return run
+# --- candidates and verification ---------------------------------------------------------------------
 
 
-# --- verification ------------------------------------------------------------------------------------
+def _fits(x: str, y: str, percent: int) -> str:
+    """Whether classes x and y of one key can link by it; either may be the smaller."""
+    before = f"({x}.n < {y}.n or ({x}.n = {y}.n and {x}.cls < {y}.cls))"
+    return f"""
+        {x}.cls <> {y}.cls and 100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)
+        and case when {before} then {x}.small else {y}.small end
+        and (not {x}.bound or least({x}.n - {x}.place, {y}.n - {y}.place) * {100 + percent} >= {percent} * ({x}.n + {y}.n))
+    """
 
 
 def _verified(percent: int):
@@ -251,61 +198,61 @@ def _verified(percent: int):
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The links (a, b) among candidate pairs; ``texts(cls, text)``."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for sizes, packed, wanted in zip(*(b.column(c).to_pylist() for c in ("sizes", "packed", "wanted")), strict=True):
+            texts = block_texts(sizes, packed)
+            yield batch({"cls": ([w["cls"] for w in wanted], pa.int64()), "text": ([texts[w["place"]] for w in wanted], pa.binary())})
+
+
+def verify(pairs: DataFrame, docs: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) among candidate pairs of classes; only texts of classes in a pair leave their blocks."""
+    pairs = cut(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    rows = docs.where("n > 1").select("cls", "block", "place").join(wanted, "cls", "left_semi")
+    rows = rows.groupBy("cls").agg(F.min(F.struct("block", "place")).alias("at")).select("cls", "at.*")
+    rows = cut(rows.groupBy("block").agg(F.collect_list(F.struct("cls", "place")).alias("wanted")))
+    texts = cut(blocks.select("block", "sizes", "packed").join(rows, "block").mapInArrow(_texts, "cls long, text binary"))
     with_b = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
     return cut(with_both.mapInArrow(_verified(percent), "a long, b long, good boolean").where("good").select("a", "b"))
 
 
+def _pair(x: str, y: str) -> list:
+    return [F.least(f"{x}.cls", f"{y}.cls").alias("a"), F.greatest(f"{x}.cls", f"{y}.cls").alias("b")]
+
+
 # --- the operator ------------------------------------------------------------------------------------
 
 
-def _groups(docs: DataFrame, percent: int = 80, rare: int = 8, common: int = 1000, small: int = 40, map_bits: int = 27) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, cls) of each row, and (cls, class_id, component) of each class with shingles."""
-    spark = docs.sparkSession
+def _groups(docs: DataFrame, percent: int = 80, common: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, cls, block, place) of each row, and (cls, component) of each class that links."""
+    if not 67 <= percent <= 100:
+        raise ValueError("prefixes hold two shared shingles only from 67 percent on")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = cut(docs.mapInArrow(_sizes, "doc_id long, n long, cls long"))
-    shingles = sets.agg(F.sum("n")).first()[0] or 0
-    maps = spark.sparkContext.broadcast(frequency_bitmaps(docs, shingles, rare, common, map_bits))
-    index = docs.mapInArrow(_prefixes(maps, map_bits, percent, small), "to long, key long, hot boolean, cls long, n long")
-    index = cut(index.repartition("to").mapInArrow(_rare_pairs(percent), "key long, a long, b long, n long"))
-    pairs = index.where("b is not null").select("a", "b").distinct()
-    hot = index.where("b is null").groupBy("key", F.col("a").alias("cls")).agg(F.first("n").alias("n"))
-    many = hot.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    hot = cut(hot.join(many, "key"))
-
-    classes = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"))
-    wanted = pairs.select("a").union(pairs.select("b")).union(hot.select("cls")).distinct().toDF("cls")
-    # a class's text goes by the class's name, for ids may be null or stand for several texts
-    named = docs.select("text").mapInArrow(_classed, "text string, cls long").where("cls <> 0").groupBy("cls").agg(F.first("text").alias("text"))
-    texts = cut(named.join(wanted, "cls", "left_semi"))
-
-    links = verify(pairs, texts, percent)
-    starred = False
-    while True:
-        # Classes of a key that are not yet in one group: star from the smallest, or all pairs when few are left.
-        groups = cut(components(links))
-        hot = hot.join(groups.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("grp"))
-        split = hot.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("c"), F.min("cls").alias("center")).where("lo < hi")
-        hot = cut(hot.join(split.select("key", "c", "center"), "key"))
-        state = split.agg(F.count("*"), F.sum("c"), F.sum(F.col("c").cast("double") * F.col("c"))).first()
-        if not state[0]:
-            break
-        few = starred and state[2] <= max(64 * state[1], shingles / 8)  # pairs in proportion to the input
-        fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-        if few:
-            todo = hot.alias("x").join(hot.alias("y"), F.expr(f"x.key = y.key and x.cls < y.cls and x.grp <> y.grp and {fits}"))
-            todo = todo.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-        else:
-            center = hot.where("cls = center").alias("x")
-            todo = center.join(hot.alias("y"), F.expr(f"x.key = y.key and x.cls < y.cls and x.grp <> y.grp and {fits}"))
-            todo = todo.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-        links = links.union(verify(todo.distinct(), texts, percent))
-        if few:
-            break
-        hot, starred = hot.where("cls <> center").select("key", "cls", "n"), True
-    return sets, classes.join(components(links).withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    blocks = document_blocks(docs, BLOCK_BYTES)
+    volume = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    bits = max(4, (volume >> 23).bit_length())  # about a million shingles in a range
+    answers = blocks.mapInArrow(_ask(bits), "bucket long, block long, blob binary").groupBy("bucket").applyInArrow(_answer(bits), "block long, bucket long, blob binary")
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
+    schema = "kind byte, key long, cls long, n long, place long, small boolean, bound boolean, doc_id long, block long"
+    made = cut(blocks.join(answers, "block", "left").mapInArrow(_postings(percent, common), schema))
+    rows = made.where("kind = 0").select("doc_id", "n", "cls", "block", "place")
+
+    index = made.where("kind = 1").groupBy("key", "cls").agg(*(F.first(c).alias(c) for c in ("n", "place", "small", "bound")))
+    centers = index.groupBy("key").agg(F.count("*").alias("c"), F.min_by(F.struct("cls", "n", "place", "small", "bound"), F.struct(F.col("place") / F.col("n"), "cls")).alias("center")).where("c > 1")
+    index = cut(index.join(centers.select("key", "center"), "key"))
+
+    stars = index.select("*", F.col("center").alias("z")).alias("y").where(_fits("z", "y", percent)).select(*_pair("z", "y")).distinct()
+    links = verify(stars, rows, blocks, percent)
+    groups = cut(components(links))
+    index = index.drop("center").join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls")).drop("component")
+    sizes = index.groupBy("key", "grp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("grp", F.struct("c", "grp")).alias("main"), F.count("*").alias("groups"))
+    open_ = cut(index.join(sizes.where("groups > 1").select("key", "main"), "key"))
+    some = open_.where("grp <> main").alias("x").join(open_.alias("y"), F.expr(f"x.key = y.key and x.grp <> y.grp and (y.grp = y.main or x.cls < y.cls) and {_fits('x', 'y', percent)}"))
+    more = verify(some.select(*_pair("x", "y")).distinct(), rows, blocks, percent)
+    held = groups.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return rows, components(held.union(more))
 
 
 def linked_groups(docs: DataFrame, **limits) -> DataFrame:
@@ -313,23 +260,33 @@ def linked_groups(docs: DataFrame, **limits) -> DataFrame:
 
     Both are null where all rows of a class, or of a group, have no doc_id.
     """
-    sets, names = _groups(docs, **limits)
+    rows, groups = _groups(docs, **limits)
+    names = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"))
+    names = cut(names.join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     lowest = names.groupBy("component").agg(F.min("class_id").alias("component_id"))
     names = names.join(lowest, "component").select("cls", "class_id", "component_id")
-    out = sets.join(names, "cls", "left")
+    out = rows.join(names, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows as they are, with the name of the class of each."""
+    for b in batches:
+        names = [class_name(shingle_set(x, K_WORDS)) for x in utf8(b.column("text"))]
+        yield batch({c: (b.column(c), b.column(c).type) for c in b.schema.names if c != "class_name"} | {"class_name": (names, pa.int64())})
+
+
 def survivors(docs: DataFrame, **limits) -> DataFrame:
-    """One row of each group of linked classes, and of each (doc_id, text) without shingles.
+    """One row of each group of linked classes, and of each (doc_id, text) without shingles, with all columns.
 
     It is the row with the smallest doc_id, null ids last; ids decide nothing else, so they may be null or repeated.
     """
-    _, names = _groups(docs, **limits)
-    chosen = names.groupBy("component").agg(F.min_by("cls", F.struct(F.isnull("class_id"), "class_id", "cls")).alias("cls")).select("cls")
-    schema = T.StructType([*docs.schema.fields, T.StructField("cls", T.LongType())])
-    rows = docs.mapInArrow(_classed, schema)
+    rows, groups = _groups(docs, **limits)
+    names = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"))
+    names = names.join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    chosen = names.groupBy("component").agg(F.min_by("cls", F.struct(F.isnull("class_id"), "class_id", "cls")).alias("class_name")).select("class_name")
+    named = docs.mapInArrow(_named, docs.select("*", F.lit(0).cast("long").alias("class_name")).schema)
     first = F.min_by(F.struct(*docs.columns), F.struct(F.isnull("doc_id"), "doc_id", F.xxhash64("text")))
     # one row of each class before the join, so that exact copies meet no join
-    some = rows.where("cls <> 0").groupBy("cls").agg(first.alias("r")).join(chosen, "cls", "left_semi").select("r.*")
-    return some.unionByName(rows.where("cls = 0").drop("cls").dropDuplicates(["doc_id", "text"]))
+    some = named.where("class_name <> 0").groupBy("class_name").agg(first.alias("r")).join(chosen, "class_name", "left_semi").select("r.*")
+    return some.unionByName(named.where("class_name = 0").drop("class_name").dropDuplicates(["doc_id", "text"]))

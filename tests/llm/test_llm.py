@@ -168,7 +168,7 @@ def test_sum_of_squares_rule():
 # --- op4 ---------------------------------------------------------------------------------------------
 
 
-def linked(docs):
+def linked(docs, percent=80):
     sets = {}
     for d, t in docs:
         w = words(t, True)
@@ -187,14 +187,15 @@ def linked(docs):
         for s in sets[d]:
             where[s].append(d)
         for e, both in shared.items():
-            if 100 * both >= 80 * (len(sets[d]) + len(sets[e]) - both):
+            if 100 * both >= percent * (len(sets[d]) + len(sets[e]) - both):
                 a, b = find(d), find(e)
                 root[max(a, b)] = min(a, b)
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-@pytest.mark.parametrize("limits", [{}, {"rare": 2, "common": 3, "map_bits": 12}, {"rare": 1, "common": 2, "small": 100}])
-def test_links(spark, limits):
+@pytest.mark.parametrize(("limits", "block"), [({}, 4 << 20), ({"common": 3}, 3000), ({"common": 1}, 20_000), ({"common": 40}, 1)])
+def test_links(spark, limits, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", block)
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)]
     seeds = [rng.choices(vocabulary, k=rng.choice([1, 3, 5, 6, 8, 12, 20, 30, 45, 90, 200])) for _ in range(30)]
@@ -213,23 +214,70 @@ def test_links(spark, limits):
     assert got == linked(docs)
 
 
-def test_stars_when_many_pairs_remain(spark):
-    """A key that unlike documents share takes several rounds and loses no link."""
+def test_boilerplate_of_unlike_documents(spark):
+    """Keys that unlike documents share, in several groups of near copies, lose no link."""
     rng = random.Random(8)
     docs = []
     for i in range(60):
         base = [f"c{j}" for j in range(30)] + [f"g{i % 6}-{j}" for j in range(10)]
         base[rng.randrange(30, 40)] = f"u{i}" if i % 4 else base[35]
         docs.append((i, " ".join(base)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_groups(frame(spark, docs), rare=1, common=4, small=10).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_groups(frame(spark, docs), common=4).collect()}
     assert got == linked(docs)
 
 
+@pytest.mark.parametrize(("seed", "percent"), [(1, 80), (2, 80), (3, 90), (4, 70)])
+def test_links_of_long_sets_by_combinations(spark, seed, percent):
+    """Sets of 70 to 400 shingles whose shingles are all frequent: links come by pairs within parts."""
+    rng = random.Random(seed)
+    base = [f"c{j}" for j in range(400)]
+    docs = []
+    for i in range(70):
+        n = rng.choice([70, 100, 130, 200, 256, 300, 400])
+        w = base[: n - 4] if rng.random() < 0.7 else base[400 - n :]
+        for _ in range(rng.randint(0, n // 25)):
+            w = [*w]
+            w[rng.randrange(len(w))] = rng.choice(base)
+        docs.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_groups(frame(spark, docs), percent=percent, common=rng.choice([1, 2, 5])).collect()}
+    assert got == linked(docs, percent)
+
+
+def test_combinations_are_exact():
+    """Any two sets that link share a key which lets one be the smaller set, whatever the frequencies."""
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        universe = np.unique(rng.integers(1, 2**63, 600, dtype=np.uint64))
+        freq = dict(zip(universe.tolist(), rng.integers(2, 9, len(universe)).tolist(), strict=True))
+        a = np.sort(rng.choice(universe, int(rng.integers(2, 400)), replace=False))
+        b = np.unique(np.concatenate([rng.choice(a, max(1, int(len(a) * rng.uniform(0.8, 1))), replace=False), rng.choice(universe, int(len(a) * rng.uniform(0, 0.15)))]))
+        both = len(np.intersect1d(a, b))
+        if len(b) < 2 or 100 * both < 80 * (len(a) + len(b) - both):
+            continue
+        x, y = sorted((a, b), key=len)
+        keys = []
+        for s in (x, y):
+            found = {}
+            for key, place, small, bound in jaccard.prefix_keys(s, np.array([freq[int(t)] for t in s], np.uint16), 80, 4):
+                found |= {int(k): (int(p), bool(z), bool(w)) for k, p, z, w in zip(key, place, small, bound, strict=True)}
+            keys.append(found)
+        shared = [k for k in keys[0].keys() & keys[1].keys() if keys[0][k][1]]
+        assert any(not keys[0][k][2] or 180 * min(len(x) - keys[0][k][0], len(y) - keys[1][k][0]) >= 80 * (len(x) + len(y)) for k in shared)
+
+
 def test_links_on_nothing(spark):
     assert jaccard.linked_groups(frame(spark, [])).count() == 0
     assert jaccard.linked_groups(frame(spark, [(5, None), (6, "")])).count() == 2
 
 
+def test_links_through_rows_without_ids(spark):
+    """A class that has only null ids takes part; different texts under one id, or none, stay apart."""
+    near = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, near + " a"), (7, near + " b"), (None, "one two three four five six"), (None, "x y z"), (7, "x y z t u v"), (3, near + " c"), (3, near + " c")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.linked_groups(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, 37, 3), (7, 37, 3), (None, 2, None), (None, 1, None), (7, 2, 7), (3, 37, 3), (3, 37, 3)], key=str)
+
+
 # --- op5 ---------------------------------------------------------------------------------------------
 
 
