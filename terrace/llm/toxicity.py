@@ -1,26 +1,28 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over an inverted index of all their terms.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index of all their terms.
 
 Fit. Labels are read only for rows whose crc32(doc_id as text) mod ``folds`` is not 0. Of each class at most
 ``max_examples`` labelled documents (chosen by a hash of doc_id) become examples. Terms are words folded to lower
-case, without punctuation at their ends; every term of an example is in the vocabulary. Inverse document
-frequencies of the vocabulary are counted over all documents. So the index is bounded by the examples' texts.
-
-Score. A text's vector has (1 + log tf) * idf for its terms that some example has, as a vectoriser fitted on the
-examples gives it. Postings of terms in few examples are summed; what an example can still gain by the frequent terms is
-bounded by the product of the norms of these parts, and examples that can still be among the ``k`` nearest are completed
-from a dense table. So the ``k`` nearest are exact (ties to the smaller example). They vote with weights
-1 / (1 - cosine + 0.05), corrected for the classes' sampling rates. A vote is calibrated by an isotonic fit on the own
-votes, with themselves left out, of the examples on which it decides. A text without terms of the examples gets the calibrated share of toxic
-ones among examples without terms.
-
-In long texts the cosine of all terms follows the topic. So there is a second vote, of the nearest in vectors of the
-telling terms alone: those whose document frequency differs between the classes of examples by a signed-root
-log-likelihood ratio of ``least_z``, ``max_terms`` at most. It decides on texts that have such terms, the vote of all
-terms on all others; and no score is below the share of toxic ones among the nearest examples with a cosine of
-``SAME`` or more in all terms, which are copies. Evidence is by all terms.
-
-Defined cases: null text is empty; labels with null toxic are ignored, of repeated labels the highest counts; no
-labels at all give every text the score 0; repeated rows are scored alike; lang, source and doc_id are no inputs.
+case, without punctuation at their ends; every term of an example is in the vocabulary. Document frequencies of the
+vocabulary are counted over all documents. So the index is bounded by the examples' texts.
+
+Weights. A text's vector has (1 + log tf) * idf * relevance for each of its terms that some example has. Relevance is
+supervised term weighting (Debole and Sebastiani, 2003): the log-likelihood ratio statistic of the term's document
+frequencies in the two classes of examples, plus one, so that no term is left out. Without it
+the cosine of texts of some hundred words follows their topic, whatever the label.
+
+Index. Postings by term, examples dealt to blocks of ``BLOCK`` in the order of their heaviest term; the greatest weight
+of each term in each block bounds what an example of the block can score. The blocks with the largest bounds are scored
+first; then those whose bound reaches the k-th best score. So the ``k`` nearest are exact (ties to the smaller id).
+
+Vote. The nearest vote with weights 1 / (1 - cosine + 0.05), corrected for the classes' sampling rates. Scores are an
+isotonic fit on the votes of the examples, each with itself left out, which tasks compute. If some of the nearest have a
+cosine of ``SAME`` or more, which makes the text a copy of them, the share of toxic ones among these is the score. A
+text without terms of the examples gets the share of toxic ones among examples without terms, else 0.
+
+Defined cases: null text is empty; labels with null doc_id or toxic are ignored, of repeated labels the highest counts;
+labels of one class only, or none, give every text the score 0; repeated rows are scored alike, null ids too (held_out
+is null then); an empty table gives an empty one; long texts are one vector each; ``carry`` leaves out columns named
+like those of the result; lang, source and doc_id are no inputs.
 """
 
 from __future__ import annotations
@@ -40,11 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, utf8, worker_state
+from .common import batch, cut, utf8, worker_state
 
-#: A term in more than one of so many examples is frequent.
-FREQUENT = 20
-#: The cosine of all terms from which a text counts as a copy of an example.
+#: Examples in a block, and blocks that are scored before bounds are compared.
+BLOCK, FIRST = 32, 2
+#: The cosine from which a text counts as a copy of an example.
 SAME = 0.95
 _EDGE = b".,;:!?\"'()[]{}<>"
 
@@ -56,80 +58,81 @@ def terms_of(text: bytes) -> list[bytes]:
 # --- index -------------------------------------------------------------------------------------------
 
 
+def _unit(terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return terms, weights / math.sqrt((weights * weights).sum())
+
+
 class Index:
-    """Unit vectors of examples: postings of the terms in few examples, a dense table of the frequent ones."""
+    """Unit vectors of examples, none of them empty: postings by term, and per block the greatest weight of each term."""
 
-    def __init__(self, vectors: list, toxic: list[int]):
-        self.toxic = np.array(toxic, np.int64)
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]]):
         self.n = len(vectors)
-        vectors = [_arrays(v) for v in vectors]
-        terms = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        weight = np.concatenate([w / math.sqrt((w * w).sum()) for _, w in vectors]) if vectors else np.zeros(0)
-        who = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])
-        order = np.argsort(terms, kind="stable")
-        terms, who, weight = terms[order], who[order], weight[order]
-        self.size = int(terms[-1]) + 1 if len(terms) else 0
-        count = np.bincount(terms, minlength=self.size)
-        often = count * FREQUENT > self.n
-        #: the row of a frequent term in the table, -1 for others
-        self.row = np.where(often, np.cumsum(often) - 1, -1)
-        dense = often[terms]
-        self.frequent = (self.row[terms[dense]].astype(np.int32), who[dense], weight[dense])
-        self.edges = np.append(0, np.cumsum(np.where(often, 0, count)))
-        self.who, self.weight = who[~dense], weight[~dense]
-        self.rest = np.sqrt(np.bincount(who[dense], weight[dense] ** 2, self.n))
-        self._table = None
+        vectors = [_unit(*v) for v in vectors]
+        # neighbours in this order share their heaviest term, which keeps the bounds of a block close
+        heaviest = [(int(t[w.argmax()]), i) for i, (t, w) in enumerate(vectors)]
+        self.order = np.array([i for _, i in sorted(heaviest)], np.int64)
+        terms = np.concatenate([vectors[i][0] for i in self.order]) if self.n else np.zeros(0, np.int64)
+        weights = np.concatenate([vectors[i][1] for i in self.order]) if self.n else np.zeros(0)
+        who = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in self.order])
+        by_term = np.argsort(terms, kind="stable")
+        self.terms, self.who, self.weights = terms[by_term], who[by_term].astype(np.int32), weights[by_term]
+        self.size = int(self.terms[-1]) + 1 if len(terms) else 0
+        self.blocks = -(-self.n // BLOCK)
+        self._made: tuple | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_table": None}
-
-    def table(self) -> np.ndarray:
-        if self._table is None:
-            row, who, weight = self.frequent
-            self._table = np.zeros((int(self.row.max(initial=-1)) + 1, self.n))
-            self._table[row, who] = weight
-        return self._table
+        return self.__dict__ | {"_made": None}
+
+    def lists(self) -> tuple[np.ndarray, np.ndarray]:
+        """(where each term's postings of each block begin, the greatest weight among them, rounded up)."""
+        if self._made is None:
+            cell = self.terms * self.blocks + self.who // BLOCK
+            starts = np.append(0, np.cumsum(np.bincount(cell, minlength=self.size * self.blocks)))
+            most = np.zeros(self.size * self.blocks, np.float32)
+            full = np.flatnonzero(np.diff(starts))
+            if len(full):
+                most[full] = np.nextafter(np.maximum.reduceat(self.weights, starts[full]).astype(np.float32), np.float32(2))
+            self._made = starts.astype(np.int64), most.reshape(self.size, self.blocks)
+        return self._made
+
+    def _scores(self, score: np.ndarray, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> None:
+        """Add the scores of all examples of some blocks."""
+        starts = self.lists()[0]
+        cells = (terms[:, None] * self.blocks + blocks).ravel()
+        lo = starts[cells]
+        n = starts[cells + 1] - lo
+        full = np.flatnonzero(n)
+        lo, n = lo[full], n[full]
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score += np.bincount(self.who[at], self.weights[at] * np.repeat(np.repeat(q, len(blocks))[full], n), self.n)
 
-    def nearest(self, vector, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest that share a term, best first."""
-        terms, q = _arrays(vector)
-        q = q / math.sqrt((q * q).sum())
-        known = terms < self.size
-        terms, q = terms[known], q[known]
-        row = self.row[terms]
-        often = row >= 0
-        row, heavy, q = row[often], q[often], q[~often]
-        lo, n = self.edges[terms[~often]], np.diff(self.edges)[terms[~often]]
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        score = np.bincount(self.who[at], self.weight[at] * np.repeat(q, n), self.n).astype(np.float64)
-        if 0 <= without < self.n:
-            score[without] = 0.0
-        if len(row):
-            most = score + math.sqrt((heavy * heavy).sum()) * self.rest
+        terms, q = vector
+        if not len(terms) or not self.n:
+            return np.zeros(0, np.int64), np.zeros(0)
+        terms, q = _unit(terms, q)
+        bounds = q.astype(np.float32) @ self.lists()[1][terms] * np.float32(1.0001)
+        order = np.argsort(-bounds, kind="stable")
+        score = np.zeros(self.n)
+        hidden = np.flatnonzero(self.order == without)
+        first, rest = order[: FIRST + k // BLOCK], order[FIRST + k // BLOCK :]
+        self._scores(score, terms, q, first)
+        score[hidden] = 0
+        if len(rest):
             least = np.partition(score, self.n - k)[self.n - k] if self.n > k else 0.0
-            open_ = np.flatnonzero(most >= least - 1e-9)
-            if 4 * len(open_) < self.n:
-                score[open_] += heavy @ self.table()[row[:, None], open_]
-                open_ = open_[score[open_] > 0]
-            else:
-                score += heavy @ self.table()[row]
-                open_ = np.flatnonzero(score > 0)
-        else:
-            open_ = np.flatnonzero(score > 0)
-        open_ = open_[open_ != without]
-        cosine = np.round(score[open_], 12)
-        if len(open_) > k:
-            near = cosine >= np.partition(cosine, len(open_) - k)[len(open_) - k]
-            open_, cosine = open_[near], cosine[near]
-        best = np.lexsort((open_, -cosine))[:k]
-        return open_[best], cosine[best]
-
-
-def _arrays(vector) -> tuple[np.ndarray, np.ndarray]:
-    """(terms, weights) of a vector, which may be a dict."""
-    if isinstance(vector, dict):
-        return np.fromiter(vector, np.int64, len(vector)), np.fromiter(vector.values(), np.float64, len(vector))
-    return vector
+            rest = rest[(bounds[rest] >= least) & (bounds[rest] > 0)]
+            if len(rest):
+                self._scores(score, terms, q, rest)
+                score[hidden] = 0
+        found = np.flatnonzero(score > 0)
+        cosine = np.round(score[found], 12)
+        if len(found) > k:
+            near = cosine >= np.partition(cosine, len(found) - k)[len(found) - k]
+            found, cosine = found[near], cosine[near]
+        found = self.order[found]
+        best = np.lexsort((found, -cosine))[:k]
+        return found[best], cosine[best]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,69 +152,60 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-class Vote:
-    """The calibrated vote of the nearest examples, in vectors of some terms."""
-
-    def __init__(self, examples: list[tuple[int, tuple[np.ndarray, np.ndarray]]], stands: np.ndarray, k: int, decides: list[bool] | None = None):
-        self.k, self.stands = k, stands  # weight of an example of a class: how many labelled rows it stands for
-        self.place = [i for i, (_, v) in enumerate(examples) if len(v[0])]
-        known = [examples[i] for i in self.place]
-        self.index = Index([v for _, v in known], [y for y, _ in known])
-        # calibrated on the examples that this vote decides on
-        fits = [i for i, j in enumerate(self.place) if decides is None or decides[j]]
-        votes = np.array([self.vote(*self.index.nearest(known[i][1], k, without=i)) for i in fits])
-        y = np.array([known[i][0] for i in fits], np.float64)
-        self.knots = isotonic(votes, y, stands[y.astype(int)]) if len(fits) else (np.zeros(1), np.zeros(1))
-        rest = np.array([sum(stands[y] for y, v in examples if not len(v[0]) and y == c) for c in (0, 1)])
+class Model:
+    """Everything a task needs, bounded by the texts of 2 * max_examples examples."""
+
+    def __init__(self, vocabulary: dict[bytes, int], weight: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], stands: tuple[float, float], k: int):
+        self.vocabulary, self.weight, self.k = vocabulary, weight, k
+        self.stands = np.array(stands)  # how many labelled rows an example of a class stands for
+        held = [(i, y, self.weigh(terms, tf)) for i, y, terms, tf in examples]
+        known = [x for x in held if len(x[2][0])]
+        self.ids, self.toxic = [i for i, _, _ in known], np.array([y for _, y, _ in known], np.int64)
+        self.index = Index([v for _, _, v in known])
+        rest = np.bincount([y for _, y, v in held if not len(v[0])], minlength=2) * self.stands
         self.without_terms = float(rest[1] / rest.sum()) if rest.sum() else 0.0
+        self.knots = np.zeros(1), np.zeros(1)
+
+    def weigh(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weight = (1 + np.log(tf)) * self.weight[terms]
+        return terms[weight > 0], weight[weight > 0]
+
+    def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        get = self.vocabulary.get
+        found = np.array([t for w in terms_of(text) if (t := get(w)) is not None], np.int64)
+        return self.weigh(*np.unique(found, return_counts=True))
 
     def vote(self, who: np.ndarray, cosine: np.ndarray) -> float:
-        if not len(who):
-            return 0.0
-        y = self.index.toxic[who]
+        y = self.toxic[who]
         weight = self.stands[y] / (1.05 - cosine)
-        return float(round((weight * y).sum() / weight.sum(), 9))
+        return float(round((weight * y).sum() / weight.sum(), 9)) if len(who) else 0.0
 
-    def score(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
-        """(probability, nearest examples of the index, their cosines)."""
-        who, cosine = self.index.nearest(vector, self.k) if len(vector[0]) else (np.zeros(0, np.int64), np.zeros(0))
+    def calibrate(self, votes: np.ndarray, toxic: np.ndarray) -> None:
+        self.knots = isotonic(votes, toxic.astype(np.float64), self.stands[toxic])
+
+    def score(self, text: bytes) -> tuple[float, list[dict]]:
+        who, cosine = self.index.nearest(self.vector(text), self.k)
         if not len(who):
-            return self.without_terms, who, cosine
+            return self.without_terms, []
         x, y = self.knots
-        return float(y[max(0, int(np.searchsorted(x, self.vote(who, cosine), "right")) - 1)]), who, cosine
+        p = float(y[max(0, int(np.searchsorted(x, self.vote(who, cosine), "right")) - 1)])
+        toxic = self.toxic[who]
+        if (same := cosine >= SAME).any():
+            p = float(toxic[same].mean())
+        return p, [{"doc_id": self.ids[i], "similarity": float(c), "toxic": int(t)} for i, c, t in zip(who.tolist(), cosine.tolist(), toxic.tolist(), strict=True)]
 
 
-class Model:
-    """Everything a task needs, bounded by the texts of 2 * max_examples examples."""
+def of_worker(shipped) -> Model:
+    """The model of a broadcast, unpacked once in a worker."""
+    name, data = shipped.value
+    state = worker_state("toxicity")
+    if state.get("name") != name:
+        state.update(name=name, model=pickle.loads(data))
+    return state["model"]
 
-    def __init__(self, vocabulary: dict[bytes, int], idf: np.ndarray, telling: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], rates: tuple[float, float], k: int):
-        self.vocabulary, self.idf, self.telling = vocabulary, idf, telling
-        held = [(y, self.weigh(terms, tf)) for _, y, terms, tf in examples]
-        self.some = Vote([(y, self.told(v)) for y, v in held], np.array(rates), k)
-        self.all = Vote(held, np.array(rates), k, [not len(self.told(v)[0]) for _, v in held])
-        self.ids = [examples[i][0] for i in self.all.place]
 
-    def weigh(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        weight = (1 + np.log(tf)) * self.idf[terms]
-        return terms[weight > 0], weight[weight > 0]
-
-    def told(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        terms, weight = vector
-        tells = self.telling[terms]
-        return terms[tells], weight[tells]
-
-    def score(self, text: bytes) -> tuple[float, list[dict]]:
-        get = self.vocabulary.get
-        found = np.array([t for w in terms_of(text) if (t := get(w)) is not None], np.int64)
-        vector = self.weigh(*np.unique(found, return_counts=True))
-        p, who, cosine = self.all.score(vector)
-        told, near, _ = self.some.score(self.told(vector))
-        p = told if len(near) else p
-        toxic = self.all.index.toxic[who]
-        same = cosine >= SAME
-        if same.any():
-            p = max(p, float(toxic[same].mean()))
-        return p, [{"doc_id": self.ids[i], "similarity": float(c), "toxic": int(y)} for i, c, y in zip(who.tolist(), cosine.tolist(), toxic.tolist(), strict=True)]
+def ship(spark, model: Model):
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, cloudpickle.dumps(model)))
 
 
 # --- fit ---------------------------------------------------------------------------------------------
@@ -242,60 +236,81 @@ def _frequencies(vocabulary):
     return run
 
 
-def telling_terms(terms: np.ndarray, of_toxic: np.ndarray, toxic: list[int], names: list[bytes], max_terms: int, least_z: float) -> np.ndarray:
-    """Whether each term's document frequency differs between the two classes by a signed-root log-likelihood ratio of ``least_z``."""
-    found = [np.bincount(terms[of_toxic == y], minlength=len(names)) for y in (1, 0)]
-    ratio = np.zeros(len(names))
+def _own_votes(shipped):
+    """The vote on each example, itself left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = of_worker(shipped)
+        place = {i: p for p, i in enumerate(model.ids)}
+        for b in batches:
+            toxic, votes = [], []
+            for i, y, terms, tf in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "terms", "tf")), strict=True):
+                if i in place:
+                    codes = np.array([model.vocabulary[t] for t in terms], np.int64)
+                    codes, tf = codes[order := np.argsort(codes)], np.array(tf)[order]
+                    toxic.append(y)
+                    votes.append(model.vote(*model.index.nearest(model.weigh(codes, tf), model.k, without=place[i])))
+            yield batch({"toxic": (toxic, pa.int32()), "vote": (votes, pa.float64())})
+
+    return run
+
+
+def relevance(terms: np.ndarray, of_toxic: np.ndarray, toxic: list[int], size: int) -> np.ndarray:
+    """One more than the log-likelihood ratio statistic of each term's document frequencies in the two classes of examples."""
+    found = [np.bincount(terms[of_toxic == y], minlength=size) for y in (1, 0)]
+    ratio = np.zeros(size)
     for x, part in zip(found, (sum(toxic), len(toxic) - sum(toxic)), strict=True):
         some = x > 0
         ratio[some] += x[some] * np.log(x[some] * len(toxic) / ((found[0] + found[1])[some] * part))
-    z = np.sqrt(np.maximum(0, 2 * ratio))
-    tells = np.zeros(len(names), bool)
-    tells[sorted(np.flatnonzero(z >= least_z).tolist(), key=lambda i: (-z[i], names[i]))[:max_terms]] = True
-    return tells
+    return 1 + np.maximum(0, 2 * ratio)
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_examples: int = 3000, max_terms: int = 2000, least_z: float = 5.0, k: int = 9) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_examples: int = 1000, k: int = 9) -> Model:
+    spark = docs.sparkSession
     labels = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     labels = labels.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0) & F.col("toxic").isin(0, 1))
     sizes = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
     if not all(sizes.get(y, 0) for y in (0, 1)):
-        return Model({}, np.zeros(0), np.zeros(0, bool), [], (1.0, 1.0), k)
+        return Model({}, np.zeros(0), [], (1.0, 1.0), k)
     chosen = [labels.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * max_examples rows
     examples = docs.join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
+    examples = cut(examples.mapInArrow(_terms, "doc_id long, toxic int, terms array<binary>, tf array<int>"))
     # distinct terms of the examples, as Arrow columns; the driver holds them once
-    held = examples.mapInArrow(_terms, "doc_id long, toxic int, terms array<binary>, tf array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    held = examples.toArrow().sort_by("doc_id").combine_chunks()
     coded = pc.list_flatten(held.column("terms")).combine_chunks()
     coded = (coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded).dictionary_encode()
     vocabulary = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
     terms, tf = coded.indices.to_numpy().astype(np.int64), pc.list_flatten(held.column("tf")).to_numpy()
-    edges = np.cumsum(pc.list_value_length(held.column("terms")).to_numpy())[:-1]
-    counted = docs.select("text").mapInArrow(_frequencies(docs.sparkSession.sparkContext.broadcast(vocabulary)), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    lengths = pc.list_value_length(held.column("terms")).to_numpy()
+    counted = docs.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(vocabulary) + 1, np.int64)
     df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
-    idf = np.log((1 + df[-1]) / (1 + df[:-1]))
     toxic = held.column("toxic").to_pylist()
-    telling = telling_terms(terms, np.repeat(toxic, pc.list_value_length(held.column("terms")).to_numpy()), toxic, list(vocabulary), max_terms, least_z)
-    examples = list(zip(held.column("doc_id").to_pylist(), toxic, np.split(terms, edges), np.split(tf, edges), strict=True)) if toxic else []
+    weight = np.log((1 + df[-1]) / (1 + df[:-1])) * relevance(terms, np.repeat(np.array(toxic, np.int64), lengths), toxic, len(vocabulary))
+    made = []
+    for i, y, t, n in zip(held.column("doc_id").to_pylist(), toxic, np.split(terms, np.cumsum(lengths)[:-1]), np.split(tf, np.cumsum(lengths)[:-1]), strict=True) if toxic else []:
+        order = np.argsort(t)
+        made.append((i, y, t[order], n[order]))
     n = [toxic.count(y) or 1 for y in (0, 1)]
-    return Model(vocabulary, idf, telling, examples, (sizes[0] / n[0], sizes[1] / n[1]), k)
+    model = Model(vocabulary, weight, made, (sizes[0] / n[0], sizes[1] / n[1]), k)
+    votes = examples.repartition(16, "doc_id").mapInArrow(_own_votes(ship(spark, model)), "toxic int, vote double").toArrow()  # two numbers for each example
+    if votes.num_rows:
+        model.calibrate(votes.column("vote").to_numpy(), votes.column("toxic").to_numpy().astype(np.int64))
+    return model
 
 
 # --- operator ----------------------------------------------------------------------------------------
 
+_OUT = "doc_id long, held_out boolean, score double, predicted int"
 
-def _score(model, folds: int, with_evidence: bool, carry: list[str]):
-    name = uuid.uuid4().hex
 
+def _score(shipped, folds: int, with_evidence: bool, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = worker_state("toxicity")
-        if state.get("name") != name:
-            state.update(name=name, model=pickle.loads(model.value))
-        m = state["model"]
+        model = of_worker(shipped)
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            found = [m.score(x) for x in utf8(b.column("text"))]
+            found = [model.score(x) for x in utf8(b.column("text"))]
             p = [s for s, _ in found]
             held = [None if i is None else zlib.crc32(str(i).encode()) % folds == 0 for i in ids]
             columns = {"doc_id": (ids, pa.int64()), "held_out": (held, pa.bool_()), "score": (p, pa.float64()), "predicted": ([int(x >= 0.5) for x in p], pa.int32())}
@@ -308,9 +323,9 @@ def _score(model, folds: int, with_evidence: bool, carry: list[str]):
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, with_evidence: bool = False, carry: list[str] | None = None, **fitting) -> DataFrame:
     """(doc_id, held_out, score, predicted[, evidence]) of ``docs(doc_id, text)``, and the columns of ``carry`` as they are."""
-    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).select("doc_id", "text", *(c for c in carry or [] if c not in ("doc_id", "text")))
-    model = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(fit(docs.select("doc_id", "text"), labels, folds, **fitting)))
-    schema = "doc_id long, held_out boolean, score double, predicted int" + ", evidence array<struct<doc_id long, similarity double, toxic int>>" * with_evidence
-    also = [f for f in docs.schema.fields if f.name != "doc_id" and f.name in (carry or [])]
-    schema = T.StructType([*also, *T._parse_datatype_string(schema).fields])
-    return docs.mapInArrow(_score(model, folds, with_evidence, [f.name for f in also]), schema)
+    schema = T._parse_datatype_string(_OUT + ", evidence array<struct<doc_id long, similarity double, toxic int>>" * with_evidence)
+    also = [c for c in dict.fromkeys(carry or []) if c not in schema.names]
+    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).select("doc_id", "text", *(c for c in also if c != "text"))
+    shipped = ship(docs.sparkSession, fit(docs.select("doc_id", "text"), labels, folds, **fitting))
+    schema = T.StructType([*(docs.schema[c] for c in also), *schema.fields])
+    return docs.mapInArrow(_score(shipped, folds, with_evidence, also), schema)
