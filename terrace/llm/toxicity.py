@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from .common import batch, cut, utf8, worker_state
 
 #: Examples in a block, and blocks that are scored before bounds are compared.
-BLOCK, FIRST = 32, 2
+BLOCK, FIRST = 64, 1
 #: The cosine from which a text counts as a copy of an example.
 SAME = 0.95
 _EDGE = b".,;:!?\"'()[]{}<>"
@@ -86,20 +86,23 @@ class Index:
     def lists(self) -> tuple[np.ndarray, np.ndarray]:
         """(where each term's postings of each block begin, the greatest weight among them, rounded up)."""
         if self._made is None:
-            cell = self.terms * self.blocks + self.who // BLOCK
-            starts = np.append(0, np.cumsum(np.bincount(cell, minlength=self.size * self.blocks)))
+            cell = self.terms * self.blocks + self.who // BLOCK  # ascending, for so are the examples of a term
+            starts = np.zeros(self.size * self.blocks + 1, np.int32)
+            found, count = np.unique(cell, return_counts=True)
+            starts[found + 1] = count
+            np.cumsum(starts, out=starts)
             most = np.zeros(self.size * self.blocks, np.float32)
-            full = np.flatnonzero(np.diff(starts))
+            full = np.flatnonzero(starts[1:] > starts[:-1])
             if len(full):
                 most[full] = np.nextafter(np.maximum.reduceat(self.weights, starts[full]).astype(np.float32), np.float32(2))
-            self._made = starts.astype(np.int64), most.reshape(self.size, self.blocks)
+            self._made = starts, most.reshape(self.size, self.blocks)
         return self._made
 
     def _scores(self, score: np.ndarray, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> None:
         """Add the scores of all examples of some blocks."""
         starts = self.lists()[0]
         cells = (terms[:, None] * self.blocks + blocks).ravel()
-        lo = starts[cells]
+        lo = starts[cells].astype(np.int64)
         n = starts[cells + 1] - lo
         full = np.flatnonzero(n)
         lo, n = lo[full], n[full]
