@@ -44,7 +44,7 @@ from .common import answer, ask, batch, block_texts, components, cut, document_b
 
 K_WORDS = 5
 #: Bytes of text in a block, bytes of a name when frequencies are counted, and of a frequency (clipped).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _NAME, _COUNT = 5, 2
 _SHIFT = np.uint64(64 - 8 * _NAME)
 
@@ -232,7 +232,7 @@ def _groups(docs: DataFrame, percent: int = 80, common: int = 100) -> tuple[Data
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = document_blocks(docs, BLOCK_BYTES)
     volume = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    bits = max(4, (volume >> 23).bit_length())  # about a million shingles in a range
+    bits = max(4, (volume >> 22).bit_length())  # under a million shingles in a range
     answers = blocks.mapInArrow(_ask(bits), "bucket long, block long, blob binary").groupBy("bucket").applyInArrow(_answer(bits), "block long, bucket long, blob binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
     schema = "kind byte, key long, cls long, n long, place long, small boolean, bound boolean, doc_id long, block long"
