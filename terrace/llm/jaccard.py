@@ -115,7 +115,11 @@ def combinations(tokens: np.ndarray, places: np.ndarray, m: int) -> tuple[np.nda
 
 
 def prefix_keys(shingles: np.ndarray, count: np.ndarray, percent: int, common: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(key, place, may be the smaller set's, place bounds the overlap) of one set with its frequencies."""
+    """(key, place, may be the smaller set's, lead) of one set with its frequencies.
+
+    Shared shingles before ``place`` are at most ``lead``: none before a rare key, for it stands for the first shared
+    one; before a pair of frequent ones only frequent ones of other parts.
+    """
     n = len(shingles)
     small = n - -(-2 * percent * n // (100 + percent)) + 1
     large = n - -(-percent * n // 100) + 1
@@ -125,25 +129,25 @@ def prefix_keys(shingles: np.ndarray, count: np.ndarray, percent: int, common: i
         return
     tokens, count = shingles[order], count[order]
     rare = np.arange(alone, int(np.searchsorted(count[:large], common, "right")))
-    yield tokens[rare], rare, rare < small, np.ones(len(rare), bool)
-    own = parts_of(n)
+    yield tokens[rare], rare, rare < small, np.zeros(len(rare), np.int64)
+    own, all_rare = parts_of(n), int(np.searchsorted(count, common, "right"))
     for m in sorted({own, parts_of(n - large + 1)}):
         frequent = np.flatnonzero(count[: large + m] > common)
         key, first, second = combinations(tokens[frequent], frequent, m)
-        yield key, first, (second < small + m) & (m == own), np.full(len(key), m == 1)
+        yield key, first, (second < small + m) & (m == own), (first - all_rare) * (m > 1)
 
 
 def _postings(percent: int, common: int):
     def keys(out: list[tuple]) -> pa.RecordBatch:
-        key, cls, n, place, small, bound = (np.concatenate(x) for x in zip(*out, strict=True))
-        return batch({"kind": (np.ones(len(key), np.int8), pa.int8()), "key": (key.view(np.int64), pa.int64()), "cls": (cls, pa.int64()), "n": (n, pa.int64()), "place": (place, pa.int64()), "small": (small, pa.bool_()), "bound": (bound, pa.bool_()), "doc_id": ([None] * len(key), pa.int64()), "block": ([None] * len(key), pa.int64())})
+        key, cls, n, place, small, lead = (np.concatenate(x) for x in zip(*out, strict=True))
+        return batch({"kind": (np.ones(len(key), np.int8), pa.int8()), "key": (key.view(np.int64), pa.int64()), "cls": (cls, pa.int64()), "n": (n, pa.int64()), "place": (place, pa.int64()), "small": (small, pa.bool_()), "lead": (lead, pa.int64()), "doc_id": ([None] * len(key), pa.int64()), "block": ([None] * len(key), pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, ids, sizes, packed, answers in zip(*(b.column(c).to_pylist() for c in ("block", "ids", "sizes", "packed", "answers")), strict=True):
                 sets, names, first = _block_sets(sizes, packed)
                 size = len(ids)
-                yield batch({"kind": (np.zeros(size, np.int8), pa.int8()), "key": ([None] * size, pa.int64()), "cls": (names, pa.int64()), "n": ([len(s) for s in sets], pa.int64()), "place": (np.arange(size), pa.int64()), "small": ([None] * size, pa.bool_()), "bound": ([None] * size, pa.bool_()), "doc_id": (ids, pa.int64()), "block": ([block] * size, pa.int64())})
+                yield batch({"kind": (np.zeros(size, np.int8), pa.int8()), "key": ([None] * size, pa.int64()), "cls": (names, pa.int64()), "n": ([len(s) for s in sets], pa.int64()), "place": (np.arange(size), pa.int64()), "small": ([None] * size, pa.bool_()), "lead": ([None] * size, pa.int64()), "doc_id": (ids, pa.int64()), "block": ([block] * size, pa.int64())})
                 if not first:
                     continue
                 known = np.unique(np.concatenate([sets[i] for i in first]) >> _SHIFT)
@@ -151,8 +155,8 @@ def _postings(percent: int, common: int):
                 out, held = [], 0
                 for i in first:
                     count = total[np.searchsorted(known, sets[i] >> _SHIFT)]
-                    for key, place, small, bound in prefix_keys(sets[i], count, percent, common):
-                        out.append((key, np.full(len(key), names[i], np.int64), np.full(len(key), len(count), np.int64), place, small, bound))
+                    for key, place, small, lead in prefix_keys(sets[i], count, percent, common):
+                        out.append((key, np.full(len(key), names[i], np.int64), np.full(len(key), len(count), np.int64), place, small, lead))
                         held += len(key)
                         if held > 200_000:
                             yield keys(out)
@@ -178,7 +182,7 @@ def _fits(x: str, y: str, percent: int) -> str:
     return f"""
         {x}.cls <> {y}.cls and 100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)
         and case when {before} then {x}.small else {y}.small end
-        and (not {x}.bound or least({x}.n - {x}.place, {y}.n - {y}.place) * {100 + percent} >= {percent} * ({x}.n + {y}.n))
+        and (least({x}.lead, {y}.lead) + least({x}.n - {x}.place, {y}.n - {y}.place)) * {100 + percent} >= {percent} * ({x}.n + {y}.n)
     """
 
 
@@ -235,12 +239,12 @@ def _groups(docs: DataFrame, percent: int = 80, common: int = 100) -> tuple[Data
     bits = max(4, (volume >> 22).bit_length())  # under a million shingles in a range
     answers = blocks.mapInArrow(_ask(bits), "bucket long, block long, blob binary").groupBy("bucket").applyInArrow(_answer(bits), "block long, bucket long, blob binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
-    schema = "kind byte, key long, cls long, n long, place long, small boolean, bound boolean, doc_id long, block long"
+    schema = "kind byte, key long, cls long, n long, place long, small boolean, lead long, doc_id long, block long"
     made = cut(blocks.join(answers, "block", "left").mapInArrow(_postings(percent, common), schema))
     rows = made.where("kind = 0").select("doc_id", "n", "cls", "block", "place")
 
-    index = made.where("kind = 1").groupBy("key", "cls").agg(*(F.first(c).alias(c) for c in ("n", "place", "small", "bound")))
-    centers = index.groupBy("key").agg(F.count("*").alias("c"), F.min_by(F.struct("cls", "n", "place", "small", "bound"), F.struct(F.col("place") / F.col("n"), "cls")).alias("center")).where("c > 1")
+    index = made.where("kind = 1").groupBy("key", "cls").agg(*(F.first(c).alias(c) for c in ("n", "place", "small", "lead")))
+    centers = index.groupBy("key").agg(F.count("*").alias("c"), F.min_by(F.struct("cls", "n", "place", "small", "lead"), F.struct(F.col("place") / F.col("n"), "cls")).alias("center")).where("c > 1")
     index = cut(index.join(centers.select("key", "center"), "key"))
 
     stars = index.select("*", F.col("center").alias("z")).alias("y").where(_fits("z", "y", percent)).select(*_pair("z", "y")).distinct()

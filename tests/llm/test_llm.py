@@ -258,11 +258,11 @@ def test_combinations_are_exact():
         keys = []
         for s in (x, y):
             found = {}
-            for key, place, small, bound in jaccard.prefix_keys(s, np.array([freq[int(t)] for t in s], np.uint16), 80, 4):
-                found |= {int(k): (int(p), bool(z), bool(w)) for k, p, z, w in zip(key, place, small, bound, strict=True)}
+            for key, place, small, lead in jaccard.prefix_keys(s, np.array([freq[int(t)] for t in s], np.uint16), 80, 4):
+                found |= {int(k): (int(p), bool(z), int(w)) for k, p, z, w in zip(key, place, small, lead, strict=True)}
             keys.append(found)
         shared = [k for k in keys[0].keys() & keys[1].keys() if keys[0][k][1]]
-        assert any(not keys[0][k][2] or 180 * min(len(x) - keys[0][k][0], len(y) - keys[1][k][0]) >= 80 * (len(x) + len(y)) for k in shared)
+        assert any(180 * (min(keys[0][k][2], keys[1][k][2]) + min(len(x) - keys[0][k][0], len(y) - keys[1][k][0])) >= 80 * (len(x) + len(y)) for k in shared)
 
 
 def test_links_on_nothing(spark):
