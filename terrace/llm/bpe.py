@@ -6,7 +6,9 @@ library, as one batch. Byte-level vocabularies write each byte as one printable
 those back, and an id decodes to bytes. A character may be split over ids, so bytes are joined before they are
 read as UTF-8. Character offsets of a token follow from its bytes: the number of characters that begin before it.
 
-Defined cases: null text is empty and has no ids; special-token strings in a text are ordinary text.
+Defined cases: null text is empty and has no ids; special-token strings are ordinary text under a rank file, as in the
+encoding that it belongs to, and their own ids under a tokenizers file, as the library has it; null and repeated doc_ids
+stay as they are; an empty table gives an empty one; long texts are split like others; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+
 _ODD = re.compile("[^\t-\r -~¡-±´-¸º»¿-ʯ‐-⁞€]")
 #: Pieces whose ids a worker keeps.
 KEEP = 600_000
+#: Characters of the longest piece that is kept, so that the cache is bounded in bytes as well.
+LONGEST = 200
 
 
 def byte_characters() -> dict[str, int]:
@@ -74,9 +78,11 @@ class Encoder:
             self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         else:
             self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
+        # a tokenizers file names strings that are one token wherever they stand; a rank file has none
+        self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.bytes_of = {i: t for t, i in self.vocabulary.items()}
-        self.seen: dict[str, bytes] = {}
+        self.seen: dict[str, bytes] = {**self.special}
         self.exact = regex.compile(PATTERN)
 
     def _merges(self) -> list[tuple[bytes, bytes]]:
@@ -98,6 +104,15 @@ class Encoder:
         return made
 
     def split(self, text: str) -> list[str]:
+        if self.cut and self.cut.search(text):
+            out, at = [], 0
+            for m in self.cut.finditer(text):
+                out += [*self.pieces(text[at : m.start()]), m[0]]
+                at = m.end()
+            return out + self.pieces(text[at:])
+        return self.pieces(text)
+
+    def pieces(self, text: str) -> list[str]:
         return (self.exact if _ODD.search(text) else _PLAIN).findall(text)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -106,14 +121,17 @@ class Encoder:
             split = [self.split(x) if x else [] for x in texts[at : at + 1000]]
             new = list(set().union(*split).difference(self.seen))
             if len(self.seen) + len(new) > KEEP:
-                self.seen.clear()
-                new = list(set().union(*split))
+                self.seen = {**self.special}
+                new = list(set().union(*split).difference(self.seen))
             for lo in range(0, len(new), 20_000):
                 part = new[lo : lo + 20_000]
                 for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                     self.seen[piece] = np.array(e.ids, "<u4").tobytes()
             for pieces in split:
                 yield b"".join(map(self.seen.__getitem__, pieces))
+            for piece in new:
+                if len(piece) > LONGEST:
+                    del self.seen[piece]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -3,16 +3,18 @@
 A word's score is log(c(context word) / c(context)) for the longest n-gram (up to ``order`` words) that another
 document has, plus log(alpha) for each step down (Brants et al., 2007); single words score log(c / N), and a word
 that no other document has log(1 / (N + 1)). A document's own occurrences are subtracted from every count, else
-it would always find its own n-grams. A document's score is the sum over its words, and the mean.
+it would always find its own n-grams. A document's score is the mean over its words; the sum follows.
 
-Plan. Each task explodes the n-grams of a block of documents into names, pre-aggregates them and ships each hash
+Plan. Documents are dealt to written blocks, so that a block holds the same documents in every pass and after a lost
+executor. Each task explodes the n-grams of a block of documents into names, pre-aggregates them and ships each hash
 range of each order as one sorted, compressed array: 4 to 5 bytes a distinct n-gram and block instead of a row. One
 task per (order, range) sums the counts and answers every block with the totals of the n-grams that it asked about;
 the answers are joined to the blocks, where counts meet the words again. Names are 56-bit hashes. A frequent
 n-gram costs one entry per block, so no key is hot, and ranges are sized by the corpus.
 
-Words are ``[^\\x20\\x09-\\x0D]+``, A-Z folded. Defined cases: null, empty or blank text has no words, score 0 and mean
-null; a repeated row is another document and counts as such; null doc_ids stay; extra columns are ignored.
+Words are ``[^\\x20\\x09-\\x0D]+``, A-Z folded. Defined cases: null, empty or blank text has no words, score null and
+total 0; a repeated row is another document and counts as such; null doc_ids stay; an empty table gives an empty one; a
+long text is a block of its own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,47 +25,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, gram_names, utf8, word_names
+from .common import answer, ask, batch, block_texts, document_blocks, gram_names, unplanes, word_names
 
 #: Bytes of text in a block of documents.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 _BITS = 56
 
 
 # --- blocks ------------------------------------------------------------------------------------------
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes]]]:
-    """(block, doc_ids, texts); a block's number depends on its partition and place only."""
-    ids, texts, size, number = [], [], 0, 0
-    part = TaskContext.get().partitionId() << 32
-    for b in batches:
-        for doc, text in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), strict=True):
-            ids.append(doc)
-            texts.append(text)
-            size += len(text)
-            if size >= BLOCK_BYTES:
-                yield part + number, ids, texts
-                ids, texts, size, number = [], [], 0, number + 1
-    if ids:
-        yield part + number, ids, texts
-
-
-def planes(values: np.ndarray, width: int) -> bytes:
-    """The lowest ``width`` bytes of each value, byte by byte, so that equal high bytes stand together."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]).tobytes()
-
-
-def unplanes(raw: bytes, n: int, width: int, at: int = 0) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n).T
-    return out.view("<u8").ravel()
-
-
 class BlockGrams:
     """The n-grams of a block of texts: per order the distinct names and, per word, which one ends there."""
 
@@ -86,44 +60,24 @@ class BlockGrams:
 # --- counting ----------------------------------------------------------------------------------------
 
 
-def _edges(names: np.ndarray, bits: int) -> np.ndarray:
-    return np.append(np.searchsorted(names, np.arange(1 << bits, dtype=np.uint64) << np.uint64(_BITS - bits)), len(names))
-
-
 def _ask(order: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for block, _, texts in _blocks(batches):
-            grams = BlockGrams(texts, order)
-            for k in range(1, order + 1):
-                names, counts = np.unique(grams.of(k)[0], return_counts=True)
-                edges = _edges(names, bits)
-                full = np.flatnonzero(np.diff(edges))
-                blobs = []
-                for i in full.tolist():
-                    lo, hi = int(edges[i]), int(edges[i + 1])
-                    gaps = np.diff(names[lo:hi], prepend=np.uint64(i << (_BITS - bits)))
-                    blobs.append(squeeze(np.int64(hi - lo).tobytes() + planes(gaps, _BITS // 8) + planes(counts[lo:hi], 4)))
-                n = len(full)
-                yield batch({"k": ([k] * n, pa.int32()), "bucket": (full, pa.int32()), "block": ([block] * n, pa.int64()), "blob": (blobs, pa.binary())})
+        for b in batches:
+            for block, sizes, packed in zip(*(b.column(c).to_pylist() for c in ("block", "sizes", "packed")), strict=True):
+                grams = BlockGrams(block_texts(sizes, packed), order)
+                for k in range(1, order + 1):
+                    buckets, blobs = ask(*np.unique(grams.of(k)[0], return_counts=True), _BITS // 8, bits)
+                    n = len(blobs)
+                    yield batch({"k": ([k] * n, pa.int32()), "bucket": (buckets, pa.int64()), "block": ([block] * n, pa.int64()), "blob": (blobs, pa.binary())})
 
     return run
 
 
 def _answer(bits: int):
     def run(table: pa.Table) -> pa.Table:
-        unpack, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-        bucket, names, counts = table.column("bucket")[0].as_py(), [], []
-        for blob in table.column("blob"):
-            raw = unpack(blob.as_py())
-            n = int(np.frombuffer(raw, np.int64, 1)[0])
-            names.append(np.cumsum(unplanes(raw, n, _BITS // 8, 8), dtype=np.uint64))
-            counts.append(unplanes(raw, n, 4, 8 + n * (_BITS // 8)).astype(np.int64))
-        ends = np.cumsum([len(x) for x in names])[:-1]
-        which = np.unique(np.concatenate(names), return_inverse=True)[1]
-        totals = np.bincount(which, np.concatenate(counts)).astype(np.int64)
-        answers = [squeeze(planes(x, 6)) for x in np.split(totals[which], ends)]
-        return pa.table({"k": table.column("k"), "bucket": pa.array([bucket] * len(answers), pa.int32()), "block": table.column("block"), "blob": pa.array(answers, pa.binary())})
+        bucket = table.column("bucket")[0].as_py()
+        blobs = answer([x.as_py() for x in table.column("blob")], bucket, _BITS // 8, bits, 6)
+        return pa.table({"k": table.column("k"), "bucket": table.column("bucket"), "block": table.column("block"), "blob": pa.array(blobs, pa.binary())})
 
     return run
 
@@ -131,13 +85,6 @@ def _answer(bits: int):
 # --- scoring -----------------------------------------------------------------------------------------
 
 
-def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=3).compress
-    for block, ids, texts in _blocks(batches):
-        sizes = np.array([len(x) for x in texts], np.int64)
-        yield batch({"block": ([block], pa.int64()), "ids": ([ids], pa.list_(pa.int64())), "sizes": ([sizes], pa.list_(pa.int64())), "packed": ([squeeze(b"".join(texts))], pa.binary())})
-
-
 def backoff_scores(grams: BlockGrams, totals: list[np.ndarray], n_all: int, alpha: float) -> np.ndarray:
     """The sum of word scores per document; totals[k - 1] has the corpus count of each distinct k-gram."""
     n = len(grams.words)
@@ -167,35 +114,31 @@ def _score(order: int, alpha: float, n_all: int):
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             for ids, sizes, packed, answers in zip(*(b.column(c).to_pylist() for c in ("ids", "sizes", "packed", "answers")), strict=True):
-                raw, at, texts = unpack(packed), 0, []
-                for s in sizes:
-                    texts.append(raw[at : at + s])
-                    at += s
-                grams = BlockGrams(texts, order)
+                grams = BlockGrams(block_texts(sizes, packed), order)
                 totals = []
                 for k in range(1, order + 1):
                     parts = [unpack(x["blob"]) for x in sorted(answers or [], key=lambda x: x["bucket"]) if x["k"] == k]
                     totals.append(np.concatenate([unplanes(x, len(x) // 6, 6).astype(np.int64) for x in parts]) if parts else np.zeros(0, np.int64))
                 total = backoff_scores(grams, totals, n_all, alpha)
                 mean = [t / n if n else None for t, n in zip(total.tolist(), grams.sizes.tolist(), strict=True)]
-                yield batch({"doc_id": (ids, pa.int64()), "n_words": (grams.sizes, pa.int64()), "log_score": (total, pa.float64()), "mean_log_score": (mean, pa.float64())})
+                yield batch({"doc_id": (ids, pa.int64()), "n_words": (grams.sizes, pa.int64()), "score": (mean, pa.float64()), "total_score": (total, pa.float64())})
 
     return run
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield batch({"n": ([sum(len(word_names(x, True)) for x in utf8(b.column("text")))], pa.int64())})
+        texts = (x for sizes, packed in zip(b.column("sizes").to_pylist(), b.column("packed").to_pylist(), strict=True) for x in block_texts(sizes, packed))
+        yield batch({"n": ([sum(len(word_names(x, True)) for x in texts)], pa.int64())})
 
 
 def score(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log_score) of ``docs(doc_id, text)``."""
+    """(doc_id, n_words, score, total_score) of ``docs(doc_id, text)``; score is the mean over a document's words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n_all = docs.select("text").mapInArrow(_count_words, "n long").agg(F.sum("n")).first()[0] or 0
-    bits = min(16, max(4, (n_all >> 20).bit_length()))
-    asked = docs.mapInArrow(_ask(order, bits), "k int, bucket int, block long, blob binary")
-    answers = asked.groupBy("k", "bucket").applyInArrow(_answer(bits), "k int, bucket int, block long, blob binary")
+    blocks = document_blocks(docs, BLOCK_BYTES)
+    size = blocks.mapInArrow(_count_words, "n long").agg(F.sum("n")).first()[0] or 0
+    bits = max(4, (size >> 20).bit_length())  # about a million words in a range
+    asked = blocks.mapInArrow(_ask(order, bits), "k int, bucket long, block long, blob binary")
+    answers = asked.groupBy("k", "bucket").applyInArrow(_answer(bits), "k int, bucket long, block long, blob binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("k", "bucket", "blob")).alias("answers"))
-    blocks = docs.mapInArrow(_pack_blocks, "block long, ids array<long>, sizes array<long>, packed binary")
-    schema = "doc_id long, n_words long, log_score double, mean_log_score double"
-    return blocks.join(answers, "block", "left").mapInArrow(_score(order, alpha, n_all), schema)
+    return blocks.join(answers, "block", "left").mapInArrow(_score(order, alpha, size), "doc_id long, n_words long, score double, total_score double")

@@ -9,8 +9,9 @@ Packing needs lengths only, so ids never move: tokenising yields one short row p
 groups of about ``group_pieces`` by a hash of their document, and each group is packed in one task. A group's
 size is bounded, so its open sequences at the end are a fixed share of the total, whatever the input size.
 
-Defined cases: null or empty text gives one piece that holds the end token; equal doc_ids stay separate pieces
-only if their rows differ in position (rows are told apart by a row number inside their group).
+Defined cases: null or empty text gives one piece that holds the end token; null and repeated doc_ids are packed like
+others, a row's pieces for each row; ties in length go by doc_id, piece and content; long texts are cut into sequences;
+an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Each document is one row throughout: n-grams are arrays, counted per bucket by o
 aggregation (at most ``buckets`` rows leave a task), and the weights come back as one constant array.
 
 Defined cases: null text has no words; no trusted document at all gives every n-gram weight 0; null doc_ids stay;
-repeated rows are judged alike; extra columns are ignored; rows of ``labels`` with null quality are not trusted.
+repeated rows are judged alike; extra columns are ignored; rows of ``labels`` with null quality are not trusted; an empty
+table gives an empty one; long texts are one row like others.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 _SPACES = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
 
@@ -92,4 +95,5 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = 10_000, max_trusted
     total = F.aggregate("grams", F.lit(0).cast("long"), lambda a, b: a + F.get(weights, b))
     base = base.withColumn("score", F.when(F.size("grams") > 0, total / F.size("grams") / 1e6).otherwise(F.lit(0.0)))
     base = base.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return base.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))
+    # written, so that a filter on the result reads columns instead of repeating the array expressions inside itself
+    return cut(base.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept")))

@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and spans found by probabilistic automata inferred from labelled credentials.
 
 The fixed patterns give three kinds of spans, which always stay. Their values are also the labelled credentials:
-per kind, at most ``max_examples`` distinct values, chosen by a hash, go to the driver, where ALERGIA (Carrasco and
+per kind, at most ``max_examples`` distinct values of up to ``max_length`` characters, chosen by a hash, go to the driver
+(the two bound the fit; longer values are still found and scored), where ALERGIA (Carrasco and
 Oncina, 1994) builds their prefix tree over character classes and merges states whose outcome frequencies are
 compatible by Hoeffding's bound. The result is one automaton per kind, of bounded size.
 
@@ -13,8 +14,10 @@ automata learned without them, and at least 0. A candidate is a secret of format
 scores best of those whose threshold it reaches. A run that base spans cover in part is a secret if it
 or the parts that they leave, joined, are one; if not, each of these parts is scored by itself.
 
-Defined cases: null text is empty and has no spans; without labelled credentials only base spans are found.
-Positions are code points, ends exclusive.
+Defined cases: null text is empty and has no spans; without labelled credentials only base spans are found; null and
+repeated doc_ids stay as they are, rows with equal texts have equal spans; an empty table gives an empty one; time is in
+proportion to a text's length; ``carry`` leaves out columns named like those of the result. Positions are code points,
+ends exclusive.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_LENGTH = 12
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}")
-_MIXED = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]")
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -230,20 +233,28 @@ class Model:
 
     def kind(self, word: str) -> str | None:
         """The format of a candidate that is a secret."""
-        if not _MIXED.search(word):
+        if not (_DIGIT.search(word) and _LETTER.search(word)):
             return None
         found = [(g, kind) for kind, logs in self.logs.items() if (g := self.gain(logs, word)) >= self.least[kind]]
         return max(found)[1] if found else None
 
     def spans(self, text: str, base: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, str, int]]:
         """(start, kind, end) of the secrets that base spans do not cover."""
+        held: list[list[int]] = []  # what base spans cover, as disjoint runs
+        for s, _, e, _ in base:
+            if held and s <= held[-1][1]:
+                held[-1][1] = max(held[-1][1], e)
+            else:
+                held.append([s, e])
+        first = 0
         for m in _CANDIDATE.finditer(text):
             start, end = m.span()
-            left, at = [], start
-            for s, _, e, _ in base:
-                if s < end and at < e:
-                    left += [(at, s)] if s > at else []
-                    at = e
+            while first < len(held) and held[first][1] <= start:
+                first += 1
+            left, at, i = [], start, first
+            while i < len(held) and held[i][0] < end:
+                left += [(at, held[i][0])] if held[i][0] > at else []
+                at, i = held[i][1], i + 1
             left += [(at, end)] if at < end else []
             if not left:
                 continue
@@ -274,9 +285,9 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch({"kind": (kinds + [-1] * len(pairs), pa.int32()), "value": (values + [str(i) for i in pairs.tolist()], pa.string()), "n": (n, pa.int64())})
 
 
-def fit(docs: DataFrame, max_examples: int = 400, alpha: float = 0.05, miss: float = 0.02) -> Model:
-    """The automata of the kinds that have examples, and the background of all texts."""
-    found = docs.mapInArrow(_examples, "kind int, value string, n long").where("length(value) <= 200")
+def fit(docs: DataFrame, max_examples: int = 400, alpha: float = 0.05, miss: float = 0.02, max_length: int = 200) -> Model:
+    """The automata of the kinds that have examples, and the background of all texts; one pass over the texts."""
+    found = docs.mapInArrow(_examples, "kind int, value string, n long").where(F.length("value") <= max_length)
     found = cut(found.groupBy("kind", "value").agg(F.sum("n").alias("n")))
     made, counts = {}, np.zeros((_EDGE + 1) ** 2, np.int64)
     for r in found.where("kind = -1").collect():  # at most 49 pairs
@@ -325,6 +336,7 @@ def scan(docs: DataFrame, max_examples: int = 400, alpha: float = 0.05, miss: fl
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).select("doc_id", "text", *(c for c in carry or [] if c not in ("doc_id", "text")))
     model = fit(docs.select("text"), max_examples, alpha, miss)
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", clean_text string" * (redact is not None)
-    also = [f for f in docs.schema.fields if f.name != "doc_id" and f.name in (carry or [])]
-    schema = T.StructType([*also, *T._parse_datatype_string(schema).fields])
+    schema = T._parse_datatype_string(schema)
+    also = [f for f in docs.schema.fields if f.name not in schema.names and f.name in (carry or [])]
+    schema = T.StructType([*also, *schema.fields])
     return docs.mapInArrow(_scan(model, redact, [f.name for f in also]), schema)

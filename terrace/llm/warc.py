@@ -11,7 +11,8 @@ end, so a task that is run again replaces its file. Folders may be local (file:)
 
 Defined cases: null payload is empty; a null url is written as ``urn:none``; payloads under ``least`` bytes are
 never revisits; repeated rows are
-responses both, for neither has the smaller id; a null page_id with a repeated payload is a response.
+responses both, for neither has the smaller id; a null page_id with a repeated payload is a response; an empty table
+writes no archive; a long payload is one record; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -151,21 +152,21 @@ def _normalise(source: str, target: str, level: int):
 
 
 def _index(folder: str, block: int):
-    """Blocks of neighbouring members: (file, offset, length) of about ``block`` bytes."""
+    """Blocks of neighbouring members of about ``block`` bytes: (file, offset, lengths of the members)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
         for b in batches:
             for name in b.column("file").to_pylist():
-                starts, end = [], 0
+                starts, members = [], []
                 with store.open_input_stream(f"{root}/{name}.idx", compression=None) as file:
                     for line in file.read().decode().splitlines():
                         _, offset, length = line.split("\t")
                         if not starts or int(offset) - starts[-1] >= block:
                             starts.append(int(offset))
-                        end = int(offset) + int(length)
-                stops = [*starts[1:], end]
-                yield batch({"file": ([name] * len(starts), pa.string()), "offset": (starts, pa.int64()), "length": ([z - a for a, z in zip(starts, stops, strict=True)] if starts else [], pa.int64())})
+                            members.append([])
+                        members[-1].append(int(length))
+                yield batch({"file": ([name] * len(starts), pa.string()), "offset": (starts, pa.int64()), "lengths": (members, pa.list_(pa.int64()))})
 
     return run
 
@@ -182,13 +183,13 @@ def _read(folder: str, with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
         for b in batches:
-            for name, offset, length in zip(*(b.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
-                out, payloads = [], []
+            for name, offset, lengths in zip(*(b.column(c).to_pylist() for c in ("file", "offset", "lengths")), strict=True):
+                out, payloads, at = [], [], 0
                 with store.open_input_file(f"{root}/{name}") as file:
-                    data = file.read_at(length, offset)
-                while data:  # a member for each record
-                    engine = zlib.decompressobj(_GZIP)
-                    whole, data = engine.decompress(data), engine.unused_data
+                    data = memoryview(file.read_at(sum(lengths), offset))
+                for length in lengths:  # a member for each record
+                    whole = zlib.decompress(data[at : at + length], _GZIP)
+                    at += length
                     cut = whole.index(b"\r\n\r\n")
                     head = parse_head(whole[:cut])
                     payload = whole[cut + 4 : cut + 4 + int(head["content-length"])]
@@ -217,7 +218,9 @@ def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     pages = pages.withColumn("digest", F.sha2("payload", 256))
     first = pages.where(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("c")).where("c > 1")
-    pages = pages.join(first.select("digest", "first_id"), "digest", "left")
+    # short payloads meet no other, so they do not go to one place by their common digest
+    key = F.when(F.length("payload") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    pages = pages.withColumn("key", key).join(first.select(F.col("digest").alias("key"), "first_id"), "key", "left")
     return pages.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id")).alias("refers_to"))
 
 
@@ -228,6 +231,12 @@ def write_archives(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
     return pages.mapInArrow(_write(folder, level), "file string, records long")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a written table that stand for much work each, dealt evenly: one to a task, more from 10,000 rows on."""
+    n = rows.count()
+    return rows.repartition(max(1, -(-n // (1 + n // 10_000))))
+
+
 def normalise(files: DataFrame, source: str, target: str, level: int = 6) -> DataFrame:
     """Rewrite the named archives of ``source`` as one member per record, each with a sidecar index."""
     store, root = _store(target)
@@ -237,8 +246,8 @@ def normalise(files: DataFrame, source: str, target: str, level: int = 6) -> Dat
 
 def read_archives(files: DataFrame, folder: str, with_payload: bool = False, block: int = 8 << 20) -> DataFrame:
     """The records of the named archives by their indexes."""
-    blocks = files.select("file").mapInArrow(_index(folder, block), "file string, offset long, length long")
-    return blocks.repartition("file", "offset").mapInArrow(_read(folder, with_payload), _RECORD + ", payload binary" * with_payload)
+    blocks = cut(spread(files.select("file")).mapInArrow(_index(folder, block), "file string, offset long, lengths array<long>"))
+    return spread(blocks).mapInArrow(_read(folder, with_payload), _RECORD + ", payload binary" * with_payload)
 
 
 def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
@@ -248,5 +257,5 @@ def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
     marked = with_revisits(pages, least)
     written = write_archives(marked, f"{base}/raw").select("file", "records")
     written = cut(written)
-    done = cut(normalise(written.repartition("file"), f"{base}/raw", f"{base}/records"))
+    done = cut(normalise(spread(written), f"{base}/raw", f"{base}/records"))
     return read_archives(done, f"{base}/records")
