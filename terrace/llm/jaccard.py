@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,14 +141,15 @@ def prefix_keys(shingles: np.ndarray, count: np.ndarray, percent: int, common: i
 def _postings(percent: int, common: int):
     def keys(out: list[tuple]) -> pa.RecordBatch:
         key, cls, n, place, small, lead = (np.concatenate(x) for x in zip(*out, strict=True))
-        return batch({"kind": (np.ones(len(key), np.int8), pa.int8()), "key": (key.view(np.int64), pa.int64()), "cls": (cls, pa.int64()), "n": (n, pa.int64()), "place": (place, pa.int64()), "small": (small, pa.bool_()), "lead": (lead, pa.int64()), "doc_id": ([None] * len(key), pa.int64()), "block": ([None] * len(key), pa.int64())})
+        return batch({"kind": (np.ones(len(key), np.int8), pa.int8()), "key": (key.view(np.int64), pa.int64()), "cls": (cls, pa.int64()), "n": (n, pa.int64()), "place": (place, pa.int64()), "small": (small, pa.bool_()), "lead": (lead, pa.int64()), "doc_id": ([None] * len(key), pa.int64()), "block": ([None] * len(key), pa.int64()), "text_hash": ([None] * len(key), pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, ids, sizes, packed, answers in zip(*(b.column(c).to_pylist() for c in ("block", "ids", "sizes", "packed", "answers")), strict=True):
                 sets, names, first = _block_sets(sizes, packed)
                 size = len(ids)
-                yield batch({"kind": (np.zeros(size, np.int8), pa.int8()), "key": ([None] * size, pa.int64()), "cls": (names, pa.int64()), "n": ([len(s) for s in sets], pa.int64()), "place": (np.arange(size), pa.int64()), "small": ([None] * size, pa.bool_()), "lead": ([None] * size, pa.int64()), "doc_id": (ids, pa.int64()), "block": ([block] * size, pa.int64())})
+                hashes = np.array([xxhash.xxh64_intdigest(x, 42) for x in block_texts(sizes, packed)], np.uint64).view(np.int64)  # as Spark's xxhash64
+                yield batch({"kind": (np.zeros(size, np.int8), pa.int8()), "key": ([None] * size, pa.int64()), "cls": (names, pa.int64()), "n": ([len(s) for s in sets], pa.int64()), "place": (np.arange(size), pa.int64()), "small": ([None] * size, pa.bool_()), "lead": ([None] * size, pa.int64()), "doc_id": (ids, pa.int64()), "block": ([block] * size, pa.int64()), "text_hash": (hashes, pa.int64())})
                 if not first:
                     continue
                 known = np.unique(np.concatenate([sets[i] for i in first]) >> _SHIFT)
@@ -230,7 +232,7 @@ def _pair(x: str, y: str) -> list:
 
 
 def _groups(docs: DataFrame, percent: int = 80, common: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, cls, block, place) of each row, and (cls, component) of each class that links."""
+    """(doc_id, n, cls, block, place, text_hash) of each row, and (cls, component) of each class that links."""
     if not 67 <= percent <= 100:
         raise ValueError("prefixes hold two shared shingles only from 67 percent on")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -239,9 +241,9 @@ def _groups(docs: DataFrame, percent: int = 80, common: int = 100) -> tuple[Data
     bits = max(4, (volume >> 22).bit_length())  # under a million shingles in a range
     answers = blocks.mapInArrow(_ask(bits), "bucket long, block long, blob binary").groupBy("bucket").applyInArrow(_answer(bits), "block long, bucket long, blob binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
-    schema = "kind byte, key long, cls long, n long, place long, small boolean, lead long, doc_id long, block long"
+    schema = "kind byte, key long, cls long, n long, place long, small boolean, lead long, doc_id long, block long, text_hash long"
     made = cut(blocks.join(answers, "block", "left").mapInArrow(_postings(percent, common), schema))
-    rows = made.where("kind = 0").select("doc_id", "n", "cls", "block", "place")
+    rows = made.where("kind = 0").select("doc_id", "n", "cls", "block", "place", "text_hash")
 
     index = made.where("kind = 1").groupBy("key", "cls").agg(*(F.first(c).alias(c) for c in ("n", "place", "small", "lead")))
     centers = index.groupBy("key").agg(F.count("*").alias("c"), F.min_by(F.struct("cls", "n", "place", "small", "lead"), F.struct(F.col("place") / F.col("n"), "cls")).alias("center")).where("c > 1")
@@ -273,24 +275,18 @@ def linked_groups(docs: DataFrame, **limits) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows as they are, with the name of the class of each."""
-    for b in batches:
-        names = [class_name(shingle_set(x, K_WORDS)) for x in utf8(b.column("text"))]
-        yield batch({c: (b.column(c), b.column(c).type) for c in b.schema.names if c != "class_name"} | {"class_name": (names, pa.int64())})
-
-
 def survivors(docs: DataFrame, **limits) -> DataFrame:
     """One row of each group of linked classes, and of each (doc_id, text) without shingles, with all columns.
 
-    It is the row with the smallest doc_id, null ids last; ids decide nothing else, so they may be null or repeated.
+    It is the row with the smallest doc_id, null ids last; ids decide nothing else, so they may be null or repeated. Rows
+    are found again by doc_id and a 64-bit hash of the text; of rows that have both in common one stays.
     """
     rows, groups = _groups(docs, **limits)
-    names = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"))
-    names = names.join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    chosen = names.groupBy("component").agg(F.min_by("cls", F.struct(F.isnull("class_id"), "class_id", "cls")).alias("class_name")).select("class_name")
-    named = docs.mapInArrow(_named, docs.select("*", F.lit(0).cast("long").alias("class_name")).schema)
-    first = F.min_by(F.struct(*docs.columns), F.struct(F.isnull("doc_id"), "doc_id", F.xxhash64("text")))
-    # one row of each class before the join, so that exact copies meet no join
-    some = named.where("class_name <> 0").groupBy("class_name").agg(first.alias("r")).join(chosen, "class_name", "left_semi").select("r.*")
-    return some.unionByName(named.where("class_name = 0").drop("class_name").dropDuplicates(["doc_id", "text"]))
+    some = rows.where("n > 0").join(groups.withColumnRenamed("id", "cls"), "cls", "left").groupBy(F.coalesce("component", "cls").alias("component"))
+    some = some.agg(F.min(F.struct(F.isnull("doc_id").alias("without_id"), F.coalesce("doc_id", F.lit(0)).alias("own_id"), "text_hash")).alias("r")).select("r.*")
+    bare = rows.where("n = 0").select(F.isnull("doc_id").alias("without_id"), F.coalesce("doc_id", F.lit(0)).alias("own_id"), "text_hash")
+    kept = cut(some.union(bare).distinct())
+    keys = ["without_id", "own_id", "text_hash"]
+    own = F.col("doc_id").cast("long")
+    named = docs.withColumns({"without_id": F.isnull(own), "own_id": F.coalesce(own, F.lit(0)), "text_hash": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    return named.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
