@@ -24,7 +24,8 @@ span rank, plus one row that tells the anchor's own group of them.
 
 Defined cases: null text is empty; a text under ``length`` bytes keeps all;
 a repeated row is the same document, not an earlier
-one, so both get the same result; a null doc_id is no earlier document for others; extra columns are ignored.
+one, so both get the same result; documents with a null doc_id come after the others, ordered by a hash of their text,
+and equal ones are one document; extra columns are ignored. Not defined: different texts under one doc_id.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,13 +51,18 @@ STEP = 8
 SPREAD = 64
 #: Rows that a task ranks at a time before it sends them.
 HOLD = 1_500_000
-_NO_ID = -(2**63)
 
 # Rows between rounds. key: where they meet; rank: equal content; core: round 2, content that all windows share;
 # id, start: the position; shape: n * length + (anchor - first window). kind: what is known.
 _ROW = "kind byte, key long, rank long, core long, id long, start int, shape int"
 SEND, GONE, OPEN, MARK = 0, 1, 2, 3
 
+
+def position_id(doc_id: int | None, text: bytes) -> int:
+    """The id that orders a document; one without doc_id comes after those below 2**62, by a hash of its text."""
+    return (1 << 62) + (xxhash.xxh64_intdigest(text) >> 2) if doc_id is None else doc_id
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each window of ``w`` values."""
     out, have = x, 1
@@ -197,7 +204,7 @@ def _emit_spans(length: int, seed: int):
                 found = spans(np.frombuffer(text, np.uint8), length, seed)
                 if found is not None:
                     grp, span, first, count, anchor = found
-                    yield Rows(key=grp, rank=span, id=np.full(len(grp), _NO_ID if doc is None else doc, np.int64), start=first, shape=count * length + anchor - first)
+                    yield Rows(key=grp, rank=span, id=np.full(len(grp), position_id(doc, text), np.int64), start=first, shape=count * length + anchor - first)
 
     return lambda batches: _held(rows(batches), length, True)
 
@@ -306,9 +313,10 @@ def _resolve_blocks(length: int):
 def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3).compress
     for b in batches:
-        ids = [_NO_ID if x is None else x for x in b.column("doc_id").to_pylist()]
-        also = {c: (b.column(c), b.column(c).type) for c in b.schema.names if c not in ("doc_id", "text")}
-        yield batch({"id": (ids, pa.int64()), "packed": ([pack(x) for x in utf8(b.column("text"))], pa.binary())} | also)
+        texts = utf8(b.column("text"))
+        ids = [position_id(i, x) for i, x in zip(b.column("doc_id").to_pylist(), texts, strict=True)]
+        also = {c: (b.column(c), b.column(c).type) for c in b.schema.names if c != "text"}
+        yield batch({"id": (ids, pa.int64()), "packed": ([pack(x) for x in texts], pa.binary())} | also)
 
 
 def covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -325,7 +333,7 @@ def _apply(length: int, with_text: bool, carry: list[str]):
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             ids, n_bytes, removed, runs, digest, texts = [], [], [], [], [], []
-            for i, packed, todo in zip(b.column("id").to_pylist(), b.column("packed").to_pylist(), b.column("todo").to_pylist(), strict=True):
+            for i, packed, todo in zip(b.column("doc_id").to_pylist(), b.column("packed").to_pylist(), b.column("todo").to_pylist(), strict=True):
                 kept = text = unpack(packed)
                 gone = count = 0
                 if todo:
@@ -334,7 +342,7 @@ def _apply(length: int, with_text: bool, carry: list[str]):
                     gone, count = int((hi - lo).sum()), len(lo)
                     edges = [0, *np.stack([lo, hi], 1).ravel().tolist(), len(text)]
                     kept = b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
-                ids.append(None if i == _NO_ID else i)
+                ids.append(i)
                 n_bytes.append(len(text))
                 removed.append(gone)
                 runs.append(count)
@@ -361,7 +369,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, seed: int = SEED, with_te
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *also)
     # The packed texts are shuffled once, by id; the three joins below share that exchange.
     fields = [f for f in docs.schema.fields if f.name in also]
-    texts = docs.mapInArrow(_pack_texts, T.StructType([T.StructField("id", T.LongType(), False), T.StructField("packed", T.BinaryType(), False), *fields]))
+    texts = docs.mapInArrow(_pack_texts, T.StructType([T.StructField("id", T.LongType(), False), T.StructField("packed", T.BinaryType(), False), T.StructField("doc_id", T.LongType()), *fields]))
     docs = docs.select("doc_id", "text")
     spans_ = docs.mapInArrow(_emit_spans(length, seed), _ROW).repartition("key").mapInArrow(_resolve_spans(length), _ROW)
     spans_ = cut(spans_.select("kind", "id", "start", "shape"))

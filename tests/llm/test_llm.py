@@ -115,6 +115,9 @@ def test_repeats_of_rows_without_ids(spark):
     got = suffix.remove_repeats(frame(spark, [(None, "x" * 50), (3, "y" * 300), (3, "y" * 300)]), with_text=True, carry=["n"]).collect()
     one = without_repeats([(3, "y" * 300)], 100)[0][2]  # a repeated row is the same document
     assert sorted((r.doc_id or 0, r.n_removed, r.n) for r in got) == [(0, 0, 2.0), (3, one, 2.0), (3, one, 2.0)]
+    shared = "".join(random.Random(9).choices("abcdefgh", k=300))
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix.remove_repeats(frame(spark, [(None, shared + "tail"), (3, shared), (None, "head one " * 3 + shared + "and a longer end")])).collect()}
+    assert got == {(3, 300): 0, (None, 304): 300, (None, 343): 300}
     assert suffix.remove_repeats(frame(spark, [])).count() == 0
 
 
