@@ -46,9 +46,9 @@ def cut(df: DataFrame) -> DataFrame:
 # --- blocks of documents -----------------------------------------------------------------------------
 
 
-def _pack(size: int):
+def _pack(size: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, part = zstandard.ZstdCompressor(level=1).compress, TaskContext.get().partitionId() << 32
+        squeeze, part = zstandard.ZstdCompressor(level=level).compress, TaskContext.get().partitionId() << 32
         ids, texts, held, made = [], [], 0, 0
 
         def block() -> pa.RecordBatch:
@@ -69,13 +69,14 @@ def _pack(size: int):
     return run
 
 
-def document_blocks(docs: DataFrame, size: int) -> DataFrame:
+def document_blocks(docs: DataFrame, size: int, level: int = 1) -> DataFrame:
     """``docs(doc_id, text)`` as a written table of blocks of about ``size`` bytes of text: (block, ids, sizes, packed).
 
     A block's number is stored with its documents, so every later pass, and every task that is run again after an
-    executor is lost, finds the same documents under it, whatever order the input's rows come in.
+    executor is lost, finds the same documents under it, whatever order the input's rows come in. ``level`` is zstd's:
+    blocks that are shuffled again are worth a higher one.
     """
-    return cut(docs.select("doc_id", "text").mapInArrow(_pack(size), "block long, ids array<long>, sizes array<long>, packed binary"))
+    return cut(docs.select("doc_id", "text").mapInArrow(_pack(size, level), "block long, ids array<long>, sizes array<long>, packed binary"))
 
 
 def block_texts(sizes: list[int], packed: bytes) -> list[bytes]:

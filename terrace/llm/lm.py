@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import answer, ask, batch, block_texts, document_blocks, gram_names, unplanes, word_names
 
-#: Bytes of text in a block of documents.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text in a block of documents, and how hard it is compressed: blocks are written and shuffled once each.
+BLOCK_BYTES, BLOCK_LEVEL = 8 << 20, 9
 _BITS = 56
 
 
@@ -135,7 +135,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataFrame:
     """(doc_id, n_words, score, total_score) of ``docs(doc_id, text)``; score is the mean over a document's words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = document_blocks(docs, BLOCK_BYTES)
+    blocks = document_blocks(docs, BLOCK_BYTES, BLOCK_LEVEL)
     size = blocks.mapInArrow(_count_words, "n long").agg(F.sum("n")).first()[0] or 0
     bits = max(4, (size >> 20).bit_length())  # about a million words in a range
     asked = blocks.mapInArrow(_ask(order, bits), "k int, bucket long, block long, blob binary")
