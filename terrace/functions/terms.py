@@ -114,6 +114,22 @@ CONDITION_MATCH = (
 CONDITION_HIGH = ("禁用", "禁止", "禁忌", "不得", "避免", "不应使用", "严重")
 CONDITION_MEDIUM = ("慎用", "医师指导", "医生指导", "药师指导", "监测", "评估", "调整剂量", "剂量调整", "风险", "不宜")
 
+#: A line that opens a section: 【title】, a numbered short line, or a short line that ends in a colon.
+HEADING = r"(?m)(?:^|\n)\s*(?:【([^】]+)】|(\d+[.、]\s*[^\n]{2,20})|([^\n]{2,15})[：:]\s*$)"
+#: Wording by level; without a level it depends on whether ambiguous names were found.
+RECOMMENDATIONS = {
+    "High": "不建议自行合用或调整剂量，请尽快咨询医生或药师，并留意出血、低血压、过敏等异常表现。",
+    "Medium": "可以作为风险线索处理，但需结合剂量、频次、肝肾功能和其他用药，由专业人员确认。",
+    "Low": "当前证据未提示明确严重相互作用，但仍建议按说明书和医嘱使用。",
+    "ambiguous": "目前存在未明确的药品名称，建议先补充具体药品名称后再判断。",
+    "other": "建议补充具体药品名称后再判断，必要时咨询医生或药师。",
+}
+CONCLUSIONS = {
+    "pair": "{left} 与 {right} 存在 {level} 级用药风险。",
+    "Unknown": "证据不足，暂不能给出确定性用药安全结论。",
+    "other": "基于当前上下文、知识图谱关系和检索证据，综合风险等级为 {level}。",
+}
+
 RISK_RANK = {"Unknown": 0, "Low": 1, "Medium": 2, "High": 3}
 KG_HIGH = ("禁忌合用", "禁用于", "CONTRAINDICATED_WITH", "CONTRAINDICATED_FOR")
 KG_MEDIUM = ("慎用于", "检查注意", "USE_WITH_CAUTION_IN", "CAUTION_FOR", "EXAM_CAUTION")
