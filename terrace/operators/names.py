@@ -1,6 +1,6 @@
 """Name dictionaries and mentions in text.
 
-Names meet texts by an equi-join on their first two characters, never as a cross product. The dictionary is
+Names meet texts by an equi-join on their first characters, never as a cross product. The dictionary is
 broadcast only when it has at most ``SMALL`` rows; else both sides are shuffled on the blocking key.
 """
 
@@ -83,11 +83,24 @@ def _blocks(value: Column, size: int) -> Column:
 
 
 def mentions(texts: DataFrame, names: DataFrame, key: str, value: str, block: int = 2) -> DataFrame:
-    """(key, value, *names columns): every name of ``block`` characters or more that a text contains."""
-    # names meet pieces first, without the texts; only what is left meets the texts again
-    blocked = broadcast_if_small(names.where(F.length("name") >= block).withColumn("_b", F.substring("name", 1, block)))
+    """(key, value, *names columns): every name of ``block`` characters or more that a text contains.
+
+    A name is looked up by its longest beginning of ``block``, twice or four times as many characters, so that few texts
+    meet a name they do not hold. A dictionary of at most ``SMALL`` names is broadcast and no text is shuffled; a larger
+    one meets the pieces of the texts by a shuffle first, and only what is left meets the texts again. Repeated rows
+    keep their own mentions.
+    """
+    long = F.length("name")
+    names = names.where(long >= block)
+    seen = names.agg(F.count("*").alias("n"), *[F.coalesce(F.bool_or(c), F.lit(False)).alias(f"c{i}") for i, c in enumerate((long < 2 * block, (long >= 2 * block) & (long < 4 * block), long >= 4 * block))]).first()
+    sizes = [block << i for i in range(3) if seen[f"c{i}"]] or [block]
+    head = F.when(long >= 4 * block, F.substring("name", 1, 4 * block)).when(long >= 2 * block, F.substring("name", 1, 2 * block)).otherwise(F.substring("name", 1, block))
+    blocked = names.withColumn("_b", head)
+    pieces = F.explode(F.concat(*[_blocks(F.col(value), s) for s in sizes])).alias("_b")
+    if seen.n <= SMALL:
+        return texts.select(key, value, pieces).join(F.broadcast(blocked), "_b").drop("_b").where(F.instr(F.col(value), F.col("name")) > 0)
     texts = texts.select(F.xxhash64(key, value).alias("_text_id"), key, value)
-    hits = texts.select("_text_id", F.explode(_blocks(F.col(value), block)).alias("_b")).join(blocked, "_b").drop("_b")
+    hits = texts.select("_text_id", pieces).distinct().join(blocked, "_b").drop("_b")
     return texts.join(hits, "_text_id").where(F.instr(F.col(value), F.col("name")) > 0).drop("_text_id")
 
 

@@ -8,12 +8,17 @@ documents of each boost class stand for all of them, and no question meets the w
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import terms, text
+from .names import broadcast_if_small
 
 
 def term_counts(docs: DataFrame, key: str, value: Column) -> DataFrame:
@@ -75,27 +80,35 @@ def _n_docs(docs: DataFrame) -> DataFrame:
 
 
 def bm25(docs: DataFrame, questions: DataFrame, value: Column, asked: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(q, ord, base) of documents that share a term with the question."""
-    counts = term_counts(docs, "ord", value)
-    lengths = document_lengths(docs, "ord", value)
-    average = lengths.agg(F.avg("n_tokens").alias("mean"), F.count("*").alias("n"))
+    """(q, ord, base) of documents that share a term with the question; only terms of questions are counted."""
+    average = document_lengths(docs, "ord", value).agg(F.avg("n_tokens").alias("mean"), F.count("*").alias("n"))
+    wanted = question_terms(questions, asked)
+    tokens = docs.select("ord", text.tokens(value).alias("_t"))
+    rows = tokens.select("ord", F.greatest(F.size("_t"), F.lit(1)).alias("n_tokens"), F.explode("_t").alias("term"))
+    rows = rows.join(broadcast_if_small(wanted.select("term").distinct()), "term", "left_semi")
+    counts = rows.groupBy("ord", "n_tokens", "term").agg(F.count("*").alias("tf"))
     idf = bm25_idf(counts, average.select("n")).select("term", "idf")
-    wanted = question_terms(questions, asked).join(idf, "term")
-    hits = wanted.join(counts, "term").join(lengths, "ord").crossJoin(F.broadcast(average.select("mean")))
+    hits = wanted.join(idf, "term").join(counts, "term").crossJoin(F.broadcast(average.select("mean")))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / F.col("mean")))
     return hits.groupBy("q", "ord").agg(F.sum(F.col("n") * F.col("idf") * weight).alias("base"))
 
 
 def tfidf(docs: DataFrame, questions: DataFrame, value: Column, asked: Column) -> DataFrame:
-    """(q, ord, base): cosine of raw-count TF-IDF vectors; a question's unseen terms count with idf 1 in its norm."""
+    """(q, ord, base): cosine of raw-count TF-IDF vectors; a question's unseen terms count with idf 1 in its norm.
+
+    A document's norm and its terms that a question has come from one pass over its counts.
+    """
     counts = term_counts(docs, "ord", value)
     idf = smooth_idf(counts, _n_docs(docs)).select("term", "idf")
-    weights = counts.join(idf, "term").select("ord", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weights.groupBy("ord").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     wanted = question_terms(questions, asked).join(idf, "term", "left").withColumn("v", F.col("n") * F.coalesce("idf", F.lit(1.0)))
     own = wanted.groupBy("q").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("own"))
-    dots = wanted.join(weights, "term").groupBy("q", "ord").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    return dots.join(norms, "ord").join(own, "q").select("q", "ord", (F.col("dot") / (F.col("norm") * F.col("own"))).alias("base"))
+    terms_asked = broadcast_if_small(question_terms(questions, asked).select("term").distinct()).withColumn("_asked", F.lit(True))
+    weights = counts.join(idf, "term").join(terms_asked, "term", "left").withColumn("w", F.col("tf") * F.col("idf"))
+    hit = F.when(F.col("_asked"), F.struct("term", "w"))
+    found = weights.groupBy("ord").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(hit).alias("hits"))
+    rows = found.select("ord", "norm", F.explode("hits").alias("h")).select("ord", "norm", "h.term", "h.w").join(wanted.select("q", "term", "v"), "term")
+    dots = rows.groupBy("q", "ord", "norm").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    return dots.join(own, "q").select("q", "ord", (F.col("dot") / (F.col("norm") * F.col("own"))).alias("base"))
 
 
 def hash_vectors(rows: DataFrame, key: str, value: Column, size: int = 384) -> DataFrame:
@@ -111,6 +124,43 @@ def hash_similarity(docs: DataFrame, questions: DataFrame, value: Column, asked:
     return hash_vectors(docs, "ord", value, size).join(left, "bucket").groupBy("q", "ord").agg(F.sum(F.col("v") * F.col("w")).alias("cosine"))
 
 
+def hash_nearest(docs: DataFrame, questions: DataFrame, value: Column, asked: Column, k: int, size: int = 384, limit_mb: int = 64) -> DataFrame:
+    """(q, ord, cosine) that holds the k nearest documents of each question, and few others: ``top_k`` decides.
+
+    Every document has a cosine with nearly every question, so each Arrow batch of documents is multiplied with the
+    questions' vectors and only what can be among the k best of its batch is shuffled. The questions are a stated set;
+    vectors of more than ``limit_mb`` go by ``hash_similarity``, a join on buckets.
+    """
+    vectors = hash_vectors(questions, "q", asked, size)
+    most = (limit_mb << 20) // (8 * size)
+    asked_ids = [r.q for r in vectors.select("q").distinct().limit(most + 1).collect()]
+    if len(asked_ids) > most:
+        return hash_similarity(docs, questions, value, asked, size)
+    at = {q: i for i, q in enumerate(asked_ids)}
+    matrix = np.zeros((len(at), size))
+    for r in vectors.collect():  # at most ``most`` questions of ``size`` buckets
+        matrix[at[r.q], r.bucket] = r.w
+    q_type, ord_type = questions.schema["q"].dataType, docs.schema["ord"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(asked_ids, to_arrow_type(q_type))
+        for b in batches:
+            tokens = b.column("_t")
+            terms_ = tokens.flatten().dictionary_encode()
+            bucket = np.array([int.from_bytes(hashlib.md5(t.encode()).digest(), "big") % size for t in terms_.dictionary.to_pylist()], np.int64)
+            row = np.repeat(np.arange(b.num_rows), np.diff(tokens.offsets.to_numpy()))
+            counts = np.bincount(row * size + bucket[terms_.indices.to_numpy()], minlength=b.num_rows * size).reshape(-1, size) if len(row) else np.zeros((b.num_rows, size))
+            cosine = (counts @ matrix.T) / np.maximum(np.sqrt((counts * counts).sum(1)), 1.0)[:, None]
+            keep = cosine > 0
+            if b.num_rows > k:
+                keep &= cosine >= np.partition(cosine, -k, axis=0)[-k] - 2e-9  # ties at nine digits stay
+            docs_at, asked_at = np.nonzero(keep)
+            yield pa.RecordBatch.from_arrays([known.take(pa.array(asked_at)), b.column("ord").take(pa.array(docs_at)), pa.array(cosine[keep])], ["q", "ord", "cosine"])
+
+    rows = docs.select("ord", F.coalesce(text.tokens(value), F.array().cast("array<string>")).alias("_t"))
+    return rows.mapInArrow(run, f"q {q_type.simpleString()}, ord {ord_type.simpleString()}, cosine double")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -107,13 +107,13 @@ _SQL_HASH = f"""{CORPUS}, {QUESTIONS}, {_sql_hash('hd', 'ord', 'corpus')}, {_sql
     sim AS (SELECT q, ord, sum(hd.w * hq.w) AS cosine FROM hd JOIN hq USING (bucket) GROUP BY ALL)"""
 
 
-def _hash_similar(spark, sf_dir):
-    return retrieval.hash_similarity(corpus(spark, sf_dir), questions(spark, sf_dir), F.col("text"), F.col("text"))
+def _hash_near(spark, sf_dir, k):
+    return retrieval.hash_nearest(corpus(spark, sf_dir), questions(spark, sf_dir), F.col("text"), F.col("text"), k)
 
 
 @query(f"WITH {_SQL_HASH}, {_sql_top('sim', 8, 'cosine')} SELECT q, ord, rank, round(cosine, 4) AS score FROM top")
 def hash_embedding_topk(spark, sf_dir):
-    best = retrieval.top_k(_hash_similar(spark, sf_dir).withColumnRenamed("cosine", "score"), 8)
+    best = retrieval.top_k(_hash_near(spark, sf_dir, 8).withColumnRenamed("cosine", "score"), 8)
     return best.select("q", "ord", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
@@ -147,7 +147,7 @@ def dense_topk_filtered(spark, sf_dir):
 
 def _dense_list(spark, sf_dir, k):
     docs, asked = corpus(spark, sf_dir), questions(spark, sf_dir)
-    return retrieval.dense_scored(_hash_similar(spark, sf_dir), docs, asked, k, IMPORTANT)
+    return retrieval.dense_scored(_hash_near(spark, sf_dir, 3 * k), docs, asked, k, IMPORTANT)
 
 
 _SQL_DENSE_LIST = f"""{_sql_hash('hd', 'ord', 'corpus')}, {_sql_hash('hq', 'q', 'questions')},
