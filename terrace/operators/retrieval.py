@@ -4,12 +4,15 @@ Scores are compared at nine digits, so that the order in which a cluster adds th
 by document order. Every top-k is a row_number filter, which Spark turns into a limit per group before the shuffle.
 Documents that share no term with a question can only score by boosts. Boosts take few values, so the first k
 documents of each boost class stand for all of them, and no question meets the whole corpus.
+
+Tokens are exploded with ``explode_outer`` and nulls dropped after it: for a plain ``explode`` Spark adds a filter on the
+array's size below it, which tokenises every text once more.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import terms, text
-from .names import broadcast_if_small
+from .names import SMALL
 
 
 def term_counts(docs: DataFrame, key: str, value: Column) -> DataFrame:
     """(key, term, tf)."""
-    return docs.select(key, F.explode(text.tokens(value)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return docs.select(key, F.explode_outer(text.tokens(value)).alias("term")).where("term is not null").groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def document_lengths(docs: DataFrame, key: str, value: Column) -> DataFrame:
@@ -51,7 +54,7 @@ def top_k(scored: DataFrame, k: int, by: Sequence[str] = ("q",), order: str = "o
 
 def question_terms(questions: DataFrame, value: Column) -> DataFrame:
     """(q, term, n): repeated tokens of a question count again."""
-    return questions.select("q", F.explode(text.tokens(value)).alias("term")).groupBy("q", "term").agg(F.count("*").alias("n"))
+    return questions.select("q", F.explode_outer(text.tokens(value)).alias("term")).where("term is not null").groupBy("q", "term").agg(F.count("*").alias("n"))
 
 
 def boosted(matched: DataFrame, docs: DataFrame, questions: DataFrame, k: int, important: Sequence[str], section: float, drug: float, also: Column | None = None) -> DataFrame:
@@ -79,16 +82,26 @@ def _n_docs(docs: DataFrame) -> DataFrame:
     return docs.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
 
 
+def _asked_terms(questions: DataFrame, asked: Column) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(q, term, n), and a function that marks tables of at most so many rows for broadcast if there are ``SMALL`` or fewer."""
+    wanted = question_terms(questions, asked)
+    few = wanted.limit(SMALL + 1).count() <= SMALL
+    return wanted, F.broadcast if few else lambda df: df
+
+
 def bm25(docs: DataFrame, questions: DataFrame, value: Column, asked: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(q, ord, base) of documents that share a term with the question; only terms of questions are counted."""
+    """(q, ord, base) of documents that share a term with the question; only terms of questions are counted.
+
+    Tokens are dealt by document once; counts, weights and sums stay in that partitioning.
+    """
     average = document_lengths(docs, "ord", value).agg(F.avg("n_tokens").alias("mean"), F.count("*").alias("n"))
-    wanted = question_terms(questions, asked)
-    tokens = docs.select("ord", text.tokens(value).alias("_t"))
-    rows = tokens.select("ord", F.greatest(F.size("_t"), F.lit(1)).alias("n_tokens"), F.explode("_t").alias("term"))
-    rows = rows.join(broadcast_if_small(wanted.select("term").distinct()), "term", "left_semi")
+    wanted, small = _asked_terms(questions, asked)
+    tokens = docs.select("ord", text.tokens(value).alias("_t")).withColumn("n_tokens", F.greatest(F.size("_t"), F.lit(1)))
+    rows = tokens.select("ord", "n_tokens", F.explode_outer("_t").alias("term"))
+    rows = rows.join(small(wanted.select("term").distinct()), "term", "left_semi").repartition("ord")
     counts = rows.groupBy("ord", "n_tokens", "term").agg(F.count("*").alias("tf"))
     idf = bm25_idf(counts, average.select("n")).select("term", "idf")
-    hits = wanted.join(idf, "term").join(counts, "term").crossJoin(F.broadcast(average.select("mean")))
+    hits = counts.join(small(wanted.join(small(idf), "term")), "term").crossJoin(F.broadcast(average.select("mean")))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / F.col("mean")))
     return hits.groupBy("q", "ord").agg(F.sum(F.col("n") * F.col("idf") * weight).alias("base"))
 
@@ -98,17 +111,18 @@ def tfidf(docs: DataFrame, questions: DataFrame, value: Column, asked: Column) -
 
     A document's norm and its terms that a question has come from one pass over its counts.
     """
-    counts = term_counts(docs, "ord", value)
+    counts = docs.select("ord", text.tokens(value).alias("_t")).repartition("ord").select("ord", F.explode_outer("_t").alias("term")).where("term is not null").groupBy("ord", "term").agg(F.count("*").alias("tf"))
     idf = smooth_idf(counts, _n_docs(docs)).select("term", "idf")
-    wanted = question_terms(questions, asked).join(idf, "term", "left").withColumn("v", F.col("n") * F.coalesce("idf", F.lit(1.0)))
+    wanted, small = _asked_terms(questions, asked)
+    terms_asked = small(wanted.select("term").distinct()).withColumn("_asked", F.lit(True))
+    wanted = wanted.join(idf, "term", "left").withColumn("v", F.col("n") * F.coalesce("idf", F.lit(1.0)))
     own = wanted.groupBy("q").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("own"))
-    terms_asked = broadcast_if_small(question_terms(questions, asked).select("term").distinct()).withColumn("_asked", F.lit(True))
     weights = counts.join(idf, "term").join(terms_asked, "term", "left").withColumn("w", F.col("tf") * F.col("idf"))
     hit = F.when(F.col("_asked"), F.struct("term", "w"))
     found = weights.groupBy("ord").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(hit).alias("hits"))
-    rows = found.select("ord", "norm", F.explode("hits").alias("h")).select("ord", "norm", "h.term", "h.w").join(wanted.select("q", "term", "v"), "term")
+    rows = found.select("ord", "norm", F.explode("hits").alias("h")).select("ord", "norm", "h.term", "h.w").join(small(wanted.select("q", "term", "v")), "term")
     dots = rows.groupBy("q", "ord", "norm").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    return dots.join(own, "q").select("q", "ord", (F.col("dot") / (F.col("norm") * F.col("own"))).alias("base"))
+    return dots.join(small(own), "q").select("q", "ord", (F.col("dot") / (F.col("norm") * F.col("own"))).alias("base"))
 
 
 def hash_vectors(rows: DataFrame, key: str, value: Column, size: int = 384) -> DataFrame:

@@ -6,8 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder. Texts that fit one split often stand in one row group, which one task would read and work
+    on alone: they are dealt out to all cores. Larger tables are read as they are, without a shuffle."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    one_split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
+    if name in _TEXTS and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= one_split:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
