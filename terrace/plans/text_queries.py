@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms, text
-from ..operators import chunking, retrieval
+from ..operators import chunking, retrieval, risk, sessions
+from ..sources import readers
 from .common import HIGH, MEDIUM, sql_any, sql_list, sql_tokens, table
 
 QUERIES: dict = {}
@@ -161,3 +162,103 @@ def classify_section(spark, sf_dir):
 def json_payload_parse(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     return events.select("event_id", text.json_object(F.concat(F.lit("payload: "), "props"), "k bigint")["k"].alias("k"))
+
+
+# --- names, ages, lists ------------------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '( and| the).*$', '', 's'), '\s+', '', 'g') AS cut, CASE WHEN length(regexp_replace(regexp_replace(text, '( and| the).*$', '', 's'), '\s+', '', 'g')) >= 2 THEN regexp_replace(regexp_replace(text, '( and| the).*$', '', 's'), '\s+', '', 'g') ELSE text END AS title FROM (SELECT doc_id, substr(replace(text, chr(10), ' '), 1, 60) AS text FROM documents)")
+def name_of_title(spark, sf_dir):
+    """The first words of a text as a title and as a file's stem, up to a word that ends a name."""
+    head = F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 60)
+    rows = table(spark, sf_dir, "documents").select("doc_id", head.alias("h"))
+    return rows.select("doc_id", F.coalesce(text.name_of_file(F.col("h"), " and| the"), F.regexp_replace(F.regexp_replace("h", "( and| the).*$", ""), r"\s+", "")).alias("cut"), text.name_of_title(F.col("h"), " and| the").alias("title"))
+
+
+@query(r"SELECT p_partkey, regexp_replace(trim(p_name), '\s+', '', 'g') AS name FROM part")
+def normalize_name(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.normalize_name(F.col("p_name")).alias("name"))
+
+
+_TENS = "['', '十', '二十', '三十', '四十', '五十', '六十', '七十', '八十', '九十']"
+_ONES = "['', '一', '二', '三', '四', '五', '六', '七', '八', '九']"
+
+
+@query("SELECT c_custkey, CAST(c_custkey % 140 AS INTEGER) AS age, CASE WHEN c_custkey % 140 < 18 THEN '儿童' WHEN c_custkey % 140 BETWEEN 65 AND 130 THEN '老年人' END AS grp, CASE WHEN c_custkey % 99 < 17 THEN '儿童' WHEN c_custkey % 99 >= 64 THEN '老年人' END AS spelled_group, CAST(c_custkey % 99 + 1 AS INTEGER) AS spelled FROM customer WHERE c_custkey % 140 <= 130")
+def ages(spark, sf_dir):
+    """Customers' numbers as ages in digits and in words: read back from a sentence, with their groups."""
+    number = (F.col("c_custkey") % 99 + 1).cast("int")
+    digit = lambda n: F.element_at(F.array(*[F.lit(c) for c in ("", *"一二三四五六七八九")]), n.cast("int") + 1)
+    tens = F.floor(number / 10)
+    words = F.concat(F.when(tens == 1, "").otherwise(digit(tens)), F.when(tens > 0, "十").otherwise(""), digit(number % 10))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", text.ages(F.concat(F.lit("今年"), (F.col("c_custkey") % 140).cast("string"), F.lit("岁"))).alias("a"), text.ages(F.concat(F.lit("患者"), words, F.lit("岁"))).alias("b"))
+    rows = rows.where("size(a) > 0").select("c_custkey", F.get("a", F.lit(0)).alias("age"), F.get("b", F.lit(0)).alias("spelled"))
+    return rows.select("c_custkey", "age", text.age_group(F.col("age")).alias("grp"), "spelled", text.age_group(F.col("spelled")).alias("spelled_group"))
+
+
+_NESTED = ("the", "other", "her", "tion", "ation", "ein", "eine")
+
+
+@query(f"""WITH f AS (SELECT doc_id, list_filter({sql_list(_NESTED)}, lambda w: contains(text, w)) AS w FROM documents)
+    SELECT doc_id, array_to_string(w, ',') AS present, array_to_string(list_sort(list_filter(w, lambda x: len(list_filter(w, lambda y: y <> x AND contains(y, x))) = 0)), ',') AS longest FROM f""")
+def keyword_lists(spark, sf_dir):
+    """Words in list order, and those that are not part of another word that occurs."""
+    body = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.present(body, _NESTED), ",").alias("present"), F.array_join(text.longest_present(body, _NESTED), ",").alias("longest"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '…' ELSE text END AS cut FROM documents")
+def section_truncate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", chunking.truncated(F.col("text"), 300).alias("cut"))
+
+
+@query("SELECT p_partkey, regexp_matches(lower(p_name || ' ' || p_size || CASE WHEN p_partkey % 2 = 0 THEN ' mg' ELSE ' m' END), '[0-9]+\\s*(mg|毫克|片|粒)') AS asks FROM part")
+def dosage_flag(spark, sf_dir):
+    value = F.concat_ws(" ", "p_name", F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "mg").otherwise("m"))
+    return table(spark, sf_dir, "part").select("p_partkey", risk.asks_dosage(value).alias("asks"))
+
+
+@query("SELECT o_orderkey AS q, CASE WHEN o_orderkey % 3 > 0 THEN 'now' || (o_orderkey % 3) ELSE 'memory' END AS drugs FROM orders")
+def query_drugs(spark, sf_dir):
+    """What a question mentions, else what its session does."""
+    key = F.col("o_orderkey")
+    now = F.when(key % 3 > 0, F.array(F.concat(F.lit("now"), (key % 3).cast("string")))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "orders").select(key.alias("q"), F.array_join(sessions.query_drugs(now, F.array(F.lit("memory"))), ",").alias("drugs"))
+
+
+@query("SELECT o_orderkey AS q, CAST(CASE WHEN o_orderkey % 4 = 0 THEN 0.86 WHEN o_orderkey % 3 = 0 THEN 0.35 ELSE 0.62 END AS DOUBLE) AS confidence FROM orders")
+def report_confidence(spark, sf_dir):
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(key.alias("q"), risk.report_confidence(F.when(key % 3 == 0, "Unknown").otherwise("Low"), key % 4 == 0).alias("confidence"))
+
+
+# --- pages and chunks of sources ---------------------------------------------------------------------
+
+_SQL_PAGE_DOCUMENTS = f"pd AS (SELECT source || '/' || lang || '.pdf' AS file, doc_id AS page, {_SQL_CLEAN.format('text')} AS text, lang AS title FROM documents)"
+
+
+def _page_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return readers.page_documents(docs.select(F.concat("source", F.lit("/"), "lang", F.lit(".pdf")).alias("file"), F.col("doc_id").alias("page"), "text"))
+
+
+@query(f"WITH {_SQL_PAGE_DOCUMENTS} SELECT title || '.pdf::page::' || page AS source_id, file AS source_path, title, CAST(page AS INTEGER) AS page, md5(text) AS text FROM pd WHERE text <> ''")
+def page_documents(spark, sf_dir):
+    """Documents as pages of a file per source and language."""
+    return _page_documents(spark, sf_dir).select("source_id", "source_path", "title", "page", F.md5("text").alias("text"))
+
+
+@query(f"""WITH {_SQL_PAGE_DOCUMENTS}, s AS (SELECT *, unnest(CASE WHEN length(text) <= 700 THEN [1] ELSE generate_series(1, length(text), 600) END) AS s FROM pd WHERE text <> ''),
+    c AS (SELECT *, trim(substr(text, s, 700), ' ' || chr(10)) AS chunk FROM s),
+    n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY s) - 1 AS i FROM c WHERE chunk <> '')
+    SELECT title || '.pdf::page::' || page || '::chunk::' || i AS chunk_id, title AS drug, '正文' AS section, md5(chunk) AS text FROM n""")
+def document_chunks(spark, sf_dir):
+    """Chunks of 700 characters of those pages; the texts name no section, so all get the default one."""
+    return readers.document_chunks(_page_documents(spark, sf_dir)).select("chunk_id", "drug", "section", F.md5("text").alias("text"))
+
+
+@query(r"""WITH r AS (SELECT doc_id % 500 AS doc, doc_id AS ord, lang || CASE WHEN doc_id % 3 = 0 THEN ' warnings' ELSE ' other' END AS title, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 2500) AS content FROM documents),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY ord) AS n FROM r WHERE contains(upper(title), 'WARNINGS')) SELECT doc AS doc_id, ord, title, md5(content) AS content FROM n WHERE n <= 8""")
+def safety_sections(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 500).alias("doc_id"), F.col("doc_id").alias("ord"), F.concat("lang", F.when(F.col("doc_id") % 3 == 0, " warnings").otherwise(" other")).alias("title"), F.col("text").alias("content"))
+    return readers.safety_sections(rows).select("doc_id", "ord", "title", F.md5("content").alias("content"))
