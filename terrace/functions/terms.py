@@ -157,3 +157,13 @@ POPULATION_TITLES = (
     ("心力衰竭", ("心力衰竭", "心衰", "警告与注意事项", "禁忌")),
 )
 POPULATION_QUERY_TAIL = ("特殊人群", "用药前确认", "禁忌", "注意事项", "用法用量")
+
+# The wording of safety flags by code, and of the flag of a family of candidates.
+FLAG_MESSAGES = {
+    "high_risk": "存在高风险或禁忌线索，不建议自行合用。",
+    "no_evidence": "未召回足够说明书/指南证据，结论已降级处理。",
+    "few_concepts": "当前上下文少于两个明确药物，无法完整评估相互作用。",
+    "ambiguous_rated": "{names}未识别为明确药品，未纳入本次相互作用计算。",
+    "ambiguous": "{names}不是明确的具体药品名称，请补充具体名称后再判断。",
+}
+FAMILY_MESSAGE = "“{mention}”已按药物家族展开为 {candidates} 个相关制剂，本次基于其中 {with_evidence} 个制剂召回到的说明书证据进行综合判断。"

@@ -189,3 +189,10 @@ def near_terms(text: Column, anchors: Sequence[str], signals: Sequence[str], win
 
 def ordinal_stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s*\d+[.、)]\s*", "")
+
+
+def iso_utc(time: Column) -> Column:
+    """A UTC time as ISO 8601 text with its offset; a fraction of six digits only where there is one."""
+    whole = F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(time, "SSSSSS")
+    return F.concat(whole, F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)), F.lit("+00:00"))

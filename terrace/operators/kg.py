@@ -123,3 +123,15 @@ def relevant(relations: DataFrame, questions: DataFrame, dropped: str = "support
     mine = lambda c: F.array_contains("drugs", F.col(c))
     about = lambda c: F.array_contains("context", F.col(c))
     return rows.where((mine("subject") & mine("object")) | (mine("subject") & about("object")) | (about("subject") & mine("object"))).drop("drugs", "context")
+
+
+def drug_graph(records: DataFrame, properties: Sequence[str] = ("aliases",), order: str = "ord", default: str = "local_dataset") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of records(drug, source, ..., ord): a Drug node per name with the last record's properties, a Source
+    node per source, and a SUPPORTED_BY edge from each drug to every source that has named it."""
+    known = records.where("coalesce(drug, '') <> ''").withColumn("source", F.coalesce(F.nullif("source", F.lit("")), F.lit(default)))
+    kept = ("source", *properties)
+    last = known.groupBy(F.col("drug").alias("name")).agg(F.max_by(F.struct(*kept), order).alias("p")).select(F.lit("Drug").alias("label"), "name", *[F.col(f"p.{c}").alias(c) for c in kept])
+    pairs = known.select("drug", "source").distinct()
+    nodes = last.unionByName(pairs.select(F.lit("Source").alias("label"), F.col("source").alias("name")).distinct(), allowMissingColumns=True)
+    edges = pairs.select(F.lit("Drug").alias("s_label"), F.col("drug").alias("s_name"), F.lit("SUPPORTED_BY").alias("rel"), F.lit("Source").alias("o_label"), F.col("source").alias("o_name"), F.lit(0.6).alias("weight"))
+    return nodes, edges

@@ -117,3 +117,8 @@ def names_fingerprint(records: DataFrame) -> DataFrame:
     parts = records.select("ord", row.alias("h")).groupBy(F.floor(F.col("ord") / 4096).alias("b")).agg(F.array_sort(F.collect_list(F.struct("ord", "h"))).alias("r"))
     parts = parts.select("b", F.sha2(F.array_join(F.transform("r", lambda x: x["h"]), "\n"), 256).alias("h"))
     return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"))
+
+
+def risk_totals(records: DataFrame) -> DataFrame:
+    """One row (records, interactions) of records(interactions array, ...)."""
+    return records.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.size(F.coalesce("interactions", F.array()))), F.lit(0)).alias("interactions"))

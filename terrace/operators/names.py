@@ -181,3 +181,9 @@ def payload_mentions(payloads: DataFrame, names: DataFrame) -> DataFrame:
     rows = rows.join(known.toDF("_m", "by_mention"), "_m", "left").join(known.toDF("_n", "by_form"), "_n", "left")
     drug = F.coalesce("by_mention", "by_form")
     return rows.select("q", "mention", drug.alias("drug"), drug.isNull().alias("ambiguous")).distinct()
+
+
+def united(resolved: Column, dictionary: Column) -> Column:
+    """Names of the resolver and of the dictionary, sorted, each once; null is none."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_union(F.coalesce(resolved, none), F.coalesce(dictionary, none)))

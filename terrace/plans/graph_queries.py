@@ -142,12 +142,12 @@ def source_lists(spark, sf_dir):
 
 
 @query(f"""WITH {_SQL_TEXTS}, s AS (SELECT drug, title, count(*) AS variants FROM t GROUP BY ALL)
-    SELECT (SELECT count(*) FROM documents WHERE source <> 'src3') AS rows_read, (SELECT count(*) FROM documents WHERE source = 'src3') AS rows_skipped,
-    count(DISTINCT drug) AS records, count(*) AS sections, CAST(sum(variants) AS BIGINT) AS variants FROM s WHERE drug <> 'src3'""")
+    SELECT (SELECT count(*) FROM documents WHERE coalesce(source, '') <> '') AS rows_read, (SELECT count(*) FROM documents WHERE coalesce(source, '') = '') AS rows_skipped,
+    count(DISTINCT drug) AS records, count(*) AS sections, CAST(sum(variants) AS BIGINT) AS variants FROM s WHERE coalesce(drug, '') <> ''""")
 def build_report(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    built = knowledge.section_counts(knowledge.deduped_texts(_cells(spark, sf_dir).where("drug <> 'src3'")))
-    return knowledge.build_report(docs, built, F.col("source") == "src3")
+    built = knowledge.section_counts(knowledge.deduped_texts(_cells(spark, sf_dir).where("coalesce(drug, '') <> ''")))
+    return knowledge.build_report(docs, built, F.coalesce("source", F.lit("")) == "")
 
 
 def _old_new(spark, sf_dir):
@@ -408,3 +408,53 @@ def safety_flags(spark, sf_dir):
     flags = risk.safety_flags(*map(F.col, ("level", "evidence", "concepts", "ambiguous", "population", "condition")))
     rows = rows.withColumn("f", flags)
     return rows.select("q", F.array_join(F.transform("f", lambda x: F.concat_ws(":", x["level"], x["code"])), ",").alias("flags"), risk.downgraded(F.col("level"), F.col("f")).alias("downgraded"))
+
+
+@query(f"""{_SQL_SCORED}, f AS (SELECT q, level, concepts, unnest(list_filter([CASE WHEN ambiguous THEN 'ambiguous_names' END, CASE WHEN level = 'High' THEN 'high_risk' END, CASE WHEN evidence = 0 THEN 'no_evidence' END,
+    CASE WHEN concepts < 2 THEN 'few_concepts' END, CASE WHEN p IS NOT NULL THEN 'population' END, CASE WHEN c IS NOT NULL THEN 'condition' END], lambda x: x IS NOT NULL)) AS code FROM l)
+    SELECT q, code, CASE code WHEN 'ambiguous_names' THEN CASE WHEN concepts >= 2 AND level <> 'Unknown' THEN 'N' || q || '未识别为明确药品，未纳入本次相互作用计算。' ELSE 'N' || q || '不是明确的具体药品名称，请补充具体名称后再判断。' END
+    WHEN 'high_risk' THEN '存在高风险或禁忌线索，不建议自行合用。' WHEN 'no_evidence' THEN '未召回足够说明书/指南证据，结论已降级处理。' WHEN 'few_concepts' THEN '当前上下文少于两个明确药物，无法完整评估相互作用。' ELSE 'signal' END AS message FROM f""")
+def safety_messages(spark, sf_dir):
+    rows = _scored(spark, sf_dir)
+    rows = rows.select("q", "level", "concepts", F.explode(risk.safety_flags(*map(F.col, ("level", "evidence", "concepts", "ambiguous", "population", "condition")))).alias("f"))
+    message = risk.flag_message(F.col("f.code"), F.concat(F.lit("N"), F.col("q").cast("string")), F.col("level"), F.col("concepts"), F.lit("signal"))
+    return rows.select("q", F.col("f.code").alias("code"), message.alias("message"))
+
+
+def _sourced(spark, sf_dir):
+    return part_records(spark, sf_dir).withColumn("source", F.when(F.col("drug").startswith("r"), "labels"))
+
+
+@query("""WITH d AS (SELECT p_name AS name, array_to_string(list_sort(list(DISTINCT p_brand)), '|') AS aliases, CASE WHEN p_name LIKE 'r%' THEN 'labels' ELSE 'local_dataset' END AS source FROM part GROUP BY p_name)
+    SELECT 'Drug' AS label, name, source, aliases FROM d UNION ALL SELECT DISTINCT 'Source', source, NULL, NULL FROM d""")
+def kg_drug_nodes(spark, sf_dir):
+    return kg.drug_graph(_sourced(spark, sf_dir))[0].select("label", "name", "source", _text("aliases"))
+
+
+@query("""SELECT DISTINCT p_name AS s_name, 'SUPPORTED_BY' AS rel, 'Source' AS o_label, CASE WHEN p_name LIKE 'r%' THEN 'labels' ELSE 'local_dataset' END AS o_name, CAST(0.6 AS DOUBLE) AS weight FROM part""")
+def kg_supported_by(spark, sf_dir):
+    return kg.drug_graph(_sourced(spark, sf_dir))[1].select("s_name", "rel", "o_label", "o_name", "weight")
+
+
+@query("""SELECT DISTINCT p_brand AS s_name, CASE WHEN p_size % 2 = 0 THEN 'MAY_CAUSE' ELSE 'BELONGS_TO' END AS rel, p_type AS o_name, CAST(CASE WHEN p_size % 2 = 0 THEN 0.8 ELSE 1.0 END AS DOUBLE) AS weight FROM part""")
+def kg_static_edges(spark, sf_dir):
+    """Brands and types as a rule table."""
+    rows = table(spark, sf_dir, "part").select(F.lit("Drug").alias("s_label"), F.col("p_brand").alias("s_name"), F.when(F.col("p_size") % 2 == 0, "MAY_CAUSE").otherwise("BELONGS_TO").alias("rel"), F.lit("Risk").alias("o_label"), F.col("p_type").alias("o_name")).distinct()
+    return kg.static_edges(rows, {"MAY_CAUSE": 0.8, "BELONGS_TO": 1.0}).select("s_name", "rel", "o_name", "weight")
+
+
+@query("""WITH d AS (SELECT p_name AS drug, min(p_partkey) AS ord, list(DISTINCT p_brand) AS aliases FROM part GROUP BY p_name),
+    r AS (SELECT ord, 0 AS p, drug, drug AS x FROM d UNION ALL SELECT ord, 1, drug, unnest(aliases) FROM d),
+    v AS (SELECT ord, p, drug, lower(unnest(list_distinct([x, replace(x, '1', '2'), replace(x, '2', '1')]))) AS name FROM r),
+    k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p, CASE WHEN p = 0 THEN -ord ELSE ord END) AS n FROM v),
+    o AS (SELECT name, drug AS canonical, CASE WHEN p = 0 THEN 'knowledge_base' ELSE 'knowledge_base_alias' END AS source FROM k WHERE n = 1)
+    SELECT * FROM o UNION ALL SELECT DISTINCT lower(p_type), 'T', 'interaction_ref' FROM part WHERE lower(p_type) NOT IN (SELECT name FROM o)""")
+def alias_dictionary(spark, sf_dir):
+    """Part names and their brands as names; types fill what is free."""
+    extra = table(spark, sf_dir, "part").select(F.col("p_type").alias("name"), F.lit("T").alias("canonical"))
+    return names.alias_dictionary(part_records(spark, sf_dir), extra, "1", "2")
+
+
+@query("SELECT count(*) AS records, CAST(sum(p_size % 4) AS BIGINT) AS interactions FROM part")
+def risk_totals(spark, sf_dir):
+    return knowledge.risk_totals(table(spark, sf_dir, "part").select(F.array_repeat("p_type", (F.col("p_size") % 4).cast("int")).alias("interactions")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..operators import names, risk
 from ..operators import questions as qs
 from . import retrieval_queries as rq
 from .common import HIGH, MEDIUM, corpus, questions, sql_any, table
@@ -87,13 +89,13 @@ def evidence_assembly(spark, sf_dir):
 
 
 
-@query(f"""WITH t AS (SELECT source || lang AS drug, {sql_any('left(text, 2000)', HIGH)} AS h, {sql_any('left(text, 2000)', MEDIUM)} AS m FROM documents WHERE doc_id % 4 < 3),
+@query(f"""WITH t AS (SELECT source || lang AS drug, {sql_any('left(text, 2000)', HIGH)} AS h, {sql_any('left(text, 2000)', MEDIUM)} AS m FROM documents),
     l AS (SELECT drug, CASE WHEN bool_or(h) THEN 3 WHEN bool_or(m) THEN 2 ELSE 1 END AS level FROM t GROUP BY drug),
     g AS (SELECT DISTINCT source AS concept, source || lang AS drug FROM documents) SELECT concept, bool_and(level IS NOT NULL) AND count(DISTINCT level) = 1 AS agreed FROM g LEFT JOIN l USING (drug) GROUP BY concept""")
 def candidate_consensus(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("drug", F.concat("source", "lang"))
     groups = docs.groupBy(F.col("source").alias("concept")).agg(F.collect_set("drug").alias("candidates")).withColumn("q", F.lit(1))
-    sections = docs.where("doc_id % 4 < 3").select("drug", F.lit("x").alias("section"), F.col("text").alias("content"))
+    sections = docs.select("drug", F.lit("x").alias("section"), F.col("text").alias("content"))
     return qs.consensus(groups, sections, "x", 2000, HIGH, MEDIUM).select("concept", "agreed")
 
 
@@ -138,3 +140,57 @@ def _letters(texts):
 def embedder_hook(spark, sf_dir):
     rows = qs.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _letters)
     return rows.select("doc_id", F.round(F.get("vec", F.lit(0)), 6).alias("first_weight"), F.size("vec").cast("long").alias("dim"))
+
+
+@query("SELECT o_orderkey AS q, NOT (o_orderkey % 11 = 0 AND o_orderkey % 4 < 2) AS asks, CAST(least(greatest(80, 8 * (o_orderkey % 40 + 1)), 240) AS INTEGER) AS most FROM orders")
+def graph_skip(spark, sf_dir):
+    """Which questions ask the graph, and for how many edges at most."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(key.alias("q"), F.sequence(F.lit(1), (key % 40 + 1).cast("int")).alias("entities"))
+    return rows.select("q", qs.asks_graph(F.col("q") % 11 == 0, F.col("q") % 4).alias("asks"), qs.graph_limit(F.col("entities")).alias("most"))
+
+
+@query(r"""WITH t AS (SELECT doc_id AS q, lower(regexp_replace(text, '\s+', '', 'g')) AS t FROM documents), m AS (SELECT q, t, unnest(['and', 'que', 'und']) AS mention FROM t)
+    SELECT q, mention FROM m WHERE NOT (instr(t, mention) > 0 AND regexp_matches(substr(t, 1, instr(t, mention) - 1), '(?s)(in|de).{0,6}$'))""")
+def negated_groups(spark, sf_dir):
+    """Groups whose first mention does not stand within six characters of a word that stands for a negation here."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("q"), F.col("text").alias("message"))
+    groups = docs.select("q", F.explode(F.array(*map(F.lit, ("and", "que", "und")))).alias("mention"))
+    return qs.without_negated_groups(groups, docs, (("(in|de)", 6),)).select("q", "mention")
+
+
+@query("SELECT o_orderkey AS q, 'm' AS mention FROM orders WHERE o_orderkey % 5 <> o_orderkey % 7")
+def unresolved_mentions(spark, sf_dir):
+    """Ambiguous mentions whose own resolution meets none of the known names."""
+    key, name = F.col("o_orderkey"), lambda n: F.concat(F.lit("n"), (F.col("o_orderkey") % n).cast("string"))
+    orders = table(spark, sf_dir, "orders")
+    ambiguous = orders.select(key.alias("q"), F.lit("m").alias("mention"), F.array(name(5)).alias("found"))
+    return qs.without_resolved(ambiguous, orders.select(key.alias("q"), F.array(name(7), F.lit("x")).alias("names"))).select("q", "mention")
+
+
+@query("""WITH g AS (SELECT l_orderkey AS q, l_linenumber * 1000000 + l_partkey AS i, unnest(['p' || (l_partkey % 5), 'p' || (l_suppkey % 3)]) AS drug FROM lineitem) SELECT q, drug, 'c' || max(i) AS concept FROM g GROUP BY ALL""")
+def candidate_concepts(spark, sf_dir):
+    """Lines as groups of two candidates each: the last group of a candidate counts."""
+    i = F.col("l_linenumber") * 1000000 + F.col("l_partkey")
+    part = lambda c, n: F.concat(F.lit("p"), (F.col(c) % n).cast("string"))
+    groups = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("q"), i.alias("i"), F.concat(F.lit("c"), i.cast("string")).alias("concept"), F.array(part("l_partkey", 5), part("l_suppkey", 3)).alias("candidates"))
+    return qs.concept_of(groups)
+
+
+@query("SELECT p_partkey, array_to_string(list_sort(list_distinct([p_brand, p_type, p_name, p_brand])), '|') AS names FROM part")
+def united_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(names.united(F.array("p_brand", "p_type"), F.array("p_name", "p_brand")), "|").alias("names"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime(ts, '%f') = '000000' THEN '' ELSE '.' || strftime(ts, '%f') END || '+00:00' AS iso FROM events")
+def iso_times(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", text.iso_utc(F.col("ts")).alias("iso"))
+
+
+@query(f"""WITH f AS (SELECT item_id AS q, 'all' AS concept, n AS candidates FROM benchmark, (SELECT count(DISTINCT source) AS n FROM documents))
+    SELECT q, 'info' AS level, '“' || concept || '”已按药物家族展开为 ' || candidates || ' 个相关制剂，本次基于其中 ' || (q % 5) || ' 个制剂召回到的说明书证据进行综合判断。' AS message FROM f""")
+def family_flags(spark, sf_dir):
+    """A flag per question for one family of all sources, with q % 5 of them in the evidence."""
+    family = table(spark, sf_dir, "documents").agg(F.count_distinct("source").alias("candidates"))
+    families = questions(spark, sf_dir).select("q", F.lit("all").alias("concept"), (F.col("q") % 5).alias("with_evidence")).crossJoin(F.broadcast(family))  # one row
+    return risk.family_flags(families)

@@ -91,11 +91,11 @@ def session_list(spark, sf_dir):
     return rows.select("session_id", "title", "risk_level", "updated_at", "n_messages")
 
 
-@query("""SELECT conv_id AS session_id, turn AS id, md5(text) AS conclusion, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations WHERE conv_id % 5 = 2""")
+@query("""SELECT conv_id AS session_id, turn AS id, md5(text) AS conclusion, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations""")
 def session_detail(spark, sf_dir):
     rows = _messages(spark, sf_dir)
     owned = rows.select("session_id", "user_id").distinct()
-    out = sessions.session_detail(owned, rows.drop("user_id"), F.lit("user2"))
+    out = sessions.session_detail(owned, rows.drop("user_id"), F.concat(F.lit("user"), (F.col("session_id") % 5).cast("string")))
     return out.select("session_id", "id", "conclusion", F.col("position").cast("long").alias("position"))
 
 
