@@ -80,7 +80,7 @@ def direct_evidence(spark, sf_dir):
 
 @query(None)
 def evidence_assembly(spark, sf_dir):
-    """Direct and retrieved evidence of each question, once, by priority, spread over sources; a plain model is in the tests."""
+    """Direct and retrieved evidence of each question, once, by priority, spread over sources; its parts have SQL of their own."""
     rows = rq.evidence(spark, sf_dir, 16).select("q", "ord", F.lit("documents").alias("source"), "drug", "section", F.substring("text", 1, 320).alias("snippet"), "score")
     direct = _direct(spark, sf_dir).withColumn("source", F.lit("documents")).withColumn("ord", F.col("ord").cast("long"))
     out = qs.assemble(rows, direct.select(*rows.columns), _asked(spark, sf_dir), limit=12, high=HIGH, medium=MEDIUM, titles=(), match=_MATCH)

@@ -421,3 +421,26 @@ def test_last_group_names_the_concept(spark):
 def test_names_fingerprint_depends_on_order(spark):
     prints = [knowledge.names_fingerprint(spark.createDataFrame(rows, "ord long, drug string, aliases array<string>")).first().fingerprint for rows in ([(0, "a", ["y", "x"]), (1, "b", None)], [(0, "a", ["x", "y"]), (1, "b", [])], [(1, "a", ["x", "y"]), (0, "b", [])])]
     assert prints[0] == prints[1] != prints[2]
+
+
+@pytest.mark.parametrize("small", [50_000, 1])
+def test_mentions_of_repeated_rows_and_nulls(spark, monkeypatch, small):
+    monkeypatch.setattr(names, "SMALL", small)
+    texts = spark.createDataFrame([(1, "red ring and blue bolt"), (1, "red ring and blue bolt"), (2, "re"), (3, None), (4, "")], "id long, t string")
+    known = spark.createDataFrame([("red",), ("red ring",), ("blue bolt",), ("ring and blue bolt",), ("x",)], "name string")
+    got = sorted((r.id, r.name) for r in names.mentions(texts, known, "id", "t").select("id", "name").collect())
+    assert got == sorted([(1, n) for n in ("red", "red ring", "blue bolt", "ring and blue bolt")] * 2)
+    assert names.mentions(texts.limit(0), known, "id", "t").count() == 0
+    assert names.mentions(texts, known.limit(0), "id", "t").count() == 0
+
+
+@pytest.mark.parametrize("limit_mb", [64, 0])
+def test_hash_nearest_is_exact(spark, limit_mb):
+    words = "alpha beta gamma delta".split()
+    docs = spark.createDataFrame([(i, " ".join(words[: 1 + i % 4])) for i in range(40)] + [(40, ""), (41, None)], "ord long, text string")
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "delta"), (3, "")], "q long, text string")
+    both = [
+        [tuple(r) for r in retrieval.top_k(f.withColumnRenamed("cosine", "score"), 5).select("q", "ord", "rank").orderBy("q", "rank").collect()]
+        for f in (retrieval.hash_nearest(docs, asked, F.col("text"), F.col("text"), 5, limit_mb=limit_mb), retrieval.hash_similarity(docs, asked, F.col("text"), F.col("text")))
+    ]
+    assert both[0] == both[1] and [x[1] for x in both[0] if x[0] == 1] == [1, 5, 9, 13, 17]
