@@ -47,12 +47,17 @@ def aliases(rows: DataFrame, name: str, brand: str, title: str) -> DataFrame:
 
 
 def source_lists(rows: DataFrame, key: str, columns: dict[str, int | None]) -> DataFrame:
-    """Sorted distinct non-empty values per key, cut to the stated length after sorting."""
-    aggs = []
-    for c, limit in columns.items():
-        values = F.array_sort(F.collect_set(F.nullif(F.col(c).cast("string"), F.lit(""))))
-        aggs.append((F.slice(values, 1, limit) if limit else values).alias(c))
-    return rows.groupBy(key).agg(*aggs)
+    """Sorted distinct non-empty values per key, cut to the stated length after sorting; a column without a limit is whole.
+
+    Values are ranked as rows and cut before they are gathered.
+    """
+    cell = lambda c: F.struct(F.lit(c).alias("c"), F.nullif(F.col(c).cast("string"), F.lit("")).alias("v"))
+    values = rows.select(F.col(key), F.explode(F.array(*map(cell, columns))).alias("x")).select(key, "x.c", "x.v").distinct()
+    values = values.withColumn("_n", F.row_number().over(Window.partitionBy(key, "c").orderBy(F.col("v").asc_nulls_last())))
+    most = F.create_map(*[F.lit(x) for c, n in columns.items() if n for x in (c, n)]) if any(columns.values()) else None
+    if most is not None:
+        values = values.where(F.coalesce(F.col("_n") <= F.try_element_at(most, F.col("c")), F.lit(True)))
+    return values.groupBy(key).agg(*[F.array_sort(F.collect_list(F.when(F.col("c") == c, F.col("v")))).alias(c) for c in columns])
 
 
 def build_report(rows: DataFrame, records: DataFrame, skipped: Column) -> DataFrame:

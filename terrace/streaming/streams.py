@@ -20,7 +20,9 @@ def rolling_metrics(events: DataFrame, size: int = 300) -> DataFrame:
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = list(state.get[0]) if state.exists else []
-        new = pd.concat(list(batches)).sort_values("event_id")
+        new = pd.DataFrame({"event_id": [], "value": []})
+        for batch in batches:  # no more than the newest ``size`` rows are held beside a batch
+            new = (pd.concat([new, batch]) if len(new) else batch).sort_values("event_id", kind="stable").tail(size)
         kept = (kept + new["value"].fillna(0.0).tolist())[-size:]
         state.update((kept,))
         ordered = sorted(kept)
