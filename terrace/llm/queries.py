@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, jaccard, lm, packing, quality, secrets, suffix, toxicity, warc
+from . import bpe, chat, fingerprint, jaccard, lm, merkle, packing, quality, secrets, suffix, toxicity, warc, whitening
 from .common import documents
 
 
@@ -55,11 +56,28 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    rows = chat.with_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"), -7, [("user", said), ("assistant", said)])
+    return chat.read_back(chat.formatted(chat.log_of(rows)), in_order=True)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 0
+    return merkle.verified(merkle.manifest(documents(spark, sf_dir), tampered))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=16)
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_stupid_backoff, op2_suffix_dedup, op3_best_fit_packing, op4_ngram_jaccard, op5_warc,
         op6_quality_rules, op7_fingerprints, op8_secret_scan, op9_toxicity, op10_byte_bpe,
+        op11_chat_format, op12_merkle_manifest, op13_whitening,
     )
 }
 
