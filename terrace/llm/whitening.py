@@ -186,7 +186,7 @@ def whitened(rows: DataFrame, model: Whitening, error: float) -> DataFrame:
                 m = part.num_rows
                 yield batch({
                     "vec_id": (part.column("vec_id").take(pa.array(np.repeat(np.arange(m), k))), pa.int64()), "component": (np.tile(np.arange(1, k + 1), m), pa.int32()), "n": (np.full(m * k, model.n), pa.int64()),
-                    "deviation": ([Decimal(int(v)) for v in deviation for _ in range(k)], pa.decimal128(38, 0)), "whitened": (_project(y, model).ravel(), pa.float64()),
+                    "deviation": ([v for x in deviation.tolist() for v in [Decimal(x) if x < 10**38 else None] * k], pa.decimal128(38, 0)), "whitened": (_project(y, model).ravel(), pa.float64()),
                     "explained": (np.tile(model.values / model.trace, m), pa.float64()), "identity_error": (np.full(m * k, error), pa.float64()),
                 })
 
@@ -194,7 +194,7 @@ def whitened(rows: DataFrame, model: Whitening, error: float) -> DataFrame:
 
 
 def whiten(vectors: DataFrame, value: str = "embedding", components: int = 16) -> DataFrame:
-    """Fit on the distinct vectors of ``vectors(vec_id, value)`` and project all rows; ``deviation`` is exact at any size."""
+    """Fit on the distinct vectors of ``vectors(vec_id, value)`` and project all rows; ``deviation`` is exact, null from 10**38 on."""
     rows = grid(vectors, value)
     distinct = fit_list(rows)
     model = fit(distinct, components)
