@@ -167,3 +167,44 @@ FLAG_MESSAGES = {
     "ambiguous": "{names}不是明确的具体药品名称，请补充具体名称后再判断。",
 }
 FAMILY_MESSAGE = "“{mention}”已按药物家族展开为 {candidates} 个相关制剂，本次基于其中 {with_evidence} 个制剂召回到的说明书证据进行综合判断。"
+
+# The wording of a chain's mechanisms, of a single report with its limitations, and of an answer's parts.
+MECHANISMS = {
+    "ambiguous": "当前问题包含口语化、类别或复方药品表达，无法作为具体药品组合进行精确相互作用判断。",
+    "few": "当前问题中少于两个明确药物，无法对药物相互作用做确定性判断。",
+    "no_names": "当前问题中未识别到明确药物，无法进行个体化用药风险判断。",
+    "pair": "存在已知药物相互作用。",
+    "pair_advice": "建议由医生或药师确认是否需要调整治疗方案。",
+    "no_evidence": "当前知识库未检索到足够证据，不能做确定性判断。",
+    "High": "检索证据包含禁忌、严重不良反应或明确避免合用信息。",
+    "Medium": "检索证据提示可能需要监测、谨慎使用或调整剂量。",
+    "Low": "当前证据未提示明确严重相互作用，但仍需结合患者情况判断。",
+    "population_high": "检索证据提示该药在{names}相关场景中存在禁用、禁忌或应避免使用等限制。",
+    "population_medium": "检索证据提示{names}用药时风险可能增高，需谨慎使用、监测或由医生药师确认。",
+    "condition": "检索证据提示合并{names}时需谨慎使用、监测或由医生药师确认。",
+    "graph": "知识图谱校验命中结构化关系：{subject} - {relation} - {object}。",
+    "also": " 同时，",
+    "nothing": "当前本地知识库和向量检索未找到足够证据，不能做确定性判断。",
+}
+REPORT = {
+    "Unknown": "未找到足够可靠证据，系统不做安全性结论。",
+    "Unknown_advice": "建议补充完整药物名称、剂量、疾病和特殊人群信息，并咨询医生或药师。",
+    "pair": "{left} 与 {right} 存在 {level} 级用药风险。",
+    "pair_advice": "建议由医生或药师评估是否调整治疗方案，并进行必要监测。",
+    "other": "基于当前知识库证据，综合风险等级为 {level}。",
+    "other_advice": "建议结合患者病史、剂量、肝肾功能和正在使用的其他药物，由专业人员确认。",
+}
+LIMITATIONS = {
+    "few": "输入中少于两个可识别药物，药物相互作用判断可能不完整。",
+    "no_evidence": "当前本地知识库未召回相关说明书片段。",
+    "no_dose": "输入缺少剂量信息，无法评估剂量相关风险。",
+}
+ANSWER = {
+    "mechanism": "原因：{mechanism}",
+    "recommendation": "建议：{recommendation}",
+    "graph": "图谱关系：{subject} - {relation} - {object}。",
+    "evidence": "主要证据：{drug}/{section} 提到“{snippet}”。",
+    "flags": "安全提示：{flags}",
+    "between": "；",
+    "notice": "本系统用于用药风险信息检索与咨询辅助，不提供诊断、处方或替代医生/药师的医疗建议。",
+}

@@ -16,11 +16,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import terms, text
+from ..sources import store
 from .names import SMALL
 
 
@@ -259,3 +261,122 @@ def prioritized(evidence: DataFrame, matches: Column, titled: Column, snippet: C
     value = F.col("score") + add(matches, 2.0) + add(titled, 0.8) + add(text.contains_any(snippet, high), 0.4) + add(text.contains_any(snippet, medium), 0.3)
     out = evidence.withColumn("score", F.round(value, 4))
     return out.withColumn("position", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), order)))
+
+
+# --- both lists from one pass --------------------------------------------------------------------------
+
+
+def one_pass(docs: DataFrame, asks: DataFrame, value: Column, also: Column, lexical: Column, hashed: Column, near: int, size: int = 384, limit_mb: int = 64) -> tuple[DataFrame, DataFrame]:
+    """What BM25 and the hash vectors need of ``docs(ord, ...)``, from tokens that are made once a document and never shuffled.
+
+    Returns (ord, n_tokens, term, tf) for terms of ``asks(q, ...)``, with a row of a null term for each document, and
+    (q, ord, cosine) that holds the ``near`` nearest documents of each ask. Tokens of ``value`` make both, those of ``also``
+    the first only; ``lexical`` and ``hashed`` are the asks' texts. A task keeps the nearest so far of each ask. The asks are
+    a stated set; beyond ``limit_mb`` of vectors or terms the two operators run one by one.
+    """
+    vectors = hash_vectors(asks, "q", hashed, size)
+    asked = asks.select("q").distinct()
+    n = asked.count()
+    wanted = question_terms(asks, lexical).select("term").distinct()
+    if n * size * 8 > limit_mb << 20 or wanted.limit(SMALL + 1).count() > SMALL:
+        both = docs.withColumn("_t", F.concat(text.tokens(also), text.tokens(value))).withColumn("n_tokens", F.greatest(F.size("_t"), F.lit(1)).cast("long"))
+        rows = both.select("ord", "n_tokens", F.explode_outer("_t").alias("term")).join(wanted, "term", "left_semi")
+        counts = rows.groupBy("ord", "n_tokens", "term").agg(F.count("*").alias("tf"))
+        return counts.unionByName(both.select("ord", "n_tokens", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"))), hash_similarity(docs, asks, value, hashed, size)
+    ids = [r.q for r in asked.collect()]  # a stated set of bounded size
+    at = {q: i for i, q in enumerate(ids)}
+    matrix = np.zeros((n, size))
+    for r in vectors.collect():
+        matrix[at[r.q], r.bucket] = r.w
+    terms_asked = sorted(r.term for r in wanted.collect())
+    q_type, ord_type = to_arrow_type(asks.schema["q"].dataType), to_arrow_type(docs.schema["ord"].dataType)
+
+    def best(cosine: np.ndarray, order: np.ndarray) -> np.ndarray:
+        return np.lexsort((order, -np.round(cosine, 9)))[:near]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(terms_asked, pa.string())
+        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * n
+        least = np.full(n, -1.0)
+
+        def rows(ord_, n_tokens, term, tf, q, cosine) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ord_, n_tokens, term, tf, q, cosine], ["ord", "n_tokens", "term", "tf", "q", "cosine"])
+
+        for b in batches:
+            m, ords = b.num_rows, b.column("ord")
+            split = []
+            for name in ("_v", "_a"):
+                tokens = b.column(name)
+                terms_ = tokens.flatten().dictionary_encode()
+                split.append((terms_.dictionary, terms_.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(m), np.diff(tokens.offsets.to_numpy()))))
+            (words, index, row), extra = split[0], split[1]
+            length = np.maximum(np.bincount(row, minlength=m) + np.bincount(extra[2], minlength=m), 1)
+            pairs = [r * len(known) + pc.index_in(w, known).to_numpy(zero_copy_only=False)[i] for w, i, r in split if len(i)]
+            pairs = np.concatenate([p[~np.isnan(p)] for p in pairs]).astype(np.int64) if pairs else np.zeros(0, np.int64)
+            pair, tf = np.unique(pairs, return_counts=True)
+            doc = np.concatenate([pair // max(len(known), 1), np.arange(m)])
+            term = pa.concat_arrays([known.take(pa.array(pair % max(len(known), 1))), pa.nulls(m, pa.string())])
+            none = len(doc)
+            yield rows(ords.take(pa.array(doc)), pa.array(length[doc]), term, pa.array(np.concatenate([tf, np.zeros(m, np.int64)])), pa.nulls(none, q_type), pa.nulls(none, pa.float64()))
+            bucket = np.array([int.from_bytes(hashlib.md5(t.encode()).digest(), "big") % size for t in words.to_pylist()], np.int64)
+            counts = np.bincount(row * size + bucket[index], minlength=m * size).reshape(-1, size) if len(row) else np.zeros((m, size))
+            cosine = (counts @ matrix.T) / np.maximum(np.sqrt((counts * counts).sum(1)), 1.0)[:, None]
+            order = ords.to_numpy(zero_copy_only=False)
+            for i in range(n):
+                hit = np.flatnonzero((cosine[:, i] > 0) & (cosine[:, i] >= least[i] - 2e-9))
+                if len(hit):
+                    c, o = np.concatenate([kept[i][0], cosine[hit, i]]), np.concatenate([kept[i][1], order[hit]])
+                    top = best(c, o)
+                    kept[i] = (c[top], o[top])
+                    if len(top) == near:
+                        least[i] = kept[i][0].min()
+        sizes = [len(c) for c, _ in kept]
+        if sum(sizes):
+            total = sum(sizes)
+            q = pa.array(ids, q_type).take(pa.array(np.repeat(np.arange(n), sizes)))
+            yield rows(pa.array(np.concatenate([o for _, o in kept]), ord_type), pa.nulls(total, pa.int64()), pa.nulls(total, pa.string()), pa.nulls(total, pa.int64()), q, pa.array(np.concatenate([c for c, _ in kept])))
+
+    none = F.array().cast("array<string>")
+    tokens = docs.select("ord", F.coalesce(text.tokens(value), none).alias("_v"), F.coalesce(text.tokens(also), none).alias("_a"))
+    q_name, ord_name = asks.schema["q"].dataType.simpleString(), docs.schema["ord"].dataType.simpleString()
+    found = store.written(tokens.mapInArrow(run, f"ord {ord_name}, n_tokens long, term string, tf long, q {q_name}, cosine double"), "pass")
+    return found.where("q is null").select("ord", "n_tokens", "term", "tf"), found.where("q is not null").select("q", "ord", "cosine")
+
+
+def bm25_of(postings: DataFrame, asks: DataFrame, lexical: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(q, ord, base) as ``bm25`` gives it, from the first table of ``one_pass``."""
+    average = postings.where("term is null").agg(F.avg("n_tokens").alias("mean"), F.greatest(F.count("*"), F.lit(1)).alias("n"))
+    wanted, small = _asked_terms(asks, lexical)
+    counts = postings.where("term is not null")
+    idf = bm25_idf(counts, average.select("n")).select("term", "idf")
+    hits = counts.join(small(wanted.join(small(idf), "term")), "term").crossJoin(F.broadcast(average.select("mean")))  # one row
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / F.col("mean")))
+    return hits.groupBy("q", "ord").agg(F.sum(F.col("n") * F.col("idf") * weight).alias("base"))
+
+
+def hybrid(docs: DataFrame, asks: DataFrame, k: Column, most: int, important: Sequence[str], risky: Sequence[str], key: Sequence[str] = ("source", "drug", "section", "snippet")) -> DataFrame:
+    """(q, ord, *docs columns, rank, score): the ``k`` best passages of each ask, at most ``most``, fused and re-ranked.
+
+    ``docs(ord, source, drug, section, text, snippet)``, ``asks(q, asked, drugs)``: BM25 over drug, section and text with the
+    asked text and the names, hash vectors over texts; max(4 k, 16) passages of each list, vectors over-fetched threefold.
+    """
+    widest = max(4 * most, 16)
+    deep = F.greatest(4 * k, F.lit(16))
+    lexical = F.concat_ws(" ", "asked", F.array_join("drugs", " "))
+    postings, near = one_pass(docs, asks, F.col("text"), F.concat_ws(" ", "drug", "section"), lexical, F.col("asked"), 3 * widest)
+    depth = asks.select("q", deep.alias("_deep"), k.alias("_k"), "drugs")
+    small = F.broadcast if asks.limit(SMALL + 1).count() <= SMALL else lambda x: x
+    scored = boosted(bm25_of(postings, asks, lexical), docs, asks, widest, important, 0.35, 0.45)
+    words = top_k(scored, widest).join(small(depth.select("q", "_deep")), "q").where("rank <= _deep").select("q", "ord", "rank")
+    close = top_k(near.withColumnRenamed("cosine", "score"), 3 * widest).join(small(depth.select("q", "_deep", "drugs")), "q").where("rank <= 3 * _deep").select("q", "ord", F.col("score").alias("cosine"), "_deep", "drugs")
+    close = close.join(docs.select("ord", "drug", "section"), "ord")
+    value = 1 / (2 - F.col("cosine")) + F.when(F.col("section").isin(*important), 0.12).otherwise(0.0) + F.when(F.array_contains("drugs", F.col("drug")), 0.18).otherwise(0.0)
+    vectors = top_k(close.select("q", "ord", "_deep", F.round(value, 4).alias("score")), widest).where("rank <= _deep").select("q", "ord", "rank")
+    # texts meet only the documents that one of the lists names
+    listed = words.withColumn("_l", F.lit(0)).union(vectors.withColumn("_l", F.lit(1)))
+    shown = listed.join(docs.select("ord", *key), "ord").join(small(depth.select("q", "_k", "drugs")), "q").withColumn("_mine", F.array_contains("drugs", F.col("drug")))
+    shown = store.written(shown, "lists")
+    lists = {name: shown.where(F.col("_l") == i) for i, name in enumerate(("bm25", "dense"))}
+    firsts = shown.groupBy("q", *key).agg(F.min("ord").alias("ord"))
+    fused = rerank(rrf(lists, [*key, "_mine", "_k"], mine=F.col("_mine")), F.col("section").isin(*important), F.col("_mine"), text.contains_any(F.col("snippet"), risky))
+    return fused.where(F.col("rank") <= F.col("_k")).join(firsts, ["q", *key]).select("q", "ord", *key, "rank", "score")
