@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import retrieval, risk
+from ..operators import retrieval, risk, stored_index
+from ..sources import store
 from .common import CORPUS, HIGH, IMPORTANT, MEDIUM, QUESTIONS, corpus, questions, sql_any, sql_in, sql_tokens, table
 
 QUERIES: dict = {}
@@ -92,6 +93,30 @@ def tfidf_topk(spark, sf_dir):
     return retrieval.top_k(scored, 8).select("q", "ord", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
+@query(f"WITH {_sql_bm25('text', 'text')}, {_sql_top('bm', 8, 'base')} SELECT q, ord, rank, round(base, 4) AS score FROM top")
+def index_topk(spark, sf_dir):
+    """BM25 from a stored index: the rows of bm25_topk."""
+    docs, asked = corpus(spark, sf_dir), questions(spark, sf_dir)
+    _, index = stored_index.ensure(docs, F.col("text"), store.fresh(spark, "index"), near=["section"])
+    best = stored_index.top_k(index, asked, F.col("text"), 8)
+    return best.select("q", "ord", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (lang = 'en') AS part FROM documents)
+    SELECT 'empty' AS place, 'built' AS outcome, part AS held FROM n UNION ALL SELECT 'complete', 'kept', part FROM n UNION ALL SELECT 'partial', CASE WHEN part < n THEN 'refused' ELSE 'kept' END, part FROM n""")
+def index_cases(spark, sf_dir):
+    """An empty place is built, a complete index kept, a partial one refused: English documents alone, then all of them."""
+    docs, path = corpus(spark, sf_dir), store.fresh(spark, "index")
+    english, outcomes = docs.where("section = 'en'"), []
+    for place, wanted in (("empty", english), ("complete", english), ("partial", docs)):
+        try:
+            outcome = stored_index.ensure(wanted, F.col("text"), path)[0]
+        except stored_index.IncompleteIndex:
+            outcome = "refused"
+        outcomes.append((place, outcome, stored_index.stored_documents(spark, path)))
+    return spark.createDataFrame(outcomes, "place string, outcome string, held long")
+
+
 # --- vectors -----------------------------------------------------------------------------------------
 
 _PART = "('0x' || substr(md5(term), {}, 8))::BIGINT"
