@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..sources.versioned import Versioned
 
 
 def snapshots(turns: DataFrame, older: str = "老年人", younger: str = "儿童") -> DataFrame:
     """Running state of turns(session_id, turn, message, drugs, population, conditions, risk_factors) after each turn.
 
     Sets only grow, but a turn with ``younger`` and not ``older`` drops an earlier ``older`` and the reverse. That fold has a
-    closed form: a label stays while its last turn is later than the last turn that had the other one alone.
+    closed form: a label stays while its last turn is later than the last turn that had the other one alone. A value is in
+    the state from its first turn on, so each session keeps its distinct values with their first turns, once, and a turn's
+    state is those that came by then: work goes with turns and values, not with the square of a session's length.
     """
+    lists = ("drugs", "population", "conditions", "risk_factors")
+
+    def named(c: str) -> Column:
+        return F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v: F.struct(F.lit(c).alias("kind"), v.alias("value")))
+
+    values = F.concat(*map(named, lists))
+    firsts = turns.select("session_id", "turn", F.explode(values).alias("v")).groupBy("session_id", "v.kind", "v.value").agg(F.min("turn").alias("first"))
+    known = firsts.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("kind", "value", "first"))).alias("_known"))
     w = Window.partitionBy("session_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    seen = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c).over(w))))
     has = lambda label: F.array_contains("population", label)
     last = lambda cond: F.coalesce(F.max(F.when(cond, F.col("turn"))).over(w), F.lit(-1))
     keep_older = last(has(older)) > last(has(younger) & ~has(older))
     keep_younger = last(has(younger)) > last(has(older) & ~has(younger))
-    people = F.filter(seen("population"), lambda x: F.when(x == older, keep_older).when(x == younger, keep_younger).otherwise(F.lit(True)))
-    return turns.select("session_id", "turn", seen("drugs").alias("drugs"), people.alias("population"), seen("conditions").alias("conditions"), seen("risk_factors").alias("risk_factors"), F.col("message").alias("last_question"))
+    rows = turns.select("session_id", "turn", F.col("message").alias("last_question"), keep_older.alias("_o"), keep_younger.alias("_y")).join(known, "session_id", "left")
+    by_now = lambda c: F.transform(F.filter("_known", lambda k: (k["kind"] == c) & (k["first"] <= F.col("turn"))), lambda k: k["value"])
+    state = {c: F.coalesce(by_now(c), F.array().cast("array<string>")) for c in lists}
+    people = F.filter(state["population"], lambda x: F.when(x == older, F.col("_o")).when(x == younger, F.col("_y")).otherwise(F.lit(True)))
+    return rows.select("session_id", "turn", *[(people if c == "population" else state[c]).alias(c) for c in lists], "last_question")
 
 
 def memory_updates(states: DataFrame) -> DataFrame:
@@ -70,9 +85,18 @@ def query_drugs(now: Column, memory: Column) -> Column:
     return F.when(F.size(now) > 0, now).otherwise(memory)
 
 
-def save_turn(message: DataFrame, path: str) -> None:
-    """Append messages to their table, by session group; session rows follow from it (``session_rows``)."""
-    message.withColumn("_group", F.pmod(F.xxhash64("session_id"), F.lit(64))).write.mode("append").partitionBy("_group").parquet(path)
+MESSAGES = "id long, session_id long, user_id string, message string, risk_level string, conclusion string, created_at long"
+HISTORY = "id long, user_id string, question string, report string, created_at long"
+
+
+def message_table(spark: SparkSession, path: str, schema: str = MESSAGES) -> Versioned:
+    """Messages by session; session rows follow from them (``session_rows``). A session goes with its messages, by its owner."""
+    return Versioned(spark, path, StructType.fromDDL(schema), ["session_id"])
+
+
+def history_table(spark: SparkSession, path: str, schema: str = HISTORY) -> Versioned:
+    """Analyses by id: created by an append, deleted by id (and owner)."""
+    return Versioned(spark, path, StructType.fromDDL(schema), ["id"])
 
 
 def history(rows: DataFrame, limit: int = 30) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import retrieval, risk, stored_index
+from ..operators import nearest, retrieval, risk, stored_index
 from ..sources import store
 from .common import CORPUS, HIGH, IMPORTANT, MEDIUM, QUESTIONS, corpus, questions, sql_any, sql_in, sql_tokens, table
 
@@ -167,6 +167,26 @@ def dense_topk_filtered(spark, sf_dir):
     return best.select("q", "ord", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
+def _approximate(spark, sf_dir, k=8):
+    docs, asked = _dense_tables(spark, sf_dir)
+    index = nearest.build(docs, nearest.fit(docs))
+    return nearest.search(index, asked, nearest.calibrate(index, k, 0.97), k)
+
+
+@query(None)
+def ann_topk(spark, sf_dir):
+    """The nearest vectors by inverted lists, probed as deep as a calibrated recall of 0.97 asks."""
+    return _approximate(spark, sf_dir).select("q", "ord", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+@query("SELECT count(*) AS questions, 8 * count(*) AS wanted, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def ann_recall(spark, sf_dir):
+    """Whether the lists find nine of ten of the exact nearest vectors of the question set."""
+    docs, asked = _dense_tables(spark, sf_dir)
+    exact = retrieval.top_k(retrieval.dense(docs, asked).withColumnRenamed("cosine", "score"), 8)
+    return nearest.recall(_approximate(spark, sf_dir), exact).select("questions", "wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
 # --- fusion ------------------------------------------------------------------------------------------
 
 

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import metrics, sessions
+from ..operators import kg, metrics, sessions
+from ..sources import store
 from ..streaming import streams
+from . import graph_queries as gq
 from . import retrieval_queries as rq
 from .common import HIGH, MEDIUM, questions, sql_any, table
 
@@ -109,6 +108,45 @@ def session_delete(spark, sf_dir):
     return left.groupBy("session_id").agg(F.count("*").alias("n"))
 
 
+# --- versioned tables --------------------------------------------------------------------------------
+
+_SQL_LEFT = "conv_id % 5 = 1 AND conv_id % 3 = 0"
+
+
+def _history(spark, sf_dir):
+    """Messages appended in two writes, the first of them twice; every third session deleted by user1, who owns a fifth."""
+    rows = _messages(spark, sf_dir).join(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("id"), "role"), ["session_id", "id"])
+    held = sessions.message_table(spark, store.fresh(spark, "messages"))
+    asked, said = rows.where("role = 'user'"), rows.where("role <> 'user'")
+    held.append(asked, "asked")
+    held.append(said, "said")
+    held.append(asked, "asked")
+    doomed = rows.where("session_id % 3 = 0").select("session_id", F.lit("user1").alias("user_id"))
+    held.delete(doomed, "deleted")
+    held.delete(doomed, "deleted")
+    return held
+
+
+@query(f"SELECT conv_id AS session_id, turn AS id, 'user' || (conv_id % 5) AS user_id, md5(text) AS conclusion FROM conversations WHERE NOT ({_SQL_LEFT})")
+def history_rows(spark, sf_dir):
+    """What is left after appends, a repeated append and deletes by an owner and by others."""
+    return _history(spark, sf_dir).read().select("session_id", "id", "user_id", "conclusion")
+
+
+@query(f"""SELECT 1 AS version, 'asked' AS token, count(*) FILTER (role = 'user') AS n FROM conversations UNION ALL SELECT 2, 'said', count(*) FROM conversations
+    UNION ALL SELECT 3, 'deleted', count(*) FILTER (NOT ({_SQL_LEFT})) FROM conversations UNION ALL SELECT 4, 'compacted', count(*) FILTER (NOT ({_SQL_LEFT})) FROM conversations UNION ALL SELECT 5, 'reset', 0""")
+def history_versions(spark, sf_dir):
+    """Every version of the table can be read: what each write left."""
+    held = _history(spark, sf_dir)
+    held.compact("compacted")
+    held.reset("reset")
+    out = None
+    for version in range(1, held.version() + 1):
+        part = held.read(version).agg(F.count("*").alias("n")).withColumn("version", F.lit(version))
+        out = part if out is None else out.unionByName(part)
+    return out.join(held.versions().withColumn("version", F.col("version").cast("int")), "version").select("version", "token", "n")
+
+
 # --- metrics -----------------------------------------------------------------------------------------
 
 
@@ -202,8 +240,7 @@ def _stream(spark, sf_dir, name):
     """A stream of one table's files, and fresh places for its output and state in the shared folder."""
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-terrace-")
-    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = store.fresh(spark, "stream")
     folder = path if spark.read.format("binaryFile").load(path).select("path").limit(2).count() > 1 else f"{sf_dir}/{name}*.parquet"
     return spark.readStream.schema(schema).parquet(folder), f"{place}/out", f"{place}/state"
 
@@ -247,6 +284,38 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(out).select("doc_id", "chunk_index", "chunk")
 
 
+@query(_sql_ingest())
+def stream_ingest_once(spark, sf_dir):
+    """All documents delivered, then delivered again after a restart, and once more in another order: chunks come once."""
+    place = store.fresh(spark, "deliveries")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    for number, delivered in enumerate((docs, docs, docs.where("doc_id is not null").orderBy("doc_id"))):
+        delivered.write.parquet(f"{place}/in/{number}")
+        arriving = spark.readStream.schema(docs.schema).parquet(f"{place}/in/*").withColumn("arrived", F.col("_metadata.file_modification_time"))
+        streams.run_available(streams.ingested_chunks(arriving, arrived="arrived"), f"{place}/out/{number}", f"{place}/state")
+    out = spark.read.option("recursiveFileLookup", "true").parquet(f"{place}/out")
+    return out.select("doc_id", "chunk_index", "chunk")
+
+
+@query(gq.SQL["kg_upsert_edges"])
+def stream_edges(spark, sf_dir):
+    """The edges of kg_upsert_edges, merged into a stored table batch by batch; the last batch is delivered twice."""
+    place = store.fresh(spark, "edges")
+    rows = kg.valid(gq._orders_candidates(spark, sf_dir), 0.2).select("subject", "relation", "object_type", "object", "risk_level", F.col("confidence").cast("double").alias("confidence"), "ord")
+    rows.repartition(3, "ord").write.parquet(f"{place}/in")
+    held = streams.edge_table(spark, f"{place}/table", 16)
+    sink = streams.edge_upserts(held)
+
+    def twice(batch, number):
+        sink(batch, number)
+        sink(batch, number)
+
+    arriving = spark.readStream.schema(spark.read.parquet(f"{place}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    streams.run_available(arriving, f"{place}/out", f"{place}/state", sink=twice)
+    weight = F.when(F.col("risk_level") == "High", 1.3).when(F.col("risk_level") == "Medium", 1.1).otherwise(0.8)
+    return held.read().select(F.col("subject").alias("s_name"), F.col("relation").alias("rel"), F.col("object_type").alias("o_label"), F.col("object").alias("o_name"), weight.alias("weight"), "risk_level", "n_candidates")
+
+
 @query("SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL")
 def stream_windows(spark, sf_dir):
     """Hourly windows under a watermark; complete once the stream has ended, so the last windows are updates."""
