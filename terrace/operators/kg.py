@@ -35,7 +35,8 @@ def candidates(
     """
     rows = sections.where(F.col("title").isin(*safety)).select("ord", F.col("drug").alias("subject"), F.col("title").alias("section"), F.posexplode(split(F.col("text"))).alias("_i", "sentence"))
     rows = rows.withColumn("relation", relation_of(F.col("section"), F.col("sentence"), interaction, **words)).where("relation is not null")
-    rows = rows.withColumn("_id", F.concat_ws(":", F.col("ord").cast("string"), F.col("_i").cast("string")))
+    # with the sentence's own digest: null or repeated ords must not give one sentence the objects of another
+    rows = rows.withColumn("_id", F.concat_ws(":", F.coalesce(F.col("ord").cast("string"), F.lit("-")), F.col("_i").cast("string"), F.md5("sentence")))
     about = rows.where(F.col("section") == interaction)
     named = names_.mentions(about.select("_id", "sentence"), names, "_id", "sentence").select("_id", F.col("canonical").alias("object"), F.lit("Drug").alias("object_type"))
     classed = about.select("_id", F.explode(text.tags(F.col("sentence"), classes)).alias("object"), F.lit("DrugClass").alias("object_type"))
@@ -44,7 +45,7 @@ def candidates(
     for i, (kind, table) in enumerate(tables):
         found = tagged.select("_id", F.explode(text.tags(F.col("sentence"), table)).alias("object"), F.lit(kind).alias("object_type"), F.lit(i).alias("_t"))
         objects = objects.unionByName(found)
-    out = rows.join(objects, "_id").where("object <> subject")
+    out = rows.join(objects.distinct(), "_id").where("object <> subject")
     w = Window.partitionBy("subject", "relation", "object", "section", F.substring("sentence", 1, 80)).orderBy("ord", "_i", "_t")
     out = out.withColumn("_n", F.row_number().over(w)).where("_n = 1")
     confidence = F.when(F.col("object_type") == "Drug", 0.72).when(F.col("object_type") == "DrugClass", 0.62).otherwise(0.68)

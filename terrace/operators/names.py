@@ -1,19 +1,22 @@
 """Name dictionaries and mentions in text.
 
-Names meet texts by an equi-join on their first characters, never as a cross product. The dictionary is
-broadcast only when it has at most ``SMALL`` rows; else both sides are shuffled on the blocking key.
+Names meet texts in one automaton a task, or, where there are more than ``SMALL`` of them, by an equi-join on their first
+characters; never as a cross product.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms, text
 
 SMALL = 50_000
+#: Bytes of names that go to every task.
+BYTES = 8 << 20
 
 
 def broadcast_if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
@@ -82,26 +85,72 @@ def _blocks(value: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(value, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-def mentions(texts: DataFrame, names: DataFrame, key: str, value: str, block: int = 2) -> DataFrame:
-    """(key, value, *names columns): every name of ``block`` characters or more that a text contains.
+def _few(names: DataFrame) -> list[str] | None:
+    """The distinct names, if they are at most ``SMALL`` and ``BYTES``; else None."""
+    names = names.select("name").where("name is not null and name <> ''").distinct()
+    size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("name")), F.lit(0)).alias("b")).first()
+    return sorted(r.name for r in names.collect()) if size.n <= SMALL and size.b <= BYTES else None
+
+
+def _automaton(known: list[str], key: str, value: str, first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for i, name in enumerate(known):
+            machine.add_word(name, i)
+        machine.make_automaton()
+        names_, sizes = pa.array(known, pa.string()), [len(n) for n in known]
+        for b in batches:
+            row, which, start = [], [], []
+
+            def found() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([b.column(key).take(pa.array(row, pa.int64())), names_.take(pa.array(which, pa.int64())), pa.array(start, pa.int32())], [key, "name", "start"])  # noqa: B023
+
+            for r, t in enumerate(b.column(value).to_pylist()):
+                seen = set()
+                for end, i in machine.iter(t) if t else ():
+                    if not first or i not in seen:
+                        seen.add(i)
+                        row.append(r)
+                        which.append(i)
+                        start.append(end + 1 - sizes[i])
+                if len(row) >= 50_000:
+                    yield found()
+                    row, which, start = [], [], []
+            if row:
+                yield found()
+
+    return run
+
 
-    A name is looked up by its longest beginning of ``block``, twice or four times as many characters, so that few texts
-    meet a name they do not hold. A dictionary of at most ``SMALL`` names is broadcast and no text is shuffled; a larger
-    one meets the pieces of the texts by a shuffle first, and only what is left meets the texts again. Repeated rows
-    keep their own mentions.
+def hits(texts: DataFrame, names: DataFrame, key: str, value: str, first: bool = False, block: int = 2) -> DataFrame:
+    """(key, name, start): every occurrence of a name in a text, overlapping ones included; with ``first`` one of each name.
+
+    A dictionary of at most ``SMALL`` names and ``BYTES`` goes to each task as one automaton, which finds all names in one
+    pass over a text whatever their number; no text is shuffled. Pieces of texts meet a larger one by a join on the longest
+    beginning of ``block``, twice or four times as many characters that a name has. Repeated rows keep their own hits.
     """
+    names = names.where(F.length("name") >= block).select("name").distinct()
+    known = _few(names)
+    if known is not None:
+        kind = texts.schema[key].dataType.simpleString()
+        return texts.select(key, value).mapInArrow(_automaton(known, key, value, first), f"`{key}` {kind}, name string, start int") if known else texts.select(key, F.lit("").alias("name"), F.lit(0).alias("start")).limit(0)
     long = F.length("name")
-    names = names.where(long >= block)
-    seen = names.agg(F.count("*").alias("n"), *[F.coalesce(F.bool_or(c), F.lit(False)).alias(f"c{i}") for i, c in enumerate((long < 2 * block, (long >= 2 * block) & (long < 4 * block), long >= 4 * block))]).first()
-    sizes = [block << i for i in range(3) if seen[f"c{i}"]] or [block]
     head = F.when(long >= 4 * block, F.substring("name", 1, 4 * block)).when(long >= 2 * block, F.substring("name", 1, 2 * block)).otherwise(F.substring("name", 1, block))
-    blocked = names.withColumn("_b", head)
-    pieces = F.explode(F.concat(*[_blocks(F.col(value), s) for s in sizes])).alias("_b")
-    if seen.n <= SMALL:
-        return texts.select(key, value, pieces).join(F.broadcast(blocked), "_b").drop("_b").where(F.instr(F.col(value), F.col("name")) > 0)
     texts = texts.select(F.xxhash64(key, value).alias("_text_id"), key, value)
-    hits = texts.select("_text_id", pieces).distinct().join(blocked, "_b").drop("_b")
-    return texts.join(hits, "_text_id").where(F.instr(F.col(value), F.col("name")) > 0).drop("_text_id")
+    pieces = F.explode(F.concat(*[_blocks(F.col(value), block << i) for i in range(3)])).alias("_b")
+    met = texts.select("_text_id", pieces).distinct().join(names.withColumn("_b", head), "_b").drop("_b")
+    rows = texts.join(met, "_text_id").where(F.instr(F.col(value), F.col("name")) > 0)
+    if first:
+        return rows.select(key, "name", (F.instr(F.col(value), F.col("name")) - 1).alias("start"))
+    return rows.select(key, "name", F.explode(occurrences(F.col(value), F.col("name"))).alias("start"))
+
+
+def mentions(texts: DataFrame, names: DataFrame, key: str, value: str, block: int = 2) -> DataFrame:
+    """(key, *names columns): every name of ``block`` characters or more that a text contains, once a text."""
+    found = hits(texts, names, key, value, True, block).select(key, "name")
+    return found.join(broadcast_if_small(names), "name").select(key, *names.columns)
 
 
 def occurrences(value: Column, name: Column) -> Column:
@@ -118,13 +167,13 @@ def resolve(questions: DataFrame, names: DataFrame, oral: Sequence[str] = terms.
     """
     asked = questions.select("q", text.lookup_name(F.col("message")).alias("_t"))
     ranked = names.withColumn("priority", F.when(F.col("kind") == "exact_name", 3).when(F.col("kind") == "alias", 2).otherwise(1)).select("name", "targets", "kind", "priority")
-    hits = mentions(asked, ranked, "q", "_t").select("q", "_t", "name", "targets", "kind", "priority", F.explode(occurrences(F.col("_t"), F.col("name"))).alias("start"))
+    found = hits(asked, ranked, "q", "_t").join(broadcast_if_small(ranked), "name")
     item = F.struct((-F.length("name")).alias("len"), (-F.col("priority")).alias("p"), "start", (F.col("start") + F.length("name")).alias("end"), "name", "targets", "kind")
-    rows = hits.groupBy("q").agg(F.first("_t").alias("_t"), F.array_sort(F.collect_list(item)).alias("m"))
+    rows = found.groupBy("q").agg(F.array_sort(F.collect_list(item)).alias("m")).join(asked.select("q", text.contains_any(F.col("_t"), oral).alias("_oral")), "q")
     none = F.slice(F.col("m"), 1, 0)
     free = lambda kept, x: ~F.exists(kept, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
     chosen = F.aggregate("m", none, lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
-    rows = rows.select("q", text.contains_any(F.col("_t"), oral).alias("_oral"), chosen.alias("c"))
+    rows = rows.select("q", "_oral", chosen.alias("c"))
     rows = rows.select("q", "_oral", F.explode(F.array_sort("c", lambda a, b: a["start"] - b["start"])).alias("x")).select("q", "_oral", "x.*")
     usable = F.filter("targets", lambda t: ~text.contains_any(t, non_oral))
     rows = rows.withColumn("targets", F.when(F.col("_oral") & (F.col("kind") == "derived_base_name") & (F.size(usable) > 0), usable).otherwise(F.col("targets")))
@@ -149,10 +198,21 @@ def negated(questions: DataFrame, names: DataFrame, patterns: Sequence[tuple[str
     return mentions(rows, names.select("name", "canonical"), "q", "_tail").select("q", "canonical").distinct()
 
 
+#: Two words joined by a word or a mark that lists things.
+COMBINATION = r"(?U)([一-鿿\w]+)\s*(?:和|与|及|、|,|，|\+)\s*([一-鿿\w]+)"
+
+
+def combined(questions: DataFrame, names: DataFrame, pattern: str = COMBINATION) -> DataFrame:
+    """(q, canonical): names of any length, one character too, that stand whole on a side of a listing mark."""
+    sides = F.concat(*[F.regexp_extract_all("message", F.lit(pattern), F.lit(i)) for i in (1, 2)])
+    rows = questions.select("q", F.explode(F.array_distinct(sides)).alias("_w")).select("q", F.lower("_w").alias("name"))
+    return rows.join(broadcast_if_small(names.select("name", "canonical")), "name").select("q", "canonical").distinct()
+
+
 def extract(questions: DataFrame, names: DataFrame, patterns: Sequence[tuple[str, int]] = terms.NEGATIONS) -> DataFrame:
-    """(q, drugs): canonical names that a message mentions, without negated ones, sorted."""
+    """(q, drugs): canonical names that a message mentions, or lists as one character, without negated ones, sorted."""
     asked = questions.select("q", F.lower("message").alias("_t"))
-    found = mentions(asked, names.select("name", "canonical"), "q", "_t").select("q", "canonical").distinct()
+    found = mentions(asked, names.select("name", "canonical"), "q", "_t").select("q", "canonical").union(combined(questions, names.where(F.length("name") < 2))).distinct()
     found = found.join(negated(questions, names, patterns), ["q", "canonical"], "left_anti")
     return questions.select("q").join(found.groupBy("q").agg(F.array_sort(F.collect_set("canonical")).alias("drugs")), "q", "left").select("q", F.coalesce("drugs", F.array().cast("array<string>")).alias("drugs"))
 

@@ -81,9 +81,20 @@ def rejected_overrides(spark, sf_dir):
     return names.rejected_overrides(rows, part_records(spark, sf_dir)).select("alias", _text("targets"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {_SQL_NAMES.removeprefix('WITH ')}, asked AS (SELECT p_partkey AS q, lower(regexp_replace(p_name || ' and ' || p_type, '\\s+', '', 'g')) AS t FROM part),
+    texts AS (SELECT DISTINCT t FROM asked), places AS (SELECT t, unnest(generate_series(1, length(t))) AS i FROM texts), sizes AS (SELECT DISTINCT length(name) AS size FROM n),
+    hits AS (SELECT t, i - 1 AS start, i - 1 + size AS stop, name, targets, kind FROM places CROSS JOIN sizes JOIN n ON name = substr(t, i, size) AND length(name) = size WHERE i + size - 1 <= length(t)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY stop - start DESC, CASE kind WHEN 'exact_name' THEN 3 WHEN 'alias' THEN 2 ELSE 1 END DESC, start, name, targets, kind) AS r FROM hits),
+    fold AS (SELECT t, 0 AS r, CAST([] AS STRUCT(s BIGINT, e BIGINT)[]) AS kept, false AS took FROM texts
+        UNION ALL SELECT fold.t, h.r, CASE WHEN len(list_filter(kept, lambda x: h.start < x.e AND x.s < h.stop)) = 0 THEN list_append(kept, {{'s': h.start, 'e': h.stop}}) ELSE kept END, len(list_filter(kept, lambda x: h.start < x.e AND x.s < h.stop)) = 0
+        FROM fold JOIN ranked h ON h.t = fold.t AND h.r = fold.r + 1),
+    chosen AS (SELECT h.*, list_filter(targets, lambda x: NOT contains(x, 'gear')) AS usable FROM fold JOIN ranked h USING (t, r) WHERE took),
+    used AS (SELECT t, start, name, kind, CASE WHEN contains(t, 'small') AND kind = 'derived_base_name' AND len(usable) > 0 THEN usable ELSE targets END AS targets FROM chosen),
+    one AS (SELECT t, array_to_string(list_sort(list(DISTINCT targets[1])), '|') AS resolved FROM used WHERE len(targets) = 1 GROUP BY t),
+    many AS (SELECT t, to_json(list({{'mention': name, 'candidates': targets, 'source': kind}} ORDER BY start)) AS groups FROM (SELECT *, row_number() OVER (PARTITION BY t, name, targets ORDER BY start, kind) AS k FROM used WHERE len(targets) > 1) WHERE k = 1 GROUP BY t)
+    SELECT q, coalesce(resolved, '') AS resolved, coalesce(CAST(groups AS VARCHAR), '[]') AS groups FROM asked LEFT JOIN one USING (t) LEFT JOIN many USING (t)""")
 def longest_match_resolve(spark, sf_dir):
-    """Part names and types as messages, resolved by the name index; compared with a plain model in the tests."""
+    """Part names and types as messages, resolved by the name index."""
     asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("q"), F.concat_ws(" and ", "p_name", "p_type").alias("message"))
     found = names.resolve(asked, _names(spark, sf_dir), ("small",), ("gear",))
     return found.select("q", _text("resolved"), F.to_json("groups").alias("groups"))
@@ -104,11 +115,24 @@ def mention_extract(spark, sf_dir):
     return names.mentions(docs, _words(spark, sf_dir), "doc_id", "t", block=9).select("doc_id", "name")
 
 
-@query(None)
+@query(f"WITH {_SQL_WORDS} SELECT DISTINCT doc_id AS q, name AS canonical FROM documents JOIN words ON contains(lower(text), name) AND regexp_matches(text, '(?:nicht|dans|from)(?s:.{{0,' || greatest(60 - length(name), 0) || '}})(?i:' || name || ')')")
 def negation_filter(spark, sf_dir):
-    """Names within 60 characters after a short word that stands for a negation here; checked on fixtures in the tests."""
+    """Names wholly within 60 characters after a word that stands for a negation here."""
     asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("q"), F.col("text").alias("message"))
-    return names.negated(asked, _words(spark, sf_dir), ((r"\b(?:not|pas|nicht|no|in|la)\b", 60),))
+    return names.negated(asked, _words(spark, sf_dir), (("(?:nicht|dans|from)", 60),))
+
+
+_SQL_LETTERS = r"letters AS (SELECT DISTINCT name FROM (SELECT unnest(regexp_extract_all(lower(text), '[^\s.,]+')) AS name FROM benchmark) WHERE regexp_matches(name, '^[a-z]{1,2}$'))"
+_SQL_SIDE = r"regexp_extract_all(text, '([\p{{L}}\p{{N}}_]+)\s*(?:和|与|及|、|,|，|\+)\s*([\p{{L}}\p{{N}}_]+)', {})"
+
+
+@query(f"WITH {_SQL_LETTERS}, sides AS (SELECT doc_id AS q, unnest(list_concat({_SQL_SIDE.format(1)}, {_SQL_SIDE.format(2)})) AS side FROM documents) SELECT DISTINCT q, name AS canonical FROM sides JOIN letters ON lower(side) = name")
+def combination_mentions(spark, sf_dir):
+    """Names of one or two letters that stand on a side of a listing mark."""
+    letters = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\s.,]+"), F.lit(0)))
+    known = table(spark, sf_dir, "benchmark").select(letters.alias("name")).where(F.col("name").rlike("^[a-z]{1,2}$")).distinct().withColumn("canonical", F.col("name"))
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("q"), F.col("text").alias("message"))
+    return names.combined(asked, known)
 
 
 # --- records -----------------------------------------------------------------------------------------
