@@ -43,6 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_few(df: DataFrame) -> DataFrame:
+    """``cut`` into at most four files a core: for tables of short rows that many partitions hold a little of each.
+
+    Partitions are read one after the other by fewer tasks, without a shuffle. A file costs a process on executors whose
+    file system sets permissions by a command, and a request in any store.
+    """
+    return cut(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 # --- blocks of documents -----------------------------------------------------------------------------
 
 
@@ -250,7 +259,7 @@ def components(links: DataFrame) -> DataFrame:
     step is a grouped minimum and an equi-join, so nothing is gathered on the driver and a node with very
     many neighbours is pre-aggregated and then split by the adaptive skew join.
     """
-    links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    links = cut_few(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         both = links.union(links.select("v", "u"))
@@ -258,7 +267,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        links = cut(small)
+        links = cut_few(small)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

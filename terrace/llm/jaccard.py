@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import answer, ask, batch, block_texts, components, cut, document_blocks, mix, shingle_set, utf8
+from .common import answer, ask, batch, block_texts, components, cut, cut_few, document_blocks, mix, shingle_set, utf8
 
 K_WORDS = 5
 #: Bytes of text in a block, bytes of a name when frequencies are counted, and of a frequency (clipped).
@@ -213,15 +213,15 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verify(pairs: DataFrame, docs: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     """The links (a, b) among candidate pairs of classes; only texts of classes in a pair leave their blocks."""
-    pairs = cut(pairs)
+    pairs = cut_few(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     rows = docs.where("n > 1").select("cls", "block", "place").join(wanted, "cls", "left_semi")
     rows = rows.groupBy("cls").agg(F.min(F.struct("block", "place")).alias("at")).select("cls", "at.*")
-    rows = cut(rows.groupBy("block").agg(F.collect_list(F.struct("cls", "place")).alias("wanted")))
-    texts = cut(blocks.select("block", "sizes", "packed").join(rows, "block").mapInArrow(_texts, "cls long, text binary"))
+    rows = cut_few(rows.groupBy("block").agg(F.collect_list(F.struct("cls", "place")).alias("wanted")))
+    texts = cut_few(blocks.select("block", "sizes", "packed").join(rows, "block").mapInArrow(_texts, "cls long, text binary"))
     with_b = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
-    return cut(with_both.mapInArrow(_verified(percent), "a long, b long, good boolean").where("good").select("a", "b"))
+    return cut_few(with_both.mapInArrow(_verified(percent), "a long, b long, good boolean").where("good").select("a", "b"))
 
 
 def _pair(x: str, y: str) -> list:
@@ -247,14 +247,14 @@ def _groups(docs: DataFrame, percent: int = 80, common: int = 100) -> tuple[Data
 
     index = made.where("kind = 1").groupBy("key", "cls").agg(*(F.first(c).alias(c) for c in ("n", "place", "small", "lead")))
     centers = index.groupBy("key").agg(F.count("*").alias("c"), F.min_by(F.struct("cls", "n", "place", "small", "lead"), F.struct(F.col("place") / F.col("n"), "cls")).alias("center")).where("c > 1")
-    index = cut(index.join(centers.select("key", "center"), "key"))
+    index = cut_few(index.join(centers.select("key", "center"), "key"))
 
     stars = index.select("*", F.col("center").alias("z")).alias("y").where(_fits("z", "y", percent)).select(*_pair("z", "y")).distinct()
     links = verify(stars, rows, blocks, percent)
-    groups = cut(components(links))
+    groups = cut_few(components(links))
     index = index.drop("center").join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls")).drop("component")
     sizes = index.groupBy("key", "grp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("grp", F.struct("c", "grp")).alias("main"), F.count("*").alias("groups"))
-    open_ = cut(index.join(sizes.where("groups > 1").select("key", "main"), "key"))
+    open_ = cut_few(index.join(sizes.where("groups > 1").select("key", "main"), "key"))
     some = open_.where("grp <> main").alias("x").join(open_.alias("y"), F.expr(f"x.key = y.key and x.grp <> y.grp and (y.grp = y.main or x.cls < y.cls) and {_fits('x', 'y', percent)}"))
     more = verify(some.select(*_pair("x", "y")).distinct(), rows, blocks, percent)
     held = groups.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
@@ -268,7 +268,7 @@ def linked_groups(docs: DataFrame, **limits) -> DataFrame:
     """
     rows, groups = _groups(docs, **limits)
     names = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"))
-    names = cut(names.join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    names = cut_few(names.join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     lowest = names.groupBy("component").agg(F.min("class_id").alias("component_id"))
     names = names.join(lowest, "component").select("cls", "class_id", "component_id")
     out = rows.join(names, "cls", "left")
@@ -285,7 +285,7 @@ def survivors(docs: DataFrame, **limits) -> DataFrame:
     some = rows.where("n > 0").join(groups.withColumnRenamed("id", "cls"), "cls", "left").groupBy(F.coalesce("component", "cls").alias("component"))
     some = some.agg(F.min(F.struct(F.isnull("doc_id").alias("without_id"), F.coalesce("doc_id", F.lit(0)).alias("own_id"), "text_hash")).alias("r")).select("r.*")
     bare = rows.where("n = 0").select(F.isnull("doc_id").alias("without_id"), F.coalesce("doc_id", F.lit(0)).alias("own_id"), "text_hash")
-    kept = cut(some.union(bare).distinct())
+    kept = cut_few(some.union(bare).distinct())
     keys = ["without_id", "own_id", "text_hash"]
     own = F.col("doc_id").cast("long")
     named = docs.withColumns({"without_id": F.isnull(own), "own_id": F.coalesce(own, F.lit(0)), "text_hash": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
