@@ -60,6 +60,11 @@ def clean_page(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
+def without_tags(html: Column) -> Column:
+    """The text of a page: tags give way to blanks, runs of white space to one."""
+    return F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), r"\s+", " ")
+
+
 def clean_guideline(text: Column) -> Column:
     x = F.regexp_replace(text, r"\n\s*-?\s*\d+\s*-?\s*\n", "\n")
     x = F.regexp_replace(x, r"(?<=[，、；。])\n(?=[^\n])", "")

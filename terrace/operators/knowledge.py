@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import ordinals
 
 
 def section_rows(rows: DataFrame, titles: dict[str, str], name: str = "name", title: str = "title_text") -> DataFrame:
@@ -34,6 +35,18 @@ def sections(texts: DataFrame) -> DataFrame:
     return one.select("drug", "title", variants.alias("texts"), content.alias("content"), "source_rows", F.size("v").alias("variant_count"))
 
 
+def section_variants(texts: DataFrame) -> DataFrame:
+    """(drug, title, variant_index, variant_count, content): the variants of a section as rows, numbered from 1 in first-seen
+    order; the number stands in the content where there are several. A section of any size is spread over ranges, so none is
+    ever one row or one task; ``sections`` makes one string of what is known to be small."""
+    keyed = texts.withColumn("_key", F.to_json(F.struct("drug", "title")))
+    rows = ordinals.numbered(keyed.select("_key", "drug", "title", "first_row", "text_hash", "text"), ["first_row", "text_hash"], "_key", "_n")
+    counts = keyed.groupBy("_key").agg(F.count("*").alias("variant_count"))
+    rows = rows.join(counts, "_key").withColumn("variant_index", F.col("_n") + 1)
+    content = F.when(F.col("variant_count") > 1, F.concat(F.col("variant_index").cast("string"), F.lit(". "), "text")).otherwise(F.col("text"))
+    return rows.select("drug", "title", "variant_index", "variant_count", content.alias("content"))
+
+
 def section_counts(texts: DataFrame) -> DataFrame:
     """(drug, title, variant_count) of sections, whose texts stay rows."""
     return texts.groupBy("drug", "title").agg(F.count("*").alias("variant_count"))
@@ -96,6 +109,26 @@ def append_source(old: Column, new: Column) -> Column:
     return F.when(old.contains(new), old).otherwise(F.concat(old, F.lit(" + "), new))
 
 
+def _named(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("drug", F.coalesce(F.nullif("drug", F.lit("")), text.name_of_title(F.col("title")))).where("drug <> ''")
+
+
+def export_heads(chunks: DataFrame) -> DataFrame:
+    """(drug, aliases, source, n_sections) of chunks: the first source, then each later one that is not a substring of what is
+    there. A path counts where it is first seen, so only the distinct paths of a record are gathered."""
+    rows = _named(chunks)
+    paths = rows.groupBy("drug", "source_path").agg(F.min("ord").alias("ord"), F.count("*").alias("n")).groupBy("drug")
+    heads = paths.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "source_path"))), lambda x: x["source_path"]).alias("p"), F.sum("n").alias("n_sections"))
+    return heads.select("drug", F.array("drug").alias("aliases"), F.aggregate(F.slice("p", 2, F.size("p")), F.get("p", F.lit(0)), append_source).alias("source"), "n_sections")
+
+
+def export_rows(chunks: DataFrame) -> DataFrame:
+    """(drug, position, title, content): the sections of each record as rows, numbered from 0 in chunk order; a record of any
+    size is spread over ranges. ``export_records`` nests records that are known to be small."""
+    rows = ordinals.numbered(_named(chunks).select("drug", "ord", "section", "text"), ["ord"], "drug", "position")
+    return rows.select("drug", "position", F.col("section").alias("title"), F.col("text").alias("content"))
+
+
 def export_records(chunks: DataFrame) -> DataFrame:
     """(drug, aliases, source, sections) of chunks(ord, drug, title, section, text, source_path), in chunk order."""
     rows = chunks.withColumn("drug", F.coalesce(F.nullif("drug", F.lit("")), text.name_of_title(F.col("title")))).where("drug <> ''")

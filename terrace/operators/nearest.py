@@ -41,8 +41,10 @@ def fit(vectors: DataFrame, lists: int | None = None, sample: int = SAMPLE, roun
     """Unit centres from at most ``sample`` of ``vectors(ord, vec)``; by default the root of the rows, at most 4096."""
     vectors = vectors.where("vec is not null")
     _, rows = _sampled(vectors, sample, 1)
-    wanted = min(lists or min(4096, round(vectors.count() ** 0.5)), len(rows))
-    centres = rows[:: max(1, len(rows) // max(wanted, 1))][:wanted]  # they come in the order of a hash
+    if not len(rows):
+        return np.zeros((0, 0))
+    wanted = max(1, min(lists or min(4096, round(vectors.count() ** 0.5)), len(rows)))
+    centres = rows[:: len(rows) // wanted][:wanted]  # they come in the order of a hash
     for _ in range(rounds):
         at = (rows @ centres.T).argmax(1)
         sums = np.zeros_like(centres)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,14 +169,20 @@ def embed(rows: DataFrame, value: str, function: Callable[[list[str]], list[list
         for i in range(0, len(values), batch):
             out += function(values[i : i + batch])
         if normalize:
-            out = [[x / (sum(y * y for y in v) ** 0.5 or 1.0) for x in v] for v in out]
+            sizes = [np.linalg.norm(v) for v in out]
+            out = [np.asarray(v, float) / (n or 1.0) for v, n in zip(out, sizes, strict=True)]
         return pd.Series(out)
 
     return rows.withColumn("vec", run(F.col(value)))
 
 
-def source_references(rows: DataFrame, sections: DataFrame) -> DataFrame:
-    """sections(drug, title, source_rows) with the sorted distinct urls of their rows(drug, row, url)."""
-    wanted = sections.select("drug", "title", F.explode("source_rows").alias("row"))
-    urls = wanted.join(rows.where("coalesce(url, '') <> ''"), ["drug", "row"]).groupBy("drug", "title").agg(F.array_sort(F.collect_set("url")).alias("source_urls"))
+def source_references(rows: DataFrame, section_rows: DataFrame) -> DataFrame:
+    """(drug, title, source_urls): the sorted distinct urls of rows(drug, row, url) that section_rows(drug, title, row) name.
+
+    Both are long tables, joined by row; only distinct urls of a section are gathered.
+    """
+    wanted = section_rows.select("drug", "title", "row")
+    urls = wanted.join(rows.where("coalesce(url, '') <> ''"), ["drug", "row"]).select("drug", "title", "url").distinct()
+    urls = urls.groupBy("drug", "title").agg(F.array_sort(F.collect_list("url")).alias("source_urls"))
+    sections = wanted.select("drug", "title").distinct()
     return sections.join(urls, ["drug", "title"], "left").withColumn("source_urls", F.coalesce("source_urls", F.array().cast("array<string>")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +14,21 @@ _TEXTS = ("documents", "pages")
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder. Texts that fit one split often stand in one row group, which one task would read and work
     on alone: they are dealt out to all cores. Larger tables are read as they are, without a shuffle."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    one_split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
-    if name in _TEXTS and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= one_split:
-        return df.repartition(spark.sparkContext.defaultParallelism)
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if name in _TEXTS:
+        size = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("n")).first().n or 0  # a listing: no file is read
+        if size <= in_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")):
+            return df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
 
+def in_bytes(setting: str) -> int:
+    """A size as Spark's settings write it: a number with an optional unit, b, k, m, g or t, and an optional b after that."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)b?\s*", setting.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as retrieval documents: source stands for the drug, lang for the section."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("drug"), F.col("lang").alias("section"), "text")

@@ -151,12 +151,11 @@ def section_dedupe(spark, sf_dir):
     return rows.select("drug", "title", "text_hash", "first_row", F.array_join(F.col("rows").cast("array<string>"), "|").alias("rows"))
 
 
-@query(f"""WITH {_SQL_TEXTS}, v AS (SELECT drug, title, list(text_hash ORDER BY first_row) AS hashes, list(text ORDER BY first_row) AS texts FROM t GROUP BY ALL)
-    SELECT drug, title, CAST(len(texts) AS INTEGER) AS variant_count, array_to_string(hashes, '|') AS hashes,
-    md5(CASE WHEN len(texts) > 1 THEN array_to_string(list_transform(texts, lambda x, i: i || '. ' || x), chr(10)) ELSE texts[1] END) AS content FROM v""")
+@query(f"""WITH {_SQL_TEXTS}, v AS (SELECT drug, title, text, row_number() OVER (PARTITION BY drug, title ORDER BY first_row, text_hash) AS variant_index, count(*) OVER (PARTITION BY drug, title) AS variant_count FROM t)
+    SELECT drug, title, variant_index, variant_count, md5(CASE WHEN variant_count > 1 THEN variant_index || '. ' || text ELSE text END) AS content FROM v""")
 def record_build(spark, sf_dir):
-    rows = knowledge.sections(knowledge.deduped_texts(_cells(spark, sf_dir)))
-    return rows.select("drug", "title", "variant_count", F.array_join(F.transform("texts", lambda x: F.sha1(F.encode(x, "UTF-8"))), "|").alias("hashes"), F.md5("content").alias("content"))
+    rows = knowledge.section_variants(knowledge.deduped_texts(_cells(spark, sf_dir)))
+    return rows.withColumn("content", F.md5("content"))
 
 
 @query("""SELECT source, array_to_string(list_sort(list(DISTINCT lang)), '|') AS langs, array_to_string(list_sort(list(DISTINCT CAST(doc_id AS VARCHAR)))[1:50], '|') AS doc_ids FROM documents GROUP BY source""")
@@ -194,12 +193,20 @@ def merge_longer_wins(spark, sf_dir):
     return knowledge.merge_longer_wins(*_old_new(spark, sf_dir)).withColumn("content", F.md5("content"))
 
 
-@query("""SELECT source AS drug, count(*) AS n_sections, md5(string_agg(lang || ':' || md5(text), chr(10) ORDER BY doc_id)) AS sections FROM documents GROUP BY source""")
+def _chunks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("ord"), F.col("source").alias("drug"), F.col("source").alias("title"), F.col("lang").alias("section"), "text", F.concat(F.lit("files/"), "lang").alias("source_path"))
+
+
+@query("SELECT source AS drug, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position, lang AS title, md5(text) AS content FROM documents")
 def knowledge_export(spark, sf_dir):
-    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("drug"), F.col("source").alias("title"), F.col("lang").alias("section"), F.md5("text").alias("text"), F.lit("documents").alias("source_path"))
-    rows = knowledge.export_records(chunks)
-    joined = F.array_join(F.transform("sections", lambda s: F.concat_ws(":", s["title"], s["content"])), "\n")
-    return rows.select("drug", F.size("sections").cast("long").alias("n_sections"), F.md5(joined).alias("sections"))
+    return knowledge.export_rows(_chunks(spark, sf_dir)).withColumn("content", F.md5("content"))
+
+
+@query("""WITH p AS (SELECT source AS drug, 'files/' || lang AS path, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY ALL)
+    SELECT drug, string_agg(path, ' + ' ORDER BY first) AS source, CAST(sum(n) AS BIGINT) AS n_sections FROM p GROUP BY drug""")
+def knowledge_sources(spark, sf_dir):
+    return knowledge.export_heads(_chunks(spark, sf_dir)).select("drug", "source", "n_sections")
 
 
 # --- graph -------------------------------------------------------------------------------------------

@@ -126,7 +126,7 @@ def stage_trace(spark, sf_dir):
 def source_references(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(F.col("source").alias("drug"), F.col("doc_id").alias("row"), F.concat(F.lit("url"), (F.col("doc_id") % 17).cast("string")).alias("url"))
-    sections = docs.groupBy(F.col("source").alias("drug"), F.col("lang").alias("title")).agg(F.collect_list("doc_id").alias("source_rows"))
+    sections = docs.select(F.col("source").alias("drug"), F.col("lang").alias("title"), F.col("doc_id").alias("row"))
     return qs.source_references(rows, sections).select("drug", "title", F.array_join("source_urls", "|").alias("urls"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms, text
-from ..operators import chunking, retrieval, risk, sessions
+from ..operators import chunking, knowledge, retrieval, risk, sessions
 from ..sources import readers
 from .common import HIGH, MEDIUM, sql_any, sql_list, sql_tokens, table
 
@@ -93,9 +93,25 @@ def sentence_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.sentences(body)).alias("sentence"))
 
 
-@query(None)
+def sql_packed(units: str, name: str = "packed") -> str:
+    """CTEs that pack ``units`` (key, i from 1, unit) as ``chunking.pack_units`` does: ``name`` (key, chunk_index, chunk)."""
+    close = "trim(array_to_string(cur, '。'), '。') || '。'"
+    extra = "(length(unit) + CASE WHEN len(cur) > 0 THEN 1 ELSE 0 END)"
+    over = f"len(cur) > 0 AND n + {extra} > 360"
+    cuts = "list_transform(generate_series(1, greatest(length(unit), 1), 360), lambda s: trim(substr(unit, s, 360)))"
+    return f"""fold AS (SELECT key, 0 AS i, CAST([] AS VARCHAR[]) AS cur, 0 AS n, CAST([] AS VARCHAR[]) AS done FROM (SELECT DISTINCT key FROM {units})
+        UNION ALL SELECT f.key, u.i, CASE WHEN length(unit) > 360 THEN [] WHEN {over} THEN [cur[-1], unit] ELSE list_append(cur, unit) END,
+            CASE WHEN length(unit) > 360 THEN 0 WHEN {over} THEN length(cur[-1]) + {extra} ELSE n + {extra} END,
+            CASE WHEN length(unit) > 360 THEN list_concat(CASE WHEN len(cur) > 0 THEN [{close}] ELSE [] END, {cuts}) WHEN {over} THEN [{close}] ELSE [] END FROM fold f JOIN {units} u ON u.key = f.key AND u.i = f.i + 1),
+    made AS (SELECT key, i, 0 AS last, unnest(done) AS chunk, generate_subscripts(done, 1) AS j FROM fold
+        UNION ALL SELECT key, i, 1, {close}, 1 FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY i DESC) AS r FROM fold) WHERE r = 1 AND len(cur) > 0),
+    {name} AS (SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY i, last, j) - 1 AS INTEGER) AS chunk_index, chunk FROM made WHERE length(trim(chunk)) >= 4)"""
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id AS key, {_SQL_SENTENCES} AS ss FROM documents), units AS (SELECT key, unnest(ss) AS unit, generate_subscripts(ss, 1) AS i FROM s), {sql_packed('units')}
+    SELECT key AS doc_id, chunk_index, chunk FROM packed""")
 def pack_units(spark, sf_dir):
-    """Sentences packed into chunks of 360 characters; compared with a plain model in the tests."""
+    """Sentences packed into chunks of 360 characters."""
     body = F.replace("text", F.lit(". "), F.lit("。"))
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.pack_units(text.sentences(body))).alias("chunk_index", "chunk"))
 
@@ -128,26 +144,29 @@ def hash_bucket(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.hash_bucket(F.concat("source", "lang")).alias("bucket"))
 
 
-@query("""SELECT source, sha256(string_agg(doc_id || ':' || lang, chr(10) ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source""")
+@query("""WITH r AS (SELECT doc_id, sha256('{"drug":"' || source || '","aliases":["' || lang || '"]}') AS h FROM documents), b AS (SELECT doc_id // 4096 AS b, sha256(string_agg(h, chr(10) ORDER BY doc_id)) AS h FROM r GROUP BY 1)
+    SELECT sha256(string_agg(h, chr(10) ORDER BY b)) AS fingerprint FROM b""")
 def dataset_fingerprint(spark, sf_dir):
-    """A fingerprint of the record list of each source; only ids and languages are gathered per source."""
-    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))).alias("r"))
-    return rows.select("source", F.sha2(F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["lang"])), "\n"), 256).alias("fingerprint"))
+    """The fingerprint of all records' names: digests of ranges of rows, digested again."""
+    return knowledge.names_fingerprint(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("drug"), F.array("lang").alias("aliases")))
+
+
+_FORMS = ("ring", "bolt", "gear", "widget")
 
 
-@query(r"""SELECT p_partkey, regexp_extract(lower(p_name), '^(\S+)', 1) AS base, CASE WHEN p_brand LIKE '%1%' THEN replace(p_brand, '1', '2') ELSE p_brand END AS variant FROM part""")
+@query(rf"""WITH x AS (SELECT p_partkey, p_brand, lower(regexp_replace(p_name, '\s+', '', 'g')) AS x FROM part)
+    SELECT p_partkey, CASE WHEN regexp_matches(x, '^.{{2,}}?(?:{"|".join(_FORMS)})$') THEN regexp_replace(x, '(?:{"|".join(_FORMS)})$', '') ELSE x END AS base, CASE WHEN p_brand LIKE '%1%' THEN replace(p_brand, '1', '2') ELSE p_brand END AS variant FROM x""")
 def name_rules(spark, sf_dir):
-    """Base names of part names with the last word as the form, and a spelling variant of the brand."""
+    """Base names of part names without the form, and a spelling variant of the brand."""
     part = table(spark, sf_dir, "part")
     variants = text.spelling_variants(F.col("p_brand"), "1", "2")
-    return part.select("p_partkey", F.regexp_extract(F.lower("p_name"), r"^(\S+)", 1).alias("base"), F.get(variants, F.when(F.col("p_brand").contains("1"), 1).otherwise(0)).alias("variant"))
+    return part.select("p_partkey", text.base_name(F.col("p_name"), _FORMS).alias("base"), F.get(variants, F.when(F.col("p_brand").contains("1"), 1).otherwise(0)).alias("variant"))
 
 
-@query(r"""SELECT page_id, url, length(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS n_chars, regexp_matches(lower(html), 'contraindications|interactions|warnings|precautions') AS safety FROM pages""")
+@query(r"""SELECT page_id, url, length(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS n_chars, regexp_matches(upper(html), 'CONTRAINDICATIONS|INTERACTIONS|WARNINGS|PRECAUTIONS') AS safety FROM pages""")
 def page_sections(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    plain = F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"\s+", " ")
-    return pages.select("page_id", "url", F.length(plain).cast("long").alias("n_chars"), F.lower("html").rlike("contraindications|interactions|warnings|precautions").alias("safety"))
+    return pages.select("page_id", "url", F.length(text.without_tags(F.col("html"))).cast("long").alias("n_chars"), readers.names_safety(F.col("html")).alias("safety"))
 
 
 _SECTIONS = (("en", ("the ", "and ")), ("fr", ("les ", "que ")), ("de", ("der ", "und ")))

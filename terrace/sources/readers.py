@@ -143,19 +143,18 @@ def ingestion_report(listing: DataFrame, documents: DataFrame, chunks: DataFrame
     return totals.crossJoin(F.broadcast(by)).crossJoin(F.broadcast(chunks.agg(F.count("*").alias("chunks"))))  # one row each
 
 
-def safety_sections(sections: DataFrame, words: str = "INTERACTIONS|CONTRAINDICATIONS|WARNINGS|PRECAUTIONS", limit: int = 8, size: int = 2500) -> DataFrame:
-    """The first sections of each document (doc_id, ord, title, content) whose title has a safety word, cut to size."""
-    rows = sections.where(F.upper("title").rlike(words)).withColumn("content", F.substring(text.collapse(F.col("content")), 1, size))
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).where(F.col("n") <= limit).drop("n")
+SAFETY = "INTERACTIONS|CONTRAINDICATIONS|WARNINGS|PRECAUTIONS"
+
 
+def names_safety(value: Column, words: str = SAFETY) -> Column:
+    """Whether a title, or a page, has a safety word in either case."""
+    return F.upper(value).rlike(words)
 
-def index_state(index_rows: int, wanted_rows: int) -> str:
-    """build (empty), keep (complete); anything between is an error, never a silent rebuild."""
-    if index_rows == 0:
-        return "build"
-    if index_rows == wanted_rows:
-        return "keep"
-    raise ValueError(f"the index holds {index_rows} of {wanted_rows} rows; rebuild it explicitly")
+
+def safety_sections(sections: DataFrame, words: str = SAFETY, limit: int = 8, size: int = 2500) -> DataFrame:
+    """The first sections of each document (doc_id, ord, title, content) whose title has a safety word, cut to size."""
+    rows = sections.where(names_safety(F.col("title"), words)).withColumn("content", F.substring(text.collapse(F.col("content")), 1, size))
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).where(F.col("n") <= limit).drop("n")
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terrace.functions import text
 from terrace.operators import chunking, kg, knowledge, metrics, names, questions, retrieval, risk, sessions
 from terrace.plans import registry
+from terrace.plans.common import in_bytes
 from terrace.sources import readers
 from terrace.streaming import streams
 
@@ -350,10 +351,9 @@ def test_pages(spark):
     assert readers.joined_pages(pages).first().text == "可能引起胃肠道不适\n\n "
 
 
-def test_index_state():
-    assert readers.index_state(0, 5) == "build" and readers.index_state(5, 5) == "keep"
-    with pytest.raises(ValueError):
-        readers.index_state(3, 5)
+@pytest.mark.parametrize(("setting", "size"), [("134217728b", 134217728), ("64m", 64 << 20), ("128MB", 128 << 20), ("1g", 1 << 30), ("77", 77)])
+def test_sizes(setting, size):
+    assert in_bytes(setting) == size
 
 
 def test_missing_files(spark, tmp_path):
