@@ -115,7 +115,9 @@ def mention_extract(spark, sf_dir):
     return names.mentions(docs, _words(spark, sf_dir), "doc_id", "t", block=9).select("doc_id", "name")
 
 
-@query(f"WITH {_SQL_WORDS} SELECT DISTINCT doc_id AS q, name AS canonical FROM documents JOIN words ON contains(lower(text), name) AND regexp_matches(text, '(?:nicht|dans|from)(?s:.{{0,' || greatest(60 - length(name), 0) || '}})(?i:' || name || ')')")
+@query(rf"""WITH {_SQL_WORDS}, s AS (SELECT doc_id, string_split(regexp_replace(text, '(nicht|dans|from)', chr(1) || '\1', 'g'), chr(1)) AS p FROM documents),
+    t AS (SELECT doc_id, p, unnest(generate_series(2, len(p))) AS j FROM s), u AS (SELECT doc_id, lower(substr(array_to_string(p[j:j + 16], ''), CASE WHEN starts_with(p[j], 'nicht') THEN 6 ELSE 5 END, 60)) AS tail FROM t)
+    SELECT DISTINCT doc_id AS q, name AS canonical FROM u JOIN words ON contains(tail, name)""")
 def negation_filter(spark, sf_dir):
     """Names wholly within 60 characters after a word that stands for a negation here."""
     asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("q"), F.col("text").alias("message"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import consultation_queries, graph_queries, question_queries, retrieval_queries, state_queries, text_queries
+from . import consultation_queries, graph_queries, question_queries, retrieval_queries, source_queries, state_queries, text_queries
 
-_MODULES = (text_queries, retrieval_queries, graph_queries, question_queries, state_queries, consultation_queries)
+_MODULES = (text_queries, retrieval_queries, graph_queries, question_queries, state_queries, consultation_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -205,6 +205,18 @@ _SQL_VARIANTS = f"""{rq._SQL_RERANKED}, ta AS (SELECT d.q, c.drug, section, c.te
     round(avg(CASE WHEN predicted = 'Unknown' THEN 1 ELSE 0 END), 4) AS unknown_rate, round(avg(CASE WHEN predicted = 'Low' THEN 1 ELSE 0 END), 4) AS fallback_rate FROM al GROUP BY GROUPING SETS ((variant), (variant, grp))""")
 def ablation_summary(spark, sf_dir):
     """Three variants on the benchmark texts: vectors only, fused without re-ranking, re-ranked."""
+    return metrics.evaluation_summary(_evaluated(spark, sf_dir))
+
+
+@query(f"""{_SQL_VARIANTS} SELECT variant, count(*) FILTER (predicted = 'High') AS "High", count(*) FILTER (predicted = 'Medium') AS "Medium", count(*) FILTER (predicted = 'Low') AS "Low", count(*) FILTER (predicted = 'Unknown') AS "Unknown"
+    FROM al GROUP BY variant""")
+def ablation_distribution(spark, sf_dir):
+    """Levels of each variant as a table."""
+    rows = metrics.risk_distribution(_evaluated(spark, sf_dir))
+    return rows.select(*[F.col(c) if c == "variant" else F.col(c).cast("long").alias(c) for c in rows.columns])
+
+
+def _evaluated(spark, sf_dir):
     asked = questions(spark, sf_dir)
     docs = rq.corpus(spark, sf_dir)
     lists = {"A": rq._dense_list(spark, sf_dir, 32).join(docs, "ord"), "B": rq.fused(spark, sf_dir), "C": rq.reranked(spark, sf_dir)}
@@ -222,7 +234,7 @@ def ablation_summary(spark, sf_dir):
         "variant", F.concat(F.lit("g"), (F.col("q") % 4).cast("string")).alias("group"), F.when(F.col("q") % 2 == 0, "High").otherwise("Low").alias("expected"),
         F.coalesce("predicted", F.lit("Unknown")).alias("predicted"), "evidence_hit", (F.coalesce("predicted", F.lit("Unknown")) == "Low").alias("fallback_used"),
     )
-    return metrics.evaluation_summary(rows)
+    return rows
 
 
 @query("""SELECT CASE WHEN predicted = toxic THEN 'right' ELSE 'wrong' END AS verdict, count(*) AS n FROM (SELECT CASE WHEN contains(text, 'trash') OR contains(text, 'pathetic') THEN 1 ELSE 0 END AS predicted, toxic FROM documents JOIN labels USING (doc_id)) GROUP BY ALL""")
