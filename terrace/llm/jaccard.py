@@ -286,7 +286,8 @@ def survivors(docs: DataFrame, **limits) -> DataFrame:
     some = some.agg(F.min(F.struct(F.isnull("doc_id").alias("without_id"), F.coalesce("doc_id", F.lit(0)).alias("own_id"), "text_hash")).alias("r")).select("r.*")
     bare = rows.where("n = 0").select(F.isnull("doc_id").alias("without_id"), F.coalesce("doc_id", F.lit(0)).alias("own_id"), "text_hash")
     kept = cut_few(some.union(bare).distinct())
-    keys = ["without_id", "own_id", "text_hash"]
-    own = F.col("doc_id").cast("long")
-    named = docs.withColumns({"without_id": F.isnull(own), "own_id": F.coalesce(own, F.lit(0)), "text_hash": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    return named.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    # names that the rows' own columns do not have
+    free = {c: c + "_" * next(n for n in range(1, 99) if c + "_" * n not in docs.columns) for c in ("without_id", "own_id", "text_hash")}
+    keys, own = list(free.values()), F.col("doc_id").cast("long")
+    named = docs.withColumns({free["without_id"]: F.isnull(own), free["own_id"]: F.coalesce(own, F.lit(0)), free["text_hash"]: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    return named.join(kept.withColumnsRenamed(free), keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

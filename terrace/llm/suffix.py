@@ -22,10 +22,12 @@ A task ranks the rows it has read before they are shuffled: of equal spans it se
 that a third of all documents hold costs a row per task. An anchor with many span ranks in one task sends them by
 span rank, plus one row that tells the anchor's own group of them.
 
-Defined cases: null text is empty; a text under ``length`` bytes keeps all;
-a repeated row is the same document, not an earlier
-one, so both get the same result; documents with a null doc_id come after the others, ordered by a hash of their text,
-and equal ones are one document; extra columns are ignored. Not defined: different texts under one doc_id.
+Defined cases: null text is empty; a text under ``length`` bytes keeps all; a long text is one row of its own positions;
+a repeated row is the same document, not an earlier one, so both get the same result; different texts under one doc_id are
+documents of their own, in the order of a hash of their text; documents with a null doc_id come after the others, in that
+order too; ties between equal strings go to the smaller doc_id, then that order, then the start; an empty table gives an
+empty one; extra columns are ignored, also where they have names that are used here; a column to carry that has the name of
+a result is left out.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Names, batch, cut, mix, utf8
+from .merkle import numbered
 
 SEED = 32
 
@@ -200,11 +203,11 @@ def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 def _emit_spans(length: int, seed: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), strict=True):
+            for doc, place, text in zip(b.column("doc_id").to_pylist(), b.column("place").to_pylist(), utf8(b.column("text")), strict=True):
                 found = spans(np.frombuffer(text, np.uint8), length, seed)
                 if found is not None:
                     grp, span, first, count, anchor = found
-                    yield Rows(key=grp, rank=span, id=np.full(len(grp), position_id(doc, text), np.int64), start=first, shape=count * length + anchor - first)
+                    yield Rows(key=grp, rank=span, id=np.full(len(grp), position_id(doc, text) if place is None else place, np.int64), start=first, shape=count * length + anchor - first)
 
     return lambda batches: _held(rows(batches), length, True)
 
@@ -314,8 +317,8 @@ def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3).compress
     for b in batches:
         texts = utf8(b.column("text"))
-        ids = [position_id(i, x) for i, x in zip(b.column("doc_id").to_pylist(), texts, strict=True)]
-        also = {c: (b.column(c), b.column(c).type) for c in b.schema.names if c != "text"}
+        ids = [position_id(i, x) if p is None else p for i, p, x in zip(b.column("doc_id").to_pylist(), b.column("place").to_pylist(), texts, strict=True)]
+        also = {c: (b.column(c), b.column(c).type) for c in b.schema.names if c not in ("text", "place")}
         yield batch({"id": (ids, pa.int64()), "packed": ([pack(x) for x in texts], pa.binary())} | also)
 
 
@@ -360,17 +363,37 @@ def _todo(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.collect_list(F.struct("start", "shape")).alias("todo"))
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``place``, the number of a document in the order of ids and texts, where some doc_id has different texts.
+
+    Where none has, ids order documents as they are, and place is null. Only ids and hashes of texts are compared.
+    """
+    known = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"))
+    clash = known.where("doc_id is not null").distinct().groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if not clash:
+        return docs.withColumn("place", F.lit(None).cast("long"))
+    pairs = known.distinct().select(F.lit("").alias("tree"), F.isnull("doc_id").alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "_text", F.lit("").alias("digest"))
+    places = cut(numbered(pairs, ["_none", "_id", "_text"]).select("_none", "_id", "_text", F.col("at").alias("place")))
+    keyed = docs.withColumns({"_none": F.isnull("doc_id"), "_id": F.coalesce("doc_id", F.lit(0)), "_text": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return cut(keyed.join(places, ["_none", "_id", "_text"]).drop("_none", "_id", "_text"))
+
+
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, seed: int = SEED, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]), and the columns of ``carry`` as they are.
 
     kept_text drops characters that a removed run cuts in two.
     """
-    also = [c for c in carry or [] if c not in ("doc_id", "text")]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *also)
+    result = T._parse_datatype_string(_RESULT + ", kept_text string" * with_text)
+    # carried columns go by names of their own on the way
+    also = {f"_carried{i}": c for i, c in enumerate(c for c in carry or [] if c not in (*result.names, "text"))}
+    docs = placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(n) for n, c in also.items()]))
     # The packed texts are shuffled once, by id; the three joins below share that exchange.
     fields = [f for f in docs.schema.fields if f.name in also]
     texts = docs.mapInArrow(_pack_texts, T.StructType([T.StructField("id", T.LongType(), False), T.StructField("packed", T.BinaryType(), False), T.StructField("doc_id", T.LongType()), *fields]))
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", "place")
     spans_ = docs.mapInArrow(_emit_spans(length, seed), _ROW).repartition("key").mapInArrow(_resolve_spans(length), _ROW)
     spans_ = cut(spans_.select("kind", "id", "start", "shape"))
     blocks = texts.join(_todo(spans_.where(F.col("kind") == OPEN)), "id").mapInArrow(_emit_blocks(length), _ROW)
@@ -378,6 +401,5 @@ def remove_repeats(docs: DataFrame, length: int = 100, seed: int = SEED, with_te
     windows = texts.join(_todo(blocks.where(F.col("kind") == OPEN)), "id").mapInArrow(_emit_windows(length), _ROW)
     windows = windows.repartition("key").mapInArrow(_resolve_last(length), _ROW).select("kind", "id", "start", "shape")
     gone = _todo(spans_.union(blocks).where(F.col("kind") == GONE).union(windows))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    schema = T.StructType([*fields, *T._parse_datatype_string(schema).fields])
-    return texts.join(gone, "id", "left").mapInArrow(_apply(length, with_text, [f.name for f in fields]), schema)
+    out = texts.join(gone, "id", "left").mapInArrow(_apply(length, with_text, list(also)), T.StructType([*fields, *result.fields]))
+    return out.withColumnsRenamed(also)

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import permutations
 
 import numpy as np
 import public_tokenizers
@@ -121,6 +122,31 @@ def test_repeats_of_rows_without_ids(spark):
     assert suffix.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_repeats_of_different_texts_under_one_id(spark):
+    rng = random.Random(21)
+    shared = "".join(rng.choices("abcdefgh", k=1700))
+    docs = [(5, shared + "x" * 50), (5, "short " + shared), (5, "s"), (7, shared), (None, shared + "end"), (2, "".join(rng.choices("ijkl", k=400))), (7, shared)]
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix.remove_repeats(frame(spark, docs)).collect()}
+    same = [d for d in docs if d[0] == 5]
+
+    def judged(order):  # documents one after the other, by their place
+        found = without_repeats(list(enumerate(t for _, t in order)), 100)
+        return {(d, len(t)): f[2] for (d, t), f in zip(order, found, strict=True)}
+
+    assert any(got == judged([docs[5], *mine, docs[3], docs[4]]) for mine in permutations(same))
+
+
+def test_repeats_carry_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "a" * 150, "u", 3, "v", "w")], "doc_id long, text string, id string, n_bytes long, packed string, place string")
+    row = suffix.remove_repeats(rows, with_text=True, carry=["id", "n_bytes", "packed", "place"]).first()
+    assert (row.id, row.n_bytes, row.packed, row.place, row.n_removed) == ("u", 150, "v", "w", 149)
+
+
+def test_survivors_keep_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", 7, "x", 9), (2, "a b c d e f", 8, "y", 8)], "doc_id long, text string, own_id long, without_id string, text_hash long")
+    assert [tuple(r) for r in jaccard.survivors(rows).collect()] == [(1, "a b c d e f", 7, "x", 9)]
+
+
 # --- op3 ---------------------------------------------------------------------------------------------
 
 
