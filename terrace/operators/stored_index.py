@@ -19,10 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources import store
 from . import ordinals, retrieval
 from .names import broadcast_if_small
 
 BLOCK = 256
+#: Terms of questions up to which a scan names them.
+NAMED = 200
 
 
 class IncompleteIndex(Exception):
@@ -121,13 +124,18 @@ def scored(index: StoredIndex, questions: DataFrame, asked: Column, k: int, k1:
         pairs = rows.crossJoin(stats).select("q", "c", "n", "df", "mean", F.explode(F.arrays_zip("ords", "tfs", "lens", *also)).alias("p"))
         return pairs.select("q", F.col("p.ords").alias("ord"), weight.alias("w"), *[F.col(f"p.{a}").alias("block") for a in also])
 
-    rare = scores(index.postings.where("block = -1").join(wanted, "term"), "blocks").groupBy("q", "ord", "block").agg(F.sum("w").alias("w"))
+    postings = index.postings
+    terms_asked = [r.term for r in wanted.select("term").distinct().limit(NAMED + 1).collect()]
+    if len(terms_asked) <= NAMED:  # few enough to be named: whole buckets and row groups are left out
+        postings = postings.where(F.col("term").isin(terms_asked))
+    # read by three steps below
+    rare = store.written(scores(postings.where("block = -1").join(wanted, "term"), "blocks").groupBy("q", "ord", "block").agg(F.sum("w").alias("w")), "rare")
     reached = retrieval.top_k(rare.withColumnRenamed("w", "score"), k).where(F.col("rank") == k).select("q", F.col("score").alias("least"))
     # the most that frequent terms can add in a block, from three narrow columns
-    bounds = index.postings.where("block >= 0").select("term", "block", "top").join(wanted, "term").groupBy("q", "block").agg(F.sum(F.col("c") * F.col("top")).alias("most"))
+    bounds = postings.where("block >= 0").select("term", "block", "top").join(wanted, "term").groupBy("q", "block").agg(F.sum(F.col("c") * F.col("top")).alias("most"))
     greatest = rare.groupBy("q", "block").agg(F.max("w").alias("best"))
     open_ = bounds.join(reached, "q", "left").join(greatest, ["q", "block"], "left").where("most + coalesce(best, 0) >= coalesce(least, 0) - 1e-9").select("q", "block")
-    frequent = scores(index.postings.where("block >= 0").join(wanted, "term").join(broadcast_if_small(open_), ["q", "block"], "left_semi"))
+    frequent = scores(postings.where("block >= 0").join(wanted, "term").join(broadcast_if_small(open_), ["q", "block"], "left_semi"))
     return rare.select("q", "ord", "w").union(frequent).groupBy("q", "ord").agg(F.sum("w").alias("base"))
 
 
