@@ -43,13 +43,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut_few(df: DataFrame) -> DataFrame:
-    """``cut`` into at most four files a core: for tables of short rows that many partitions hold a little of each.
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in fewer partitions, read one after the other without a shuffle: at most eight for one, and not under four a core.
 
-    Partitions are read one after the other by fewer tasks, without a shuffle. A file costs a process on executors whose
-    file system sets permissions by a command, and a request in any store.
+    Where many partitions hold little each, a file for each costs more than its rows: a request in any store, and a process
+    on executors whose file system sets permissions by a command.
     """
-    return cut(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism))
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)))
+
+
+def cut_few(df: DataFrame) -> DataFrame:
+    """``cut`` for tables of short rows."""
+    return cut(few_files(df))
 
 
 # --- blocks of documents -----------------------------------------------------------------------------
@@ -136,9 +142,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def worker_state(name: str) -> dict:
-    """A dict that lives as long as the Python worker, shared by the tasks it runs."""
+    """A dict that lives as long as the Python worker, shared by the tasks it runs, until they need one of another name: a
+    worker that goes on to another operator keeps nothing of the last one."""
     module = sys.modules.setdefault("_terrace_worker_state", types.ModuleType("_terrace_worker_state"))
-    return module.__dict__.setdefault(name, {})
+    held = module.__dict__.setdefault("held", {})
+    if name not in held:
+        held.clear()
+    return held.setdefault(name, {})
 
 
 def utf8(column: pa.Array) -> list[bytes]:

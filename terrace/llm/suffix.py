@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Names, batch, cut, mix, utf8
+from .common import Names, batch, cut, cut_few, mix, utf8
 from .merkle import numbered
 
 SEED = 32
@@ -395,9 +395,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, seed: int = SEED, with_te
     texts = docs.mapInArrow(_pack_texts, T.StructType([T.StructField("id", T.LongType(), False), T.StructField("packed", T.BinaryType(), False), T.StructField("doc_id", T.LongType()), *fields]))
     docs = docs.select("doc_id", "text", "place")
     spans_ = docs.mapInArrow(_emit_spans(length, seed), _ROW).repartition("key").mapInArrow(_resolve_spans(length), _ROW)
-    spans_ = cut(spans_.select("kind", "id", "start", "shape"))
+    spans_ = cut_few(spans_.select("kind", "id", "start", "shape"))
     blocks = texts.join(_todo(spans_.where(F.col("kind") == OPEN)), "id").mapInArrow(_emit_blocks(length), _ROW)
-    blocks = cut(blocks.repartition("key").mapInArrow(_resolve_blocks(length), _ROW).select("kind", "id", "start", "shape"))
+    blocks = cut_few(blocks.repartition("key").mapInArrow(_resolve_blocks(length), _ROW).select("kind", "id", "start", "shape"))
     windows = texts.join(_todo(blocks.where(F.col("kind") == OPEN)), "id").mapInArrow(_emit_windows(length), _ROW)
     windows = windows.repartition("key").mapInArrow(_resolve_last(length), _ROW).select("kind", "id", "start", "shape")
     gone = _todo(spans_.union(blocks).where(F.col("kind") == GONE).union(windows))

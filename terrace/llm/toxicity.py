@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, cut, utf8, worker_state
+from .common import batch, cut_few, utf8, worker_state
 
 #: Examples in a block, and blocks that are scored before bounds are compared.
 BLOCK, FIRST = 64, 1
@@ -278,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_examples: int =
     chosen = [labels.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * max_examples rows
     examples = docs.join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
-    examples = cut(examples.mapInArrow(_terms, "doc_id long, toxic int, terms array<binary>, tf array<int>"))
+    examples = cut_few(examples.mapInArrow(_terms, "doc_id long, toxic int, terms array<binary>, tf array<int>"))
     # distinct terms of the examples, as Arrow columns; the driver holds them once
     held = examples.toArrow().sort_by("doc_id").combine_chunks()
     coded = pc.list_flatten(held.column("terms")).combine_chunks()
