@@ -7,13 +7,14 @@ table gives an empty one in every stage; ties and long texts are as the operator
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.llm import jaccard, packing, secrets, suffix, toxicity
-from terrace.llm.common import cut, documents
+from terrace.llm.common import cut, documents, few_files
 
 _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,6 +24,12 @@ def _small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def _few(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose rows come in few files."""
+    return wraps(stage)(lambda spark, docs, sf_dir: few_files(stage(spark, docs, sf_dir)))
+
+
+@_few
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the nearest labelled examples call toxic."""
     _small_batches(spark)
@@ -30,12 +37,14 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.toxicity(docs, labels, carry=list(_COLUMNS)).where("predicted = 0").select(*_COLUMNS)
 
 
+@_few
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of near duplicates, null ids last; of repeated rows one stays."""
     _small_batches(spark)
     return jaccard.survivors(docs.select(*_COLUMNS))
 
 
+@_few
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove every byte of a 100-byte string that an earlier text has; characters cut in two go whole."""
     _small_batches(spark)
@@ -43,6 +52,7 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*_COLUMNS)
 
 
+@_few
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put [SECRET] in place of every secret; all documents stay."""
     _small_batches(spark)
@@ -50,6 +60,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*_COLUMNS)
 
 
+@_few
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents into sequences of 2048 tokens."""
     _small_batches(spark)
