@@ -12,6 +12,7 @@ NON_ORAL_FORMS = ("乳膏", "软膏", "凝胶", "搽剂", "喷雾剂", "气雾
 ORAL_WORDS = ("吃", "服用", "口服", "吞服", "同服")
 SALT_PREFIXES = ("盐酸", "硫酸", "硝酸", "枸橼酸", "马来酸", "苯磺酸", "甲磺酸", "富马酸", "酒石酸", "琥珀酸", "门冬氨酸", "赖氨酸", "氢溴酸", "磷酸", "醋酸")
 
+# Section names and the words that name them.
 IMPORTANT_SECTIONS = ("药物相互作用", "禁忌", "警告与注意事项", "特殊人群", "儿童用药", "老年用药", "孕妇及哺乳期妇女用药")
 RERANK_TERMS = ("禁忌", "避免", "不得", "严重", "出血", "低血压", "横纹肌溶解", "乳酸酸中毒")
 SECTION_KEYWORDS = (
@@ -23,6 +24,7 @@ SECTION_KEYWORDS = (
     ("特殊人群", ("特殊人群", "老年", "儿童", "妊娠", "哺乳", "肝功能", "肾功能")),
 )
 
+# Strong and mild words of evidence and of sections.
 EVIDENCE_HIGH = ("禁忌", "严重", "不得", "避免合用", "显著增加", "危及生命", "横纹肌溶解", "严重低血压", "禁止", "危险", "致死", "避免与")
 EVIDENCE_MEDIUM = ("监测", "谨慎", "调整剂量", "增加风险", "可能", "注意", "肾功能", "出血", "减量", "慎用")
 
@@ -31,6 +33,7 @@ SECTION_MEDIUM = ("慎用", "需注意", "应注意", "监测", "调整剂量",
 ACTION_WORDS = ("慎用", "风险增加", "风险增高", "调整剂量", "减量", "医师指导", "医生指导", "药师指导", "遵医嘱")
 NON_ACTIONABLE = ("无特别注意事项", "无特殊要求", "无特殊注意", "尚不明确", "尚未明确", "尚无资料", "资料不详", "未进行该项实验", "未进行相关研究")
 
+# Words of a question that name groups, conditions and risks.
 POPULATION_WORDS = (
     ("老年", "老年人"), ("老人", "老年人"), ("高龄", "老年人"), ("孕", "妊娠/备孕"), ("哺乳", "哺乳期"), ("儿童", "儿童"), ("婴幼儿", "儿童"),
     ("小儿", "儿童"), ("肾", "肾功能相关"), ("肝", "肝功能相关"), ("透析", "肾功能相关"), ("心衰", "心力衰竭"),
@@ -41,7 +44,8 @@ CONDITION_WORDS = (
 )
 RISK_FACTOR_WORDS = ("出血", "抗凝", "低血压", "高钾", "低钾", "肾功能", "肝功能", "肌痛", "肌无力", "横纹肌", "过敏", "胃肠道", "消化道", "胃痛", "腹痛")
 
-#: (pattern of a negation, characters after it in which a name counts as negated)
+# The patterns of negations, with the characters after one in which a name counts as negated, of two listed
+# words, and of ages.
 NEGATIONS = (
     (r"(?:没有|没|不|未|拒绝)\s*(?:在\s*)?(?:服用|使用|吃[了]?|用[了]?|打|注射|口服)", 6),
     (r"(?:不能|不可|禁止)\s*(?:同时\s*)?(?:服用|使用|吃|用|合用)", 6),
@@ -49,8 +53,10 @@ NEGATIONS = (
     (r"(?:停[了]?|停止|暂停)", 6),
     (r"(?:不\s*(?:需要|建议|推荐|应该)\s*(?:服用|使用|吃|用))", 6),
 )
+COMBINATION = r"(?U)([一-鿿\w]+)\s*(?:和|与|及|、|,|，|\+)\s*([一-鿿\w]+)"
 AGE = r"(?<![\d.])(\d{1,3}|[零〇一二两三四五六七八九十百]{1,8})\s*(?:岁|周岁|岁半|周岁半)"
 
+# Tags, classes and risk events by their words.
 POPULATION_TAGS = (
     ("儿童", ("儿童", "小儿", "婴幼儿", "新生儿", "18岁以下", "18 岁以下")),
     ("老年人", ("老人", "老年", "高龄")),
@@ -89,6 +95,7 @@ RISK_EVENTS = (
 SAFETY_SECTIONS = ("禁忌", "警告与注意事项", "孕妇及哺乳期妇女用药", "儿童用药", "老年用药", "药物相互作用")
 SHORT_SECTIONS = ("禁忌", "孕妇及哺乳期妇女用药", "儿童用药", "老年用药")
 
+# The words by which evidence is about a group or a condition, strong and mild ones.
 POPULATION_MATCH = (
     ("老年人", ("老年", "老人", "老年患者", "高龄", "65岁", "65 岁")),
     ("儿童", ("儿童", "小儿", "婴幼儿", "18岁以下", "18 岁以下", "儿科")),
@@ -114,9 +121,9 @@ CONDITION_MATCH = (
 CONDITION_HIGH = ("禁用", "禁止", "禁忌", "不得", "避免", "不应使用", "严重")
 CONDITION_MEDIUM = ("慎用", "医师指导", "医生指导", "药师指导", "监测", "评估", "调整剂量", "剂量调整", "风险", "不宜")
 
-#: A line that opens a section: 【title】, a numbered short line, or a short line that ends in a colon.
+# Fixed value: a line that opens a section, 【title】, a numbered short line, or a short line that ends in a colon.
 HEADING = r"(?m)(?:^|\n)\s*(?:【([^】]+)】|(\d+[.、]\s*[^\n]{2,20})|([^\n]{2,15})[：:]\s*$)"
-#: Wording by level; without a level it depends on whether ambiguous names were found.
+# Wording by level; without a level it depends on whether ambiguous names were found.
 RECOMMENDATIONS = {
     "High": "不建议自行合用或调整剂量，请尽快咨询医生或药师，并留意出血、低血压、过敏等异常表现。",
     "Medium": "可以作为风险线索处理，但需结合剂量、频次、肝肾功能和其他用药，由专业人员确认。",
@@ -130,6 +137,7 @@ CONCLUSIONS = {
     "other": "基于当前上下文、知识图谱关系和检索证据，综合风险等级为 {level}。",
 }
 
+# Ranks of levels, and what relations of a graph are called and mean.
 RISK_RANK = {"Unknown": 0, "Low": 1, "Medium": 2, "High": 3}
 KG_HIGH = ("禁忌合用", "禁用于", "CONTRAINDICATED_WITH", "CONTRAINDICATED_FOR")
 KG_MEDIUM = ("慎用于", "检查注意", "USE_WITH_CAUTION_IN", "CAUTION_FOR", "EXAM_CAUTION")
@@ -138,6 +146,7 @@ RELATION_LABELS = {
     "USE_WITH_CAUTION_IN": "慎用于", "CAUTION_FOR": "慎用于", "COMMON_DRUG": "常用药", "MAY_CAUSE": "风险", "MONITOR": "监测指标", "EXAM_CAUTION": "检查注意",
 }
 
+# What a question about a group asks for besides.
 POPULATION_QUERY = (
     ("老年人", ("老年", "老人", "老年患者", "高龄", "65岁", "65 岁", "特殊人群", "风险增高", "风险更高", "剂量选择", "清除率", "AUC", "小剂量")),
     ("儿童", ("儿童", "小儿", "婴幼儿", "18岁以下", "18 岁以下", "儿科", "特殊人群", "禁用", "慎用")),

@@ -198,11 +198,7 @@ def negated(questions: DataFrame, names: DataFrame, patterns: Sequence[tuple[str
     return mentions(rows, names.select("name", "canonical"), "q", "_tail").select("q", "canonical").distinct()
 
 
-#: Two words joined by a word or a mark that lists things.
-COMBINATION = r"(?U)([一-鿿\w]+)\s*(?:和|与|及|、|,|，|\+)\s*([一-鿿\w]+)"
-
-
-def combined(questions: DataFrame, names: DataFrame, pattern: str = COMBINATION) -> DataFrame:
+def combined(questions: DataFrame, names: DataFrame, pattern: str = terms.COMBINATION) -> DataFrame:
     """(q, canonical): names of any length, one character too, that stand whole on a side of a listing mark."""
     sides = F.concat(*[F.regexp_extract_all("message", F.lit(pattern), F.lit(i)) for i in (1, 2)])
     rows = questions.select("q", F.explode(F.array_distinct(sides)).alias("_w")).select("q", F.lower("_w").alias("name"))
