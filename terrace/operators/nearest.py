@@ -27,9 +27,9 @@ from . import retrieval
 SAMPLE, CALIBRATED = 20_000, 200
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, as_given: bool = False) -> np.ndarray:
     rows = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
-    return rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-300)[:, None]
+    return rows if as_given else rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-300)[:, None]
 
 
 def _sampled(vectors: DataFrame, size: int, seed: int) -> tuple[list, np.ndarray]:
@@ -79,7 +79,7 @@ def build(vectors: DataFrame, centres: np.ndarray) -> Lists:
     return Lists(centres, store.written(rows.repartitionByRange(*keys).sortWithinPartitions("list"), "lists"))
 
 
-def _probing(index: Lists, ids: list, unit: np.ndarray, probes: int, k: int, q_kind, with_list: bool = False):
+def _probing(index: Lists, ids: list, unit: np.ndarray, probes: int, k: int, q_kind, with_list: bool = False, as_given: bool = False):
     order = np.argsort(-(unit @ index.centres.T), axis=1, kind="stable")
     chosen = np.zeros((len(ids), len(index.centres)), bool)
     np.put_along_axis(chosen, order[:, :probes], True, axis=1)
@@ -89,7 +89,7 @@ def _probing(index: Lists, ids: list, unit: np.ndarray, probes: int, k: int, q_k
         kept = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))] * n
         kind = None
         for b in batches:
-            at, rows, kind = b.column("list").to_numpy(), _matrix(b.column("vec")) if b.num_rows else None, b.column("ord").type
+            at, rows, kind = b.column("list").to_numpy(), _matrix(b.column("vec"), as_given) if b.num_rows else None, b.column("ord").type
             ords = b.column("ord").to_numpy(zero_copy_only=False)
             for one in np.unique(at):
                 asking, here = np.flatnonzero(chosen[:, one]), np.flatnonzero(at == one)
@@ -124,19 +124,20 @@ def calibrate(index: Lists, k: int = 8, recall: float = 0.95, asked: int = CALIB
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) if len(needed) else 0
 
 
-def search(index: Lists, questions: DataFrame, probes: int, k: int = 8, limit_mb: int = 64) -> DataFrame:
+def search(index: Lists, questions: DataFrame, probes: int, k: int = 8, limit_mb: int = 64, as_given: bool = False) -> DataFrame:
     """(q, ord, rank, score): the k nearest of questions(q, vec) in their ``probes`` nearest lists.
 
-    The questions are a stated set; they go to the tasks in blocks of at most ``limit_mb``.
+    The questions are a stated set; they go to the tasks in blocks of at most ``limit_mb``. ``as_given`` takes vectors as
+    they are, so the score is their dot product.
     """
     kind, q_kind = index.vectors.schema["ord"].dataType, questions.schema["q"].dataType
     rows = questions.where("vec is not null").select("q", F.col("vec").cast("array<double>").alias("vec")).toArrow()
     ids = rows.column("q").to_pylist()
-    unit = _matrix(rows.column("vec").combine_chunks()) if ids and len(index.centres) else np.zeros((0, 0))
+    unit = _matrix(rows.column("vec").combine_chunks(), as_given) if ids and len(index.centres) else np.zeros((0, 0))
     step, found = max(1, (limit_mb << 20) // (8 * (unit.shape[1] + len(index.centres)) or 1)), None
     schema = f"q {q_kind.simpleString()}, ord {kind.simpleString()}, cosine double"
     for at in range(0, len(unit), step):
-        run, _, chosen = _probing(index, ids[at : at + step], unit[at : at + step], probes, k, to_arrow_type(q_kind))
+        run, _, chosen = _probing(index, ids[at : at + step], unit[at : at + step], probes, k, to_arrow_type(q_kind), as_given=as_given)
         lists = np.flatnonzero(chosen.any(0)).tolist()
         wanted = index.vectors if len(lists) == len(index.centres) else index.vectors.where(F.col("list").isin(lists))
         part = wanted.mapInArrow(run, schema)
@@ -146,6 +147,14 @@ def search(index: Lists, questions: DataFrame, probes: int, k: int = 8, limit_mb
     return retrieval.top_k(found.withColumnRenamed("cosine", "score"), k)
 
 
+def exact(vectors: DataFrame, questions: DataFrame, k: int = 8) -> DataFrame:
+    """(q, ord, rank, score): the k greatest dot products of each question with all ``vectors(ord, vec)``: one list, so each
+    batch of vectors is one matrix product with the questions, and nothing but each task's best is shuffled."""
+    size = questions.where("vec is not null").agg(F.max(F.size("vec"))).first()[0] or 0
+    rows = vectors.where("vec is not null").select(F.lit(0).alias("list"), "ord", F.col("vec").cast("array<double>").alias("vec"))
+    return search(Lists(np.ones((1, size)), rows), questions, 1, k, as_given=True)
+
+
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     """(questions, wanted, found, recall) of two tables (q, ord): the share of the exact rows that the other has."""
     hits = exact.select("q", "ord").join(approximate.select("q", "ord").withColumn("_hit", F.lit(1)), ["q", "ord"], "left")

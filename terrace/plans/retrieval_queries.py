@@ -155,8 +155,7 @@ _SQL_DENSE = """SELECT a.vec_id AS q, b.vec_id AS ord, list_sum(list_transform(g
 
 @query(f"WITH sim AS ({_SQL_DENSE.format('true')}), {_sql_top('sim', 8, 'cosine')} SELECT q, ord, rank, round(cosine, 4) AS score FROM top")
 def dense_topk(spark, sf_dir):
-    docs, asked = _dense_tables(spark, sf_dir)
-    best = retrieval.top_k(retrieval.dense(docs, asked).withColumnRenamed("cosine", "score"), 8)
+    best = nearest.exact(*_dense_tables(spark, sf_dir), 8)
     return best.select("q", "ord", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
@@ -182,8 +181,7 @@ def ann_topk(spark, sf_dir):
 @query("SELECT count(*) AS questions, 8 * count(*) AS wanted, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
 def ann_recall(spark, sf_dir):
     """Whether the lists find nine of ten of the exact nearest vectors of the question set."""
-    docs, asked = _dense_tables(spark, sf_dir)
-    exact = retrieval.top_k(retrieval.dense(docs, asked).withColumnRenamed("cosine", "score"), 8)
+    exact = nearest.exact(*_dense_tables(spark, sf_dir), 8)
     return nearest.recall(_approximate(spark, sf_dir), exact).select("questions", "wanted", (F.col("recall") >= 0.9).alias("enough"))
 
 

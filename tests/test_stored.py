@@ -255,6 +255,8 @@ def test_lists_find_the_nearest(spark):
     index = nearest.build(docs, nearest.fit(docs, lists=30))
     unit = docs.where("vec is not null").withColumn("vec", F.transform("vec", lambda x: x / F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, y: s + y * y))))
     exact = retrieval.top_k(retrieval.dense(unit, unit.where("ord % 100 = 0 and ord < 5000").select(F.col("ord").alias("q"), "vec")).withColumnRenamed("cosine", "score"), 8)
+    whole = nearest.exact(unit, unit.where("ord % 100 = 0 and ord < 5000").select(F.col("ord").alias("q"), "vec"), 8)
+    assert nearest.recall(whole, exact).first().recall == 1.0
     probes = nearest.calibrate(index, 8, 0.95)
     assert 1 <= probes < 15  # clustered vectors need a part of the lists
     assert nearest.recall(nearest.search(index, asked, probes), exact).first().recall >= 0.9
