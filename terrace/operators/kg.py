@@ -92,11 +92,17 @@ def static_edges(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     return rows.withColumn("weight", weight[F.col("rel")])
 
 
-def neighbours(questions: DataFrame, nodes: DataFrame, edges: DataFrame, limit: Column | int, labels: Sequence[str] = LABELS) -> DataFrame:
+def neighbours(questions: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int, labels: Sequence[str] = LABELS) -> DataFrame:
     """(q, ord, subject, rel, object, ...) of edges that touch a node whose name or alias is one of questions(q, entities).
 
-    Edges come by weight, then names, at most ``limit`` per question. Two equi-joins, one for each end.
+    Edges come by weight, then names, at most ``limit`` per question. No question shows more edges of a node than that, so
+    questions meet the first ``limit`` edges at each end of a node, not all of them. Of repeated edges the heaviest counts.
     """
+    key = ["s_label", "s_name", "rel", "o_label", "o_name"]
+    weight = F.coalesce("weight", F.lit(1.0))
+    order = [weight.desc(), "s_name", "rel", "o_name", "s_label", "o_label"]
+    rest = [c for c in edges.columns if c not in key]
+    edges = edges.groupBy(*key).agg(F.max_by(F.struct(*rest), weight).alias("_a")).select(*key, *[F.col(f"_a.{c}").alias(c) for c in rest])
     asked = questions.select("q", F.explode(F.array_distinct("entities")).alias("_e")).where("_e <> ''").select("q", F.lower("_e").alias("_e"))
     known = nodes.where(F.col("label").isin(*labels))
     by_name = known.select("label", "name", F.lower("name").alias("_e"))
@@ -105,11 +111,12 @@ def neighbours(questions: DataFrame, nodes: DataFrame, edges: DataFrame, limit:
     start = asked.join(by_name, "_e").select("q", "label", "name").distinct()
     ends = []
     for label, name in (("s_label", "s_name"), ("o_label", "o_name")):
-        ends.append(edges.join(start.toDF("q", label, name), [label, name]).select("q", *edges.columns))
-    rows = ends[0].union(ends[1]).dropDuplicates(["q", "s_label", "s_name", "rel", "o_label", "o_name"])
-    weight = F.coalesce("weight", F.lit(1.0))
-    w = Window.partitionBy("q").orderBy(weight.desc(), "s_name", "rel", "o_name", "s_label", "o_label")
-    rows = rows.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= limit)
+        near = edges.withColumn("_n", F.row_number().over(Window.partitionBy(label, name).orderBy(*order))).where(F.col("_n") <= limit)
+        ends.append(near.select(F.col(label).alias("label"), F.col(name).alias("name"), *[F.col(c).alias(f"_{c}") for c in edges.columns]))
+    rows = start.join(ends[0].union(ends[1]), ["label", "name"]).select("q", *[F.col(f"_{c}").alias(c) for c in edges.columns])
+    # dealt by question once, for both
+    rows = rows.repartition("q").dropDuplicates(["q", *key])
+    rows = rows.withColumn("ord", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("ord") <= limit)
     return rows.withColumnsRenamed({"s_name": "subject", "o_name": "object"}).withColumn("relation", relabel(F.col("rel")))
 
 
