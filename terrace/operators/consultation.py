@@ -107,8 +107,7 @@ def evidence_of(asked: DataFrame, docs: DataFrame, wording: Wording, concepts: D
     about = questions.is_population_evidence(F.col("population"), F.concat_ws(" ", "section", "snippet"), wording.population_match, wording.population_titles)
     retrieved = found.where("kind = 1").where(mine).join(context, "q").where(about).drop("ord").withColumnRenamed("rank", "ord").select(*columns)
     sections = docs.select("ord", "source", "drug", "section", F.col("snippet").alias("content"))
-    direct = questions.direct_evidence(asked.where(of_people), sections, match=wording.population_match, titles=wording.population_titles)
-    direct = direct.join(docs.select("ord", "source"), "ord").select(*columns)
+    direct = questions.first_direct(asked.where(of_people), sections, retrieved, limit, high=wording.population_high, medium=wording.population_medium, titles=wording.population_titles, match=wording.population_match).select(*columns)
     special = questions.assemble(retrieved, direct, context, concepts, limit, wording.population_high, wording.population_medium, wording.population_titles, wording.population_match)
     special = special.drop("ord").withColumnRenamed("position", "ord").select(*columns)
     out = questions.assemble(general, special, context, concepts, limit, wording.population_high, wording.population_medium, wording.population_titles, wording.population_match)

@@ -61,6 +61,28 @@ def direct_evidence(questions: DataFrame, sections: DataFrame, size: int = 320,
     return rows.select("q", "ord", "drug", "section", "snippet", F.lit(1.0).alias("score"))
 
 
+def first_direct(questions: DataFrame, sections: DataFrame, also: DataFrame, limit: int, key: Sequence[str] = ("source", "drug", "section"), size: int = 320, high=terms.POPULATION_HIGH, medium=terms.POPULATION_MEDIUM, titles=terms.POPULATION_TITLES, match=terms.POPULATION_MATCH) -> DataFrame:
+    """(q, ord, *key, snippet, score 1.0): the rows of ``direct_evidence`` that ``assemble`` can show, which is the first
+    ``limit`` of each question and drug in its order, and those that a row of ``also(q, *key, snippet)`` repeats.
+
+    Questions of one population see the same rows of a drug: sections meet the pairs of population and drug, not the
+    questions, and each snippet counts once a pair before anything is ranked.
+    """
+    same = F.unhex(F.md5(F.concat_ws("\x01", *[F.coalesce(c, F.lit("\x02")) for c in key], F.trim(text.ordinal_stripped(F.col("snippet"))))))
+    asked = questions.where("size(population) > 0").select("q", "population", F.explode(F.array_distinct("drugs")).alias("drug"))
+    rows = sections.select("ord", *key, F.substring("content", 1, size).alias("snippet")).join(asked.select("population", "drug").distinct(), "drug")
+    matches = is_population_evidence(F.col("population"), F.concat_ws(" ", "section", "snippet"), match, titles)
+    rows = rows.where(matches).withColumn("_same", same).withColumn("score", F.lit(1.0))
+    w = Window.partitionBy("population", "drug", "_same").orderBy("ord")
+    rows = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    titled = F.array_contains(lookup(F.col("population"), titles, False), F.col("section"))
+    order = Window.partitionBy("population", "drug").orderBy(F.desc(retrieval.priority(matches, titled, F.col("snippet"), high, medium)), "ord")
+    first = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
+    repeated = also.withColumn("_same", same).join(asked, ["q", "drug"]).select("population", "drug", "_same").distinct()
+    kept = first.unionByName(rows.join(repeated, ["population", "drug", "_same"])).dropDuplicates(["population", "drug", "_same"])
+    return kept.join(asked, ["population", "drug"]).select("q", "ord", *key, "snippet", "score")
+
+
 def ordered_union(lists: Sequence[DataFrame], key: Sequence[str], snippet: str) -> DataFrame:
     """Rows of several lists(q, ord, ...), those of earlier lists first, each key once; ord is the new order."""
     rows = None

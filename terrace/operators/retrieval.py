@@ -62,7 +62,9 @@ def question_terms(questions: DataFrame, value: Column) -> DataFrame:
 def boosted(matched: DataFrame, docs: DataFrame, questions: DataFrame, k: int, important: Sequence[str], section: float, drug: float, also: Column | None = None) -> DataFrame:
     """Add boosts to ``matched(q, ord, base)`` and, per boost class, the first k documents that matched no term.
 
-    ``docs(ord, drug, section, ...)``, ``questions(q, drugs)``; the result has (q, ord, score) with score > 0.
+    ``docs(ord, drug, section, ...)``, ``questions(q, drugs)``; the result has (q, ord, score) with score > 0: the ``k``
+    best of each question, as ``top_k`` orders them, and few others. Matched rows get their boosts where they are and only
+    the k best of a task are shuffled: a question can match nearly every document.
     """
     fixed = F.when(F.col("section").isin(*important), section).otherwise(0.0)
     if also is not None:
@@ -75,9 +77,15 @@ def boosted(matched: DataFrame, docs: DataFrame, questions: DataFrame, k: int, i
     own = docs.withColumn("r", F.row_number().over(by_drug)).where(F.col("r") <= k).drop("r").join(asked, "drug").select("q", "ord")
     # at most k documents for each of the few values of ``fixed``
     extra = own.union(questions.select("q").crossJoin(F.broadcast(general.select("ord"))))
-    rows = matched.select("q", "ord", "base").unionByName(extra.withColumn("base", F.lit(0.0)))
-    rows = rows.groupBy("q", "ord").agg(F.max("base").alias("base")).join(docs, "ord").join(asked.withColumn("mine", F.lit(drug)), ["q", "drug"], "left")
-    return rows.select("q", "ord", (F.col("base") + F.col("fixed") + F.coalesce("mine", F.lit(0.0))).alias("score")).where("score > 0")
+    mine = asked.withColumn("mine", F.lit(drug))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        rows = rows.join(docs, "ord").join(mine, ["q", "drug"], "left")
+        return rows.select("q", "ord", (F.col("base") + F.col("fixed") + F.coalesce("mine", F.lit(0.0))).alias("score")).where("score > 0")
+
+    # a document that is not among the k best matched ones has k before it, with or without its base
+    best = top_k(scored(matched.select("q", "ord", "base")), k).drop("rank")
+    return best.unionByName(scored(extra.withColumn("base", F.lit(0.0)))).groupBy("q", "ord").agg(F.max("score").alias("score"))
 
 
 def _n_docs(docs: DataFrame) -> DataFrame:
@@ -255,11 +263,15 @@ def diversified(evidence: DataFrame, concept: str, limit: int, order: str = "ord
     return rows.withColumn("position", F.row_number().over(at)).where(F.col("position") <= limit).drop("_first", "_n", "_rank", "_k")
 
 
-def prioritized(evidence: DataFrame, matches: Column, titled: Column, snippet: Column, high: Sequence[str] = terms.POPULATION_HIGH, medium: Sequence[str] = terms.POPULATION_MEDIUM, order: str = "ord") -> DataFrame:
-    """Population evidence first: score +2.0, +0.8 for its section, +0.4 and +0.3 for strong and mild words."""
+def priority(matches: Column, titled: Column, snippet: Column, high: Sequence[str] = terms.POPULATION_HIGH, medium: Sequence[str] = terms.POPULATION_MEDIUM) -> Column:
+    """The score +2.0 for a match, +0.8 for its section, +0.4 and +0.3 for strong and mild words."""
     add = lambda cond, x: F.when(cond, x).otherwise(0.0)
-    value = F.col("score") + add(matches, 2.0) + add(titled, 0.8) + add(text.contains_any(snippet, high), 0.4) + add(text.contains_any(snippet, medium), 0.3)
-    out = evidence.withColumn("score", F.round(value, 4))
+    return F.round(F.col("score") + add(matches, 2.0) + add(titled, 0.8) + add(text.contains_any(snippet, high), 0.4) + add(text.contains_any(snippet, medium), 0.3), 4)
+
+
+def prioritized(evidence: DataFrame, matches: Column, titled: Column, snippet: Column, high: Sequence[str] = terms.POPULATION_HIGH, medium: Sequence[str] = terms.POPULATION_MEDIUM, order: str = "ord") -> DataFrame:
+    """Population evidence first, by ``priority``."""
+    out = evidence.withColumn("score", priority(matches, titled, snippet, high, medium))
     return out.withColumn("position", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), order)))
 
 
@@ -344,12 +356,12 @@ def one_pass(docs: DataFrame, asks: DataFrame, value: Column, also: Column, lexi
 
 
 def bm25_of(postings: DataFrame, asks: DataFrame, lexical: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(q, ord, base) as ``bm25`` gives it, from the first table of ``one_pass``."""
+    """(q, ord, base) as ``bm25`` gives it, from the first table of ``one_pass``: counts are dealt by document, sums stay there."""
     average = postings.where("term is null").agg(F.avg("n_tokens").alias("mean"), F.greatest(F.count("*"), F.lit(1)).alias("n"))
     wanted, small = _asked_terms(asks, lexical)
     counts = postings.where("term is not null")
     idf = bm25_idf(counts, average.select("n")).select("term", "idf")
-    hits = counts.join(small(wanted.join(small(idf), "term")), "term").crossJoin(F.broadcast(average.select("mean")))  # one row
+    hits = counts.repartition("ord").join(small(wanted.join(small(idf), "term")), "term").crossJoin(F.broadcast(average.select("mean")))  # one row
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / F.col("mean")))
     return hits.groupBy("q", "ord").agg(F.sum(F.col("n") * F.col("idf") * weight).alias("base"))
 

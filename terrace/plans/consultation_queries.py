@@ -209,7 +209,10 @@ _SCORED = f"""{_GRAPH}, ev AS (SELECT *, {_BODY} AS body FROM evidence),
 @query(f"{_CHAIN} SELECT q, ord AS position, drug, section, md5(snippet) AS snippet, CAST(score AS DOUBLE) AS score FROM evidence")
 def consultation_evidence(spark, sf_dir):
     """The evidence of each question: retrieval, population retrieval and direct evidence, scoped, by priority, spread."""
-    found = _answers(spark, sf_dir).evidence
+    known = store.written(dictionary(spark, sf_dir), "names").select("name", "canonical")
+    # the steps of ``consult`` up to the evidence
+    context = store.written(consultation.extracted(asked(spark, sf_dir), known, WORDING), "extracted")
+    found = consultation.evidence_of(context, passages(spark, sf_dir), WORDING)
     return found.select("q", "position", "drug", "section", F.md5("snippet").alias("snippet"), "score")
 
 
