@@ -389,7 +389,7 @@ def population_signal(spark, sf_dir):
     return risk.population_signal(*_signals(spark, sf_dir), table=_GROUPS, high=HIGH, medium=("tion", "ein")).select("q", "level", _text("groups"))
 
 
-@query(_SQL_SIGNAL + """, f AS (SELECT *, regexp_matches(t, '(?s)lich.{0,15}ein|ein.{0,15}lich') AND grp = 'younger' OR regexp_matches(t, '(?s)the .{0,15}ein|ein.{0,14}the ') AND grp = 'older' AS near FROM m WHERE (grp = 'older' AND contains(t, 'the ')) OR (grp = 'younger' AND contains(t, 'lich')))
+@query(_SQL_SIGNAL + """, f AS (SELECT *, regexp_matches(t, '(?s)lich.{0,15}ein|ein.{0,15}lich') AND grp = 'younger' OR regexp_matches(t, '(?s)the .{0,15}ein|ein.{0,15}the ') AND grp = 'older' AS near FROM m WHERE (grp = 'older' AND contains(t, 'the ')) OR (grp = 'younger' AND contains(t, 'lich')))
     SELECT q, 'Medium' AS level, array_to_string(list_sort(list(DISTINCT grp)), '|') AS conditions FROM f GROUP BY q HAVING bool_or(near)""")
 def condition_signal(spark, sf_dir):
     asked, rows = _signals(spark, sf_dir)
