@@ -26,31 +26,32 @@ def relation_of(section: Column, value: Column, interaction: str = "药物相互
 
 def candidates(
     sections: DataFrame, names: DataFrame, interaction: str = "药物相互作用", safety: Sequence[str] = terms.SAFETY_SECTIONS, split=text.sentences,
-    classes=terms.DRUG_CLASSES, tables=(("Population", terms.POPULATION_TAGS), ("Condition", terms.CONDITION_TAGS), ("Risk", terms.RISK_EVENTS)), **words,
+    classes=terms.DRUG_CLASSES, tables=(("Population", terms.POPULATION_TAGS), ("Condition", terms.CONDITION_TAGS), ("Risk", terms.RISK_EVENTS)), shown: int = 600, **words,
 ) -> DataFrame:
     """(subject, relation, object, object_type, risk_level, evidence_text, section, confidence) of sections(ord, drug, title, text).
 
     Interaction sentences point at the names (name, canonical) and classes they mention; others at tagged objects. Of
-    equal (subject, relation, object, section, first 80 characters) the first counts.
+    equal (subject, relation, object, section, first 80 characters) the first counts. ``evidence_text`` has the first
+    ``shown`` characters of the sentence.
     """
     rows = sections.where(F.col("title").isin(*safety)).select("ord", F.col("drug").alias("subject"), F.col("title").alias("section"), F.posexplode(split(F.col("text"))).alias("_i", "sentence"))
     rows = rows.withColumn("relation", relation_of(F.col("section"), F.col("sentence"), interaction, **words)).where("relation is not null")
-    # with the sentence's own digest: null or repeated ords must not give one sentence the objects of another
-    rows = rows.withColumn("_id", F.concat_ws(":", F.coalesce(F.col("ord").cast("string"), F.lit("-")), F.col("_i").cast("string"), F.md5("sentence")))
-    about = rows.where(F.col("section") == interaction)
-    named = names_.mentions(about.select("_id", "sentence"), names, "_id", "sentence").select("_id", F.col("canonical").alias("object"), F.lit("Drug").alias("object_type"))
-    classed = about.select("_id", F.explode(text.tags(F.col("sentence"), classes)).alias("object"), F.lit("DrugClass").alias("object_type"))
-    objects = named.union(classed).groupBy("_id", "object").agg(F.max("object_type").alias("object_type"), F.lit(0).alias("_t"))
-    tagged = rows.where(F.col("section") != interaction)
-    for i, (kind, table) in enumerate(tables):
-        found = tagged.select("_id", F.explode(text.tags(F.col("sentence"), table)).alias("object"), F.lit(kind).alias("object_type"), F.lit(i).alias("_t"))
-        objects = objects.unionByName(found)
-    out = rows.join(objects.distinct(), "_id").where("object <> subject")
-    w = Window.partitionBy("subject", "relation", "object", "section", F.substring("sentence", 1, 80)).orderBy("ord", "_i", "_t")
+    level = level_of_text(F.col("sentence"), words.get("high", terms.SECTION_HIGH), words.get("medium", terms.SECTION_MEDIUM))
+    # what a candidate keeps of its sentence goes with each object; sentences are neither joined nor shuffled
+    kept = F.struct("ord", "_i", "subject", "section", "relation", level.alias("risk_level"), F.substring("sentence", 1, shown).alias("evidence_text"), F.unhex(F.md5(F.substring("sentence", 1, 80))).alias("_head"))
+    rows = rows.select(kept.alias("_s"), "sentence")
+    about = F.col("_s.section") == interaction
+    named = names_.mentions(rows.where(about), names, "_s", "sentence").select("_s", F.struct(F.col("canonical").alias("object"), F.lit("Drug").alias("object_type"), F.lit(0).alias("_t")).alias("_o"))
+    tagged = lambda table, kind, i: F.transform(text.tags(F.col("sentence"), table), lambda x: F.struct(x.alias("object"), F.lit(kind).alias("object_type"), F.lit(i).alias("_t")))
+    none = F.array().cast("array<struct<object string, object_type string, _t int>>")
+    other = F.concat(none, *[tagged(table, kind, i) for i, (kind, table) in enumerate(tables)])
+    objects = named.union(rows.select("_s", F.explode(F.when(about, tagged(classes, "DrugClass", 0)).otherwise(other)).alias("_o")))
+    out = objects.select("_s.*", "_o.*").where("object <> subject")
+    # a name that is a class as well is a class
+    w = Window.partitionBy("subject", "relation", "object", "section", "_head").orderBy("ord", "_i", "_t", F.desc("object_type"))
     out = out.withColumn("_n", F.row_number().over(w)).where("_n = 1")
     confidence = F.when(F.col("object_type") == "Drug", 0.72).when(F.col("object_type") == "DrugClass", 0.62).otherwise(0.68)
-    level = level_of_text(F.col("sentence"), words.get("high", terms.SECTION_HIGH), words.get("medium", terms.SECTION_MEDIUM))
-    return out.select("ord", "_i", "subject", "relation", "object", "object_type", level.alias("risk_level"), F.substring("sentence", 1, 600).alias("evidence_text"), "section", confidence.alias("confidence"))
+    return out.select("ord", "_i", "subject", "relation", "object", "object_type", "risk_level", "evidence_text", "section", confidence.alias("confidence"))
 
 
 def valid(rows: DataFrame, least: float = 0.0, relations: Sequence[str] = RELATIONS, types: Sequence[str] = LABELS) -> DataFrame:

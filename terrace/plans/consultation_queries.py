@@ -54,9 +54,10 @@ def graph(spark, sf_dir, known):
     """(rules, nodes, edges) that the documents state."""
     found = kg.candidates(
         gq._sections(spark, sf_dir), known, interaction="interactions", safety=("interactions", "cautions"), classes=(("classA", ("thing", "tion")),), tables=(("Condition", gq._TAGS),),
-        high=("enti", "qui "), medium=("tion", "ein"), action=("the",), idle=("ou",),
+        shown=0, high=("enti", "qui "), medium=("tion", "ein"), action=("the",), idle=("ou",),
     )
-    found = found.withColumn("_o", F.struct("ord", "_i"))
+    # written once for rules and edges; no answer shows a candidate's text
+    found = store.written(found.drop("evidence_text"), "candidates").withColumn("_o", F.struct("ord", "_i"))
     rules = found.where("_i = 0 and object_type = 'Drug'").select(F.col("subject").alias("left"), F.col("object").alias("right"), "risk_level", F.lit(None).cast("string").alias("mechanism"), F.lit(None).cast("string").alias("recommendation"), "ord")
     edges = kg.upsert_edges(found, "_o")
     return rules, kg.nodes_of(edges), edges
