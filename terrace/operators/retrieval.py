@@ -119,20 +119,20 @@ def bm25(docs: DataFrame, questions: DataFrame, value: Column, asked: Column, k1
 def tfidf(docs: DataFrame, questions: DataFrame, value: Column, asked: Column) -> DataFrame:
     """(q, ord, base): cosine of raw-count TF-IDF vectors; a question's unseen terms count with idf 1 in its norm.
 
-    A document's norm and its terms that a question has come from one pass over its counts.
+    Tokens are dealt by document once. Products with the questions are summed there; of all other terms only a document's
+    norm is wanted, for which no list of terms is gathered.
     """
-    counts = docs.select("ord", text.tokens(value).alias("_t")).repartition("ord").select("ord", F.explode_outer("_t").alias("term")).where("term is not null").groupBy("ord", "term").agg(F.count("*").alias("tf"))
+    tokens = docs.select("ord", text.tokens(value).alias("_t")).repartition("ord").select("ord", F.explode_outer("_t").alias("term")).where("term is not null")
+    counts = tokens.groupBy("ord", "term").agg(F.count("*").alias("tf"))
     idf = smooth_idf(counts, _n_docs(docs)).select("term", "idf")
+    weight = F.col("tf") * F.col("idf")
+    norms = counts.join(idf, "term").groupBy("ord").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
     wanted, small = _asked_terms(questions, asked)
-    terms_asked = small(wanted.select("term").distinct()).withColumn("_asked", F.lit(True))
-    wanted = wanted.join(idf, "term", "left").withColumn("v", F.col("n") * F.coalesce("idf", F.lit(1.0)))
-    own = wanted.groupBy("q").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("own"))
-    weights = counts.join(idf, "term").join(terms_asked, "term", "left").withColumn("w", F.col("tf") * F.col("idf"))
-    hit = F.when(F.col("_asked"), F.struct("term", "w"))
-    found = weights.groupBy("ord").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(hit).alias("hits"))
-    rows = found.select("ord", "norm", F.explode("hits").alias("h")).select("ord", "norm", "h.term", "h.w").join(small(wanted.select("q", "term", "v")), "term")
-    dots = rows.groupBy("q", "ord", "norm").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    return dots.join(small(own), "q").select("q", "ord", (F.col("dot") / (F.col("norm") * F.col("own"))).alias("base"))
+    known = wanted.join(idf, "term", "left").withColumn("v", F.col("n") * F.coalesce("idf", F.lit(1.0)))
+    own = known.groupBy("q").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("own"))
+    hits = tokens.join(small(wanted.select("term").distinct()), "term", "left_semi").groupBy("ord", "term").agg(F.count("*").alias("tf"))
+    dots = hits.join(small(known.where("idf is not null").select("q", "term", "v", "idf")), "term").groupBy("q", "ord").agg(F.sum(F.col("v") * weight).alias("dot"))
+    return dots.join(norms, "ord").join(small(own), "q").select("q", "ord", (F.col("dot") / (F.col("norm") * F.col("own"))).alias("base"))
 
 
 def hash_vectors(rows: DataFrame, key: str, value: Column, size: int = 384) -> DataFrame:
