@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import names, risk
+from ..sources import store
 from ..operators import questions as qs
 from . import retrieval_queries as rq
 from .common import HIGH, MEDIUM, corpus, questions, sql_any, table
@@ -82,7 +83,9 @@ def direct_evidence(spark, sf_dir):
 def evidence_assembly(spark, sf_dir):
     """Direct and retrieved evidence of each question, once, by priority, spread over sources; its parts have SQL of their own."""
     rows = rq.evidence(spark, sf_dir, 16).select("q", "ord", F.lit("documents").alias("source"), "drug", "section", F.substring("text", 1, 320).alias("snippet"), "score")
-    direct = _direct(spark, sf_dir).withColumn("source", F.lit("documents")).withColumn("ord", F.col("ord").cast("long"))
+    rows = store.written(rows, "retrieved")
+    sections = corpus(spark, sf_dir).withColumnRenamed("text", "content").withColumn("source", F.lit("documents"))
+    direct = qs.first_direct(_asked(spark, sf_dir), sections, rows, 12, high=HIGH, medium=MEDIUM, titles=(), match=_MATCH).withColumn("ord", F.col("ord").cast("long"))
     out = qs.assemble(rows, direct.select(*rows.columns), _asked(spark, sf_dir), limit=12, high=HIGH, medium=MEDIUM, titles=(), match=_MATCH)
     return out.select("q", F.col("position").cast("long").alias("position"), "drug", "section", F.md5("snippet").alias("snippet"), "score")
 
