@@ -13,6 +13,8 @@ from . import terms
 _CJK = "一-鿿"
 #: White space as Python's str.strip and \\s see it.
 _WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The characters of ``_WS``.
+_BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def quoted(words: Iterable[str]) -> str:
@@ -32,7 +34,8 @@ def tokens(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_WS}+|{_WS}+$", "")
+    # from both ends: a pattern would look at every blank of the text
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def collapse(text: Column) -> Column:
@@ -165,7 +168,9 @@ def longest_present(text: Column, words: Sequence[str]) -> Column:
 
 def first_section(text: Column, table: Sequence[tuple[str, Sequence[str]]] = terms.SECTION_KEYWORDS) -> Column:
     low = F.lower(text)
-    return reduce(lambda c, row: c.when(contains_any(low, [w.lower() for w in row[1]]), F.lit(row[0])), table[1:], F.when(contains_any(low, [w.lower() for w in table[0][1]]), F.lit(table[0][0])))
+    # plain searches: an alternation tries each of its words at each character of a text
+    named = lambda words: reduce(lambda c, w: c | low.contains(w.lower()), words[1:], low.contains(words[0].lower()))
+    return reduce(lambda c, row: c.when(named(row[1]), F.lit(row[0])), table[1:], F.when(named(table[0][1]), F.lit(table[0][0])))
 
 
 def hash_bucket(token: Column, size: int = 384) -> Column:

@@ -109,7 +109,9 @@ def document_chunks(documents: DataFrame, default: str = "正文") -> DataFrame:
     section = F.coalesce(F.nullif("section", F.lit("")), text.first_section(F.col("text")), F.lit(default))
     drug = F.coalesce(F.nullif("drug", F.lit("")), text.name_of_title(F.col("title")))
     chunks = F.filter(F.transform(chunking.windows(F.col("text"), 700, 100), text.strip), lambda x: x != "")
-    rows = documents.select("source_id", "source_path", "source_type", "title", section.alias("section"), drug.alias("drug"), "page", F.posexplode(chunks).alias("i", "text"))
+    # the section is told from a whole text before it is cut: beside an explode it would be told again for each chunk
+    rows = documents.select("source_id", "source_path", "source_type", "title", section.alias("section"), drug.alias("drug"), "page", chunks.alias("_chunks"))
+    rows = chunking.in_rows(rows, "_chunks", "i", "text")
     return rows.select(F.concat_ws("::", "source_id", F.lit("chunk"), F.col("i").cast("string")).alias("chunk_id"), *[c for c in rows.columns if c != "i"])
 
 
