@@ -143,12 +143,21 @@ def sentences(text: Column, least: int = 4) -> Column:
     return _pieces(text, r"(?:\s*\d+[.)、]\s*)|(?<=[。！？；;])", least)
 
 
+def items(x: Column, least: int = 4) -> Column:
+    """What stands between the numbers of a text without runs of white space."""
+    return _pieces(x, r"(?:^|[。；;]\s*|\n+)\s*(?:\d+|[一二三四五六七八九十]+)[.、)]\s*", least)
+
+
+def items_or_sentences(x: Column, found: Column, least: int = 4) -> Column:
+    """``found``; where there are fewer than two, the sentences of ``x``; where there are none, ``x``."""
+    plain = sentences(x, least)
+    return F.when(x == "", F.array().cast("array<string>")).when(F.size(found) > 1, found).when(F.size(plain) > 0, plain).otherwise(F.array(x))
+
+
 def numbered_items(text: Column, least: int = 4) -> Column:
     """Numbered items; where there are fewer than two, the sentences; where there are none, the text."""
     x = collapse(text)
-    items = _pieces(x, r"(?:^|[。；;]\s*|\n+)\s*(?:\d+|[一二三四五六七八九十]+)[.、)]\s*", least)
-    plain = sentences(x, least)
-    return F.when(x == "", F.array().cast("array<string>")).when(F.size(items) > 1, items).when(F.size(plain) > 0, plain).otherwise(F.array(x))
+    return items_or_sentences(x, items(x, least), least)
 
 
 def tags(text: Column, table: Sequence[tuple[str, Sequence[str]]]) -> Column:
