@@ -102,14 +102,17 @@ def _asked_terms(questions: DataFrame, asked: Column) -> tuple[DataFrame, Callab
 def bm25(docs: DataFrame, questions: DataFrame, value: Column, asked: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(q, ord, base) of documents that share a term with the question; only terms of questions are counted.
 
-    Tokens are dealt by document once; counts, weights and sums stay in that partitioning.
+    Tokens are made once: the counts of asked terms are written, with a row of a null term for each document, which tells its
+    length. They are dealt by document; weights and sums stay in that partitioning.
     """
-    average = document_lengths(docs, "ord", value).agg(F.avg("n_tokens").alias("mean"), F.count("*").alias("n"))
     wanted, small = _asked_terms(questions, asked)
-    tokens = docs.select("ord", text.tokens(value).alias("_t")).withColumn("n_tokens", F.greatest(F.size("_t"), F.lit(1)))
-    rows = tokens.select("ord", "n_tokens", F.explode_outer("_t").alias("term"))
-    rows = rows.join(small(wanted.select("term").distinct()), "term", "left_semi").repartition("ord")
-    counts = rows.groupBy("ord", "n_tokens", "term").agg(F.count("*").alias("tf"))
+    terms_ = wanted.select("term").distinct().union(questions.sparkSession.createDataFrame([(None,)], "term string")).withColumnRenamed("term", "_w")
+    tokens = docs.select("ord", F.coalesce(text.tokens(value), F.array().cast("array<string>")).alias("_t")).withColumn("n_tokens", F.greatest(F.size("_t"), F.lit(1)).cast("long"))
+    rows = tokens.select("ord", "n_tokens", F.explode_outer(F.concat("_t", F.array(F.lit(None).cast("string")))).alias("term"))
+    rows = rows.join(small(terms_), F.col("term").eqNullSafe(F.col("_w")), "left_semi")
+    held = store.written(rows.groupBy("ord", "n_tokens", "term").agg(F.count("*").alias("tf")), "counts")
+    average = held.where("term is null").agg(F.sum(F.col("n_tokens") * F.col("tf")).alias("s"), F.sum("tf").alias("n")).select((F.col("s") / F.col("n")).alias("mean"), F.coalesce("n", F.lit(0)).alias("n"))
+    counts = held.where("term is not null").repartition("ord")
     idf = bm25_idf(counts, average.select("n")).select("term", "idf")
     hits = counts.join(small(wanted.join(small(idf), "term")), "term").crossJoin(F.broadcast(average.select("mean")))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / F.col("mean")))
@@ -148,12 +151,33 @@ def hash_similarity(docs: DataFrame, questions: DataFrame, value: Column, asked:
     return hash_vectors(docs, "ord", value, size).join(left, "bucket").groupBy("q", "ord").agg(F.sum(F.col("v") * F.col("w")).alias("cosine"))
 
 
+#: Documents whose tokens are counted at a time, and cosines that are held at a time: what bounds a task's memory.
+SLICE, HELD = 1000, 1 << 21
+
+
+def bucket_counts(tokens: pa.ListArray, size: int) -> np.ndarray:
+    """How many tokens of each list fall into each bucket."""
+    words = tokens.flatten().dictionary_encode()
+    bucket = np.array([int.from_bytes(hashlib.md5(t.encode()).digest(), "big") % size for t in words.dictionary.to_pylist()], np.int64)
+    row = np.repeat(np.arange(len(tokens)), np.diff(tokens.offsets.to_numpy()))
+    if not len(row):
+        return np.zeros((len(tokens), size))
+    return np.bincount(row * size + bucket[words.indices.to_numpy()], minlength=len(tokens) * size).reshape(-1, size)
+
+
+def question_parts(n: int, rows: int) -> Iterator[slice]:
+    """Questions in parts whose cosines with so many rows are at most ``HELD``."""
+    step = max(1, HELD // max(rows, 1))
+    return (slice(i, min(i + step, n)) for i in range(0, n, step))
+
+
 def hash_nearest(docs: DataFrame, questions: DataFrame, value: Column, asked: Column, k: int, size: int = 384, limit_mb: int = 64) -> DataFrame:
     """(q, ord, cosine) that holds the k nearest documents of each question, and few others: ``top_k`` decides.
 
     Every document has a cosine with nearly every question, so each Arrow batch of documents is multiplied with the
     questions' vectors and only what can be among the k best of its batch is shuffled. The questions are a stated set;
-    vectors of more than ``limit_mb`` go by ``hash_similarity``, a join on buckets.
+    vectors of more than ``limit_mb`` go by ``hash_similarity``, a join on buckets. A task holds the cosines of a batch with
+    some questions at a time, and leaves out what a batch before has k better ones for.
     """
     vectors = hash_vectors(questions, "q", asked, size)
     most = (limit_mb << 20) // (8 * size)
@@ -168,18 +192,20 @@ def hash_nearest(docs: DataFrame, questions: DataFrame, value: Column, asked: Co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(asked_ids, to_arrow_type(q_type))
+        least = np.zeros(len(known))
         for b in batches:
-            tokens = b.column("_t")
-            terms_ = tokens.flatten().dictionary_encode()
-            bucket = np.array([int.from_bytes(hashlib.md5(t.encode()).digest(), "big") % size for t in terms_.dictionary.to_pylist()], np.int64)
-            row = np.repeat(np.arange(b.num_rows), np.diff(tokens.offsets.to_numpy()))
-            counts = np.bincount(row * size + bucket[terms_.indices.to_numpy()], minlength=b.num_rows * size).reshape(-1, size) if len(row) else np.zeros((b.num_rows, size))
-            cosine = (counts @ matrix.T) / np.maximum(np.sqrt((counts * counts).sum(1)), 1.0)[:, None]
-            keep = cosine > 0
-            if b.num_rows > k:
-                keep &= cosine >= np.partition(cosine, -k, axis=0)[-k] - 2e-9  # ties at nine digits stay
-            docs_at, asked_at = np.nonzero(keep)
-            yield pa.RecordBatch.from_arrays([known.take(pa.array(asked_at)), b.column("ord").take(pa.array(docs_at)), pa.array(cosine[keep])], ["q", "ord", "cosine"])
+            counts = np.zeros((b.num_rows, size))
+            for i in range(0, b.num_rows, SLICE):
+                counts[i : i + SLICE] = bucket_counts(b.column("_t").slice(i, SLICE), size)
+            norm = np.maximum(np.sqrt((counts * counts).sum(1)), 1.0)[:, None]
+            for part in question_parts(len(known), b.num_rows):
+                cosine = (counts @ matrix[part].T) / norm
+                keep = cosine > 0
+                if b.num_rows > k:
+                    least[part] = np.maximum(least[part], np.partition(cosine, -k, axis=0)[-k])
+                keep &= cosine >= least[part] - 2e-9  # ties at nine digits stay
+                docs_at, asked_at = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([known.take(pa.array(asked_at + part.start)), b.column("ord").take(pa.array(docs_at)), pa.array(cosine[keep])], ["q", "ord", "cosine"])
 
     rows = docs.select("ord", F.coalesce(text.tokens(value), F.array().cast("array<string>")).alias("_t"))
     return rows.mapInArrow(run, f"q {q_type.simpleString()}, ord {ord_type.simpleString()}, cosine double")
@@ -332,16 +358,19 @@ def one_pass(docs: DataFrame, asks: DataFrame, value: Column, also: Column, lexi
             yield rows(ords.take(pa.array(doc)), pa.array(length[doc]), term, pa.array(np.concatenate([tf, np.zeros(m, np.int64)])), pa.nulls(none, q_type), pa.nulls(none, pa.float64()))
             bucket = np.array([int.from_bytes(hashlib.md5(t.encode()).digest(), "big") % size for t in words.to_pylist()], np.int64)
             counts = np.bincount(row * size + bucket[index], minlength=m * size).reshape(-1, size) if len(row) else np.zeros((m, size))
-            cosine = (counts @ matrix.T) / np.maximum(np.sqrt((counts * counts).sum(1)), 1.0)[:, None]
+            norm = np.maximum(np.sqrt((counts * counts).sum(1)), 1.0)[:, None]
             order = ords.to_numpy(zero_copy_only=False)
-            for i in range(n):
-                hit = np.flatnonzero((cosine[:, i] > 0) & (cosine[:, i] >= least[i] - 2e-9))
-                if len(hit):
-                    c, o = np.concatenate([kept[i][0], cosine[hit, i]]), np.concatenate([kept[i][1], order[hit]])
-                    top = best(c, o)
-                    kept[i] = (c[top], o[top])
-                    if len(top) == near:
-                        least[i] = kept[i][0].min()
+            for part in question_parts(n, m):
+                cosine = (counts @ matrix[part].T) / norm
+                for i in range(part.start, part.stop):
+                    own = cosine[:, i - part.start]
+                    hit = np.flatnonzero((own > 0) & (own >= least[i] - 2e-9))
+                    if len(hit):
+                        c, o = np.concatenate([kept[i][0], own[hit]]), np.concatenate([kept[i][1], order[hit]])
+                        top = best(c, o)
+                        kept[i] = (c[top], o[top])
+                        if len(top) == near:
+                            least[i] = kept[i][0].min()
         sizes = [len(c) for c, _ in kept]
         if sum(sizes):
             total = sum(sizes)
