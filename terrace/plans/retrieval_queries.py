@@ -209,16 +209,16 @@ _SQL_RERANKED = f"""{_SQL_FUSED}, rr AS (SELECT q, drug, section, text, rank AS
     re AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, before) AS rank FROM rr)"""
 
 
-def fused(spark, sf_dir):
-    """BM25 and hash-vector lists of 4 k = 32 passages each, fused by rank."""
+def fused(spark, sf_dir, dense=None):
+    """BM25 and hash-vector lists of 4 k = 32 passages each, fused by rank; ``dense`` may be there already."""
     docs, asked = corpus(spark, sf_dir), questions(spark, sf_dir)
-    lists = {"bm25": bm25_full(spark, sf_dir, 32), "dense": _dense_list(spark, sf_dir, 32)}
+    lists = {"bm25": bm25_full(spark, sf_dir, 32), "dense": dense if dense is not None else _dense_list(spark, sf_dir, 32)}
     lists = {n: x.join(docs, "ord").join(asked.select("q", "drugs"), "q").withColumn("mine", F.array_contains("drugs", F.col("drug"))) for n, x in lists.items()}
     return retrieval.rrf(lists, [*_KEY, "mine"], mine=F.col("mine"))
 
 
-def reranked(spark, sf_dir):
-    return retrieval.rerank(fused(spark, sf_dir), F.col("section").isin(*IMPORTANT), F.col("mine"), text.contains_any(F.col("text"), HIGH))
+def reranked(spark, sf_dir, found=None):
+    return retrieval.rerank(found if found is not None else fused(spark, sf_dir), F.col("section").isin(*IMPORTANT), F.col("mine"), text.contains_any(F.col("text"), HIGH))
 
 
 def _shown(ranked, k=8):

@@ -219,7 +219,10 @@ def ablation_distribution(spark, sf_dir):
 def _evaluated(spark, sf_dir):
     asked = questions(spark, sf_dir)
     docs = rq.corpus(spark, sf_dir)
-    lists = {"A": rq._dense_list(spark, sf_dir, 32).join(docs, "ord"), "B": rq.fused(spark, sf_dir), "C": rq.reranked(spark, sf_dir)}
+    # three variants of the same two lists, which are made once
+    dense = store.written(rq._dense_list(spark, sf_dir, 32), "dense")
+    fused = store.written(rq.fused(spark, sf_dir, dense), "fused")
+    lists = {"A": dense.join(docs, "ord"), "B": fused, "C": rq.reranked(spark, sf_dir, fused)}
     parts = None
     for name, ranked in lists.items():
         rows = ranked.where("rank <= 8").select(F.lit(name).alias("variant"), F.col("q"), "drug", "section", F.col("text").alias("snippet"))
