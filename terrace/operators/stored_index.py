@@ -85,12 +85,16 @@ def build(docs: DataFrame, value: Column, path: str, near: Sequence[str] = (), b
     """Write the index of ``docs(ord, ...)``; ``near`` columns order documents into blocks. The count of documents comes last,
     so a build that was lost on the way counts as none."""
     spark = docs.sparkSession
-    counts = docs.select("ord", text.tokens(value).alias("_t")).withColumn("n_tokens", F.greatest(F.size("_t"), F.lit(1)))
-    lengths = ordinals.numbered(docs.select("ord", *near).join(counts.select("ord", "n_tokens"), "ord") if near else counts.select("ord", "n_tokens"), [*near, "ord"])
+    # tokens are made once: counts are written, with a row of a null term for each document, which tells its length
+    tokens = docs.select("ord", F.coalesce(text.tokens(value), F.array().cast("array<string>")).alias("_t")).withColumn("n_tokens", F.greatest(F.size("_t"), F.lit(1))).repartition("ord")
+    counts = tokens.select("ord", "n_tokens", F.explode_outer(F.concat("_t", F.array(F.lit(None).cast("string")))).alias("term"))
+    counts = store.written(counts.groupBy("ord", "n_tokens", "term").agg(F.count("*").cast("int").alias("tf")), "counts")
+    lengths = counts.where("term is null").select("ord", "n_tokens")
+    lengths = ordinals.numbered(docs.select("ord", *near).join(lengths, "ord") if near else lengths, [*near, "ord"])
     lengths = lengths.select("ord", "n_tokens", F.expr(f"number div {BLOCK}").alias("block"))
     lengths.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.avg("n_tokens").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
     stats = spark.read.parquet(f"{path}/stats")  # one row
-    rows = counts.select("ord", F.explode("_t").alias("term")).groupBy("ord", "term").agg(F.count("*").cast("int").alias("tf"))
+    rows = counts.where("term is not null").select("ord", "term", "tf")
     df = rows.groupBy("term").agg(F.count("*").alias("df"))
     rows = rows.join(lengths, "ord").join(df, "term").crossJoin(F.broadcast(stats))
     rows = rows.withColumn("_b", F.col("block")).withColumns({"block": F.when(F.col("df") > BLOCK, F.col("block")).otherwise(F.lit(-1)), "_w": _idf(F.col("n"), F.col("df")) * _weight(F.col("tf"), F.col("n_tokens"), F.col("mean"), k1, b)})
