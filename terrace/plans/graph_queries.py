@@ -246,9 +246,11 @@ def kg_candidates(spark, sf_dir):
     return _candidates(spark, sf_dir).select("ord", "subject", "relation", "object", "object_type", "risk_level", F.md5("evidence_text").alias("evidence"), "section", "confidence")
 
 
-def _orders_candidates(spark, sf_dir):
-    """Supplier - part group relations from order lines, in order of orders and lines."""
+def _orders_candidates(spark, sf_dir, dealt=False):
+    """Supplier - part group relations from order lines, in order of orders and lines; ``dealt`` out to all cores on demand."""
     lines = table(spark, sf_dir, "lineitem")
+    if dealt:
+        lines = lines.repartition("l_orderkey")
     relation = F.when(F.col("l_returnflag") == "A", "INTERACTS_WITH").when(F.col("l_returnflag") == "R", "CONTRAINDICATED_FOR").otherwise("USE_WITH_CAUTION_IN")
     level = F.when(F.col("l_linestatus") == "O", "High").when(F.col("l_linenumber") % 2 == 0, "Medium").otherwise("Low")
     return lines.select(
