@@ -23,7 +23,9 @@ def quoted(words: Iterable[str]) -> str:
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:
-    return text.rlike(quoted(words))
+    # plain searches: an alternation tries each of its words at each character of a text
+    first, *rest = list(words) or [""]
+    return reduce(lambda c, w: c | text.contains(w), rest, text.contains(first))
 
 
 def tokens(text: Column) -> Column:
@@ -177,8 +179,7 @@ def longest_present(text: Column, words: Sequence[str]) -> Column:
 
 def first_section(text: Column, table: Sequence[tuple[str, Sequence[str]]] = terms.SECTION_KEYWORDS) -> Column:
     low = F.lower(text)
-    # plain searches: an alternation tries each of its words at each character of a text
-    named = lambda words: reduce(lambda c, w: c | low.contains(w.lower()), words[1:], low.contains(words[0].lower()))
+    named = lambda words: contains_any(low, [w.lower() for w in words])
     return reduce(lambda c, row: c.when(named(row[1]), F.lit(row[0])), table[1:], F.when(named(table[0][1]), F.lit(table[0][0])))
 
 

@@ -34,7 +34,8 @@ def candidates(
     equal (subject, relation, object, section, first 80 characters) the first counts. ``evidence_text`` has the first
     ``shown`` characters of the sentence.
     """
-    rows = sections.where(F.col("title").isin(*safety)).select("ord", F.col("drug").alias("subject"), F.col("title").alias("section"), F.posexplode(split(F.col("text"))).alias("_i", "sentence"))
+    # outer explodes: for plain ones Spark splits each text, and looks for each tag, a second time to ask for the array's size
+    rows = sections.where(F.col("title").isin(*safety)).select("ord", F.col("drug").alias("subject"), F.col("title").alias("section"), F.posexplode_outer(split(F.col("text"))).alias("_i", "sentence")).where("sentence is not null")
     rows = rows.withColumn("relation", relation_of(F.col("section"), F.col("sentence"), interaction, **words)).where("relation is not null")
     level = level_of_text(F.col("sentence"), words.get("high", terms.SECTION_HIGH), words.get("medium", terms.SECTION_MEDIUM))
     # what a candidate keeps of its sentence goes with each object; sentences are neither joined nor shuffled
@@ -45,10 +46,11 @@ def candidates(
     tagged = lambda table, kind, i: F.transform(text.tags(F.col("sentence"), table), lambda x: F.struct(x.alias("object"), F.lit(kind).alias("object_type"), F.lit(i).alias("_t")))
     none = F.array().cast("array<struct<object string, object_type string, _t int>>")
     other = F.concat(none, *[tagged(table, kind, i) for i, (kind, table) in enumerate(tables)])
-    objects = named.union(rows.select("_s", F.explode(F.when(about, tagged(classes, "DrugClass", 0)).otherwise(other)).alias("_o")))
+    objects = named.union(rows.select("_s", F.explode_outer(F.when(about, tagged(classes, "DrugClass", 0)).otherwise(other)).alias("_o")).where("_o is not null"))
     out = objects.select("_s.*", "_o.*").where("object <> subject")
-    # a name that is a class as well is a class
-    w = Window.partitionBy("subject", "relation", "object", "section", "_head").orderBy("ord", "_i", "_t", F.desc("object_type"))
+    # a name that is a class as well is a class; the hash comes first because rows are sorted, and those of a subject are many
+    same = ["subject", "relation", "object", "section", "_head"]
+    w = Window.partitionBy(F.xxhash64(*same), *same).orderBy("ord", "_i", "_t", F.desc("object_type"))
     out = out.withColumn("_n", F.row_number().over(w)).where("_n = 1")
     confidence = F.when(F.col("object_type") == "Drug", 0.72).when(F.col("object_type") == "DrugClass", 0.62).otherwise(0.68)
     return out.select("ord", "_i", "subject", "relation", "object", "object_type", "risk_level", "evidence_text", "section", confidence.alias("confidence"))

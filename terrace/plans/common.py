@@ -8,18 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_TEXTS = ("documents", "pages")
+_TEXTS = {"documents": "doc_id", "pages": "page_id"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, piece: str | None = None) -> DataFrame:
     """A table of the folder. Texts that fit one split often stand in one row group, which one task would read and work
-    on alone: they are dealt out to all cores. Larger tables are read as they are, without a shuffle."""
+    on alone: they are dealt out to all cores. Those of fewer splits than cores are dealt out by key, which needs no sort of
+    the rows; larger ones are read as they are, without a shuffle. With ``piece`` they are dealt by key in any case, into
+    partitions of about so many bytes of the file, for steps whose memory goes with a task's rows."""
     path = f"{sf_dir}/{name}.parquet"
     df = spark.read.parquet(path)
     if name in _TEXTS:
         size = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("n")).first().n or 0  # a listing: no file is read
-        if size <= in_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")):
-            return df.repartition(spark.sparkContext.defaultParallelism)
+        split, cores = in_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")), spark.sparkContext.defaultParallelism
+        if piece:
+            return df.repartition(max(cores, -(-size // in_bytes(piece))), _TEXTS[name])
+        if size <= split:
+            return df.repartition(cores)
+        if size <= split * cores:
+            return df.repartition(3 * cores, _TEXTS[name])
     return df
 
 
