@@ -13,6 +13,9 @@ from .common import HIGH, MEDIUM, sql_any, sql_list, sql_tokens, table
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
+#: Counting by document and term holds all terms of a task's documents, so these are dealt out in small parts by document.
+_PIECE = "4m"
+
 _TERMS = f"t AS (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents)"
 
 
@@ -34,7 +37,7 @@ def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TERMS} SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL")
 def doc_term_freq(spark, sf_dir):
-    return retrieval.term_counts(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return retrieval.term_counts(table(spark, sf_dir, "documents", _PIECE), "doc_id", F.col("text"))
 
 
 @query(f"SELECT doc_id, greatest(len({sql_tokens('text')}), 1) AS n_tokens FROM documents")
@@ -45,7 +48,7 @@ def doc_length(spark, sf_dir):
 @query(f"""WITH {_TERMS}, df AS (SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY term), n AS (SELECT count(*) AS n FROM documents)
 SELECT term, df, round(ln((n + 1.0) / (df + 1)) + 1, 6) AS idf FROM df, n""")
 def idf_smooth(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", _PIECE)
     counts = retrieval.term_counts(docs, "doc_id", F.col("text"))
     return retrieval.smooth_idf(counts, docs.agg(F.count("*").alias("n"))).withColumn("idf", F.round("idf", 6))
 
@@ -53,7 +56,7 @@ def idf_smooth(spark, sf_dir):
 @query(f"""WITH {_TERMS}, df AS (SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY term), n AS (SELECT count(*) AS n FROM documents)
 SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, n""")
 def idf_bm25(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", _PIECE)
     counts = retrieval.term_counts(docs, "doc_id", F.col("text"))
     return retrieval.bm25_idf(counts, docs.agg(F.count("*").alias("n"))).withColumn("idf", F.round("idf", 6))
 
