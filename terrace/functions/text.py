@@ -60,9 +60,15 @@ def lookup_name(text: Column) -> Column:
 
 
 def clean_page(text: Column) -> Column:
-    """Line ends, page-number lines, runs of blanks and of empty lines."""
-    x = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"\n\s*-?\s*\d+\s*-?\s*\n", "\n")
-    return strip(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    """Line ends, page-number lines, runs of blanks and of empty lines.
+
+    A pattern is tried at each character of a text, so plain searches first tell whether there is something to do. A page number
+    leaves one line end and changes no other run of them, so one pattern does for both; it takes white space without going back.
+    """
+    x = F.when(text.contains("\r"), F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))).otherwise(text)
+    x = F.regexp_replace(x, r"\n(?:\s*+(?:-\s*+)?\d++(?:\s*+-)?\s*\n|(\n)\n+)", "\n$1")
+    blanks = F.regexp_replace(F.replace(x, F.lit("\t"), F.lit(" ")), "  +", " ")
+    return strip(F.when(x.contains("  ") | x.contains("\t"), blanks).otherwise(x))
 
 
 def without_tags(html: Column) -> Column:

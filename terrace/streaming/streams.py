@@ -141,19 +141,24 @@ def windowed_metrics(events: DataFrame, lateness: str = "10 minutes", size: str
     return rows.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean")).select(F.col("w.start").alias("start"), "event_type", "n", "mean")
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None) -> None:
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None, closing: bool = True) -> None:
     """Process what is there, then stop; each micro-batch is a Parquet folder named by its number, so a repeat replaces it.
 
-    State is kept in RocksDB, which list states, timers and a time to live need; the session's own setting is left as it was.
+    State is kept in RocksDB, which list states, timers and a time to live need; the session's own settings are left as they
+    were. Without ``closing`` there is no last batch without data under the new watermark: state that it has passed goes with
+    the next data. That is for streams which return nothing for state that ends.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(name)
-    conf.set(name, _ROCKSDB)
+    conf = stream.sparkSession.conf
+    settings = {"spark.sql.streaming.stateStore.providerClass": _ROCKSDB} | ({} if closing else {"spark.sql.streaming.noDataMicroBatches.enabled": "false"})
+    before = {name: conf.get(name) for name in settings}
+    for name, setting in settings.items():
+        conf.set(name, setting)
     try:
         stream.writeStream.foreachBatch(sink or write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
-        conf.set(name, before)
+        for name, setting in before.items():
+            conf.set(name, setting)
