@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,25 @@ def relation_of(section: Column, value: Column, interaction: str = "药物相互
     return F.when(nothing, F.lit(None)).when(section == interaction, "INTERACTS_WITH").when(text.contains_any(value, high), "CONTRAINDICATED_FOR").when(text.contains_any(value, medium), "USE_WITH_CAUTION_IN")
 
 
+def _firsts(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Sentences of a batch that have objects: of those with equal beginnings and objects the first, so that copies stay where they are."""
+    s, names = b.column("_s"), b.column("canonicals")
+    tags = s.field("_tags")
+    some = np.flatnonzero((pc.list_value_length(names).to_numpy(zero_copy_only=False) > 0) | (pc.fill_null(pc.list_value_length(tags), 0).to_numpy(zero_copy_only=False) > 0))
+    b = b.take(pa.array(some))
+    s = b.column("_s")
+    tags = s.field("_tags")
+    listed = {"_names": b.column("canonicals")} | {c: pa.ListArray.from_arrays(tags.offsets, tags.values.field(c)) for c in ("object", "object_type")}
+    same = {c: s.field(c) for c in ("_head", "subject", "relation", "section")} | {c: pc.binary_join(x, "\0") for c, x in listed.items()}
+    codes = {c: x.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False) for c, x in same.items()}
+    order = pc.sort_indices(pa.table(codes | {"ord": s.field("ord"), "_i": s.field("_i")}), [(c, "ascending") for c in (*codes, "ord", "_i")], null_placement="at_start").to_numpy()
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in codes.values():
+        new[1:] |= np.diff(x[order]) != 0
+    return b.take(pa.array(np.sort(order[new])))
+
+
 def candidates(
     sections: DataFrame, names: DataFrame, interaction: str = "药物相互作用", safety: Sequence[str] = terms.SAFETY_SECTIONS, split=text.sentences,
     classes=terms.DRUG_CLASSES, tables=(("Population", terms.POPULATION_TAGS), ("Condition", terms.CONDITION_TAGS), ("Risk", terms.RISK_EVENTS)), shown: int = 600, **words,
@@ -38,18 +60,23 @@ def candidates(
     rows = sections.where(F.col("title").isin(*safety)).select("ord", F.col("drug").alias("subject"), F.col("title").alias("section"), F.posexplode_outer(split(F.col("text"))).alias("_i", "sentence")).where("sentence is not null")
     rows = rows.withColumn("relation", relation_of(F.col("section"), F.col("sentence"), interaction, **words)).where("relation is not null")
     level = level_of_text(F.col("sentence"), words.get("high", terms.SECTION_HIGH), words.get("medium", terms.SECTION_MEDIUM))
-    # what a candidate keeps of its sentence goes with each object; sentences are neither joined nor shuffled
-    kept = F.struct("ord", "_i", "subject", "section", "relation", level.alias("risk_level"), F.substring("sentence", 1, shown).alias("evidence_text"), F.unhex(F.md5(F.substring("sentence", 1, 80))).alias("_head"))
-    rows = rows.select(kept.alias("_s"), "sentence")
-    about = F.col("_s.section") == interaction
-    named = names_.mentions(rows.where(about), names, "_s", "sentence").select("_s", F.struct(F.col("canonical").alias("object"), F.lit("Drug").alias("object_type"), F.lit(0).alias("_t")).alias("_o"))
+    # what a candidate keeps of its sentence goes with its objects; sentences are neither joined nor shuffled
+    head = F.unhex(F.md5(F.substring("sentence", 1, 80)))
+    about = F.col("section") == interaction
     tagged = lambda table, kind, i: F.transform(text.tags(F.col("sentence"), table), lambda x: F.struct(x.alias("object"), F.lit(kind).alias("object_type"), F.lit(i).alias("_t")))
     none = F.array().cast("array<struct<object string, object_type string, _t int>>")
     other = F.concat(none, *[tagged(table, kind, i) for i, (kind, table) in enumerate(tables)])
-    objects = named.union(rows.select("_s", F.explode_outer(F.when(about, tagged(classes, "DrugClass", 0)).otherwise(other)).alias("_o")).where("_o is not null"))
-    out = objects.select("_s.*", "_o.*").where("object <> subject")
+    tags = F.when(about, tagged(classes, "DrugClass", 0)).otherwise(other)
+    kept = F.struct("ord", "_i", "subject", "section", "relation", level.alias("risk_level"), F.substring("sentence", 1, shown).alias("evidence_text"), head.alias("_head"), tags.alias("_tags"))
+    rows = names_.canonicals(rows.select(kept.alias("_s"), F.when(about, F.col("sentence")).alias("_said")), names, "_s", "_said", _firsts)
+    # one row a sentence is dealt out; objects, of which a sentence can have many, part where equal beginnings have met
+    same = ["subject", "relation", "section", "_head"]
+    rows = rows.select("_s.*", "canonicals").repartition(*same)
+    objects = F.concat(F.transform("canonicals", lambda x: F.struct(x.alias("object"), F.lit("Drug").alias("object_type"), F.lit(0).alias("_t"))), "_tags")
+    out = rows.select("ord", "_i", *same, "risk_level", "evidence_text", F.explode_outer(objects).alias("_o")).where("_o is not null")
+    out = out.select("*", "_o.*").drop("_o").where("object <> subject")
     # a name that is a class as well is a class; the hash comes first because rows are sorted, and those of a subject are many
-    same = ["subject", "relation", "object", "section", "_head"]
+    same = [*same, "object"]
     w = Window.partitionBy(F.xxhash64(*same), *same).orderBy("ord", "_i", "_t", F.desc("object_type"))
     out = out.withColumn("_n", F.row_number().over(w)).where("_n = 1")
     confidence = F.when(F.col("object_type") == "Drug", 0.72).when(F.col("object_type") == "DrugClass", 0.62).otherwise(0.68)

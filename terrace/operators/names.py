@@ -1,13 +1,14 @@
 """Name dictionaries and mentions in text.
 
-Names meet texts in one automaton a task, or, where there are more than ``SMALL`` of them, by an equi-join on their first
-characters; never as a cross product.
+Names meet texts inside the tasks, without a shuffle of texts: in an automaton, or, where there are more than ``SMALL`` of them,
+as sorted words of eight bytes. Only beyond ``MANY`` they meet by an equi-join on their first characters; never as a cross product.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from ..functions import terms, text
 
 SMALL = 50_000
-#: Bytes of names that go to every task.
+#: Bytes of names that go to every task as an automaton.
 BYTES = 8 << 20
+#: Names, and bytes of them, that go to every task as words of eight bytes; and bytes of texts that are searched at a time.
+MANY, MANY_BYTES, PIECE = 4_000_000, 64 << 20, 1 << 20
 
 
 def broadcast_if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
@@ -85,41 +88,126 @@ def _blocks(value: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(value, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-def _few(names: DataFrame) -> list[str] | None:
-    """The distinct names, if they are at most ``SMALL`` and ``BYTES``; else None."""
-    names = names.select("name").where("name is not null and name <> ''").distinct()
+def _held(names: DataFrame, *columns: str) -> pa.Table | None:
+    """The distinct names with ``columns``, if they are at most ``MANY`` and ``MANY_BYTES``; else None."""
+    names = names.select("name", *columns).where("name is not null and name <> ''").distinct()
     size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("name")), F.lit(0)).alias("b")).first()
-    return sorted(r.name for r in names.collect()) if size.n <= SMALL and size.b <= BYTES else None
+    return names.toArrow() if size.n <= MANY and size.b <= MANY_BYTES else None
+
+
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _by_automaton(known: list[bytes]) -> Callable[[bytes, np.ndarray], Found]:
+    import ahocorasick
+
+    # a character for each byte: positions are those of bytes
+    machine, sizes = ahocorasick.Automaton(), [len(n) for n in known]
+    for i, name in enumerate(known):
+        machine.add_word(name.decode("latin-1"), i)
+    machine.make_automaton()
+
+    def search(raw: bytes, ends: np.ndarray) -> Found:
+        row, which, start, a = [], [], [], 0
+        for r, z in enumerate(ends.tolist()):
+            for end, i in machine.iter(raw[a:z].decode("latin-1")) if z > a else ():
+                row.append(r)
+                which.append(i)
+                start.append(a + end + 1 - sizes[i])
+            a = z
+        return np.array(row, np.int64), np.array(which, np.int64), np.array(start, np.int64)
+
+    return search
+
+
+def _by_heads(known: list[bytes]) -> Callable[[bytes, np.ndarray], Found]:
+    # a name of up to eight bytes is one number; a longer one is looked up where its first eight bytes stand
+    sizes = np.array([len(n) for n in known], np.int64)
+    words, width = np.frombuffer(b"".join(n[:8].ljust(8, b"\0") for n in known), "<u8"), np.minimum(sizes, 8)
+    longer: dict[int, dict[int, dict[bytes, int]]] = {}
+    for i in np.flatnonzero(sizes > 8).tolist():
+        longer.setdefault(int(words[i]), {}).setdefault(len(known[i]), {})[known[i]] = i
+    tables = []
+    for w in np.unique(width).tolist():
+        whole = np.flatnonzero(sizes == w)
+        heads = np.unique(words[width == w])
+        ids = np.full(len(heads), -1)
+        ids[np.searchsorted(heads, words[whole])] = whole
+        # most windows of a text are in no place that a head has
+        bits = min(24, max(12, int(8 * len(heads)).bit_length()))
+        place = lambda x, bits=bits: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+        taken = np.zeros(1 << bits, bool)
+        taken[place(heads)] = True
+        tables.append((w, np.uint64((1 << 8 * w) - 1), heads, ids, place, taken))
+
+    def search(raw: bytes, ends: np.ndarray) -> Found:
+        padded = np.frombuffer(raw + b"\0" * 8, np.uint8)
+        which, start = [], []
+        for a in range(0, len(raw), PIECE):
+            window = np.ndarray(min(PIECE, len(raw) - a), "<u8", padded, a, (1,))
+            for w, mask, heads, ids, place, taken in tables:
+                head = window & mask
+                at = np.flatnonzero(taken[place(head)])
+                head = head[at]
+                i = np.minimum(np.searchsorted(heads, head), len(heads) - 1)
+                hit = heads[i] == head
+                at, i, head = at[hit] + a, i[hit], head[hit]
+                whole = ids[i] >= 0
+                which.append(ids[i[whole]])
+                start.append(at[whole])
+                if w == 8 and longer:
+                    more = [(n, p) for p, h in zip(at.tolist(), head.tolist(), strict=True) for size, of in longer.get(h, {}).items() if (n := of.get(raw[p : p + size])) is not None]
+                    which.append(np.array([n for n, _ in more], np.int64))
+                    start.append(np.array([p for _, p in more], np.int64))
+        which, start = np.concatenate(which), np.concatenate(start)
+        row = np.searchsorted(ends, start, "right")
+        inside = start + sizes[which] <= ends[row]  # not over the end of a text
+        return row[inside], which[inside], start[inside]
+
+    return search
+
+
+def _searches(known: pa.Array) -> Callable[[pa.Array], Iterator[tuple[int, bytes, np.ndarray, Found]]]:
+    """A function that gives, for some texts at a time, the first one's number, their bytes, their ends, and (row, name, start)
+    of every name in them, overlapping ones included; rows count from that number, starts are places in the bytes."""
+    known_ = [n.encode() for n in known.to_pylist()]
+    search = (_by_automaton if len(known_) <= SMALL and sum(map(len, known_)) <= BYTES else _by_heads)(known_) if known_ else None
+
+    def run(texts: pa.Array) -> Iterator[tuple[int, bytes, np.ndarray, Found]]:
+        texts = texts.fill_null("").cast(pa.large_string())
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        r = 0
+        while search and r < len(texts):
+            z = max(r + 1, int(np.searchsorted(offsets, offsets[r] + PIECE, "right")) - 1)
+            if offsets[z] > offsets[r]:
+                raw, ends = data.slice(int(offsets[r]), int(offsets[z] - offsets[r])).to_pybytes(), offsets[r + 1 : z + 1] - offsets[r]
+                yield r, raw, ends, search(raw, ends)
+            r = z
 
+    return run
+
+
+def _once(key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of the least ``at`` of each key."""
+    order = np.lexsort((at, key))
+    return order[np.diff(key[order], prepend=-1) != 0]
 
-def _automaton(known: list[str], key: str, value: str, first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
 
-        machine = ahocorasick.Automaton()
-        for i, name in enumerate(known):
-            machine.add_word(name, i)
-        machine.make_automaton()
-        names_, sizes = pa.array(known, pa.string()), [len(n) for n in known]
+def _occurring(known: pa.Array, key: str, value: str, first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searches = _searches(known)
         for b in batches:
-            row, which, start = [], [], []
-
-            def found() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([b.column(key).take(pa.array(row, pa.int64())), names_.take(pa.array(which, pa.int64())), pa.array(start, pa.int32())], [key, "name", "start"])  # noqa: B023
-
-            for r, t in enumerate(b.column(value).to_pylist()):
-                seen = set()
-                for end, i in machine.iter(t) if t else ():
-                    if not first or i not in seen:
-                        seen.add(i)
-                        row.append(r)
-                        which.append(i)
-                        start.append(end + 1 - sizes[i])
-                if len(row) >= 50_000:
-                    yield found()
-                    row, which, start = [], [], []
-            if row:
-                yield found()
+            for r, raw, ends, (row, which, start) in searches(b.column(value)):
+                if first:
+                    one = _once(row * len(known) + which, start)
+                    row, which, start = row[one], which[one], start[one]
+                # characters before a place, less those before its text
+                before = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)])
+                start = before[start] - before[np.concatenate([[0], ends])[row]]
+                for i in range(0, len(row), 50_000):
+                    j = slice(i, i + 50_000)
+                    yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(row[j] + r)), known.take(pa.array(which[j])), pa.array(start[j], pa.int32())], [key, "name", "start"])
 
     return run
 
@@ -127,15 +215,15 @@ def _automaton(known: list[str], key: str, value: str, first: bool) -> Callable[
 def hits(texts: DataFrame, names: DataFrame, key: str, value: str, first: bool = False, block: int = 2) -> DataFrame:
     """(key, name, start): every occurrence of a name in a text, overlapping ones included; with ``first`` one of each name.
 
-    A dictionary of at most ``SMALL`` names and ``BYTES`` goes to each task as one automaton, which finds all names in one
-    pass over a text whatever their number; no text is shuffled. Pieces of texts meet a larger one by a join on the longest
-    beginning of ``block``, twice or four times as many characters that a name has. Repeated rows keep their own hits.
+    A dictionary of at most ``MANY`` names and ``MANY_BYTES`` goes to each task, which finds all names in one pass over a
+    text; no text is shuffled. Pieces of texts meet a larger one by a join on the longest beginning of ``block``, twice or
+    four times as many characters that a name has. Repeated rows keep their own hits.
     """
     names = names.where(F.length("name") >= block).select("name").distinct()
-    known = _few(names)
-    if known is not None:
-        kind = texts.schema[key].dataType.simpleString()
-        return texts.select(key, value).mapInArrow(_automaton(known, key, value, first), f"`{key}` {kind}, name string, start int") if known else texts.select(key, F.lit("").alias("name"), F.lit(0).alias("start")).limit(0)
+    held = _held(names)
+    if held is not None:
+        kind, known = texts.schema[key].dataType.simpleString(), held.column("name").combine_chunks().cast(pa.string())
+        return texts.select(key, value).mapInArrow(_occurring(known, key, value, first), f"`{key}` {kind}, name string, start int") if len(known) else texts.select(key, F.lit("").alias("name"), F.lit(0).alias("start")).limit(0)
     long = F.length("name")
     head = F.when(long >= 4 * block, F.substring("name", 1, 4 * block)).when(long >= 2 * block, F.substring("name", 1, 2 * block)).otherwise(F.substring("name", 1, block))
     texts = texts.select(F.xxhash64(key, value).alias("_text_id"), key, value)
@@ -153,6 +241,40 @@ def mentions(texts: DataFrame, names: DataFrame, key: str, value: str, block: in
     return found.join(broadcast_if_small(names), "name").select(key, *names.columns)
 
 
+def canonicals(texts: DataFrame, names: DataFrame, key: str, value: str, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, block: int = 2) -> DataFrame:
+    """(key, canonicals array): whom the names(name, canonical) in each text stand for.
+
+    Names become canonicals where they are found, so as many rows leave a task as came, however many names the dictionary
+    has; ``then`` is applied to each batch of them. Beyond ``MANY`` names a text has several rows, which together say the same.
+    """
+    kind = texts.schema[key].dataType.simpleString()
+    names = names.where((F.length("name") >= block) & F.col("canonical").isNotNull())
+    held = _held(names, "canonical")
+    if held is None:
+        found = mentions(texts, names.select("name", "canonical"), key, value, block).select(key, F.array("canonical").alias("canonicals"))
+        return found.unionByName(texts.select(key, F.array().cast("array<string>").alias("canonicals")))
+    order = held.sort_by("name").combine_chunks()
+    known, owners = order.column("name").combine_chunks().dictionary_encode(), order.column("canonical").combine_chunks().dictionary_encode()
+    # several canonicals of a name stand together
+    name_of, owner = known.indices.to_numpy(), owners.indices.to_numpy().astype(np.int64)
+    words, whose, ends = known.dictionary, owners.dictionary.cast(pa.string()), np.searchsorted(name_of, np.arange(len(known.dictionary) + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searches = _searches(words)
+        for b in batches:
+            pairs = [np.zeros(0, np.int64)]
+            for r, _, _, (row, which, _) in searches(b.column(value)):
+                n = ends[which + 1] - ends[which]
+                of = np.repeat(ends[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                pairs.append(np.unique((np.repeat(row, n) + r) * len(whose) + owner[of]))
+            row, who = np.divmod(np.concatenate(pairs), max(len(whose), 1))
+            at = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
+            out = pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(pa.array(at), whose.take(pa.array(who)))], [key, "canonicals"])
+            yield then(out) if then else out
+
+    return texts.select(key, value).mapInArrow(run, f"`{key}` {kind}, canonicals array<string>")
+
+
 def occurrences(value: Column, name: Column) -> Column:
     """Start positions (from 0) of a name, overlapping ones included."""
     at = F.sequence(F.lit(1), F.greatest(F.length(value) - F.length(name) + 1, F.lit(1)))
@@ -195,7 +317,7 @@ def negated(questions: DataFrame, names: DataFrame, patterns: Sequence[tuple[str
         found = F.regexp_extract_all(body, F.lit(rf"{pattern}(?=((?s:.{{0,{size}}})))"), F.lit(1))
         tails.append(found)
     rows = questions.select("q", F.explode(F.array_distinct(F.concat(*tails))).alias("_tail")).withColumn("_tail", F.lower("_tail"))
-    return mentions(rows, names.select("name", "canonical"), "q", "_tail").select("q", "canonical").distinct()
+    return canonicals(rows, names, "q", "_tail").select("q", F.explode("canonicals").alias("canonical")).distinct()
 
 
 def combined(questions: DataFrame, names: DataFrame, pattern: str = terms.COMBINATION) -> DataFrame:
@@ -208,7 +330,7 @@ def combined(questions: DataFrame, names: DataFrame, pattern: str = terms.COMBIN
 def extract(questions: DataFrame, names: DataFrame, patterns: Sequence[tuple[str, int]] = terms.NEGATIONS) -> DataFrame:
     """(q, drugs): canonical names that a message mentions, or lists as one character, without negated ones, sorted."""
     asked = questions.select("q", F.lower("message").alias("_t"))
-    found = mentions(asked, names.select("name", "canonical"), "q", "_t").select("q", "canonical").union(combined(questions, names.where(F.length("name") < 2))).distinct()
+    found = canonicals(asked, names, "q", "_t").select("q", F.explode("canonicals").alias("canonical")).union(combined(questions, names.where(F.length("name") < 2))).distinct()
     found = found.join(negated(questions, names, patterns), ["q", "canonical"], "left_anti")
     return questions.select("q").join(found.groupBy("q").agg(F.array_sort(F.collect_set("canonical")).alias("drugs")), "q", "left").select("q", F.coalesce("drugs", F.array().cast("array<string>")).alias("drugs"))
 
