@@ -119,12 +119,83 @@ def bm25(docs: DataFrame, questions: DataFrame, value: Column, asked: Column, k1
     return hits.groupBy("q", "ord").agg(F.sum(F.col("n") * F.col("idf") * weight).alias("base"))
 
 
+#: Terms whose document frequencies go to every task, of at most so many characters each.
+FREQUENT, LONGEST = 200_000, 64
+
+
+def _counted(tokens: pa.ListArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words, and (row, word, tf) of each word of each list."""
+    words = tokens.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(tokens)), np.diff(tokens.offsets.to_numpy()))
+    n = max(len(words.dictionary), 1)
+    pair, tf = np.unique(row * n + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    return words.dictionary, pair // n, pair % n, tf
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words, _, word, _ = _counted(b.column("_t"))
+        yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(word, minlength=len(words)))], ["term", "n"])
+
+
 def tfidf(docs: DataFrame, questions: DataFrame, value: Column, asked: Column) -> DataFrame:
     """(q, ord, base): cosine of raw-count TF-IDF vectors; a question's unseen terms count with idf 1 in its norm.
 
-    Tokens are dealt by document once. Products with the questions are summed there; of all other terms only a document's
-    norm is wanted, for which no list of terms is gathered.
+    Texts are not shuffled: tasks count the documents of each term; then, with the frequencies of at most ``FREQUENT`` terms at
+    hand, they sum the squares of those terms and send the others, which are most terms and few of their places, and the
+    asked ones. Rows of one ``ord`` are one document; where there are such, tokens are dealt by document.
     """
+    if docs.groupBy("ord").count().where("count > 1").limit(1).count():
+        return _tfidf_dealt(docs, questions, value, asked)
+    tokens = docs.select("ord", F.coalesce(text.tokens(value), F.array().cast("array<string>")).alias("_t"))
+    n_docs = _n_docs(docs)
+    found = store.written(tokens.select("_t").mapInArrow(_frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("df")), "frequencies")
+    idf = found.crossJoin(F.broadcast(n_docs)).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    cut, above = 1, 0
+    for r in sorted(found.groupBy("df").count().collect(), reverse=True):  # one row for each number of documents
+        above += r["count"]
+        if above > FREQUENT:
+            cut = r.df + 1
+            break
+    held = idf.where((F.col("df") >= cut) & (F.length("term") <= LONGEST)).select("term", "idf").toArrow().combine_chunks()
+    wanted, small = _asked_terms(questions, asked)
+    asked_terms = wanted.select("term").distinct()
+    few = small(asked_terms) is not asked_terms
+    terms_asked = sorted(r.term for r in asked_terms.collect()) if few else []
+    known, weights = held.column("term").combine_chunks().cast(pa.string()), held.column("idf").to_numpy()
+    ord_type = docs.schema["ord"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = pa.array(terms_asked, pa.string())
+        for b in batches:
+            words, row, word, tf = _counted(b.column("_t"))
+            at = pc.index_in(words, known).to_numpy(zero_copy_only=False) if len(known) else np.full(len(words), np.nan)
+            rare = np.isnan(at)
+            weight = np.zeros(len(words))
+            weight[~rare] = weights[at[~rare].astype(np.int64)]
+            squares = np.bincount(row, (tf * weight[word]) ** 2, b.num_rows)
+            ask = pc.is_in(words, named).to_numpy(zero_copy_only=False) if few else np.ones(len(words), bool)
+            send = np.flatnonzero((rare | ask)[word])
+            doc = np.concatenate([np.arange(b.num_rows), row[send]])
+            none = pa.nulls(b.num_rows, pa.string())
+            yield pa.RecordBatch.from_arrays([
+                b.column("ord").take(pa.array(doc)), pa.concat_arrays([none, words.take(pa.array(word[send]))]), pa.array(np.concatenate([np.zeros(b.num_rows, np.int64), tf[send]])),
+                pa.array(np.concatenate([np.zeros(b.num_rows, bool), rare[word[send]]])), pa.array(np.concatenate([squares, np.zeros(len(send))])),
+            ], ["ord", "term", "tf", "rare", "squares"])
+
+    rows = store.written(tokens.mapInArrow(run, f"ord {ord_type.simpleString()}, term string, tf long, rare boolean, squares double"), "weighed")
+    weight = F.col("tf") * F.col("idf")
+    rare = rows.where("rare").join(idf.where((F.col("df") < cut) | (F.length("term") > LONGEST)).select("term", "idf"), "term").select("ord", (weight * weight).alias("squares"))
+    norms = rows.where("term is null").select("ord", "squares").union(rare).groupBy("ord").agg(F.sqrt(F.sum("squares")).alias("norm"))
+    known_ = store.written(wanted.join(idf.select("term", "idf"), "term", "left").withColumn("v", F.col("n") * F.coalesce("idf", F.lit(1.0))), "asked")
+    own = known_.groupBy("q").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("own"))
+    hits = rows.where("term is not null").select("ord", "term", "tf").repartition("ord")
+    dots = hits.join(small(known_.where("idf is not null").select("q", "term", "v", "idf")), "term").groupBy("q", "ord").agg(F.sum(F.col("v") * weight).alias("dot"))
+    return dots.join(norms, "ord").join(small(own), "q").select("q", "ord", (F.col("dot") / (F.col("norm") * F.col("own"))).alias("base"))
+
+
+def _tfidf_dealt(docs: DataFrame, questions: DataFrame, value: Column, asked: Column) -> DataFrame:
+    """``tfidf`` where several rows can be one document: tokens are dealt by document once."""
     tokens = docs.select("ord", text.tokens(value).alias("_t")).repartition("ord").select("ord", F.explode_outer("_t").alias("term")).where("term is not null")
     counts = tokens.groupBy("ord", "term").agg(F.count("*").alias("tf"))
     idf = smooth_idf(counts, _n_docs(docs)).select("term", "idf")
