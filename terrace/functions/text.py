@@ -32,7 +32,8 @@ def tokens(text: Column) -> Column:
     """Latin words of two or more characters and CJK runs, then every single CJK character; lower case."""
     low = F.lower(text)
     words = F.regexp_extract_all(low, F.lit(rf"[a-zA-Z][a-zA-Z0-9\-]+|[{_CJK}]{{2,}}"), F.lit(0))
-    return F.concat(words, F.regexp_extract_all(low, F.lit(f"[{_CJK}]"), F.lit(0)))
+    # a text of as many bytes as characters has no CJK, so it need not be searched again
+    return F.when(F.octet_length(low) == F.length(low), words).otherwise(F.concat(words, F.regexp_extract_all(low, F.lit(f"[{_CJK}]"), F.lit(0))))
 
 
 def strip(text: Column) -> Column:

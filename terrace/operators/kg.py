@@ -48,13 +48,13 @@ def _firsts(b: pa.RecordBatch) -> pa.RecordBatch:
 
 def candidates(
     sections: DataFrame, names: DataFrame, interaction: str = "药物相互作用", safety: Sequence[str] = terms.SAFETY_SECTIONS, split=text.sentences,
-    classes=terms.DRUG_CLASSES, tables=(("Population", terms.POPULATION_TAGS), ("Condition", terms.CONDITION_TAGS), ("Risk", terms.RISK_EVENTS)), shown: int = 600, **words,
+    classes=terms.DRUG_CLASSES, tables=(("Population", terms.POPULATION_TAGS), ("Condition", terms.CONDITION_TAGS), ("Risk", terms.RISK_EVENTS)), shown: int = 600, opening: bool = False, **words,
 ) -> DataFrame:
     """(subject, relation, object, object_type, risk_level, evidence_text, section, confidence) of sections(ord, drug, title, text).
 
     Interaction sentences point at the names (name, canonical) and classes they mention; others at tagged objects. Of
     equal (subject, relation, object, section, first 80 characters) the first counts. ``evidence_text`` has the first
-    ``shown`` characters of the sentence.
+    ``shown`` characters of the sentence. With ``opening`` only candidates of first sentences are given.
     """
     # outer explodes: for plain ones Spark splits each text, and looks for each tag, a second time to ask for the array's size
     rows = sections.where(F.col("title").isin(*safety)).select("ord", F.col("drug").alias("subject"), F.col("title").alias("section"), F.posexplode_outer(split(F.col("text"))).alias("_i", "sentence")).where("sentence is not null")
@@ -72,13 +72,16 @@ def candidates(
     # one row a sentence is dealt out; objects, of which a sentence can have many, part where equal beginnings have met
     same = ["subject", "relation", "section", "_head"]
     rows = rows.select("_s.*", "canonicals").repartition(*same)
+    if opening:
+        # beginnings that no first sentence has can neither be nor take the place of a candidate of one
+        rows = rows.withColumn("_least", F.min("_i").over(Window.partitionBy("_head", *same[:-1]))).where("_least = 0")
     objects = F.concat(F.transform("canonicals", lambda x: F.struct(x.alias("object"), F.lit("Drug").alias("object_type"), F.lit(0).alias("_t"))), "_tags")
     out = rows.select("ord", "_i", *same, "risk_level", "evidence_text", F.explode_outer(objects).alias("_o")).where("_o is not null")
     out = out.select("*", "_o.*").drop("_o").where("object <> subject")
     # a name that is a class as well is a class; the hash comes first because rows are sorted, and those of a subject are many
     same = [*same, "object"]
     w = Window.partitionBy(F.xxhash64(*same), *same).orderBy("ord", "_i", "_t", F.desc("object_type"))
-    out = out.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    out = out.withColumn("_n", F.row_number().over(w)).where("_n = 1 and _i = 0" if opening else "_n = 1")
     confidence = F.when(F.col("object_type") == "Drug", 0.72).when(F.col("object_type") == "DrugClass", 0.62).otherwise(0.68)
     return out.select("ord", "_i", "subject", "relation", "object", "object_type", "risk_level", "evidence_text", "section", confidence.alias("confidence"))
 

@@ -50,17 +50,25 @@ def dictionary(spark, sf_dir):
     return names.alias_dictionary(records)
 
 
-def graph(spark, sf_dir, known):
-    """(rules, nodes, edges) that the documents state."""
+def _stated(spark, sf_dir, known, **how):
     found = kg.candidates(
         gq._sections(spark, sf_dir), known, interaction="interactions", safety=("interactions", "cautions"), classes=(("classA", ("thing", "tion")),), tables=(("Condition", gq._TAGS),),
-        shown=0, high=("enti", "qui "), medium=("tion", "ein"), action=("the",), idle=("ou",),
+        shown=0, high=("enti", "qui "), medium=("tion", "ein"), action=("the",), idle=("ou",), **how,
     )
+    return found.drop("evidence_text")
+
+
+def rules_of(found):
+    """The pair rules that first sentences state."""
+    return found.where("_i = 0 and object_type = 'Drug'").select(F.col("subject").alias("left"), F.col("object").alias("right"), "risk_level", F.lit(None).cast("string").alias("mechanism"), F.lit(None).cast("string").alias("recommendation"), "ord")
+
+
+def graph(spark, sf_dir, known):
+    """(rules, nodes, edges) that the documents state."""
     # written once for rules and edges; no answer shows a candidate's text
-    found = store.written(found.drop("evidence_text"), "candidates").withColumn("_o", F.struct("ord", "_i"))
-    rules = found.where("_i = 0 and object_type = 'Drug'").select(F.col("subject").alias("left"), F.col("object").alias("right"), "risk_level", F.lit(None).cast("string").alias("mechanism"), F.lit(None).cast("string").alias("recommendation"), "ord")
+    found = store.written(_stated(spark, sf_dir, known), "candidates").withColumn("_o", F.struct("ord", "_i"))
     edges = kg.upsert_edges(found, "_o")
-    return rules, kg.nodes_of(edges), edges
+    return rules_of(found), kg.nodes_of(edges), edges
 
 
 def asked(spark, sf_dir):
@@ -243,6 +251,6 @@ def consultation_answers(spark, sf_dir):
 def analysis_reports(spark, sf_dir):
     """The report of each question over TF-IDF evidence and pair rules, with its limitations."""
     known = store.written(dictionary(spark, sf_dir), "names").select("name", "canonical")
-    rules, _, _ = graph(spark, sf_dir, known)
+    rules = store.written(rules_of(_stated(spark, sf_dir, known, opening=True)), "rules")
     rows = consultation.analyze(asked(spark, sf_dir), known, passages(spark, sf_dir), rules, WORDING)
     return rows.withColumns({"drugs": F.array_join("drugs", "|"), "limitations": F.array_join("limitations", "|")})

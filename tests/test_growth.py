@@ -348,6 +348,10 @@ def test_sentences_are_dealt_out_before_their_objects(spark):
     found = kg.candidates(docs, spark.createDataFrame([(w, w.upper()) for w in words], "name string, canonical string"), interaction="inter", safety=("inter",), split=lambda c: F.array(c), classes=(("nsaid", ("aspirin",)),), tables=(), high=("stop",), medium=(), action=("go",), idle=("ou",))
     want = {(0, w.upper()) for w in words} | {(2, "NAMEA"), (3, "NAMEB"), (4, "nsaid")}
     assert rows(found, "ord", "object") == sorted(want)
+    wording = {"interaction": "inter", "safety": ("inter",), "split": lambda c: F.split(c, "/"), "classes": (), "tables": (), "high": ("stop",), "medium": (), "action": ("go",), "idle": ("ou",)}
+    cut = spark.createDataFrame([(1, "X", "inter", "namea stop/nameb stop/namec stop"), (2, "X", "inter", "nameb stop/named stop"), (3, "X", "inter", "named namee stop"), (4, "Y", "inter", "nameb stop")], "ord long, drug string, title string, text string")
+    every, opening = (kg.candidates(cut, spark.createDataFrame([(w, w.upper()) for w in words], "name string, canonical string"), opening=o, **wording) for o in (False, True))
+    assert rows(opening, "ord", "_i", "object") == rows(every.where("_i = 0"), "ord", "_i", "object") == [(1, 0, "NAMEA"), (3, 0, "NAMED"), (3, 0, "NAMEE"), (4, 0, "NAMEB")]
     nodes = re.findall(r"Generate|Exchange hashpartitioning|MapInArrow", plan(found))
     assert nodes[:3] == ["Generate", "Exchange hashpartitioning", "MapInArrow"]  # from the result down
 
